@@ -22,6 +22,8 @@ STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: that a coordinate counts with, in the transform's units; groups with fewer documents are judged as one.
 STEPS, SHARE, REJECT, FLOOR, LEAST = 3, 0.75, 120.0, (0.35, 0.05, 0.03, 0.04, 0.05), 50
 DIMS = len(FLOOR)
+#: Groups (languages by sources) up to which their models are broadcast: some 300 bytes each.
+GROUPS = 20_000
 
 
 def _let(value: Column, use) -> Column:
@@ -51,20 +53,19 @@ def _repeat_words(words: Column, width: int = 8) -> Column:
     return _let(windows, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(_let(places(h), covered)))
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """docs' doc_id, lang, source (as _lang, _source) and the counted statistics of the whole text."""
+def statistics(docs: DataFrame, carry: list[Column]) -> DataFrame:
+    """For each row of docs (text, lang, source): carry, _lang, _source and STATS of the whole text."""
     text = F.coalesce(F.col("text"), F.lit(""))
     words = F.array_remove(F.split(text, f"[{WS}]+"), "")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{WS}]"))
     first = docs.select(
-        "doc_id", F.col("lang").alias("_lang"), F.col("source").alias("_source"), words.alias("_words"),
+        F.struct(*carry).alias("_row"), F.col("lang").alias("_lang"), F.col("source").alias("_source"), words.alias("_words"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         F.length(F.regexp_replace(text, f"[{WS}]+", "")).cast("long").alias("word_chars"),
     )
-    return first.select("doc_id", "_lang", "_source", _let(F.col("_words"), lambda w: F.struct(F.size(w).cast("long").alias("n"), _repeat_words(w).cast("long").alias("r"))).alias("_w"), "n_symbols", "n_dup_lines", "word_chars").select(
-        "doc_id", "_lang", "_source", F.col("_w.n").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", F.col("_w.r").alias("n_repeat_words")
-    )
+    second = first.select("*", _let(F.col("_words"), lambda w: F.struct(F.size(w).cast("long").alias("n"), _repeat_words(w).cast("long").alias("r"))).alias("_w"))
+    return second.select("_row", "_lang", "_source", F.col("_w.n").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", F.col("_w.r").alias("n_repeat_words"))
 
 
 def vector() -> list[Column]:
@@ -109,45 +110,67 @@ def _distance() -> Column:
     return sum((v * v for v in z[1:]), z[0] * z[0])
 
 
-def judged(docs: DataFrame, steps: int = STEPS, share: float = SHARE, reject: float = REJECT, least: int = LEAST) -> DataFrame:
-    """One row per row of docs (doc_id, text, lang, source): doc_id, STATS, base_failed, kept, distance.
-
-    A null text has no words and fails. Null languages and sources are values like any other; groups of
-    fewer than `least` documents that pass the base rules are judged as one group of their own. Repeated rows count each;
-    an empty table gives an empty table; other columns are ignored.
-    """
-    stats = statistics(docs)
+def _described(docs: DataFrame, carry: list[Column]) -> DataFrame:
+    """statistics() with base_failed and the vector."""
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    base = stats.withColumn("base_failed", failed)
-    rows = written(base.select("*", *[v.alias(f"_x{i}") for i, v in enumerate(vector())]), "statistics")
-    ok = ~F.col("base_failed")
-    keys = [F.col("_lang"), F.col("_source")]
-    sizes = rows.where(ok).groupBy("_lang", "_source").agg(F.count("*").alias("_size")).withColumn("_g", F.when(F.col("_size") >= least, F.coalesce(F.to_json(F.struct(*keys)), F.lit("{}"))).otherwise(F.lit("")))
-    sizes = written(sizes, "groups")
-    groups = sizes.count()
-    name = small(sizes.select(F.col("_lang").alias("_l"), F.col("_source").alias("_s"), "_g"), groups, 100_000)
-    rows = rows.join(name, F.col("_lang").eqNullSafe(F.col("_l")) & F.col("_source").eqNullSafe(F.col("_s")), "left").withColumn("_g", F.coalesce("_g", F.lit(""))).drop("_l", "_s")
+    return statistics(docs, carry).select("*", failed.alias("base_failed"), *[v.alias(f"_x{i}") for i, v in enumerate(vector())])
+
+
+def _grouped(rows: DataFrame, names: DataFrame, groups: int) -> DataFrame:
+    """rows with _g: the name of their group, or that of all small groups together."""
+    same = F.col("_lang").eqNullSafe(F.col("_l")) & F.col("_source").eqNullSafe(F.col("_s"))
+    return rows.join(small(names, groups, GROUPS), same, "left").withColumn("_g", F.coalesce("_g", F.lit(""))).drop("_l", "_s")
+
+
+def fit(rows: DataFrame, steps: int = STEPS, share: float = SHARE, least: int = LEAST) -> tuple[DataFrame, DataFrame, int]:
+    """Minimum covariance determinant estimates from _described() rows that pass the base rules: the groups' names, their
+    models, and how many groups there are."""
+    ok = rows.where(~F.col("base_failed"))
+    name = F.when(F.col("_size") >= least, F.to_json(F.struct("_lang", "_source"))).otherwise("")
+    sizes = ok.groupBy("_lang", "_source").agg(F.count("*").alias("_size"))
+    names = written(sizes.select(F.col("_lang").alias("_l"), F.col("_source").alias("_s"), name.alias("_g")), "groups")
+    groups = names.count()
+    ok = _grouped(ok, names, groups)
     # the first centre: each coordinate's median and median absolute deviation, on a grid that bounds what is held
-    grid = [F.round(F.col(f"_x{i}"), 2) for i in range(DIMS)]
-    medians = rows.where(ok).groupBy("_g").agg(*[F.percentile(grid[i], F.lit(0.5)).alias(f"m{i}") for i in range(DIMS)])
-    near = rows.join(small(medians, groups, 100_000), "_g", "left")
-    spread = near.where(ok).groupBy("_g").agg(*[F.percentile(F.round(F.abs(F.col(f"_x{i}") - F.col(f"m{i}")), 2), F.lit(0.5)).alias(f"s{i}") for i in range(DIMS)], *[F.first(f"m{i}").alias(f"m{i}") for i in range(DIMS)])
-    model = spread
-    for i in range(DIMS):
-        for j in range(i + 1):
-            model = model.withColumn(f"c{i}{j}", F.pow(F.col(f"s{i}") * 1.4826, 2) if i == j else F.lit(0.0))
-    model = _factors(model.select("_g", *[f"m{i}" for i in range(DIMS)], *[f"c{i}{j}" for i in range(DIMS) for j in range(i + 1)]))
+    medians = ok.groupBy("_g").agg(*[F.percentile(F.round(F.col(f"_x{i}"), 2), F.lit(0.5)).alias(f"m{i}") for i in range(DIMS)])
+    near = ok.join(small(medians, groups, GROUPS), "_g")
+    spread = near.groupBy("_g").agg(*[F.percentile(F.round(F.abs(F.col(f"_x{i}") - F.col(f"m{i}")), 2), F.lit(0.5)).alias(f"s{i}") for i in range(DIMS)], *[F.first(f"m{i}").alias(f"m{i}") for i in range(DIMS)])
+    pairs = [(i, j) for i in range(DIMS) for j in range(i + 1)]
+    model = _factors(spread.select("_g", *[f"m{i}" for i in range(DIMS)], *[(F.pow(F.col(f"s{i}") * 1.4826, 2) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in pairs]))
     for _ in range(steps):
         model = written(model, "model")
-        seen = rows.where(ok).join(small(model, groups, 100_000), "_g", "left").withColumn("_d", _distance())
         # distances on a logarithmic grid: the percentile holds a bounded count of values
-        mark = F.round(F.log(F.col("_d") + 1e-9), 2)
-        cut = seen.groupBy("_g").agg(F.percentile(mark, F.lit(share)).alias("_cut"))
-        kept = seen.withColumn("_mark", mark).join(small(cut, groups, 100_000), "_g", "left")
+        seen = ok.join(small(model, groups, GROUPS), "_g").withColumn("_mark", F.round(F.log(_distance() + 1e-9), 2))
+        cut = seen.groupBy("_g").agg(F.percentile("_mark", F.lit(share)).alias("_cut"))
+        kept = seen.join(small(cut, groups, GROUPS), "_g")
         model = _factors(_scaled(_estimates(kept, F.col("_mark") <= F.col("_cut")), share))
-    model = written(model, "model")
-    out = rows.join(small(model, groups, 100_000), "_g", "left").withColumn("distance", _distance())
-    return out.select("doc_id", *STATS, "base_failed", (ok & (F.coalesce(F.col("distance"), F.lit(0.0)) <= reject)).alias("kept"), "distance")
+    return names, written(model, "model"), groups
+
+
+def _verdicts(rows: DataFrame, fitted: tuple[DataFrame, DataFrame, int], reject: float) -> DataFrame:
+    names, model, groups = fitted
+    out = _grouped(rows, names, groups).join(small(model, groups, GROUPS), "_g", "left").withColumn("distance", _distance())
+    return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= reject))
+
+
+def judged(docs: DataFrame, reject: float = REJECT) -> DataFrame:
+    """One row per row of docs (doc_id, text, lang, source): doc_id, STATS, base_failed, kept, distance.
+
+    A null text has no words and fails. Null languages and sources are values like any other; groups of
+    fewer than LEAST documents that pass the base rules are judged together as one group. Repeated rows count each;
+    an empty table gives an empty table; other columns are ignored.
+    """
+    rows = written(_described(docs, [F.col("doc_id")]), "statistics")
+    out = _verdicts(rows, fit(rows), reject)
+    return out.select("_row.doc_id", *STATS, "base_failed", "kept", "distance")
+
+
+def kept_only(docs: DataFrame, reject: float = REJECT) -> DataFrame:
+    """The rows of docs, all columns as they are, that judged() keeps. Texts are described a second time instead of being
+    joined with their verdicts, so no text is shuffled and repeated ids do no harm."""
+    fitted = fit(written(_described(docs, [F.lit(0).alias("none")]), "statistics"))
+    out = _verdicts(_described(docs, [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")]), fitted, reject)
+    return out.where("kept").select("_row.doc.*")
 
 
 def _scaled(est: DataFrame, share: float) -> DataFrame:
