@@ -69,7 +69,7 @@ def lines(html: str | None) -> list[tuple[str, int]]:
         if m[2] is None:
             continue
         close, tag, attrs = bool(m[1]), m[2].lower(), m[3]
-        if tag in BLOCKS or tag in CHROME or tag in RAW:
+        if tag in BLOCKS or tag in CHROME:
             flush()
         elif tag in SPACED:
             parts.append(" ")
