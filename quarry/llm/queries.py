@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.llm import oracle
 from quarry.llm.common import table
 
 
@@ -82,4 +83,4 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_sharding, op3_decontamination, op4_lm_scoring, op5_quality_rules, op6_near_dedup, op7_html_text, op8_packing, op9_token_files, op10_language_id)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_sharding": oracle.SHARDING, "op6_near_dedup": oracle.NEAR_DEDUP}
