@@ -62,7 +62,7 @@ def pruned(saved: DataFrame, seen: DataFrame, scope: str, kept: DataFrame, roots
     lost = inside.join(seen.select("path"), "path", "left_anti")
     shields = kept.select("path").unionByName(roots.select("path").where(F.col("path").startswith(scope.rstrip("/") + "/"))).distinct()
     safe = lost.select("path", F.explode(self_and_ancestors(F.col("path"))).alias("_up")).join(shields.select(F.col("path").alias("_up")), "_up", "left_semi").select("path").distinct()
-    return saved.join(lost.join(safe, "path", "left_anti").select("path"), "path", "left_anti")
+    return saved.join(lost.join(safe, "path", "left_anti").select("path"), "path", "left_anti").select(*saved.columns)
 
 
 def pruned_children(saved: DataFrame, seen: DataFrame, folder: str) -> DataFrame:
@@ -71,14 +71,14 @@ def pruned_children(saved: DataFrame, seen: DataFrame, folder: str) -> DataFrame
     child = F.concat(F.lit("/"), F.array_join(F.slice(F.filter(F.split("path", "/"), lambda p: p != ""), 1, depth), "/"))
     below = saved.where(F.col("path").startswith(folder.rstrip("/") + "/")).select("path", child.alias("_child"))
     lost = below.join(seen.select(F.col("path").alias("_child")), "_child", "left_anti").select("path")
-    return saved.join(lost, "path", "left_anti")
+    return saved.join(lost, "path", "left_anti").select(*saved.columns)
 
 
 def pruned_exactly(saved: DataFrame, gone: DataFrame, seen: DataFrame, kept: DataFrame) -> DataFrame:
     """The snapshot without the ids declared gone, unless seen after all or below a kept folder."""
     lost = saved.join(gone.select("id"), "id", "left_semi").join(seen.select("path"), "path", "left_anti")
     safe = lost.select("path", F.explode(self_and_ancestors(F.col("path"))).alias("_up")).join(kept.select(F.col("path").alias("_up")), "_up", "left_semi").select("path").distinct()
-    return saved.join(lost.join(safe, "path", "left_anti").select("path"), "path", "left_anti")
+    return saved.join(lost.join(safe, "path", "left_anti").select("path"), "path", "left_anti").select(*saved.columns)
 
 
 def moved(saved: DataFrame, old: str, new: str) -> DataFrame:
