@@ -7,8 +7,9 @@ when it falls under the chosen miss probability. Survivors are verified on their
 
 No bucket is expanded into all its pairs. First each member is paired with one centre of its bucket, drawn
 anew in each band; verified links give components. Then only pairs across components are left to
-look at: buckets that still hold several components are compared inside tasks, in blocks of bounded size,
-and only survivors across components come out. Links inside a component are settled already.
+look at: buckets that still hold several components are compared inside tasks, in blocks of bounded size.
+Members with a survivor across components come out, meet their full sets, and are verified in the block, which gives
+fewer links than it has members. Links inside a component are settled already.
 """
 
 from __future__ import annotations
@@ -31,7 +32,9 @@ BANDS, ROWS, HASHES = 24, 3, 96
 #: Signature batches after which a pair may be dropped, and the probability of losing a true link in all of them.
 STEPS, MISS = (16, 32, 64, 96), 1e-6
 #: Members of a bucket that meet in one block; rows of a list of ids that may be broadcast.
-BLOCK, BROADCAST = 256, 1_000_000
+BLOCK, BROADCAST = 512, 1_000_000
+BLOCK_ROWS = "key long, p int, q int, node long, component long, side int, band int, sig binary"
+BLOCK_NAMES = [x.split()[0] for x in BLOCK_ROWS.split(", ")]
 
 _rng = np.random.default_rng(20)
 _MUL = (_rng.integers(1, 1 << 32, HASHES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -144,46 +147,116 @@ def _verifier(percent: int):
     return run
 
 
-def _crosser(need: list[int]):
-    """Pairs across components inside each block: rows come sorted by (key, p, q)."""
-
-    def pairs(key, rows):
-        node, comp, side, band = (np.array([r[i] for r in rows]) for i in (0, 1, 2, 3))
-        sig = np.frombuffer(b"".join(r[4] for r in rows), np.uint32).reshape(-1, HASHES)
-        same = key[1] == key[2]
-        for i in range(len(rows)):
-            # within a block each pair once; between two blocks, left side against right side
-            j = np.flatnonzero((comp != comp[i]) & ((np.arange(len(rows)) > i) if same else ((side[i] == 0) & (side == 1))))
-            if not len(j):
-                continue
+def _candidates(key, rows, need: list[int]):
+    """Pairs of places across components inside a block that no batch of hashes drops, each in its first band only."""
+    comp, side, band = (np.array([r[i] for r in rows]) for i in (1, 2, 3))
+    sig = np.frombuffer(b"".join(r[4] for r in rows), np.uint32).reshape(-1, HASHES)
+    places, same = np.arange(len(rows)), key[1] == key[2]
+    for i in range(len(rows)):
+        # within a block each pair once; between two blocks, left side against right side
+        j = np.flatnonzero((comp != comp[i]) & ((places > i) if same else ((side[i] == 0) & (side == 1))))
+        if len(j):
             j = j[_alive(np.broadcast_to(sig[i], (len(j), HASHES)), sig[j], need)]
-            if not len(j):
-                continue
-            # a pair that meets in several bands comes out in the first
+        if len(j):
             meets = (sig[j, : BANDS * ROWS] == sig[i, : BANDS * ROWS]).reshape(-1, BANDS, ROWS).all(2).argmax(1)
-            for k in j[meets == band[i]]:
-                yield min(node[i], node[k]), max(node[i], node[k])
+            j = j[meets == band[i]]
+        if len(j):
+            yield i, j
+
+
+def _grouped(batches):
+    """(key, p, q) and the rows behind them, from rows sorted by them."""
+    held, last = [], None
+    for batch in batches:
+        for key, p, q, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            if (key, p, q) != last:
+                if len(held) > 1:
+                    yield last, held
+                held, last = [], (key, p, q)
+            held.append(row)
+    if len(held) > 1:
+        yield last, held
+
+
+def _suspects(need: list[int]):
+    """The rows of each block that have a candidate across components: at most the block's members come out."""
 
     def run(batches):
-        held, last, out = [], None, []
-        for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(8)]
-            for key, p, q, *row in zip(*cols):
-                if (key, p, q) != last:
-                    if len(held) > 1:
-                        out += pairs(last, held)
-                    held, last = [], (key, p, q)
-                held.append(row)
-            if out:
+        out = []
+        for key, rows in _grouped(batches):
+            met = set()
+            for i, j in _candidates(key, rows, need):
+                met.add(i)
+                met.update(j.tolist())
+            out += [(*key, *rows[i]) for i in sorted(met)]
+            if len(out) > 20_000:
+                yield _blocks(out)
+                out = []
+        yield _blocks(out)
+
+    return run
+
+
+def _blocks(out) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], BLOCK_NAMES)
+
+
+def _linker(need: list[int], percent: int):
+    """Candidates across components, verified on full sets inside the block; of the links only those that join what is
+    apart come out, so a block gives fewer links than it has members."""
+
+    def run(batches):
+        out = []
+        for key, rows in _grouped(batches):
+            sets = [np.frombuffer(r[5], np.uint64) for r in rows]
+            first: dict = {}
+            root = [first.setdefault(r[1], i) for i, r in enumerate(rows)]
+
+            def find(x):
+                while root[x] != x:
+                    root[x] = root[root[x]]
+                    x = root[x]
+                return x
+
+            found = list(_candidates(key, rows, need))
+            every = _overlaps(sets) if sum(len(j) for _, j in found) > 4 * len(rows) else None
+            for i, js in found:
+                for j in js.tolist():
+                    a, b = find(i), find(j)
+                    if a == b:
+                        continue
+                    both = int(every[i, j]) if every is not None else len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                        root[max(a, b)] = min(a, b)
+                        out.append((min(rows[i][0], rows[j][0]), max(rows[i][0], rows[j][0])))
+            if len(out) > 20_000:
                 yield _pairs(out)
                 out = []
-        if len(held) > 1:
-            out += pairs(last, held)
         yield _pairs(out)
 
     return run
 
 
+def _overlaps(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Sizes of all intersections of a block's sets, by products of membership matrices `width` shingles wide."""
+    flat = np.concatenate(sets)
+    who = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    u, at, n = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = n[at] > 1
+    place = np.cumsum(n > 1) - 1
+    col, who = place[at[shared]], who[shared]
+    by = np.argsort(col, kind="stable")
+    col, who = col[by], who[by]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for lo in range(0, int(col[-1]) + 1 if len(col) else 0, width):
+        a, b = np.searchsorted(col, [lo, lo + width])
+        m = np.zeros((len(sets), width), np.float32)
+        m[who[a:b], col[a:b] - lo] = 1
+        out += m @ m.T
+    return out
+
+
 def _pairs(out) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([int(x) for x, _ in out], pa.int64()), pa.array([int(y) for _, y in out], pa.int64())], ["a", "b"])
 
@@ -194,17 +267,36 @@ def _joined(pairs: DataFrame, values: DataFrame, name: str) -> DataFrame:
     return pairs.join(left, F.col("a") == F.col("_l")).join(right, F.col("b") == F.col("_r")).select("a", "b", "x", "y")
 
 
+def _full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, set of the nodes (_node)."""
+    texts = docs.select("doc_id", "text").join(small(nodes, nodes.count(), BROADCAST), F.col("doc_id") == F.col("_node"), "left_semi")
+    return written(texts.mapInArrow(_sets, "node long, set binary"), "sets")
+
+
 def _verified(docs: DataFrame, survivors: DataFrame, percent: int) -> DataFrame:
     """The survivors whose full sets reach the threshold."""
     nodes = written(survivors.select(F.col("a").alias("_node")).union(survivors.select("b")).distinct(), "nodes")
-    texts = docs.select("doc_id", "text").join(small(nodes, nodes.count(), BROADCAST), F.col("doc_id") == F.col("_node"), "left_semi")
-    sets = written(texts.mapInArrow(_sets, "node long, set binary"), "sets")
+    sets = _full_sets(docs, nodes)
     links = written(_joined(survivors, sets, "set").mapInArrow(_verifier(percent), "a long, b long"), "links")
     release(sets)
     release(nodes)
     return links
 
 
+def _across(docs: DataFrame, full: DataFrame, need: list[int], percent: int) -> DataFrame:
+    """Links across components of what meets in the blocks (key, p, q) of full."""
+    dealt = lambda df: df.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+    suspects = written(dealt(full).mapInArrow(_suspects(need), BLOCK_ROWS), "suspects")
+    nodes = written(suspects.select(F.col("node").alias("_node")).distinct(), "nodes")
+    sets = _full_sets(docs, nodes)
+    # rows with one id and different texts have several sets; each is tried
+    whole = suspects.join(sets.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node")).select(*BLOCK_NAMES, "set")
+    links = written(dealt(whole).mapInArrow(_linker(need, percent), "a long, b long").distinct(), "links")
+    for t in (suspects, nodes, sets):
+        release(t)
+    return links
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, miss: float = MISS) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept, n_class.
 
@@ -236,12 +328,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, miss: float = MISS)
     mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
     dealt = named.join(mixed, "key", "left_semi").select("*", mine.alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     dealt = dealt.select("key", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "node", "component", (F.col("mine") > F.col("other")).cast("int").alias("side"), "band")
-    full = dealt.join(sigs.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node")).select("key", "p", "q", "node", "component", "side", "band", "sig")
-    cross = full.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(_crosser(need), "a long, b long").distinct()
-    cross = written(cross, "survivors")
-    more = _verified(docs, cross, percent)
+    full = dealt.join(sigs.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node")).select(*BLOCK_NAMES)
+    more = _across(docs, full, need, percent)
     final = connected(links.union(more))
-    for t in (members, busy, sigs, star, named, cross):
+    for t in (members, busy, sigs, star, named):
         release(t)
     put = reps.select("c1", "c2", "node", "n_class").join(final.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select(F.col("c1").alias("_c1"), F.col("c2").alias("_c2"), "n_class", F.coalesce("component", "node").alias("component"))
     put = written(put, "components")
