@@ -309,6 +309,31 @@ def store_live_view(spark, d):
     return catalog.live(p, p.where("entry_id % 10 = 5").withColumn("path", F.concat("path", F.lit(".new"))), p.where("entry_id % 10 = 3"))
 
 
+@query(f"""WITH {FILES}, {UPS}, t AS (SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS folder FROM files WHERE regexp_matches(path, '/4[^/]*$'))
+  SELECT entry_id, path FROM files WHERE path NOT IN (SELECT folder FROM t) AND entry_id NOT IN (SELECT entry_id FROM ups JOIN t USING (folder))""")
+def tool_managed(spark, d):
+    f = files(spark, d)
+    # names that begin with 4 play the marker here: the page catalog has no tools
+    marked = f.withColumn("name", F.when(F.col("name").rlike("^4"), "pyvenv.cfg").otherwise(F.col("name")))
+    return catalog.outside(f, catalog.tool_managed(marked)).select("entry_id", "path")
+
+
+@query(f"""WITH {PARTS} SELECT p_partkey AS entry_id, path, CASE WHEN path IS NULL THEN 'stale' ELSE 'live' END AS state FROM part LEFT JOIN (SELECT entry_id, path FROM parts WHERE entry_id % 4 > 0) ON entry_id = p_partkey""")
+def resolve_ids(spark, d):
+    p = parts(spark, d)
+    return catalog.resolved(p.select("entry_id"), p.where("entry_id % 4 > 0")).select("entry_id", "path", "state")
+
+
+@query(f"""WITH {PARTS}, o AS (SELECT entry_id AS id, p_type AS fingerprint, 5000 + entry_id AS old FROM parts WHERE entry_id % 3 = 0), f AS (SELECT entry_id AS id, CASE WHEN entry_id % 6 = 0 THEN 'changed' ELSE p_type END AS fingerprint FROM parts WHERE entry_id % 2 = 0 OR entry_id % 3 = 0),
+  m AS (SELECT lpad(CAST(f.id AS VARCHAR), 9, '0') AS desktop_id, CASE WHEN o.fingerprint = f.fingerprint THEN old END AS k FROM f LEFT JOIN o USING (id))
+  SELECT desktop_id, coalesce(k, (SELECT max(old) FROM o) + row_number() OVER (PARTITION BY k IS NULL ORDER BY desktop_id)) AS entry_id FROM m""")
+def stable_app_ids(spark, d):
+    p = _t(spark, d, "part").select(F.lpad(F.col("p_partkey").cast("string"), 9, "0").alias("desktop_id"), F.col("p_type").alias("fingerprint"), "p_partkey")
+    old = p.where("p_partkey % 3 = 0").withColumn("entry_id", F.col("p_partkey") + 5000).drop("p_partkey")
+    new = p.where("p_partkey % 2 = 0 OR p_partkey % 3 = 0").withColumn("fingerprint", F.when(F.col("p_partkey") % 6 == 0, "changed").otherwise(F.col("fingerprint"))).drop("p_partkey")
+    return catalog.stable_ids(old, new).select("desktop_id", "entry_id")
+
+
 # --- usage and history -------------------------------------------------------------------------------------
 
 OPENS = f"opens AS (SELECT event_id, event_id % (SELECT count(*) FROM part) + 1 AS target_id, CASE WHEN event_type IN ('click', 'view') THEN ['red wid', 'blue', 'Hot  Rod', 'new gizmo'][1 + event_id % 4] END AS query, CAST(floor(epoch(ts)) AS BIGINT) AS ts FROM events)"
@@ -434,6 +459,13 @@ def rank_rrf(spark, d):
     return vectors.fused(a, b, limit=100).select("query_id", "id", F.round("score", 9).alias("score"), "rank")
 
 
+@query("""WITH c AS (SELECT label AS text_hash, min(vec_id) AS v FROM embeddings WHERE label < 6 GROUP BY ALL) SELECT vec_id AS id, label AS text_hash, v IS NOT NULL AS reused FROM embeddings LEFT JOIN c ON label = text_hash""")
+def vec_reuse(spark, d):
+    e = _t(spark, d, "embeddings")
+    cached = e.where("label < 6").groupBy(F.col("label").alias("text_hash")).agg(F.min("vec_id").alias("v"))
+    return vectors.reusable(cached, e.select(F.col("vec_id").alias("id"), F.col("label").alias("text_hash"))).select("id", "text_hash", F.col("v").isNotNull().alias("reused"))
+
+
 # --- merging -----------------------------------------------------------------------------------------------
 
 MIXED = """m AS (SELECT o_custkey % 40 AS query_id, CASE WHEN o_orderkey % 3 = 0 THEN 'app' ELSE 'file' END AS kind, o_orderkey AS entry_id, 'p' || o_orderkey AS path,

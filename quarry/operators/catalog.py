@@ -83,6 +83,22 @@ def ignored(path: Column) -> Column:
     return F.exists(F.split(path, "/"), lambda p: p.startswith(".") | p.isin(*IGNORED_NAMES))
 
 
+def tool_managed(items: DataFrame) -> DataFrame:
+    """folder of every tree that a tool manages: it holds a file pyvenv.cfg or .knownPackages, a folder conda-meta, or a
+    file CACHEDIR.TAG that is signed (column signed; absent: no), or it is a module cache (mod with cache/download below)."""
+    signed = F.col("signed") if "signed" in items.columns else F.lit(False)
+    mark = (~F.col("is_dir") & F.col("name").isin("pyvenv.cfg", ".knownPackages")) | (F.col("is_dir") & (F.col("name") == "conda-meta")) | (~F.col("is_dir") & (F.col("name") == "CACHEDIR.TAG") & F.coalesce(signed, F.lit(False)))
+    cache = items.where(F.col("is_dir") & F.col("path").endswith("/mod/cache/download")).select(F.regexp_replace("path", "/cache/download$", "").alias("folder"))
+    return items.where(mark).select("folder").union(cache).distinct()
+
+
+def outside(items: DataFrame, trees: DataFrame) -> DataFrame:
+    """items that lie in none of the trees (folder)."""
+    ups = items.select("path", F.explode(self_and_ancestors(F.col("path"))).alias("folder"))
+    inside = ups.join(trees.select("folder"), "folder", "left_semi").select("path").distinct()
+    return items.join(inside, "path", "left_anti").select(*items.columns)
+
+
 def cover(roots: DataFrame) -> DataFrame:
     """roots without those that another root covers."""
     ups = roots.select(F.col("path"), F.explode(F.concat(ancestors(F.col("path")), F.array(F.lit("/")))).alias("_up")).where("_up <> path")
@@ -117,3 +133,31 @@ def live(base: DataFrame, delta: DataFrame, gone: DataFrame) -> DataFrame:
 def must_compact(base_rows: int, pending: int) -> bool:
     """Whether so many pending rows call for a rewritten base."""
     return pending > max(4096, base_rows // 32)
+
+
+def stable_ids(previous: DataFrame, fresh: DataFrame, first_id: int = 1 << 62) -> DataFrame:
+    """fresh (desktop_id, fingerprint, ...) with entry_id: that of the previous snapshot where id and fingerprint are the same,
+    else a new one after the greatest. An application catalog is small; its new rows are numbered in one window."""
+    from pyspark.sql import Window as W
+
+    old = previous.select("desktop_id", F.col("fingerprint").alias("_f"), F.col("entry_id").alias("_id"))
+    met = fresh.join(old, "desktop_id", "left").withColumn("_id", F.when(F.col("_f") == F.col("fingerprint"), F.col("_id")))
+    top = F.broadcast(previous.agg(F.coalesce(F.max("entry_id") + 1, F.lit(first_id)).alias("_top")))
+    new = met.where("_id IS NULL").join(top).withColumn("_id", F.col("_top") + F.row_number().over(W.orderBy("desktop_id")) - 1).drop("_top")
+    return met.where("_id IS NOT NULL").unionByName(new).drop("_f").withColumnRenamed("_id", "entry_id")
+
+
+def same_snapshot(a: DataFrame, b: DataFrame, key: str = "fingerprint") -> bool:
+    """Whether two snapshots have equally many rows and every row of one is known in the other."""
+    return a.count() == b.count() and b.join(a.select(key), key, "left_anti").isEmpty()
+
+
+def resolved(asked: DataFrame, current: DataFrame) -> DataFrame:
+    """asked (entry_id) with the current path, is_dir and `state`: live or stale."""
+    met = asked.join(current.select("entry_id", "path", "is_dir"), "entry_id", "left")
+    return met.withColumn("state", F.when(F.col("path").isNull(), "stale").otherwise("live"))
+
+
+def folder_stamp(files: DataFrame) -> DataFrame:
+    """folder, stamp: a hash of a folder's files (path, mtime, size) whatever their order."""
+    return files.groupBy("folder").agg(F.bit_xor(F.xxhash64("path", "mtime", "size")).alias("stamp"))

@@ -257,3 +257,21 @@ def test_suggestions(spark):
     q = spark.createDataFrame([(0, "gimp"), (1, "g"), (2, "gimp.x")], "query_id int, text string")
     got = merge.suggestions(q, soft, soft.where("entry_id = 4")).orderBy("query_id", "rank").collect()
     assert [(r.query_id, r.entry_id) for r in got] == [(0, 1), (0, 3), (0, 5)]
+
+
+def test_word_pieces(spark):
+    from quarry.functions.wordpiece import encoder
+
+    vocabulary = ["read", "##me", "cafe", "!", "##s", "un", "##known"]
+    df = spark.createDataFrame([("Readme CAF\u00c9!",), ("xyz unknowns",), (None,), ("",), ("a" * 101,)], "t string")
+    got = [r.p for r in df.select(encoder(spark, vocabulary)("t").alias("p")).collect()]
+    assert got == [["read", "##me", "cafe", "!"], ["un", "##known", "##s"], [], [], []]
+
+
+def test_tool_managed_trees(spark):
+    rows = [("/h/p/pyvenv.cfg", False, None), ("/h/p/lib/x.py", False, None), ("/h/c/CACHEDIR.TAG", False, False), ("/h/c/y", False, None), ("/g/mod/cache/download", True, None), ("/g/mod/z/a.go", False, None), ("/h/conda-meta", True, None)]
+    df = catalog.entries(spark.createDataFrame(rows, "p string, d boolean, signed boolean"), F.xxhash64("p"), F.col("p"), F.col("d"))
+    df = df.join(spark.createDataFrame(rows, "path string, d boolean, signed boolean").drop("d"), "path")
+    trees = catalog.tool_managed(df)
+    assert {r.folder for r in trees.collect()} == {"/h/p", "/g/mod", "/h"}
+    assert {r.path for r in catalog.outside(df, trees.where("folder <> '/h'")).collect()} == {"/h/c/CACHEDIR.TAG", "/h/c/y", "/h/conda-meta"}
