@@ -79,12 +79,20 @@ class Encoder:
         return sum(map(self.lengths.__getitem__, parts))
 
 
+#: Latin-1 letters beyond ASCII. Texts of these, ASCII and the usual white space need no normalisation, lower-case letter
+#: by letter, and are cut the same by Python's and the library's expressions; anything else is left to the library.
+LATIN = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+BYTE_LETTERS = _byte_letters()
+#: From a character to the letters of its UTF-8 bytes.
+LETTERS = {c: "".join(BYTE_LETTERS[b] for b in chr(c).encode()) for c in range(256) if c < 33 or c > 126}
+
+
 class ByteLevel(Encoder):
     """Byte-level pieces that carry their leading blank. A chunk is a blank and what follows it up to
     the next; the key leaves the blank out. The text's start, which has no blank, goes in whole."""
 
-    LETTERS = _byte_letters()
-    ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+")
+    PLAIN = re.compile(rf"[\t\n\r\x20-\x7e{LATIN}]*")
+    CUT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z{LATIN}]+| ?[0-9]+| ?[^\sA-Za-z0-9{LATIN}]+|\s+(?!\S)|\s+")
     #: White space beside a blank, and separators on which Python and the library disagree.
     UNSAFE = re.compile(r" \s|\s |[\x1c-\x1f]")
 
@@ -96,30 +104,32 @@ class ByteLevel(Encoder):
 
     def _chunk(self, key: str) -> bytes:
         whole = key[1:] if key[:1] == "\n" else " " + key  # no other chunk can begin with white space
-        if whole.isascii():
-            found = [p.translate(self.LETTERS) for p in self.ASCII.findall(whole)]
+        if self.PLAIN.fullmatch(whole):
+            found = [p.translate(LETTERS) for p in self.CUT.findall(whole)]
         else:
             found = [p for p, _ in self.tok.pre_tokenizer.pre_tokenize_str(whole)]
-        return b"".join(map(self.pieces.__getitem__, found))
+        return self.pieces[found[0]] if len(found) == 1 else b"".join(map(self.pieces.__getitem__, found))
 
 
 class WordEnds(Encoder):
     """Lower-cased word pieces with an end mark; white space only separates."""
 
-    ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+    PLAIN = re.compile(rf"[\x21-\x7e{LATIN}]*")
+    CUT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[a-z{LATIN}]+|[0-9]|[^\sa-z0-9{LATIN}]+")
     UNSAFE = re.compile(r"[\x1c-\x1f]")
 
     def cut(self, text: str):
         return None if self.UNSAFE.search(text) or self.special.search(text) else text.split()
 
     def _chunk(self, word: str) -> bytes:
-        if word.isascii():
-            found = self.ASCII.findall(word.lower())
-            if any(ord(c) < 33 or ord(c) == 127 for c in word):
-                found = [p.translate(ByteLevel.LETTERS) for p in found]
+        if self.PLAIN.fullmatch(word):
+            low = word.lower()
+            found = [low] if low.isalpha() else self.CUT.findall(low)
+            if not low.isascii():
+                found = [p.translate(LETTERS) for p in found]
         else:
             found = [p for p, _ in self.tok.pre_tokenizer.pre_tokenize_str(self.tok.normalizer.normalize_str(word))]
-        return b"".join(map(self.pieces.__getitem__, found))
+        return self.pieces[found[0]] if len(found) == 1 else b"".join(map(self.pieces.__getitem__, found))
 
 
 def encoder(path: str, known: dict[str, int] | None = None, stamp: str = "") -> Encoder:
