@@ -522,7 +522,7 @@ def group_order(spark, d):
 
 # --- maintenance -------------------------------------------------------------------------------------------
 
-SAVED = "saved AS (SELECT l_orderkey * 10 + l_linenumber AS id, '/o/' || l_orderkey % 50 || '/' || l_orderkey || '/' || l_linenumber AS path, false AS is_dir, CAST(l_quantity AS BIGINT) AS mtime, CAST(l_extendedprice AS BIGINT) AS size, CAST(NULL AS VARCHAR) AS identity FROM (SELECT DISTINCT ON (l_orderkey, l_linenumber) * FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice))"
+SAVED = "saved AS (SELECT l_orderkey * 10 + l_linenumber AS id, '/o/' || l_orderkey % 50 || '/' || l_orderkey || '/' || l_linenumber AS path, false AS is_dir, CAST(l_quantity AS BIGINT) AS mtime, CAST(floor(l_extendedprice) AS BIGINT) AS size, CAST(NULL AS VARCHAR) AS identity FROM (SELECT DISTINCT ON (l_orderkey, l_linenumber) * FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice))"
 SCAN = "scan AS (SELECT CASE WHEN id % 31 = 0 THEN path || 'n' ELSE path END AS path, is_dir, CASE WHEN id % 7 = 0 THEN mtime + 1 ELSE mtime END AS mtime, size, CASE WHEN id % 3 = 0 THEN 'x' END AS identity FROM saved WHERE id % 13 > 0)"
 
 
@@ -530,7 +530,7 @@ def _saved(spark, d):
     from pyspark.sql import Window as W
 
     one = _t(spark, d, "lineitem").withColumn("_n", F.row_number().over(W.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_extendedprice"))).where("_n = 1")
-    s = one.selectExpr("l_orderkey * 10 + l_linenumber AS id", "concat('/o/', l_orderkey % 50, '/', l_orderkey, '/', l_linenumber) AS path", "false AS is_dir", "CAST(l_quantity AS BIGINT) AS mtime", "CAST(round(l_extendedprice) AS BIGINT) AS size", "CAST(NULL AS STRING) AS identity")
+    s = one.selectExpr("l_orderkey * 10 + l_linenumber AS id", "concat('/o/', l_orderkey % 50, '/', l_orderkey, '/', l_linenumber) AS path", "false AS is_dir", "CAST(l_quantity AS BIGINT) AS mtime", "CAST(floor(l_extendedprice) AS BIGINT) AS size", "CAST(NULL AS STRING) AS identity")
     scan = s.where("id % 13 > 0").selectExpr("CASE WHEN id % 31 = 0 THEN concat(path, 'n') ELSE path END AS path", "is_dir", "CASE WHEN id % 7 = 0 THEN mtime + 1 ELSE mtime END AS mtime", "size", "CASE WHEN id % 3 = 0 THEN 'x' END AS identity")
     return s, scan
 
@@ -719,3 +719,29 @@ def package_listing(spark, d):
     ref = F.concat(F.lit("app/"), F.when(F.col("p_partkey") % 6 == 1, "bad").otherwise(F.concat(F.lit("org."), "p_type", F.lit(".App"), F.col("p_partkey").cast("string"))), F.lit("/x86_64/stable"))
     rows = listings.packages(_t(spark, d, "part").select(F.concat(ref, F.lit("\t"), "p_name", F.lit("\tsummary")).alias("value")), "system")
     return rows.select("ref.app_id", "name", "ref.installation")
+
+
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'Doc ' || event_id WHEN 1 THEN 'a - b' ELSE 'Doc - ' || event_type END AS title FROM events""")
+def scalar_short_title(spark, d):
+    app = F.initcap(F.concat("event_type", F.lit(" Studio")))
+    title = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("Doc "), F.col("event_id").cast("string"), F.lit(" \u2014 "), app)).when(F.col("event_id") % 4 == 1, F.concat(F.lit("a - b - "), F.upper("event_type"))).otherwise(F.concat(F.lit("Doc - "), "event_type"))
+    full = F.when(F.col("event_id") % 4 > 1, F.lit("Other")).otherwise(app)
+    return _t(spark, d, "events").select("event_id", scalars.short_title(title, full).alias("title"))
+
+
+@query("""SELECT 'key_' || chr(CAST(97 + p_partkey % 26 AS INT)) AS key, CASE WHEN p_partkey % 2 = 0 THEN '/home/u/' || p_name ELSE p_name END AS value, true AS valid FROM part WHERE p_partkey % 5 > 0 UNION ALL SELECT 'Bad', p_name, false FROM part WHERE p_partkey % 5 = 0""")
+def config_lines(spark, d):
+    key = F.when(F.col("p_partkey") % 5 == 0, "Bad").otherwise(F.concat(F.lit("key_"), F.chr(F.lit(97) + F.col("p_partkey") % 26)))
+    value = F.concat(F.when((F.col("p_partkey") % 2 == 0) & (F.col("p_partkey") % 5 > 0), "~/").otherwise(""), "p_name")
+    rows = _t(spark, d, "part").select(F.concat(F.lit("  "), key, F.lit(" = "), value, F.lit(" ")).alias("value"))
+    return listings.config(rows.union(spark.createDataFrame([("# comment",), ("",)], "value string")), "/home/u")
+
+
+@query("""SELECT user_id AS client, max(event_id) AS seq, arg_max(event_type, event_id) AS op FROM events GROUP BY ALL""")
+def newest_requests(spark, d):
+    return stream.newest_requests(_t(spark, d, "events").select(F.col("user_id").alias("client"), F.col("event_id").alias("seq"), F.col("event_type").alias("op")))
+
+
+@query(f"WITH {SAVED} SELECT '{{\"n_rows\":' || count(*) || ',\"n_dirs\":0,\"bytes\":' || CAST(sum(size) AS BIGINT) || ',\"n_opens\":' || (SELECT count(*) FROM events) || ',\"last_open\":' || (SELECT max(CAST(floor(epoch(ts)) AS BIGINT)) FROM events) || '}}' AS value FROM saved")
+def status_report(spark, d):
+    return store.status(_saved(spark, d)[0], _t(spark, d, "events").select(F.unix_timestamp("ts").alias("ts")))

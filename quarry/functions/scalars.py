@@ -116,3 +116,33 @@ def suggestion_gate(query: Column) -> Column:
 
 def software_ref_valid(scope: Column, app_id: Column) -> Column:
     return scope.rlike("^(user|system|system:[A-Za-z0-9_-]+)$") & app_id.rlike("^[A-Za-z_][A-Za-z0-9_-]*(\\.[A-Za-z0-9_-]+){2,}$")
+
+
+#: What stands between a window's title and its application's name.
+TITLE_SEPARATORS = (" - ", " – ", " — ")
+
+
+def short_title(title: Column, app: Column) -> Column:
+    """A title without the application's name behind its last separator: the whole name, its first or last words, or text that
+    ends with its first word, in any case."""
+    parts = f"(?s)^(.+)(?:{'|'.join(TITLE_SEPARATORS)})(.*)$"
+    rest, name = F.lower(F.regexp_extract(title, parts, 2)), F.lower(app)
+    first = F.split(name, " ")[0]
+    named = (rest == name) | name.startswith(F.concat(rest, F.lit(" "))) | name.endswith(F.concat(F.lit(" "), rest)) | rest.endswith(F.concat(F.lit(" "), first))
+    return F.when(title.rlike(parts) & (rest != "") & (name != "") & named, F.regexp_extract(title, parts, 1)).otherwise(title)
+
+
+def single_line(c: Column) -> Column:
+    """Valid text in one line: what is no UTF-8 replaced, control characters as blanks."""
+    return F.regexp_replace(F.make_valid_utf8(c), "[\\x00-\\x1F\\x7F]", " ")
+
+
+def keyword_text(keywords: Column, most: int = 4096) -> Column:
+    """Keywords joined by blanks, as many whole ones as fit into so many bytes."""
+    fit = F.aggregate(keywords, F.struct(F.lit("").alias("t"), F.lit(True).alias("on")), lambda s, k: F.when(s["on"] & (F.octet_length(k) <= most - F.octet_length(s["t"])), F.struct(F.concat(s["t"], k, F.lit(" ")).alias("t"), F.lit(True).alias("on"))).otherwise(F.struct(s["t"].alias("t"), F.lit(False).alias("on"))))
+    return F.rtrim(fit["t"])
+
+
+def label_key(label: Column, prefix: str = "/apps/") -> Column:
+    """The path under which an application's label is searched: its slashes are blanks."""
+    return F.concat(F.lit(prefix), F.translate(label, "/", " "))

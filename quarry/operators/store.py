@@ -118,3 +118,29 @@ def statistics(saved: DataFrame) -> DataFrame:
 def _in_scope(path: Column, scope: str) -> Column:
     return F.lit(True) if scope == "/" else (path == scope) | path.startswith(scope.rstrip("/") + "/")
 
+
+
+def forgotten(saved: DataFrame, roots: DataFrame, seen: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
+    """The snapshot and the roots after a root was unregistered: what of it no scan has seen goes."""
+    left = roots.where(F.col("path") != root)
+    return pruned(saved, seen, root, seen.where("false"), left), left
+
+
+def activated(models: DataFrame, cache: DataFrame, used: DataFrame, generation: int) -> tuple[DataFrame, DataFrame]:
+    """The model registry (emb_gen) and embedding cache (emb_gen, text, ...) with only the active generation, and of its cache
+    only the texts that are used."""
+    return models.where(F.col("emb_gen") == generation), cache.where(F.col("emb_gen") == generation).join(used.select("text").distinct(), "text", "left_semi")
+
+
+def published(before: DataFrame, after: DataFrame, generation: int) -> tuple[int, bool, bool]:
+    """The generation after a commit, whether anything changed, and whether an index must be published: times and sizes
+    alone are committed but not published."""
+    kinds = {r.kind for r in changes(before, after).select("kind").distinct().collect()}  # four values at most
+    return generation + bool(kinds), bool(kinds), bool(kinds - {"metadata"})
+
+
+def status(saved: DataFrame, opens: DataFrame) -> DataFrame:
+    """One JSON line of counters."""
+    a = statistics(saved)
+    b = opens.agg(F.count("*").alias("n_opens"), F.max("ts").alias("last_open"))
+    return a.join(F.broadcast(b)).select(F.to_json(F.struct("n_rows", "n_dirs", "bytes", "n_opens", "last_open")).alias("value"))

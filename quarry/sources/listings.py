@@ -139,3 +139,12 @@ def responses(results: DataFrame) -> DataFrame:
     row = F.struct(F.col("entry_id").cast("string").alias("id"), F.col("path"), F.col("score"))
     lines = results.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", row.alias("r")))), lambda x: x["r"]).alias("results"))  # at most 1000 results a query
     return lines.select(F.to_json(F.struct(F.col("query_id").cast("string").alias("request_id"), F.size("results").alias("count"), "results")).alias("value"))
+
+
+def config(lines: DataFrame, home: str) -> DataFrame:
+    """Lines (value) `key = value` -> key, value, valid. Blank lines and comments give nothing; keys are small letters and `_`;
+    a value that begins with ~/ lies below home."""
+    text = F.trim(F.regexp_replace("value", "[\\t\\r\\n]+$|^[\\t]+", ""))
+    key, value = F.regexp_extract(text, "^([^=]*?)[ \\t]*=", 1), F.regexp_extract(text, "^[^=]*=[ \\t]*(.*)$", 1)
+    rows = lines.select(text.alias("_t"), key.alias("key"), F.when(value.startswith("~/"), F.concat(F.lit(home), F.substring(value, 2, 1 << 20))).otherwise(value).alias("value"))
+    return rows.where("_t <> '' AND NOT startswith(_t, '#')").select("key", "value", (F.col("key").rlike("^[a-z_]+$") & (F.col("value") != "")).alias("valid"))

@@ -112,3 +112,16 @@ def last_active(windows: DataFrame) -> DataFrame:
     active first."""
     last = windows.groupBy("window_id").agg(F.max(F.when(F.col("event") == "activate", F.col("seq"))).alias("activated"), F.max_by("title", "seq").alias("title"), F.max_by("event", "seq").alias("_last"))
     return last.where("_last <> 'close'").drop("_last").orderBy(F.desc_nulls_last("activated"), "window_id")
+
+
+def newest_requests(requests: DataFrame) -> DataFrame:
+    """requests (client, seq, ...) that no newer one of their client supersedes."""
+    return requests.groupBy("client").agg(F.max_by(F.struct(*[c for c in requests.columns if c != "client"]), "seq").alias("r")).select("client", "r.*")
+
+
+def usage_stream(opens: DataFrame, now: int):
+    """Per item the decayed weight and last open of a stream of opens (target_id, ts long): sums are commutative, so late events
+    need no watermark. Output mode: update or complete."""
+    from quarry.operators.usage import items
+
+    return items(opens, now)

@@ -101,6 +101,38 @@ def test_text_sources(spark):
     assert listings.responses(res).first().value == '{"request_id":"1","count":2,"results":[{"id":"5","path":"/a","score":9},{"id":"4","path":"/b","score":8}]}'
 
 
+def test_model_files(spark, tmp_path):
+    import hashlib
+    import struct
+
+    import numpy as np
+
+    from quarry.sources import models
+
+    words = b"a\0bc\0"
+    payload = struct.pack("<3I", 0, 2, 5) + words + np.arange(6, dtype="<f4").tobytes()
+    head = (b"MAGIC_01" + struct.pack("<3I", 2, 3, len(words))).ljust(models.DIGEST, b"\0") + hashlib.sha256(payload).digest()
+    (tmp_path / "m.bin").write_bytes(head + payload)
+    got = models.vocabulary(spark, f"file://{tmp_path}/m.bin", b"MAGIC_01").orderBy("token_id").collect()
+    assert [(r.token, r.v) for r in got] == [("a", [0, 1, 2]), ("bc", [3, 4, 5])]
+    for bad in (head[:-1] + b"x" + payload, b"x" + head[1:] + payload, head + payload + b"0"):
+        with pytest.raises(ValueError):
+            models.parsed(bad, b"MAGIC_01")
+
+
+def test_roots_generations_and_embeddings(spark):
+    snap = spark.createDataFrame([(1, "/a", True, 0, 0, None), (2, "/a/x", False, 0, 0, None), (3, "/b", True, 0, 0, None)], SNAP)
+    roots = spark.createDataFrame([("/a",), ("/b",)], "path string")
+    left, still = store.forgotten(snap, roots, snap.where("false").select("path"), "/a")
+    assert [r.id for r in left.collect()] == [3] and [r.path for r in still.collect()] == ["/b"]
+    assert store.published(snap, snap, 7) == (7, False, False)
+    assert store.published(snap, snap.withColumn("mtime", F.lit(9).cast("long")), 7) == (8, True, False)
+    assert store.published(snap, left, 7) == (8, True, True)
+    models, cache = spark.createDataFrame([(1,), (2,)], "emb_gen int"), spark.createDataFrame([(1, "a"), (2, "a"), (2, "b")], "emb_gen int, text string")
+    m, c = store.activated(models, cache, spark.createDataFrame([("a",), ("a",)], "text string"), 2)
+    assert rows(m) == [(2,)] and [(r.emb_gen, r.text) for r in c.collect()] == [(2, "a")]
+
+
 EVENTS = [(1, "2024-01-01 00:00:00.000", "moved_from", "/r/a", 7, False), (2, "2024-01-01 00:00:00.010", "moved_to", "/r/b", 7, False), (3, "2024-01-01 00:00:00.050", "create", "/r/d", None, True), (4, "2024-01-01 00:00:01.000", "attrib", "/r/d/f", None, False)]
 
 

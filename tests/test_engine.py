@@ -275,3 +275,10 @@ def test_tool_managed_trees(spark):
     trees = catalog.tool_managed(df)
     assert {r.folder for r in trees.collect()} == {"/h/p", "/g/mod", "/h"}
     assert {r.path for r in catalog.outside(df, trees.where("folder <> '/h'")).collect()} == {"/h/c/CACHEDIR.TAG", "/h/c/y", "/h/conda-meta"}
+
+
+def test_labels(spark):
+    df = spark.createDataFrame([("Doc - x \u2014 Text Editor", "Text Editor"), ("Doc - text", "Text Editor"), ("a - b", "c"), (" - Editor", "Text Editor"), ("Mail - Mozilla Thunderbird", "Thunderbird"), (None, "x")], "t string, a string")
+    assert [r.s for r in df.select(scalars.short_title(F.col("t"), F.col("a")).alias("s")).collect()] == ["Doc - x", "Doc", "a - b", " - Editor", "Mail", None]
+    r = df.select(scalars.keyword_text(F.array(F.lit("abc"), F.lit("de"), F.lit("f")), 7).alias("k"), scalars.single_line(F.lit("a\nb\x01")).alias("o"), scalars.label_key(F.lit("a/b")).alias("l")).first()
+    assert (r.k, r.o, r.l) == ("abc de", "a b ", "/apps/a b")
