@@ -17,11 +17,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.tokens import Generations
+from quarry.llm.tokens import claim, word_hash
 
 #: Words of the least tile, and the share of an item's words that must be tiled.
 LEAST, COVERAGE = 5, 0.5
@@ -29,7 +28,6 @@ LEAST, COVERAGE = 5, 0.5
 BLOCK_ITEMS, BLOCK_WORDS = 50_000, 2_000_000
 RESULT = "doc_id long, item_id long, item_words int, covered int, tiles int, coverage double"
 
-_HASH = Generations(xxhash.xxh3_64_intdigest)
 _LIVE: dict = {}
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -38,7 +36,7 @@ def words(text: str | None) -> np.ndarray:
     """64-bit hashes of the text's words: ASCII lower case, without punctuation at either end."""
     found = (w.strip(b".,;:!?\"'()[]{}|") for w in (text or "").encode().lower().split())
     found = [w for w in found if w]
-    return np.fromiter(map(_HASH.__getitem__, found), np.uint64, len(found))
+    return np.fromiter(map(word_hash.__getitem__, found), np.uint64, len(found))
 
 
 def windows(w: np.ndarray, size: int) -> np.ndarray:
@@ -195,6 +193,7 @@ def _scanner(docs: DataFrame, block, least: int, coverage: float, carry):
     stamp = uuid.uuid4().hex
 
     def run(batches):
+        claim("words")
         if stamp not in _LIVE:
             _LIVE.clear()
             _LIVE[stamp] = pickle.loads(sent.value)

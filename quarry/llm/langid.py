@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.tokens import caches, claim
+
 UNKNOWN = "und"
 #: Rows of the embedding table (a power of two), its width, the n-gram lengths in bytes.
 BUCKETS, WIDTH, GRAMS = 1 << 15, 16, (2, 3, 4)
@@ -25,6 +27,7 @@ BUCKETS, WIDTH, GRAMS = 1 << 15, 16, (2, 3, 4)
 SAMPLE_ROWS, SAMPLE_WORDS = 3_000, 64
 CACHE_WORDS = 300_000
 _LIVE: dict = {}
+caches("langid", _LIVE.clear)
 
 
 @dataclass
@@ -156,6 +159,7 @@ def _predictor(docs: DataFrame, model: Model, carry: bool = False):
     stamp = uuid.uuid4().hex
 
     def run(batches):
+        claim("langid")
         if _LIVE.get("stamp") != stamp:
             _LIVE.update(stamp=stamp, model=pickle.loads(sent.value), words={}, table=None)
         model = _LIVE["model"]

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import written
+from quarry.llm.tokens import caches, claim
 
 SYMBOLS, FREQUENT, LEAST = 512, 262_144, 12
 SWEEPS, BURN_IN, MOVES, STRENGTH = 6, 2, 3, 0.5
@@ -49,6 +50,7 @@ _SPACE[[32, *range(9, 14)]] = True
 #: The end token: no word hashes to it but by chance.
 END = np.uint64(0x9E3779B97F4A7C15)
 _LIVE: dict = {}
+caches("lm", _LIVE.clear)
 
 
 def hashed(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -317,6 +319,7 @@ class Model:
 
 
 def _live(sent, stamp: str):
+    claim("lm")
     if stamp not in _LIVE:
         _LIVE.clear()
         _LIVE[stamp] = pickle.loads(sent.value)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import release, small, written
 from quarry.llm.components import connected
-from quarry.llm.tokens import Generations
+from quarry.llm.tokens import claim, word_hash
 
 SHINGLE, PERCENT = 5, 75
 #: Banding: 24 bands of 3 miss a pair at 0.75 with probability (1 - 0.75 ** 3) ** 24, about 2e-6.
@@ -39,7 +39,6 @@ BLOCK_NAMES = [x.split()[0] for x in BLOCK_ROWS.split(", ")]
 _rng = np.random.default_rng(20)
 _MUL = (_rng.integers(1, 1 << 32, HASHES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 _XOR = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)
-_WORDS = Generations(xxhash.xxh3_64_intdigest)
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -48,7 +47,7 @@ def shingles(text: str | None) -> np.ndarray:
     n = len(words)
     if not n:
         return np.zeros(0, np.uint64)
-    w = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, n)
+    w = np.fromiter(map(word_hash.__getitem__, words), np.uint64, n)
     width = min(n, SHINGLE)
     h = np.full(n - width + 1, width, np.uint64)
     for i in range(width):
@@ -80,6 +79,7 @@ def least_matches(percent: int = PERCENT, miss: float = MISS, steps: tuple[int,
 
 
 def _sketch(batches):
+    claim("words")
     for batch in batches:
         ids, n, c1, c2, sig = batch.column(0).to_pylist(), [], [], [], []
         for i, text in zip(ids, batch.column(1).to_pylist()):
@@ -97,6 +97,7 @@ def _sketch(batches):
 
 
 def _sets(batches):
+    claim("words")
     for batch in batches:
         yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([shingles(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["node", "set"])
 

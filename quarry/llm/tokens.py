@@ -12,11 +12,30 @@ import os
 import re
 from array import array
 
+import xxhash
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Entries of a cache generation; two generations are held, so memory is bounded.
 CACHE_ENTRIES = 250_000
 _LIVE: dict = {}
+_CLEAR: dict = {}
+_OWNER: list = [None]
+
+
+def caches(owner: str, clear) -> None:
+    """Register how to drop what an operator keeps in a worker between tasks."""
+    _CLEAR[owner] = clear
+
+
+def claim(owner: str) -> None:
+    """Called where an operator starts work in a worker: a worker serves stages of several operators one after another, and
+    only one operator's caches stay in its memory."""
+    if _OWNER[0] != owner:
+        for other, clear in _CLEAR.items():
+            if other != owner:
+                clear()
+        _OWNER[0] = owner
 
 
 class Generations(dict):
@@ -135,6 +154,7 @@ class WordEnds(Encoder):
 def encoder(path: str, known: dict[str, int] | None = None, stamp: str = "") -> Encoder:
     """This worker's encoder of the vocabulary; it and its caches live as long as the worker. stamp
     tells tables of known chunk lengths apart: another stamp starts anew."""
+    claim("tokens")
     made = _LIVE.get(path)
     if made is None or (stamp and made[0] != stamp):
         import json
@@ -143,3 +163,14 @@ def encoder(path: str, known: dict[str, int] | None = None, stamp: str = "") ->
             kind = WordEnds if json.load(f)["model"].get("end_of_word_suffix") else ByteLevel
         made = _LIVE[path] = (stamp, kind(path, known))
     return made[1]
+
+
+def _clear_words() -> None:
+    word_hash.clear()
+    word_hash.old = {}
+
+
+#: 64-bit hashes of words (bytes), kept by the worker.
+word_hash = Generations(xxhash.xxh3_64_intdigest)
+caches("tokens", _LIVE.clear)
+caches("words", _clear_words)
