@@ -5,16 +5,16 @@ Events are the words learned from and one unknown word, as in the add-one base.
 * classes: the SYMBOLS - 1 most frequent words, each a class, and one class of all others; the root
   restaurant seats them over a uniform base, and a restaurant for each class as context shares the root as its parent;
 * words of the last class: one restaurant over a uniform base;
-* a restaurant for each rare word as context (rare: fewer than LEAST occurrences, or not among the FREQUENT most
-  frequent), over all words; its parent is the last class's context restaurant with the words' restaurant below it.
+* a restaurant for every context of training, over all words. Its parent is the root (contexts that are classes of their
+  own) or the last class's context restaurant (all others), with the words' restaurant below it.
 
-Customers are seated one after another (Chinese restaurant process) and then moved by Gibbs steps: one customer of each
-dish leaves and sits down again by its conditional probability. Predictive probabilities are averaged over the sweeps
-after burn-in. The upper restaurants have a fixed size and are sampled on the driver; rare contexts are
-seated where a shuffle by context brings their occurrences together. A rare context is small by
-definition, so no task meets a hot one: frequent contexts never leave the map side.
+The upper restaurants have a fixed size and are seated on the driver. In a context each sweep seats all customers of
+all dishes anew, given the tables of the sweep before; predictive probabilities are averaged over the sweeps after
+burn-in. Tokens meet in buckets by context, as packed arrays. A hot context (over half of a bucket) is dealt over all
+buckets by word: given the context's tables in all, its dishes are independent. These tables come from a pass over
+distinct (context, word) counts.
 
-Every training text is counted; the base is exact. Counts of frequent words are broadcast (at most FREQUENT),
+Every training text is counted; the base is exact. Counts of the FREQUENT most frequent words are broadcast,
 other words meet their counts in a join.
 """
 
@@ -27,18 +27,21 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import written
 from quarry.llm.tokens import caches, claim
 
-SYMBOLS, FREQUENT, LEAST = 512, 262_144, 12
+SYMBOLS, FREQUENT = 512, 524_288
 SWEEPS, BURN_IN, MOVES, STRENGTH = 6, 2, 3, 0.5
-#: Discounts of class contexts, of the words' restaurant and of rare contexts.
-D_CLASS, D_WORDS, D_RARE = 0.5, 0.6, 0.6
-#: Bytes of text, and rows of rare contexts, that a task handles at once.
-BATCH, ROWS = 2_000_000, 200_000
+#: Discounts of class contexts, of the words' restaurant and of contexts.
+D_CLASS, D_WORDS, D_CONTEXT = 0.5, 0.6, 0.6
+#: Bytes of text, and about how many tokens of a bucket, that a task handles at once; points at which a hot context's tables are tried.
+BATCH, BUCKET, POINTS = 2_000_000, 600_000, 12
+#: A context is hot over one part in HOT of a bucket.
+HOT = 2
 
 _rng = np.random.default_rng(33)
 _TABLE = _rng.integers(0, 1 << 64, (8, 256), dtype=np.uint64)
@@ -231,8 +234,43 @@ class Seating:
         return self.sum_g / self.n
 
 
+def drawn(customers: np.ndarray, new: np.ndarray, rng) -> np.ndarray:
+    """Tables of each dish when all its customers are seated anew; new: the weight of a new table (given all tables of
+    the restaurant, so that dishes are independent). Customers are seated in blocks of an eighth of those seated."""
+    tables = np.minimum(customers, 1)
+    open_ = np.flatnonzero(customers > 1)
+    n, w, t, seated = customers[open_], new[open_], np.ones(len(open_), np.int64), np.ones(len(open_), np.int64)
+    while len(open_):
+        m = np.minimum(np.maximum(seated // 8, 1), n - seated)
+        t += rng.binomial(m, w / (w + seated - D_CONTEXT * t))
+        seated += m
+        go = seated < n
+        tables[open_[~go]] = t[~go]
+        open_, n, w, t, seated = open_[go], n[go], w[go], t[go], seated[go]
+    return tables
+
+
+def contexts(at: np.ndarray, customers: np.ndarray, base: np.ndarray, total: np.ndarray, held: np.ndarray, rng) -> np.ndarray:
+    """Predictive probability of each dish: dish i is served in restaurant at[i] to customers[i], with base[i] the parent's
+    probability. total: customers of each restaurant; held: its tables where they are known, or NaN where all its dishes are here."""
+    known = ~np.isnan(held)
+    tables = np.where(known, held, np.bincount(at, customers > 0, len(total)))
+    out = np.zeros(len(at))
+    for sweep in range(SWEEPS):
+        own = drawn(customers, (STRENGTH + D_CONTEXT * tables[at]) * base, rng)
+        tables = np.where(known, held, np.bincount(at, own, len(total)))
+        if sweep >= BURN_IN:
+            out += customers - D_CONTEXT * own + (STRENGTH + D_CONTEXT * tables[at]) * base
+    return out / (SWEEPS - BURN_IN) / (STRENGTH + total[at])
+
+
 def classes(counts: np.ndarray, seed: int = 3) -> np.ndarray:
     """Predictive probabilities (context class, class) from a square matrix of counts."""
+    return class_restaurants(counts, seed)[0]
+
+
+def class_restaurants(counts: np.ndarray, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """classes(), and the root's probability of each class."""
     rng, k = np.random.default_rng(seed), len(counts)
     context, dish = np.nonzero(counts)
     low = Seating(context, k, D_CLASS, rng)
@@ -255,7 +293,7 @@ def classes(counts: np.ndarray, seed: int = 3) -> np.ndarray:
     parent = root.own() + root.back()[0] * flat
     out = low.back()[:, None] * parent[None, :]
     out[context, dish] += low.own()
-    return out
+    return out, parent
 
 
 class Words:
@@ -302,12 +340,15 @@ class Words:
 
 
 class Model:
-    """What is broadcast: the frequent words with their counts and classes, and the upper restaurants."""
+    """What is broadcast: the frequent words with their counts and classes, the upper restaurants, the hot contexts."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, tokens_: int, types: int):
-        self.index, self.counts, self.total = Hashed(keys), counts, float(tokens_ + types + 1)
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, tokens_: int, types: int, buckets: int):
+        self.index, self.counts, self.total, self.buckets = Hashed(keys), counts, float(tokens_ + types + 1), buckets
         self.symbol = np.minimum(np.arange(len(keys)), SYMBOLS - 1)
-        self.classes, self.words = np.zeros((0, 0)), None
+        #: Places of hot contexts are those below this one, since places go by count.
+        self.hot = int((counts * HOT > tokens_ / buckets).sum())
+        self.tables = np.zeros(self.hot)
+        self.classes, self.root, self.words = np.zeros((0, 0)), None, None
 
     def look(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """place and class of each token, and those of the token before it."""
@@ -317,6 +358,26 @@ class Model:
         end_symbol = self.symbol[end] if end[0] >= 0 else [SYMBOLS - 1]
         return place, symbol, np.concatenate([end, place[:-1]]), np.concatenate([end_symbol, symbol[:-1]])
 
+    def finish(self, histogram: list[tuple[int, int]], matrix: np.ndarray) -> None:
+        self.classes, self.root = class_restaurants(matrix)
+        self.words = Words(histogram)
+        self.inner = np.where(self.symbol == SYMBOLS - 1, self.words.probability(self.counts), 1.0)
+
+    def base(self, context: np.ndarray, place: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """The parent's probability of words: their places, or for -1 their counts; contexts by place (-1: not frequent)."""
+        known = place >= 0
+        symbol = np.where(known, np.minimum(place, SYMBOLS - 1), SYMBOLS - 1)
+        own = (context >= 0) & (context < SYMBOLS - 1)
+        inner = np.where(known, self.inner[np.maximum(place, 0)] if len(self.inner) else 1.0, self.words.probability(count))
+        return np.where(own, self.root[symbol], self.classes[SYMBOLS - 1][symbol]) * inner
+
+    def bucket(self, context: np.ndarray, place: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Buckets of tokens: by context, of hot contexts by context and word."""
+        x = context * np.uint64(0x9E3779B97F4A7C15)
+        x = np.where((place >= 0) & (place < self.hot), x ^ (word * np.uint64(0xC2B2AE3D27D4EB4F)), x)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        return ((x >> np.uint64(32)) % np.uint64(self.buckets)).astype(np.int64)
+
 
 def _live(sent, stamp: str):
     claim("lm")
@@ -327,136 +388,224 @@ def _live(sent, stamp: str):
 
 
 def _transitions(sent, stamp: str, modulus: int, held_out: int):
+    """Training counts: (-1, class pair), and (place, word) of hot contexts, summed as far as memory goes."""
+
     def run(batches):
         model, sums = _live(sent, stamp), np.zeros(SYMBOLS * SYMBOLS, np.int64)
+        held: list = []
+
+        def out():
+            context, word, n = (np.concatenate([x[i] for x in held]) for i in range(3))
+            by = np.lexsort((word, context))
+            context, word, n = context[by], word[by], n[by]
+            first = np.flatnonzero(np.append(True, (context[1:] != context[:-1]) | (word[1:] != word[:-1])))
+            n = np.add.reduceat(n, first)
+            for at in range(0, len(first), 50_000):
+                f = first[at : at + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(context[f].astype(np.int64)), pa.array(word[f].view(np.int64)), pa.array(n[at : at + 50_000])], ["context", "word", "n"])
+
         for part in _parts(batches):
             h, row = tokens(part.column(1))
-            _, symbol, _, before = model.look(h)
+            _, symbol, place0, before = model.look(h)
             learn = ~_held(part.column(0), modulus, held_out)[row]
             sums += np.bincount((before * SYMBOLS + symbol)[learn], minlength=len(sums))
+            hot = np.flatnonzero(learn & (place0 >= 0) & (place0 < model.hot))
+            if len(hot):
+                held.append((place0[hot].astype(np.int32), h[hot], np.ones(len(hot), np.int64)))
+            if sum(len(x[0]) for x in held) > 700_000:
+                yield from out()
+                held = []
+        if held:
+            yield from out()
         at = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], ["key", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), -1)), pa.array(at), pa.array(sums[at])], ["context", "word", "n"])
 
     return run
 
 
-#: Rows on their way: word and context only where a shuffle by them is needed; p0: the parent's probability of the word.
-FLOW = "row long, word long, context long, learn boolean, p0 double, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
-_NAMES = [x.split()[0] for x in FLOW.split(", ")]
-_KINDS = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}
+def _tried(sent, stamp: str, count: int):
+    """Tables of the given dishes of hot contexts, if the context has n ** (k / (POINTS - 1)) tables in all; words that are not
+    broadcast count as their mean."""
 
+    def run(batches):
+        model = _live(sent, stamp)
+        rng, sums = np.random.default_rng(7), np.zeros((model.hot, POINTS))
+        for batch in batches:
+            context, word, n = (c.to_numpy() for c in batch.columns)
+            base = model.base(context, model.index.get(word.view(np.uint64)), np.full(len(n), count))
+            for k in range(POINTS):
+                all_ = model.counts[context] ** (k / (POINTS - 1))
+                sums[:, k] += np.bincount(context, drawn(n, (STRENGTH + D_CONTEXT * all_) * base, rng), model.hot)
+        context, k = np.nonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(context), pa.array(k), pa.array(sums[context, k])], ["context", "k", "tables"])
 
-def _rows(n: int, **columns) -> pa.RecordBatch:
-    kinds = dict(x.split() for x in FLOW.split(", "))
-    return pa.RecordBatch.from_arrays([pa.array(columns[c], _KINDS[kinds[c]]) if c in columns else pa.nulls(n, _KINDS[kinds[c]]) for c in _NAMES], _NAMES)
+    return run
 
 
-def _scorer(sent, stamp: str, modulus: int, held_out: int):
-    """A row for each document with what the map side knows; one for each token whose word or context is not frequent."""
+def settled(counts: np.ndarray, tried: np.ndarray) -> np.ndarray:
+    """For contexts of so many customers, the number of tables at which as many come out as go in; tried: see _tried()."""
+    out = np.ones(len(counts))
+    for i, n in enumerate(counts):
+        grid = np.log(float(n)) * np.arange(POINTS) / (POINTS - 1)
+        x = grid[POINTS // 2]
+        for _ in range(200):
+            x = np.interp(x, grid, np.log(np.maximum(tried[i], 1)))
+        out[i] = np.exp(x)
+    return out
 
-    def run(batches):
-        from pyspark import TaskContext
 
-        model, at = _live(sent, stamp), TaskContext.get().partitionId() << 40
-        log_class = np.log10(model.classes)
-        log_word = np.log10(model.words.probability(model.counts))
+#: To the buckets: packed tokens; or a token whose word is not broadcast, with its word's count; or a document.
+SENT = "bucket long, tokens binary, row long, word long, context long, learn boolean, doc_id long, held_out boolean, n_tokens long, n_known long, base double"
+#: From the buckets: sums to be added for each document.
+ADDED = "row long, doc_id long, held_out boolean, n_tokens long, copies long, n_known long, base double, score double"
+_KINDS = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64(), "binary": pa.binary()}
+
+
+def _rows(schema: str, n: int, **columns) -> pa.RecordBatch:
+    kinds = dict(x.split() for x in schema.split(", "))
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], _KINDS[k]) if c in columns else pa.nulls(n, _KINDS[k]) for c, k in kinds.items()], list(kinds))
+
+
+def _identity(part: pa.RecordBatch) -> np.ndarray:
+    """A number for each row by id and text: the same wherever the row is read again, and the same for repeated rows."""
+    return np.array([xxhash.xxh3_64_intdigest(f"{i}\0{t or ''}") >> 1 for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist())], np.int64)
+
+
+def packed(rows: np.ndarray, of: np.ndarray, learn: np.ndarray, context: np.ndarray, place0: np.ndarray, place: np.ndarray) -> bytes:
+    """Tokens ordered by document: documents with counts and learn; places of context and word (under 2 ** 24) by byte planes; contexts without a place."""
+    first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+    docs, n = of[first], np.diff(np.append(first, len(of)))
+    planes = [x.astype(np.uint32).view(np.uint8).reshape(-1, 4)[:, :3].T.tobytes() for x in (place0 + 1, place)]
+    return b"".join([np.array([len(docs), len(of)], np.int64).tobytes(), rows[docs].tobytes(), (n * 2 + learn[docs]).astype(np.uint32).tobytes(), *planes, context[place0 < 0].tobytes()])
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """row, learn, place of the context (-1: none), place of the word of each token; contexts without a place."""
+    docs, n = np.frombuffer(data, np.int64, 2).tolist()
+    rows = np.frombuffer(data, np.int64, docs, 16)
+    many = np.frombuffer(data, np.uint32, docs, 16 + 8 * docs)
+    at = 16 + 12 * docs
+    places = [sum(np.frombuffer(data, np.uint8, n, at + (3 * i + k) * n).astype(np.int64) << (8 * k) for k in range(3)) for i in (0, 1)]
+    return np.repeat(rows, many >> 1), np.repeat((many & 1).astype(bool), many >> 1), places[0] - 1, places[1], np.frombuffer(data[at + 6 * n :], np.uint64)
+
+
+def _dealt(sent, stamp: str, modulus: int, held_out: int, rest: bool):
+    """A row for each document with what the map side knows, and packed tokens for each bucket; or (rest) the tokens whose word is not broadcast."""
+
+    def run(batches):
+        model = _live(sent, stamp)
         log_base = np.log10((model.counts + 1) / model.total)
         for part in _parts(batches):
             n = part.num_rows
-            h, row = tokens(part.column(1))
-            held = _held(part.column(0), modulus, held_out)
-            place, symbol, place0, symbol0 = model.look(h)
-            seen, open_ = place >= 0, place0 >= 0
-            other = symbol == SYMBOLS - 1
-            score = np.where(open_, log_class[symbol0, symbol], 0.0)
-            inner = open_ & seen & other
-            score[inner] += log_word[place[inner]]
-            base = np.where(seen, log_base[place] if len(log_base) else 0.0, 0.0)
-            add = lambda v: np.bincount(row, v, n)
-            yield _rows(n, row=np.arange(at, at + n), doc_id=part.column(0).cast(pa.int64()), held_out=held, n_tokens=np.bincount(row, minlength=n), n_known=add(seen).astype(np.int64), base=add(base), score=add(score))
+            h, of = tokens(part.column(1))
+            held, rows = _held(part.column(0), modulus, held_out), _identity(part)
+            place, _, place0, _ = model.look(h)
             before = np.concatenate([[END], h[:-1]])
-            w = np.flatnonzero(~seen)
-            if len(w):
-                yield _rows(len(w), row=at + row[w], word=h[w].view(np.int64), context=pa.array(before[w].view(np.int64), mask=open_[w]), learn=~held[row[w]])
-            c = np.flatnonzero(seen & ~open_)
-            if len(c):
-                p0 = model.classes[SYMBOLS - 1, symbol[c]] * np.where(other[c], 10 ** log_word[place[c]], 1.0)
-                yield _rows(len(c), row=at + row[c], word=h[c].view(np.int64), context=before[c].view(np.int64), learn=~held[row[c]], p0=p0)
-            at += n
+            seen = place >= 0
+            if rest:
+                w = np.flatnonzero(~seen)
+                if len(w):
+                    bucket = model.bucket(before[w], place0[w], h[w])
+                    yield _rows(SENT, len(w), bucket=bucket, row=rows[of[w]], word=h[w].view(np.int64), context=before[w].view(np.int64), learn=~held[of[w]])
+                continue
+            base = np.bincount(of, np.where(seen, log_base[place] if len(log_base) else 0.0, 0.0), n)
+            yield _rows(SENT, n, bucket=rows % model.buckets, row=rows, doc_id=part.column(0).cast(pa.int64()), held_out=held, n_tokens=np.bincount(of, minlength=n), n_known=np.bincount(of, seen, n).astype(np.int64), base=base)
+            at = np.flatnonzero(seen)
+            if len(at):
+                bucket = model.bucket(before[at], place0[at], h[at])
+                by = np.argsort(bucket, kind="stable")
+                at, bucket = at[by], bucket[by]
+                first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+                data = [packed(rows, of[x], ~held, before[x], place0[x], place[x]) for x in np.split(at, first[1:])]
+                yield _rows(SENT, len(first), bucket=bucket[first], tokens=data)
 
     return run
 
 
-def _counted(sent, stamp: str):
-    """Words met with their counts: their base, and the words' restaurant. After FLOW comes the count."""
+def _scored(sent, stamp: str):
+    """Rows sorted by bucket: sums for each document. After SENT comes the count of the row's word."""
 
     def run(batches):
-        model = _live(sent, stamp)
+        model, names = _live(sent, stamp), [x.split()[0] for x in SENT.split(", ")] + ["count"]
+        sums = [np.zeros(0, np.int64), *np.zeros((3, 0))]
+        step = 1 << 16
+
+        def out():
+            for a in range(0, len(sums[0]), step):
+                row, known, base, score_ = (x[a : a + step] for x in sums)
+                yield _rows(ADDED, len(row), row=row, n_known=known.astype(np.int64), base=base, score=score_)
+
+        def finish(held):
+            col = lambda name: np.concatenate([b.column(names.index(name)).to_numpy(zero_copy_only=False) for b in held[1]]) if held[1] else np.zeros(0)
+            parts = [unpacked(x) for x in held[0]]
+            held[0].clear()
+            one = lambda i, kind: np.concatenate([x[i] for x in parts] or [np.zeros(0, kind)])
+            row, learn, place0, place, far = one(0, np.int64), one(1, bool), one(2, np.int64), one(3, np.int64), one(4, np.uint64)
+            parts.clear()
+            context, word = np.zeros(len(row), np.uint64), np.zeros(len(row), np.uint64)
+            context[place0 < 0] = far
+            count = np.zeros(len(row), np.int64)
+            lone = len(row)
+            if held[1]:
+                c = col("context").astype(np.int64).view(np.uint64)
+                row, learn = np.append(row, col("row").astype(np.int64)), np.append(learn, col("learn").astype(bool))
+                context, word = np.append(context, c), np.append(word, col("word").astype(np.int64).view(np.uint64))
+                place0, place = np.append(place0, model.index.get(c)), np.append(place, np.full(len(c), -1))
+                count = np.append(count, np.nan_to_num(col("count").astype(float)).astype(np.int64))
+            # contexts and words without a place are numbered after those with one
+            size = len(model.counts)
+            number = []
+            for p, h in ((place0, context), (place, word)):
+                p, none = p.copy(), p < 0
+                p[none] = size + np.unique(h[none], return_inverse=True)[1]
+                number.append(p)
+            _, first, dish = np.unique(number[0] << 32 | number[1], return_index=True, return_inverse=True)
+            customers = np.bincount(dish, learn, len(first)).astype(np.int64)
+            c0 = number[0][first]
+            start = np.flatnonzero(np.append(True, c0[1:] != c0[:-1]))
+            at = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(c0))))
+            base = model.base(place0[first], place[first], count[first])
+            total, tables = np.bincount(at, customers, len(start)), np.full(len(start), np.nan)
+            hot = c0[start] < model.hot
+            total[hot], tables[hot] = model.counts[c0[start][hot]], model.tables[c0[start][hot]]
+            score_ = np.log10(contexts(at, customers, base, total, tables, np.random.default_rng(len(row))))[dish]
+            known, flat = np.zeros(len(row)), np.zeros(len(row))
+            known[lone:], flat[lone:] = count[lone:] > 0, np.log10((count[lone:] + 1) / model.total)
+            u, to = np.unique(np.append(sums[0], row), return_inverse=True)
+            return [u, *(np.bincount(to, np.append(s, x), len(u)) for s, x in zip(sums[1:], (known, flat, score_)))]
+
+        bucket, held = None, ([], [])
         for batch in batches:
-            get = {c: batch.column(i) for i, c in enumerate([*_NAMES, "count"])}
-            ask = np.logical_and(get["word"].is_valid().to_numpy(False), get["p0"].is_null().to_numpy(False))
-            c = np.where(ask, get["count"].fill_null(0).to_numpy(), 0)
-            p = model.words.probability(c)
-            free = ask & get["context"].is_null().to_numpy(False)  # the context's class is scored already
-            num = lambda name, none: get[name].fill_null(none).to_numpy()
-            out = dict(get)
-            out["base"] = np.where(ask, np.log10((c + 1) / model.total), num("base", 0.0))
-            out["n_known"] = np.where(ask, c > 0, num("n_known", 0)).astype(np.int64)
-            out["score"] = np.where(free, np.log10(p), num("score", 0.0))
-            out["p0"] = np.where(ask, model.classes[-1, -1] * p, num("p0", 0.0))
-            yield _rows(batch.num_rows, **{k: out[k] for k in _NAMES})
+            get = {c: batch.column(i) for i, c in enumerate(names)}
+            docs = get["n_tokens"].is_valid()
+            if docs.true_count:
+                d = batch.filter(docs)
+                took = {c: d.column(names.index(c)) for c in ("row", "doc_id", "held_out", "n_tokens", "n_known", "base")}
+                yield _rows(ADDED, d.num_rows, copies=np.ones(d.num_rows, np.int64), score=np.zeros(d.num_rows), **took)
+                batch = batch.filter(pc.invert(docs))
+            b = batch.column(0).to_numpy()
+            cut = np.flatnonzero(np.diff(b)) + 1
+            for a, z in zip(np.append(0, cut).tolist(), np.append(cut, len(b)).tolist()):
+                if a == z:
+                    continue
+                if bucket is not None and b[a] != bucket:
+                    sums = finish(held)
+                    held = ([], [])
+                    if len(sums[0]) > 300_000:
+                        yield from out()
+                        sums = [np.zeros(0, np.int64), *np.zeros((3, 0))]
+                bucket, piece = b[a], batch.slice(a, z - a)
+                blobs = piece.column(1).is_valid()
+                held[0].extend(piece.column(1).drop_null().to_pylist())
+                if blobs.false_count:
+                    held[1].append(piece.filter(pc.invert(blobs)))
+        if held[0] or held[1]:
+            sums = finish(held)
+        yield from out()
 
     return run
 
 
-def _seated(batches):
-    """Rows sorted by (context, word): the score of each in its context's restaurant. Rows without a context pass."""
-
-    def finish(part):
-        col = lambda name: np.concatenate([b.column(_NAMES.index(name)).to_numpy(zero_copy_only=False) for b in part])
-        context, word, p0, learn = col("context"), col("word"), col("p0"), col("learn").astype(bool)
-        new_c = np.append(True, context[1:] != context[:-1])
-        new = np.append(True, new_c[1:] | (word[1:] != word[:-1]))
-        dish = np.cumsum(new) - 1
-        first = np.flatnonzero(new)
-        at = (np.cumsum(new_c) - 1)[first]
-        base = p0[first]
-        s = Seating(at, int(at[-1]) + 1, D_RARE, np.random.default_rng(int(context[0]) & 0xFFFFFFFF))
-        s.seat(np.bincount(dish, learn, len(first)).astype(np.int64), base)
-        for sweep in range(SWEEPS):
-            for _ in range(MOVES):
-                s.move(base)
-            if sweep >= BURN_IN:
-                s.gather()
-        p = s.own() + s.back()[at] * base
-        out = pa.Table.from_batches(part).combine_chunks().to_batches()[0]
-        get = {c: out.column(i) for i, c in enumerate(_NAMES)}
-        get["score"] = np.log10(p)[dish]
-        return _rows(out.num_rows, **get)
-
-    held, n = [], 0
-    for batch in batches:
-        none = batch.column(_NAMES.index("context")).is_null()
-        if none.true_count:
-            yield batch.filter(none)
-            batch = batch.filter(pc.invert(none))
-        if not batch.num_rows:
-            continue
-        context = batch.column(_NAMES.index("context")).to_numpy()
-        cut = int(np.searchsorted(context, context[-1], "left")) if (context[:-1] <= context[1:]).all() else 0
-        # whole restaurants only: the last one of a batch may go on
-        if n >= ROWS and held[-1].column(_NAMES.index("context"))[-1].as_py() != context[0]:
-            yield finish(held)
-            held, n = [], 0
-        if n + cut >= ROWS and cut:
-            yield finish([*held, batch.slice(0, cut)])
-            held, n, batch = [], 0, batch.slice(cut)
-        held.append(batch)
-        n += batch.num_rows
-    if held:
-        yield finish(held)
-
-
 def score(docs: DataFrame, modulus: int = 7, held_out: int = 2) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity.
 
@@ -470,14 +619,16 @@ def score(docs: DataFrame, modulus: int = 7, held_out: int = 2) -> DataFrame:
     words = written(docs.mapInArrow(_counter(modulus, held_out), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "counts")
     total = words.agg(F.count("*").alias("v"), F.sum("n").alias("n")).first()
     types, tokens_ = total.v, total.n or 0
-    top = words.where(F.col("n") >= LEAST).orderBy(F.desc("n"), "key").limit(FREQUENT).select("key", "n").toArrow()
+    top = words.orderBy(F.desc("n"), "key").limit(FREQUENT).select("key", "n").toArrow()
     keys, counts = top.column("key").to_numpy().view(np.uint64), top.column("n").to_numpy()
-    model = Model(keys, counts, tokens_, types)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), tokens_ // BUCKET + 1)
+    model = Model(keys, counts, tokens_, types, buckets)
     send = lambda: (spark.sparkContext.broadcast(pickle.dumps(model)), uuid.uuid4().hex)
     matrix = np.zeros(SYMBOLS * SYMBOLS, np.int64)
-    moved = docs.mapInArrow(_transitions(*send(), modulus, held_out), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
-    matrix[moved.column("key").to_numpy()] = moved.column("n").to_numpy()
-    model.classes = classes(matrix.reshape(SYMBOLS, SYMBOLS))
+    pairs = docs.mapInArrow(_transitions(*send(), modulus, held_out), "context long, word long, n long").groupBy("context", "word").agg(F.sum("n").alias("n"))
+    pairs = written(pairs, "pairs")
+    moved = pairs.where("context < 0").select("word", "n").toArrow()
+    matrix[moved.column("word").to_numpy()] = moved.column("n").to_numpy()
     # counts of counts, on a grid above 4096 so that there are few
     grid = F.when(F.col("n") <= 4096, F.col("n")).otherwise(F.floor(F.exp(F.floor(F.log("n") * 64) / 64)).cast("long"))
     of = {r.c: r.k for r in words.groupBy(grid.alias("c")).agg(F.count("*").alias("k")).collect()}
@@ -485,16 +636,23 @@ def score(docs: DataFrame, modulus: int = 7, held_out: int = 2) -> DataFrame:
         c = n if n <= 4096 else int(np.floor(np.exp(np.floor(np.log(n) * 64) / 64)))
         c = c if of.get(c) else min((x for x in of if of[x]), key=lambda x: abs(x - c))
         of[c] -= 1
-    model.words = Words(sorted((c, k) for c, k in of.items() if k))
+    model.finish(sorted((c, k) for c, k in of.items() if k), matrix.reshape(SYMBOLS, SYMBOLS))
+    if model.hot:
+        mean = (tokens_ - int(counts.sum())) // max(types - len(counts), 1)
+        tried = np.zeros((model.hot, POINTS))
+        for r in pairs.where("context >= 0").mapInArrow(_tried(*send(), mean), "context long, k long, tables double").groupBy("context", "k").agg(F.sum("tables").alias("t")).collect():
+            tried[r.context, r.k] = r.t
+        model.tables = settled(counts[: model.hot], tried)
     sent, stamp = send()
-    rows = docs.mapInArrow(_scorer(sent, stamp, modulus, held_out), FLOW)
-    # rows that ask no count bear a key that spreads them
-    ask = F.col("word").isNotNull() & F.col("p0").isNull()
-    found = words.where(F.col("n").isNotNull()).select(F.col("key").alias("_w"), F.col("n").alias("count"))
-    met = rows.withColumn("_k", F.when(ask, F.col("word")).otherwise(F.xxhash64("row", "word"))).join(found, (F.col("_k") == F.col("_w")) & ask, "left")
-    put = met.select(*_NAMES, "count").mapInArrow(_counted(sent, stamp), FLOW)
-    put = put.repartition(F.coalesce("context", F.xxhash64("row", "word"))).sortWithinPartitions("context", "word").mapInArrow(_seated, FLOW)
-    # exactly one row of each document has these values
+    dealt = lambda rest: docs.mapInArrow(_dealt(sent, stamp, modulus, held_out, rest), SENT)
+    found = words.select(F.col("key").alias("_w"), F.col("n").alias("count"))
+    lone = dealt(True)
+    lone = lone.join(found, F.col("word") == F.col("_w"), "left").select(*lone.columns, "count")
+    met = dealt(False).withColumn("count", F.lit(None).cast("long")).unionByName(lone)
+    put = met.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_scored(sent, stamp), ADDED)
+    # repeated rows are one here, with as many copies; one row of each copy has the first three values
     one = [F.max(c).alias(c) for c in ("doc_id", "held_out", "n_tokens")]
-    out = put.groupBy("row").agg(*one, F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
+    out = put.groupBy("row").agg(*one, F.sum("copies").alias("copies"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
+    each = [(F.col("n_known") / F.col("copies")).cast("long").alias("n_known"), *((F.col(c) / F.col("copies")).alias(c) for c in ("base_score", "score"))]
+    out = out.select("doc_id", "held_out", "n_tokens", *each, F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens_).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))

@@ -243,3 +243,30 @@ def test_word_hashes():
     h, row = lm.tokens(pa.array(texts))
     assert np.bincount(row).tolist() == [4, 1, 1, 3, 3, 3]
     assert len(set(h[row == 0].tolist())) == 2 and len(set(h[row == 4].tolist())) == 2 and len(set(h[row == 5].tolist())) == 3
+
+
+def test_lm_scores_word_pairs_after_frequent_and_other_contexts(spark, monkeypatch):
+    rng = random.Random(8)
+    fill = [f"w{i}" for i in range(600)]
+    texts = [" ".join(["top"] + [rng.choice(fill) for _ in range(100)]) for _ in range(600)]
+    for i in range(40):  # 'other' and 'none' have equal counts, all outside the classes; 'top' has a class of its own
+        texts.append(f"top other {rng.choice(fill)} none {rng.choice(fill)} some other {rng.choice(fill)} none")
+    ids = [i for i in range(10_000) if zlib.crc32(str(i).encode()) % 7 != 2][: len(texts)]
+    held = [i for i in range(20_000, 30_000) if zlib.crc32(str(i).encode()) % 7 == 2][:4]
+    asked = ["top other", "top none", "some other", "some none"]
+    df = spark.createDataFrame([*zip(ids, texts), *zip(held, asked)], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lm.score(df).collect()}
+    a, b, c, d = (got[i] for i in held)
+    assert a > b + 0.5 and c > d + 0.5
+    # hot contexts, dealt over buckets by word, give what whole ones give
+    monkeypatch.setattr(lm, "HOT", 0)
+    whole = {r.doc_id: r.score for r in lm.score(df).collect()}
+    assert all(abs(got[i] - whole[i]) < 0.02 * abs(whole[i]) for i in got)
+
+
+def test_lm_contexts_are_distributions():
+    rng = np.random.default_rng(3)
+    at, base = np.repeat(np.arange(4), 50), np.full(200, 1 / 50)
+    n = rng.poisson(2, 200) * (at > 0)
+    p = lm.contexts(at, n, base, np.bincount(at, n), np.full(4, np.nan), rng)
+    assert np.allclose(np.bincount(at, p), 1) and np.allclose(p[:50], 1 / 50)
