@@ -70,6 +70,19 @@ def test_outliers_of_a_group_go_and_others_stay(spark):
     assert all(got[i] for i in range(300)) and not any(got[1000 + i] for i in range(30))
 
 
+def test_mild_symbol_junk_goes_and_repeats_below_the_base_rule_stay(spark):
+    rng = random.Random(9)
+    good = [(i, prose(rng, rng.randint(60, 300)), "en", "a") for i in range(300)]
+    junk, twice = [], []
+    for i in range(5):
+        w = prose(rng, 100).split()
+        junk.append((1000 + i, " ".join(x + "#" * (j % 5 < 2) for j, x in enumerate(w)), "en", "a"))
+        twice.append((2000 + i, " ".join(w[:60] + w[40:52] + w[60:88]), "en", "a"))  # 24 of 100 words repeat
+    got = {r.doc_id: r for r in quality.judged(spark.createDataFrame(good + junk + twice, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(got[i].distance < 120 and not got[i].kept for i in range(1000, 1005))
+    assert all(got[i].n_repeat_words >= 20 and got[i].kept for i in range(2000, 2005)) and all(got[i].kept for i in range(300))
+
+
 def test_consistency_factor():
     rng = np.random.default_rng(0)
     r = np.sort((rng.standard_normal((200_000, 5)) ** 2).sum(1))
