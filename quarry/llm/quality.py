@@ -2,8 +2,8 @@
 
 Each text gets a vector of transformed statistics. For each language and source, the
 centre and covariance of the half of its documents that lies most tightly together are found by
-concentration steps (keep the documents nearest by Mahalanobis distance, estimate again), scaled to be
-consistent at the normal distribution, and documents beyond a distance are rejected. All of it is DataFrame
+concentration steps (keep the documents nearest by Mahalanobis distance, estimate again) from one start, medians and
+median absolute deviations, until no group's determinant falls any more; they are scaled to be consistent at the normal distribution, and documents beyond a distance are rejected. All of it is DataFrame
 expressions: aggregates with map-side partial sums, a Cholesky factor written out over the few
 columns, and no Python on rows.
 """
@@ -17,11 +17,11 @@ from quarry.llm.common import WS, small, written
 
 SYMBOLS = "#*$%&|<>"
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-#: Concentration steps; the share that each keeps; squared distance beyond which a document goes (the chi-squared
+#: Concentration steps at most; the share that each keeps; the fall of the log determinant that counts as none; squared distance beyond which a document goes (the chi-squared
 #: quantile of 5 degrees at 1e-9); the least spread that a coordinate counts with, in the transform's units; groups with
 #: fewer documents are judged as one. Repeats up to 30% of the words are the base rule's affair: at that share
 #: they alone reach 30 of the distance, and what is left is ample for the others; repeated lines come with repeated words.
-STEPS, SHARE, REJECT, FLOOR, LEAST = 3, 0.75, 51.0, (0.35, 0.05, 0.03, 0.06, 0.1), 50
+STEPS, SHARE, STILL, REJECT, FLOOR, LEAST = 40, 0.5, 1e-2, 51.0, (0.35, 0.05, 0.03, 0.06, 0.1), 50
 DIMS = len(FLOOR)
 #: Groups (languages by sources) up to which their models are broadcast: some 300 bytes each.
 GROUPS = 20_000
@@ -96,6 +96,7 @@ def _factors(est: DataFrame) -> DataFrame:
             for k in range(j):
                 rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest + FLOOR[i] ** 2, F.lit(FLOOR[i] ** 2))) if i == j else rest / F.col(f"l{j}{j}"))
+    out = out.withColumn("logdet", sum((F.log(F.col(f"l{i}{i}")) * 2 for i in range(DIMS)), F.lit(0.0)))
     return out.drop(*[f"c{i}{j}" for i in range(DIMS) for j in range(i + 1)])
 
 
@@ -138,14 +139,18 @@ def fit(rows: DataFrame, steps: int = STEPS, share: float = SHARE, least: int =
     spread = near.groupBy("_g").agg(*[F.percentile(F.round(F.abs(F.col(f"_x{i}") - F.col(f"m{i}")), 2), F.lit(0.5)).alias(f"s{i}") for i in range(DIMS)], *[F.first(f"m{i}").alias(f"m{i}") for i in range(DIMS)])
     pairs = [(i, j) for i in range(DIMS) for j in range(i + 1)]
     model = _factors(spread.select("_g", *[f"m{i}" for i in range(DIMS)], *[(F.pow(F.col(f"s{i}") * 1.4826, 2) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in pairs]))
-    for _ in range(steps):
-        model = written(model, "model")
+    model = written(model, "model")
+    for step in range(steps):
         # distances on a logarithmic grid: the percentile holds a bounded count of values
         seen = ok.join(small(model, groups, GROUPS), "_g").withColumn("_mark", F.round(F.log(_distance() + 1e-9), 2))
         cut = seen.groupBy("_g").agg(F.percentile("_mark", F.lit(share)).alias("_cut"))
         kept = seen.join(small(cut, groups, GROUPS), "_g")
-        model = _factors(_scaled(_estimates(kept, F.col("_mark") <= F.col("_cut")), share))
-    return names, written(model, "model"), groups
+        last, model = model, written(_factors(_scaled(_estimates(kept, F.col("_mark") <= F.col("_cut")), share)), "model")
+        if step:  # the start is no estimate from a share
+            before = last.select("_g", F.col("logdet").alias("_before"))
+            if model.join(small(before, groups, GROUPS), "_g").where(F.col("logdet") < F.col("_before") - STILL).isEmpty():
+                break
+    return names, model.drop("logdet"), groups
 
 
 def _verdicts(rows: DataFrame, fitted: tuple[DataFrame, DataFrame, int], reject: float) -> DataFrame:

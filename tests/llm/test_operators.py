@@ -83,6 +83,14 @@ def test_mild_symbol_junk_goes_and_repeats_below_the_base_rule_stay(spark):
     assert all(got[i].n_repeat_words >= 20 and got[i].kept for i in range(2000, 2005)) and all(got[i].kept for i in range(300))
 
 
+def test_junk_of_two_fifths_of_a_group_does_not_hide_itself(spark):
+    rng = random.Random(10)
+    good = [(i, prose(rng, rng.randint(60, 300)), "en", "a") for i in range(180)]
+    bad = [(1000 + i, " ".join(w + "#" * rng.randint(1, 6) for w in prose(rng, 100).split()), "en", "a") for i in range(120)]
+    got = {r.doc_id: r.kept for r in quality.judged(spark.createDataFrame(good + bad, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(got[i] for i in range(180)) and not any(got[1000 + i] for i in range(120))
+
+
 def test_consistency_factor():
     rng = np.random.default_rng(0)
     r = np.sort((rng.standard_normal((200_000, 5)) ** 2).sum(1))
