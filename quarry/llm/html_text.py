@@ -93,12 +93,12 @@ def lines(html: str | None) -> list[tuple[str, int]]:
 
 
 def address(url: str | None) -> tuple[str, str]:
-    """Host and path of a URL; the path without scheme, query, fragment, index suffix or closing slash."""
+    """Host and path of a URL; the path without scheme, fragment, index suffix or closing slash, with the query."""
     try:
         u = urlsplit(url or "")
     except ValueError:
         return "", url or ""
-    return (u.netloc.lower(), re.sub(r"\.html?$", "", u.path).rstrip("/"))
+    return (u.netloc.lower(), re.sub(r"\.html?$", "", u.path).rstrip("/") + (f"?{u.query}" if u.query else ""))
 
 
 def shared(a: list[int], b: list[int]) -> set[int]:
@@ -148,11 +148,15 @@ def _hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text) - (1 << 63)
 
 
+def _version(hashes: list[int]) -> int:
+    return xxhash.xxh3_64_intdigest(np.array(hashes, np.int64).tobytes()) - (1 << 63)
+
+
 def _outline(batches):
     for batch in batches:
         where = [address(u) for u in batch.column(0).to_pylist()]
         found = [[_hash(t) for t, _ in lines(h)] for h in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_pydict({"host": pa.array([h for h, _ in where], pa.string()), "path": pa.array([p for _, p in where], pa.string()), "lines": pa.array(found, pa.list_(pa.int64()))})
+        yield pa.RecordBatch.from_pydict({"host": pa.array([h for h, _ in where], pa.string()), "path": pa.array([p for _, p in where], pa.string()), "version": pa.array([_version(x) for x in found], pa.int64()), "lines": pa.array(found, pa.list_(pa.int64()))})
 
 
 def _numbered(batches):
@@ -161,7 +165,7 @@ def _numbered(batches):
     part, row = TaskContext.get().partitionId(), 0
     for batch in batches:
         n = batch.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array(np.arange(row, row + n)), *batch.columns], ["part", "row", "host", "path", "lines"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array(np.arange(row, row + n)), *batch.columns], ["part", "row", "host", "path", "version", "lines"])
         row += n
 
 
@@ -169,17 +173,22 @@ def _paired(batches):
     """Rows sorted by (block, place): the block's own pages with the lines they share with their neighbour."""
 
     def out(rows):
-        hosts, paths, found = [], [], []
-        for i, (own, host, path, mine) in enumerate(rows):
-            near = [rows[j] for j in (i - 1, i + 1) if 0 <= j < len(rows) and rows[j][1] == host]
+        # the nearest row on either side that has another address
+        before = [-1] * len(rows)
+        after = [len(rows)] * len(rows)
+        for i in range(1, len(rows)):
+            before[i] = before[i - 1] if rows[i][1:3] == rows[i - 1][1:3] else i - 1
+        for i in range(len(rows) - 2, -1, -1):
+            after[i] = after[i + 1] if rows[i][1:3] == rows[i + 1][1:3] else i + 1
+        found = []
+        for i, (own, host, path, version, mine) in enumerate(rows):
+            near = [rows[j] for j in (before[i], after[i]) if 0 <= j < len(rows) and rows[j][1] == host]
             if own and near and host:
-                best = max(near, key=lambda r: _prefix(r[2], path))
-                same = shared(mine, best[3])
+                same = shared(mine, max(near, key=lambda r: _prefix(r[2], path))[4])
                 if same:
-                    hosts.append(host)
-                    paths.append(path)
-                    found.append(sorted(same))
-        return pa.RecordBatch.from_pydict({"host": pa.array(hosts, pa.string()), "path": pa.array(paths, pa.string()), "shared": pa.array(found, pa.list_(pa.int64()))})
+                    found.append((host, path, version, sorted(same)))
+        columns = [list(x) for x in zip(*found)] or [[]] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.list_(pa.int64())))], ["host", "path", "version", "shared"])
 
     block, held = None, []
     for batch in batches:
@@ -194,21 +203,22 @@ def _paired(batches):
 
 
 def shared_lines(pages: DataFrame) -> DataFrame:
-    """host, path, shared: hashes of the lines that a page has in common with its nearest neighbour.
+    """host, path, version, shared: hashes of the lines that a page has in common with its nearest neighbour.
 
-    Pages of one host and path are one page here: the lines of the first outline stand for it."""
-    outline = pages.select("url", "html").mapInArrow(_outline, "host string, path string, lines array<bigint>")
-    outline = outline.groupBy("host", "path").agg(F.min("lines").alias("lines"))
-    ordered = outline.repartitionByRange("host", "path").sortWithinPartitions("host", "path").mapInArrow(_numbered, "part int, row long, host string, path string, lines array<bigint>")
+    Rows of one address (query included) are one page here if their lines are equal, and else versions of it, which are no
+    neighbours of each other. Pages without lines are nobody's neighbour. Versions of an address that fill a block find none."""
+    outline = pages.select("url", "html").mapInArrow(_outline, "host string, path string, version long, lines array<bigint>").where(F.size("lines") > 0)
+    outline = outline.groupBy("host", "path", "version").agg(F.min("lines").alias("lines"))
+    ordered = outline.repartitionByRange("host", "path", "version").sortWithinPartitions("host", "path", "version").mapInArrow(_numbered, "part int, row long, host string, path string, version long, lines array<bigint>")
     ordered = written(ordered, "outlines")
     sizes = ordered.groupBy("part").agg(F.count("*").alias("_n"))  # one row for each partition
     base = sizes.select("part", (F.sum("_n").over(W.orderBy("part")) - F.col("_n")).alias("_base"))
     placed = ordered.join(small(base, 0, 1), "part").withColumn("place", F.col("_base") + F.col("row"))
     block = F.floor(F.col("place") / BLOCK)
     edge = F.when(F.col("place") % BLOCK == 0, F.array(block, block - 1)).when(F.col("place") % BLOCK == BLOCK - 1, F.array(block, block + 1)).otherwise(F.array(block))
-    dealt = placed.select(F.explode(edge).alias("block"), "place", block.alias("_own"), "host", "path", "lines")
-    dealt = dealt.select("block", "place", (F.col("block") == F.col("_own")).alias("own"), "host", "path", "lines")
-    return dealt.repartition("block").sortWithinPartitions("block", "place").mapInArrow(_paired, "host string, path string, shared array<bigint>")
+    dealt = placed.select(F.explode(edge).alias("block"), "place", block.alias("_own"), "host", "path", "version", "lines")
+    dealt = dealt.select("block", "place", (F.col("block") == F.col("_own")).alias("own"), "host", "path", "version", "lines")
+    return dealt.repartition("block").sortWithinPartitions("block", "place").mapInArrow(_paired, "host string, path string, version long, shared array<bigint>")
 
 
 def _finished(batches):
@@ -234,7 +244,7 @@ def _split(open_: bool):
             undecided = pa.array([any(k == UNDECIDED for _, k in x) for x in found], pa.bool_())
             if open_:
                 where = [address(u) for u in batch.column(1).to_pylist()]
-                whole = pa.RecordBatch.from_arrays([*batch.columns, pa.array([h for h, _ in where], pa.string()), pa.array([p for _, p in where], pa.string())], ["page_id", "url", "html", "host", "path"])
+                whole = pa.RecordBatch.from_arrays([*batch.columns, pa.array([h for h, _ in where], pa.string()), pa.array([p for _, p in where], pa.string()), pa.array([_version([_hash(t) for t, _ in x]) for x in found], pa.int64())], ["page_id", "url", "html", "host", "path", "version"])
                 yield whole.filter(undecided)
             else:
                 yield _texts(batch, ["\n".join(t for t, k in x if k == TEXT) for x in found]).filter(pa.array([not u for u in undecided.to_pylist()], pa.bool_()))
@@ -246,16 +256,16 @@ def main_text(pages: DataFrame) -> DataFrame:
     """One row per row of pages (page_id, url, html): page_id, url, text, n_chars.
 
     A null html is empty and gives an empty text; a page whose URL is null or has no host has no
-    neighbour, and so keeps its undecided lines; null and repeated ids pass through; pages of one URL share a
-    neighbour; an empty table gives an empty table; other columns are ignored. All pages are outlined and paired; only pages with undecided lines
+    neighbour, and so keeps its undecided lines; null and repeated ids pass through; versions of one URL each
+    have a neighbour of another URL; an empty table gives an empty table; other columns are ignored. All pages are outlined and paired; only pages with undecided lines
     meet the shared lines in a join.
     """
     pages = pages.select("page_id", "url", "html")
     gone = written(shared_lines(pages), "shared")
-    gone = gone.select(F.col("host").alias("_h"), F.col("path").alias("_p"), "shared")
+    gone = gone.select(F.col("host").alias("_h"), F.col("path").alias("_p"), F.col("version").alias("_v"), "shared")
     done = pages.mapInArrow(_split(False), "page_id long, url string, text string, n_chars long")
-    asked = pages.mapInArrow(_split(True), "page_id long, url string, html string, host string, path string")
-    asked = asked.join(gone, (F.col("host") == F.col("_h")) & (F.col("path") == F.col("_p")), "left").select("page_id", "url", "html", "shared")
+    asked = pages.mapInArrow(_split(True), "page_id long, url string, html string, host string, path string, version long")
+    asked = asked.join(gone, (F.col("host") == F.col("_h")) & (F.col("path") == F.col("_p")) & (F.col("version") == F.col("_v")), "left").select("page_id", "url", "html", "shared")
     return done.union(asked.mapInArrow(_finished, "page_id long, url string, text string, n_chars long"))
 
 

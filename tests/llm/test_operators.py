@@ -205,6 +205,16 @@ def test_html(spark):
     assert html_text.main_text(df.where("false")).collect() == []
 
 
+def test_pages_that_differ_by_query_or_share_a_url_lose_their_template(spark):
+    bare = "<div>Site menu line</div><div>Own words of page {k}.</div><div>Imprint line</div>"
+    rows = [(k, f"http://q.example/index.php?id={k}", bare.replace("{k}", str(k))) for k in range(3)]
+    rows += [(10 + k, f"http://r.example/p/{k}", bare.replace("{k}", str(k))) for k in range(2)]
+    rows += [(20, "http://r.example/p/0", None), (21, "http://r.example/p/1", ""), (22, "http://r.example/p/0", bare.replace("{k}", "new"))]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    own = "Own words of page {}.".format
+    assert got == {0: own(0), 1: own(1), 2: own(2), 10: own(0), 11: own(1), 20: "", 21: "", 22: own("new")}
+
+
 def test_common_subsequence():
     def longest(a, b):
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
