@@ -250,6 +250,14 @@ def test_lm_classes_are_distributions():
     assert np.allclose(m.sum(1), 1) and (m > 0).all()
 
 
+def test_lm_sweeps_seat_large_dishes_anew(monkeypatch):
+    seen, gather = [], lm.Seating.gather
+    monkeypatch.setattr(lm.Seating, "gather", lambda self: (seen.append(self.tables.copy()) if self.count > 1 else None, gather(self)))
+    lm.classes(np.full((8, 8), 100_000))
+    assert len(seen) == lm.SWEEPS - lm.BURN_IN
+    assert all(np.abs(a - b).max() > lm.MOVES for a, b in zip(seen, seen[1:]))
+
+
 def test_lm_words_are_a_distribution():
     w = lm.Words([(1, 500), (2, 100), (7, 20), (300, 3)])
     total = sum(n * float(w.probability(np.array([c]))[0]) for c, n in [(1, 500), (2, 100), (7, 20), (300, 3)]) + float(w.probability(np.array([0]))[0])
