@@ -12,8 +12,8 @@ pieces in all, whatever the corpus) are placed by first fit, longest first.
 from __future__ import annotations
 
 import zlib
-from array import array
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,6 +26,9 @@ from quarry.llm.tokens import encoder
 GROUP = 64
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, class_k int, task long, seq long"
 FIELDS = [f.split()[0] for f in PIECES.split(", ")]
+#: What a worker holds of a piece; known: whether doc_id is not null.
+HELD = ["doc_id", "known", "start", "length", "ids_crc32", "doc_tokens", "class_k"]
+LENGTH, CLASS = HELD.index("length"), HELD.index("class_k")
 
 
 def cuts(n: int, capacity: int, slack: float) -> list[int]:
@@ -55,28 +58,24 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 1, slac
     def run(batches):
         from pyspark import TaskContext
 
-        enc, end = encoder(path), array("I", [end_id]).tobytes()
-        task, bins, seq = TaskContext.get().partitionId(), {}, 0
+        enc, task = encoder(path), TaskContext.get().partitionId()
+        held, seq = np.zeros((0, len(HELD)), np.int64), task << 32
         for batch in batches:
-            out = {f: [] for f in FIELDS}
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = memoryview(enc.ids(text or "") + end)
-                total, at = len(ids) // 4, 0
-                for n in cuts(total, capacity, slack):
-                    k = capacity // n
-                    row = (doc_id, at, n, zlib.crc32(ids[4 * at : 4 * (at + n)]), total)
-                    at += n
-                    held = bins.setdefault(k, [])
-                    held.append(row)
-                    if len(held) == k:
-                        seq = _emit(out, held, k, (task << 32) | seq, task) - (task << 32)
-                        held.clear()
-            yield _batch(out)
-        out = {f: [] for f in FIELDS}
-        for k, held in sorted(bins.items()):
-            for i, row in enumerate(held):
-                _append(out, row, -1, 0, k, task, i)
-        yield _batch(out)
+            known, ids = batch.column(0).is_valid().to_numpy(zero_copy_only=False), batch.column(0).fill_null(0).to_numpy()
+            at = 0
+            for tokens, n in enc.encoded(batch.column(1)):
+                own = slice(at, at + len(n))
+                at += len(n)
+                held = np.concatenate([held, _pieces(ids[own], known[own], tokens, n, capacity, end_id, slack)])
+                held = held[np.argsort(held[:, CLASS], kind="stable")]
+                full, place, _ = _places(held[:, CLASS])
+                done = held[full]
+                first = place[full] == 0  # each starts a bin
+                before = np.cumsum(done[:, LENGTH]) - done[:, LENGTH]
+                bins = np.cumsum(first)
+                yield _batch(done, seq + bins - 1, before - before[first][bins - 1], task, 0)
+                held, seq = held[~full], seq + int(first.sum())
+        yield _batch(held, -1, 0, task, _places(held[:, CLASS])[2])
 
     done = written(docs.select("doc_id", "text").mapInArrow(run, PIECES), "pieces")
     full, rest = done.where("sequence_id >= 0"), done.where("sequence_id < 0")
@@ -98,21 +97,32 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 1, slac
     return out.drop("task", "seq")
 
 
-def _append(out, row, sequence, offset, k, task, i):
-    for f, v in zip(FIELDS, (*row, sequence, offset, k, task, i)):
-        out[f].append(v)
-
-
-def _emit(out, held, k, sequence, task) -> int:
-    offset = 0
-    for i, row in enumerate(held):
-        _append(out, row, sequence, offset, k, task, i)
-        offset += row[2]
-    return sequence + 1
-
-
-def _batch(out) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({f: pa.array(v, pa.int32() if f == "class_k" else pa.int64()) for f, v in out.items()})
+def _pieces(ids, known, tokens, n, capacity: int, end_id: int, slack: float) -> np.ndarray:
+    """A row of HELD for each piece of the documents, of which tokens holds n ids each."""
+    ends = np.cumsum(n)
+    tokens = memoryview(np.insert(tokens, ends, end_id).astype("<u4")).cast("B")
+    total = n + 1
+    parts = [cuts(x, capacity, slack) for x in total.tolist()]
+    who = np.repeat(np.arange(len(n)), list(map(len, parts)))
+    length = np.array([x for p in parts for x in p], np.int64)
+    to = np.cumsum(length)
+    crc = [zlib.crc32(tokens[4 * a : 4 * b]) for a, b in zip((to - length).tolist(), to.tolist())]
+    start = to - length - (np.cumsum(total) - total)[who]
+    return np.stack([ids[who], known[who], start, length, crc, total[who], capacity // length], axis=1)
+
+
+def _places(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For pieces sorted by class: whether each is in a full bin, its place in the bin, its number in the class."""
+    _, first, count = np.unique(classes, return_index=True, return_counts=True)
+    number = np.arange(len(classes)) - np.repeat(first, count)
+    return number < np.repeat(count, count) // np.maximum(classes, 1) * classes, number % np.maximum(classes, 1), number
+
+
+def _batch(rows: np.ndarray, sequence, offset, task: int, seq) -> pa.RecordBatch:
+    c = dict(zip(HELD, rows.T))
+    even = lambda v, kind=np.int64: pa.array(np.broadcast_to(np.asarray(v, kind), len(rows)))
+    columns = [pa.array(c["doc_id"], mask=c["known"] == 0), *(even(c[f]) for f in HELD[2:6]), even(sequence), even(offset), even(c["class_k"], np.int32), even(task), even(seq)]
+    return pa.RecordBatch.from_arrays(columns, FIELDS)
 
 
 def _merger(level: int, last: bool):

@@ -1,6 +1,6 @@
 """Token counts by a map-side two-tier lookup.
 
-Tier one is a compact broadcast table of frequent chunk lengths (at most TABLE_ENTRIES entries and
+Tier one is a compact broadcast table of frequent pre-token lengths (at most TABLE_ENTRIES entries and
 TABLE_BYTES bytes, whatever the corpus); tier two is each worker's bounded cache, whose misses the
 tokenizers library encodes. Nothing is shuffled and counts are exact whatever the table holds: the
 table only saves encodings.
@@ -10,46 +10,38 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from collections import Counter
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from quarry.llm.tokens import encoder
 
-#: Bounds of the broadcast table, and of the rows from which its entries are picked.
-TABLE_ENTRIES, TABLE_BYTES, SAMPLE_ROWS = 32_768, 1 << 20, 2_000
+#: Bounds of the broadcast table, and of the rows from which its entries are picked: their number and bytes of each, and the
+#: share of rows that are looked at until there are enough.
+TABLE_ENTRIES, TABLE_BYTES, SAMPLE_ROWS, SAMPLE_BYTES, SAMPLE_SHARE = 32_768, 1 << 20, 1_000, 1 << 14, 0.05
 
 
 def frequent_lengths(docs: DataFrame, path: str, entries: int = TABLE_ENTRIES, rows: int = SAMPLE_ROWS, seed: int = 7) -> bytes:
-    """The compressed table (chunk, token count) of chunks that are frequent in a random sample of
-    about `rows` rows: each task reports its most frequent chunks, together at most a few `entries`."""
-    total = docs.count()
-    if not total:
-        return zlib.compress(b"")
-    sample = docs.select("text").where("text is not null").sample(fraction=min(1.0, rows / total), seed=seed)
-
-    def tops(batches):
-        seen: Counter = Counter()
-        enc = encoder(path)
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen.update(enc.cut(text) or ())
-                if len(seen) > 8 * entries:
-                    seen = Counter(dict(seen.most_common(2 * entries)))
-        top = [(c, n) for c, n in seen.most_common(max(64, entries // 8)) if n > 1 and len(c) <= 40 and "\x00" not in c]
-        yield pa.RecordBatch.from_pydict({"c": pa.array([c for c, _ in top], pa.string()), "n": pa.array([n for _, n in top], pa.int64()), "k": pa.array([enc.lengths[c] for c, _ in top], pa.int32())})
-
-    merged, length = Counter(), {}
-    for r in sample.mapInArrow(tops, "c string, n long, k int").toLocalIterator():
-        merged[r.c] += r.n
-        length[r.c] = r.k
+    """The compressed table (pre-token, token count) of pre-tokens that occur more than once in `rows` texts of at most
+    SAMPLE_BYTES bytes. Only as many partitions are read as hold that many sampled rows, not the corpus."""
+    sample = docs.select("text").where(F.octet_length("text") <= SAMPLE_BYTES)
+    found = pa.array([r.text for r in sample.sample(fraction=SAMPLE_SHARE, seed=seed).limit(rows).collect()], pa.string())
+    enc, seen = encoder(path), {}
+    for cut in enc.cuts(found):
+        times = np.bincount(cut.chunk, minlength=len(cut.piece_ends) - 1)[: len(cut.piece_ends) - 1]
+        count = np.bincount(cut.piece, np.repeat(times, np.diff(cut.piece_ends)), len(cut.keys))
+        for key, n in zip(cut.keys, count.tolist()):
+            seen[key] = seen.get(key, 0) + n
     lines, size = [], 0
-    for c, _ in sorted(merged.items(), key=lambda x: (-x[1], x[0]))[:entries]:
-        size += len(c.encode()) + 4
-        if size > TABLE_BYTES:
+    for key, n in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:entries]:
+        size += len(key.encode()) + 4
+        if n < 2 or size > TABLE_BYTES:
             break
-        lines.append(f"{c}\x00{length[c]}")
+        if key and len(key) <= 40 and "\x00" not in key and "\x01" not in key:
+            lines.append(f"{key}\x00{len(enc.pieces[key]) // 4}")
     return zlib.compress("\x01".join(lines).encode())
 
 
@@ -72,13 +64,8 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, table: bytes | N
         enc = encoder(path)
         enc = enc if enc.known else encoder(path, unpacked(sent.value), stamp)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            n = [enc.count(t) for t in texts]
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column(0).cast(pa.int64()),
-                "n_bytes": pa.array([len(t.encode()) for t in texts], pa.int64()),
-                "n_tokens": pa.array(n, pa.int64()),
-                "over_limit": pa.array([x > limit for x in n], pa.bool_()),
-            })
+            n = enc.counted(batch.column(1))
+            size = pc.fill_null(pc.binary_length(batch.column(1)), 0).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), size, pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -42,17 +41,18 @@ def write_tokens(docs: DataFrame, path: str, out: str | None = None, end_id: int
     def run(batches):
         from pyspark import TaskContext
 
-        enc, end = encoder(path), array("I", [end_id]).tobytes()
-        part, row, at = TaskContext.get().partitionId(), 0, 0
+        enc, part, row, start = encoder(path), TaskContext.get().partitionId(), 0, 0
         for batch in batches:
-            found = [enc.ids(t or "") + end for t in batch.column(1).to_pylist()]
-            n = np.array([len(x) // 4 for x in found], np.int64)
-            ends = np.cumsum(n)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.full(len(n), part, np.int32)), pa.array(np.arange(row, row + len(n))), batch.column(0).cast(pa.int64()), pa.array(n), pa.array(at + ends - n),
-                pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(np.frombuffer(b"".join(found), np.int32))),
-            ], ["part", "row", "doc_id", "n_tokens", "start_in_part", "tokens"])
-            row, at = row + len(n), at + int(ends[-1]) if len(n) else at
+            at = 0
+            for ids, n in enc.encoded(batch.column(1)):
+                who = batch.column(0).slice(at, len(n)).cast(pa.int64())
+                ids, n, at = np.insert(ids, np.cumsum(n), end_id), n + 1, at + len(n)
+                ends = np.cumsum(n)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(len(n), part, np.int32)), pa.array(np.arange(row, row + len(n))), who, pa.array(n), pa.array(start + ends - n),
+                    pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(ids.astype(np.int32))),
+                ], ["part", "row", "doc_id", "n_tokens", "start_in_part", "tokens"])
+                row, start = row + len(n), start + int(ends[-1])
 
     order = [F.col("doc_id"), F.xxhash64("text")]
     sorted_ = docs.select("doc_id", "text")
