@@ -2,29 +2,36 @@
 
 A word's features are its byte n-grams with end marks, hashed into BUCKETS rows of an embedding
 table; a text is the average of its words' feature embeddings, and a linear layer with softmax gives
-its language. Both are trained by stochastic gradient descent in numpy on a bounded sample of labelled rows. A part of
-the sample is kept out of training: on it a temperature is fitted (calibration), and the least score with which
-the accepted part keeps the wanted precision becomes the rejection threshold.
+its language. Both are trained by stochastic gradient descent in numpy on whole texts of a bounded sample of labelled rows, which each
+language fills alike. A part of the sample is kept out of training: on it a temperature is fitted (calibration), and the least score with
+which the accepted part keeps the wanted precision becomes the rejection threshold.
 """
 
 from __future__ import annotations
 
 import pickle
 import uuid
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarry.llm.common import filtered
 from quarry.llm.tokens import caches, claim
 
 UNKNOWN = "und"
 #: Rows of the embedding table (a power of two), its width, the n-gram lengths in bytes.
 BUCKETS, WIDTH, GRAMS = 1 << 15, 16, (2, 3, 4)
-#: Bounds of the training sample: labelled rows, and words taken (evenly spread) from each.
-SAMPLE_ROWS, SAMPLE_WORDS = 3_000, 64
+#: Bound of the training sample in labelled rows. A row comes as the counts of its buckets: 6 bytes a bucket, whatever its length.
+SAMPLE_ROWS = 1_500
+#: Rows whose hash of the id is small are looked at: so many times the rows that a language has in the sample, on average.
+SPARE = 4
+#: Least number of steps of gradient descent.
+STEPS = 900
 CACHE_WORDS = 300_000
 _LIVE: dict = {}
 caches("langid", _LIVE.clear)
@@ -61,31 +68,49 @@ def has_letter(text: str | None) -> bool:
     return text is not None and any(map(str.isalpha, text))
 
 
-def _sample(docs: DataFrame, training: Column, rows: int, words: int) -> list:
-    """(lang, bucket ids) of the labelled rows with the least hash of their id: at most `rows`."""
+def _counts(text: str) -> bytes:
+    """Counts of a whole text's buckets: their ids (2 bytes each), then their shares (4 bytes each)."""
+    words, n = Counter(text.lower().encode().split()), np.zeros(BUCKETS, np.int64)
+    words, times = list(words), np.fromiter(words.values(), np.int64, len(words))
+    for at in range(0, len(words), 50_000):
+        ids, own = features(words[at : at + 50_000])
+        n += np.bincount(ids, times[at : at + 50_000][own], BUCKETS).astype(np.int64)
+    ids = np.flatnonzero(n)
+    return ids.astype("<u2").tobytes() + (n[ids] / max(n.sum(), 1)).astype("<f4").tobytes()
+
+
+def _sample(docs: DataFrame, training: Column, rows: int) -> list:
+    """(lang, bucket ids, their shares) of at most `rows` labelled rows: of each language those with the least hashes of their ids, rare
+    languages with all their rows; if there are more languages than rows, the most frequent languages."""
     labelled = docs.where(training & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    ids = labelled.select(F.col("doc_id").alias("_id")).distinct().orderBy(F.xxhash64("_id"), "_id").limit(rows)
+    found = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(rows).collect()
+    if not found:
+        return []
+    quota = rows // len(found)
+    share = docs.sparkSession.createDataFrame([(r.lang, min(1.0, SPARE * quota / r.n)) for r in found], "_lang string, _share double")
+    draw = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / float(1 << 53)
+    near = labelled.select("doc_id", "lang", "text").join(F.broadcast(share), F.col("lang") == F.col("_lang")).where(draw < F.col("_share"))
 
     def run(batches):
         for batch in batches:
-            langs, out = [], []
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = text.lower().encode().split()
-                if found and has_letter(text):
-                    step = max(1, len(found) // words)
-                    langs.append(lang)
-                    out.append(features(found[::step][:words])[0].astype("<i4").tobytes())
-            yield pa.RecordBatch.from_pydict({"lang": pa.array(langs, pa.string()), "f": pa.array(out, pa.binary())})
-
-    chosen = labelled.select("lang", "text", "doc_id").join(F.broadcast(ids), F.col("doc_id") == F.col("_id"), "left_semi")
-    found = chosen.select("lang", "text").mapInArrow(run, "lang string, f binary").limit(2 * rows).collect()
-    return sorted(((r.lang, bytes(r.f)) for r in found), key=lambda x: (x[1], x[0]))
-
-
-def fit(docs: DataFrame, training: Column, rows: int = SAMPLE_ROWS, words: int = SAMPLE_WORDS, epochs: int = 5, rate: float = 1.0, precision: float = 0.99, seed: int = 11) -> Model:
-    """Train on at most `rows` labelled rows of docs (doc_id, text, lang) for which training holds."""
-    found = [(lang, np.frombuffer(f, "<i4")) for lang, f in _sample(docs, training, rows, words)]
-    found = [x for x in found if len(x[1])]
+            keep = [(i, lang, _counts(text)) for i, lang, text in zip(*(c.to_pylist() for c in batch.columns)) if has_letter(text)]
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array([k[0] for k in keep], pa.int64()), "lang": pa.array([k[1] for k in keep], pa.string()), "f": pa.array([k[2] for k in keep], pa.binary())})
+
+    made = near.select(F.col("doc_id").cast("long"), "lang", "text").mapInArrow(run, "doc_id long, lang string, f binary")
+    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "f")
+    chosen = made.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= quota).select("lang", "f").collect()
+    out = []
+    for lang, f in sorted((r.lang, bytes(r.f)) for r in chosen):
+        n = len(f) // 6
+        out.append((lang, np.frombuffer(f, "<u2", n).astype(np.int32), np.frombuffer(f, "<f4", n, 2 * n)))
+    return out
+
+
+def fit(docs: DataFrame, training: Column, rows: int = SAMPLE_ROWS, epochs: int = 12, rate: float = 8.0, precision: float = 0.99, seed: int = 11) -> Model:
+    """Train on at most `rows` labelled rows of docs (doc_id, text, lang) for which training holds. Rows without a label, text or
+    letter are left out; without any others (an empty table, say) the model knows no language. Of repeated rows each
+    counts; which rows are taken depends on ids and texts only, ties included."""
+    found = [x for x in _sample(docs, training, rows) if len(x[1])]
     langs = sorted({x[0] for x in found})
     if not found:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32))
@@ -97,7 +122,9 @@ def fit(docs: DataFrame, training: Column, rows: int = SAMPLE_ROWS, words: int =
     out = np.zeros((WIDTH, len(langs)), np.float32)
     bias = np.zeros(len(langs), np.float32)
     y = np.array([langs.index(x[0]) for x in found])
-    size, steps, step = 16, epochs * -(-len(learn) // 16), 0
+    size = 16
+    epochs = max(epochs, -(-STEPS * size // len(learn)))  # a small sample is gone through more often
+    steps, step = epochs * -(-len(learn) // size), 0
     for _ in range(epochs):
         rng.shuffle(learn)
         for at in range(0, len(learn), size):
@@ -105,22 +132,20 @@ def fit(docs: DataFrame, training: Column, rows: int = SAMPLE_ROWS, words: int =
             lr = rate * (1 - step / steps)
             step += 1
             ids = np.concatenate([found[i][1] for i in batch])
+            share = np.concatenate([found[i][2] for i in batch])[:, None]
             n = np.array([len(found[i][1]) for i in batch])
-            starts = np.append(0, np.cumsum(n)[:-1])
-            mean = np.add.reduceat(emb[ids], starts, axis=0) / n[:, None]
+            mean = np.add.reduceat(emb[ids] * share, np.append(0, np.cumsum(n)[:-1]), axis=0)
             p = _softmax(mean @ out + bias)
             p[np.arange(len(batch)), y[batch]] -= 1
             back = p @ out.T / len(batch)
             out -= lr * mean.T @ p / len(batch)
             bias -= lr * 0.1 * p.mean(0)
-            # updates of rows that occur often add up: one pass over the sorted ids
-            who = np.repeat(np.arange(len(batch)), n)
-            by = np.argsort(ids, kind="stable")
-            rows_, first = np.unique(ids[by], return_index=True)
-            emb[rows_] -= lr * np.add.reduceat(back[who[by]], first, axis=0)
+            # a bucket occurs once in a document: one pass a document adds up what several of them say of it
+            for i, b in zip(batch, back):
+                emb[found[i][1]] -= lr * found[i][2][:, None] * b
     model = Model(langs, (emb @ out).astype(np.float32), bias)
     if len(held):
-        logits = np.array([model.scores[found[i][1]].mean(0) + bias for i in held])
+        logits = np.array([found[i][2] @ model.scores[found[i][1]] + bias for i in held])
         model.temperature, model.threshold = calibrated(logits, y[held], precision)
     return model
 
@@ -147,36 +172,41 @@ def calibrated(logits: np.ndarray, y: np.ndarray, precision: float) -> tuple[flo
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, lang_pred, score, accepted.
 
-    A null text, or one without a letter, is UNKNOWN with score 0 and not accepted; so is every
-    text if the model learned no language. Null and repeated ids pass through; an empty table gives an empty
-    table; other columns, lang and source too, are never read.
+    A null or empty text, or one without a letter, is UNKNOWN with score 0 and not accepted; so is every
+    text if the model learned no language. Of equally likely languages the first by name wins. Texts are read whole, however
+    long. Null and repeated ids pass through; an empty table gives an empty table; other columns, lang and source too, are never read.
     """
-    return docs.select("doc_id", "text").mapInArrow(_predictor(docs, model), "doc_id long, lang_pred string, score double, accepted boolean")
+    judge = _judge(docs, model)
 
+    def run(batches):
+        for batch in batches:
+            lang, score, ok = judge(batch)
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).cast(pa.int64()), "lang_pred": pa.array(lang, pa.string()), "score": pa.array(score, pa.float64()), "accepted": pa.array(ok, pa.bool_())})
 
-def _predictor(docs: DataFrame, model: Model, carry: bool = False):
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, accepted boolean")
+
+
+def _judge(docs: DataFrame, model: Model):
+    """A function from a batch (doc_id, text) to languages, scores and whether each is accepted."""
     sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
     stamp = uuid.uuid4().hex
 
-    def run(batches):
+    def judge(batch):
         claim("langid")
         if _LIVE.get("stamp") != stamp:
             _LIVE.update(stamp=stamp, model=pickle.loads(sent.value), words={}, table=None)
         model = _LIVE["model"]
-        for batch in batches:
-            lang, score = predict(model, batch.column("text").to_pylist())
-            ok = [name != UNKNOWN and s >= model.threshold for name, s in zip(lang, score)]
-            if carry:
-                yield batch.filter(pa.array(ok, pa.bool_()))
-            else:
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).cast(pa.int64()), "lang_pred": pa.array(lang, pa.string()), "score": pa.array(score, pa.float64()), "accepted": pa.array(ok, pa.bool_())})
+        lang, score = predict(model, batch.column(1).to_pylist())
+        return lang, score, [name != UNKNOWN and s >= model.threshold for name, s in zip(lang, score)]
 
-    return run
+    return judge
 
 
 def accepted_only(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs, all columns as they are, whose language is recognised and not rejected."""
-    return docs.mapInArrow(_predictor(docs, model, carry=True), docs.schema)
+    """The rows of docs, all columns as they are, whose language is recognised and not rejected: identify()'s accepted ones. Null
+    and repeated ids stay or go by their texts; an empty table gives an empty table."""
+    judge = _judge(docs, model)
+    return filtered(docs, lambda batch: judge(batch)[2])
 
 
 def predict(model: Model, texts: list[str | None]) -> tuple[list[str], list[float]]:
