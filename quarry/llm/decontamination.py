@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.common import filtered, release, written
 from quarry.llm.tokens import claim, word_hash
 
 #: Words of the least tile, and the share of an item's words that must be tiled.
@@ -56,16 +57,19 @@ class Index:
     owner: np.ndarray
     ids: list[int]
     items: list[np.ndarray]
+    sizes: np.ndarray  # length of the items' seeds: least, or all of a shorter item
+    need: np.ndarray  # words that tiles must cover
 
 
-def index(rows: list[tuple[int, str | None]], least: int) -> Index:
-    items = [(i, words(t)) for i, t in rows]
-    items = [(i, w) for i, w in items if i is not None and len(w)]
-    seeds = [np.unique(windows(w, min(least, len(w)))) for _, w in items]
+def index(rows: list[tuple[int, np.ndarray]], least: int, coverage: float) -> Index:
+    """The index of items (id, word hashes), of which none is empty."""
+    items = [w for _, w in rows]
+    sizes = np.array([min(least, len(w)) for w in items], np.int64)
+    seeds = [np.unique(windows(w, int(n))) for w, n in zip(items, sizes)]
     flat = np.concatenate(seeds) if seeds else np.zeros(0, np.uint64)
-    owner = np.repeat(np.arange(len(items)), [len(s) for s in seeds]) if seeds else np.zeros(0, np.int64)
+    owner = np.repeat(np.arange(len(items), dtype=np.int32), [len(s) for s in seeds]) if seeds else np.zeros(0, np.int32)
     by = np.argsort(flat, kind="stable")
-    return Index(flat[by], owner[by], [i for i, _ in items], [w for _, w in items])
+    return Index(flat[by], owner[by], [i for i, _ in rows], items, sizes, np.array([coverage * len(w) for w in items]))
 
 
 def tiles(doc: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int, int]]:
@@ -131,39 +135,62 @@ def _near(doc: np.ndarray, hits: np.ndarray, reach: int) -> np.ndarray:
     return np.insert(doc[cut], gaps, np.uint64(0))
 
 
-def scan(ix: Index, text: str | None, least: int, coverage: float) -> list[tuple[int, int, int, int, float]]:
-    """(item_id, item_words, covered, tiles, coverage) of the items that the text holds."""
-    w = words(text)
-    hits: dict[int, list[int]] = defaultdict(list)
-    for size in {min(least, len(i)) for i in ix.items} if len(ix.items) else ():
+def _spanned(at: np.ndarray, size: int, first: np.ndarray) -> np.ndarray:
+    """Words under windows of `size` words at the sorted places at, for each run of places that begins at first."""
+    step = np.minimum(np.diff(np.append(at, at[-1:] + size)), size)
+    step[np.append(first[1:], len(at)) - 1] = size
+    return np.add.reduceat(step, first)
+
+
+def scan(ix: Index, text: str | None, least: int) -> list[tuple[int, int, int, int, float]]:
+    """(item_id, item_words, covered, tiles, coverage) of the items that the text holds.
+
+    Tiles consist of shared seeds, so an item whose shared seeds span too few words of the text, or of the item, is not tiled."""
+    w, out = words(text), []
+    for size in np.unique(ix.sizes).tolist():
         h = windows(w, size)
         lo, hi = np.searchsorted(ix.seeds, h, "left"), np.searchsorted(ix.seeds, h, "right")
-        for at in np.flatnonzero(hi > lo).tolist():
-            for k in ix.owner[lo[at] : hi[at]].tolist():
-                hits[k].append(at)
-    out = []
-    for k, at in sorted(hits.items()):
-        item = ix.items[k]
-        size = min(least, len(item))
-        found = tiles(_near(w, np.array(sorted(set(at))), size), item, size)
-        covered = sum(n for _, _, n in found)
-        if covered >= coverage * len(item):
-            out.append((ix.ids[k], len(item), covered, len(found), covered / len(item)))
-    return out
+        n = hi - lo
+        at = np.repeat(np.arange(len(h)), n)
+        if not len(at):
+            continue
+        owner = ix.owner[np.arange(len(at)) + np.repeat(lo - (np.cumsum(n) - n), n)]
+        by = np.argsort(owner, kind="stable")
+        owner, at = owner[by], at[by]
+        first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+        enough = (_spanned(at, size, first) >= ix.need[owner[first]]) & (ix.sizes[owner[first]] == size)
+        for a, b in zip(first[enough].tolist(), np.append(first[1:], len(at))[enough].tolist()):
+            k = int(owner[a])
+            item = ix.items[k]
+            mine = np.flatnonzero(np.isin(windows(item, size), h[at[a:b]]))
+            if _spanned(mine, size, np.zeros(1, np.int64))[0] < ix.need[k]:
+                continue
+            found = tiles(_near(w, at[a:b], size), item, size)
+            covered = sum(x for _, _, x in found)
+            if covered >= ix.need[k]:
+                out.append((k, covered, len(found)))
+    return [(ix.ids[k], len(ix.items[k]), covered, many, covered / len(ix.items[k])) for k, covered, many in sorted(out)]
+
+
+def _hashed(batches):
+    claim("words")
+    for batch in batches:
+        found = [words(t) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([len(w) for w in found], pa.int64()), pa.array([w.tobytes() for w in found], pa.binary())], ["item_id", "n", "words"])
 
 
 def _blocks(benchmark: DataFrame):
-    """The benchmark in blocks of bounded size, read row by row."""
-    block, n = [], 0
-    for r in benchmark.select("item_id", "text").toLocalIterator():
-        size = (r.text or "").count(" ") + 1
-        if block and (len(block) >= BLOCK_ITEMS or n + size > BLOCK_WORDS):
-            yield block
-            block, n = [], 0
-        block.append((r.item_id, r.text))
-        n += size
-    if block:
-        yield block
+    """The benchmark's items (id, word hashes) in blocks of about the bounded size, each of which one job brings."""
+    items = benchmark.select("item_id", "text").where("item_id is not null").mapInArrow(_hashed, "item_id long, n long, words binary").where("n > 0")
+    items = written(items, "items")
+    total = items.agg(F.count("*").alias("items"), F.sum("n").alias("words")).first()
+    size = max(total["items"] / BLOCK_ITEMS, (total["words"] or 0) / BLOCK_WORDS)
+    blocks = 1 if size <= 1 else int(1.2 * size) + 1
+    for k in range(blocks if total["items"] else 0):
+        found = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).select("item_id", "words").collect()
+        if found:
+            yield sorted(((r.item_id, np.frombuffer(bytes(r.words), np.uint64)) for r in found), key=lambda x: (x[0], x[1].tobytes()))
+    release(items)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: float = COVERAGE) -> DataFrame:
@@ -171,42 +198,45 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, cove
     (item_id, text) of the benchmark.
 
     Items of fewer than `least` words must occur whole. Null and empty texts, and items without an id, hold and match nothing;
-    a null doc_id is reported as null; repeated rows are reported each; empty tables give no rows; other columns
-    are ignored. The benchmark is broadcast in blocks of bounded size, one pass over docs for each.
+    a null doc_id is reported as null; repeated rows and repeated items are reported each; of equally long matches the one that
+    begins first becomes a tile; a text is searched whole, however long; empty tables give no rows; other columns
+    are ignored. The benchmark is hashed by the workers and broadcast in blocks of bounded size, one pass over docs for each.
     """
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64()]
     out = None
     for block in _blocks(benchmark):
-        part = docs.select("doc_id", "text").mapInArrow(_scanner(docs, block, least, coverage, None), RESULT)
+        found = _scanner(docs, block, least, coverage)
+
+        def run(batches, found=found):
+            for batch in batches:
+                rows = [(d, *f) for d, fs in zip(batch.column(0).to_pylist(), found(batch)) for f in fs]
+                cols = list(zip(*rows)) or [()] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "item_id", "item_words", "covered", "tiles", "coverage"])
+
+        part = docs.select("doc_id", "text").mapInArrow(run, RESULT)
         out = part if out is None else out.union(part)
     return docs.sparkSession.createDataFrame([], RESULT) if out is None else out
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: float = COVERAGE) -> DataFrame:
-    """The rows of docs, all columns as they are, that hold no item of the benchmark."""
+    """The rows of docs, all columns as they are, that hold no item of the benchmark, as contaminated() has it: rows with a null or
+    empty text stay, repeated rows stay or go together, an empty benchmark or table changes nothing, and columns of any name pass through."""
     for block in _blocks(benchmark):
-        docs = docs.mapInArrow(_scanner(docs, block, least, coverage, docs.columns), docs.schema)
+        found = _scanner(docs, block, least, coverage)
+        docs = filtered(docs, lambda batch, found=found: [not f for f in found(batch)])
     return docs
 
 
-def _scanner(docs: DataFrame, block, least: int, coverage: float, carry):
-    sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(index(block, least)))
+def _scanner(docs: DataFrame, block, least: int, coverage: float):
+    """A function from a batch (doc_id, text) to what scan() finds of the block in each text."""
+    sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(index(block, least, coverage)))
     stamp = uuid.uuid4().hex
 
-    def run(batches):
+    def found(batch):
         claim("words")
         if stamp not in _LIVE:
             _LIVE.clear()
             _LIVE[stamp] = pickle.loads(sent.value)
-        ix = _LIVE[stamp]
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            found = [scan(ix, t, least, coverage) for t in texts]
-            if carry:
-                yield batch.filter(pa.array([not f for f in found], pa.bool_()))
-                continue
-            rows = [(d, *f) for d, fs in zip(batch.column(0).to_pylist(), found) for f in fs]
-            cols = list(zip(*rows)) or [()] * 6
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "item_id", "item_words", "covered", "tiles", "coverage"])
+        return [scan(_LIVE[stamp], t, least) for t in batch.column(1).to_pylist()]
 
-    return run
+    return found
