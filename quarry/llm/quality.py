@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import WS, small, written
+from quarry.llm.common import WS, quoted, small, written
 
 SYMBOLS = "#*$%&|<>"
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -132,7 +132,7 @@ def fit(rows: DataFrame, steps: int = STEPS, share: float = SHARE, least: int =
     sizes = ok.groupBy("_lang", "_source").agg(F.count("*").alias("_size"))
     names = written(sizes.select(F.col("_lang").alias("_l"), F.col("_source").alias("_s"), name.alias("_g")), "groups")
     groups = names.count()
-    ok = _grouped(ok, names, groups)
+    ok = written(_grouped(ok, names, groups).select("_g", *[f"_x{i}" for i in range(DIMS)]), "vectors")
     # the first centre: each coordinate's median and median absolute deviation, on a grid that bounds what is held
     medians = ok.groupBy("_g").agg(*[F.percentile(F.round(F.col(f"_x{i}"), 2), F.lit(0.5)).alias(f"m{i}") for i in range(DIMS)])
     near = ok.join(small(medians, groups, GROUPS), "_g")
@@ -162,8 +162,9 @@ def _verdicts(rows: DataFrame, fitted: tuple[DataFrame, DataFrame, int], reject:
 def judged(docs: DataFrame, reject: float = REJECT) -> DataFrame:
     """One row per row of docs (doc_id, text, lang, source): doc_id, STATS, base_failed, kept, distance.
 
-    A null text has no words and fails. Null languages and sources are values like any other; groups of
-    fewer than LEAST documents that pass the base rules are judged together as one group. Repeated rows count each;
+    A null or empty text has no words and fails; a long one is described whole. Null languages and sources are values like any
+    other, and a null id passes through; groups of fewer than LEAST documents that pass the base rules are judged together as one
+    group. Documents tied at the share's edge are all kept for the estimate; repeated rows count each;
     an empty table gives an empty table; other columns are ignored.
     """
     rows = written(_described(docs, [F.col("doc_id")]), "statistics")
@@ -172,11 +173,11 @@ def judged(docs: DataFrame, reject: float = REJECT) -> DataFrame:
 
 
 def kept_only(docs: DataFrame, reject: float = REJECT) -> DataFrame:
-    """The rows of docs, all columns as they are, that judged() keeps. Texts are described a second time instead of being
-    joined with their verdicts, so no text is shuffled and repeated ids do no harm."""
-    fitted = fit(written(_described(docs, [F.lit(0).alias("none")]), "statistics"))
-    out = _verdicts(_described(docs, [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")]), fitted, reject)
-    return out.where("kept").select("_row.doc.*")
+    """The rows of docs, all columns as they are, that judged() keeps, with the same treatment of nulls, small groups and repeated
+    rows (each row is judged for itself, so rows with one id may part); an empty table gives an empty table. Rows are written once
+    beside their statistics: texts are described once, and none is shuffled."""
+    rows = written(_described(docs, [F.struct(*[quoted(c) for c in docs.columns]).alias("doc")]), "statistics")
+    return _verdicts(rows, fit(rows), reject).where("kept").select("_row.doc.*")
 
 
 def _scaled(est: DataFrame, share: float) -> DataFrame:
