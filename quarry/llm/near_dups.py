@@ -7,7 +7,8 @@ when it falls under the chosen miss probability. Survivors are verified on their
 
 No bucket is expanded into all its pairs. First each member is paired with one centre of its bucket, drawn
 anew in each band; verified links give components. Then only pairs across components are left to
-look at: buckets that still hold several components are compared inside tasks, in blocks of bounded size.
+look at: in buckets that still hold several components, the members outside the largest one are compared with all members
+inside tasks, in blocks of bounded size.
 Members with a survivor across components come out, meet their full sets, and are verified in the block, which gives
 fewer links than it has members. Links inside a component are settled already.
 """
@@ -32,7 +33,7 @@ BANDS, ROWS, HASHES = 24, 3, 96
 #: Signature batches after which a pair may be dropped, and the probability of losing a true link in all of them.
 STEPS, MISS = (16, 32, 64, 96), 1e-6
 #: Members of a bucket that meet in one block; rows of a list of ids that may be broadcast.
-BLOCK, BROADCAST = 512, 1_000_000
+BLOCK, BROADCAST = 512, 200_000
 BLOCK_ROWS = "key long, p int, q int, node long, component long, side int, band int, sig binary"
 BLOCK_NAMES = [x.split()[0] for x in BLOCK_ROWS.split(", ")]
 
@@ -311,10 +312,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, miss: float = MISS)
     sk = written(docs.select("doc_id", "text").mapInArrow(_sketch, "doc_id long, n long, c1 long, c2 long, sig binary"), "sketches")
     classes = sk.where("c1 is not null").groupBy("c1", "c2").agg(F.min("doc_id").alias("node"), F.count("*").alias("n_class"), F.any_value("sig").alias("sig"))
     reps = written(classes, "classes")
-    banded = reps.select("node", "sig").mapInArrow(_banded, "node long, band int, key long")
+    banded = written(reps.select("node", "sig").mapInArrow(_banded, "node long, band int, key long"), "banded")
     draw = F.struct(F.xxhash64("node", "band").alias("h"), "node")
     shared = banded.groupBy("key").agg(F.count("*").alias("size"), F.max(draw)["node"].alias("centre")).where("size > 1")
     members = written(banded.join(shared, "key"), "members")
+    release(banded)
     busy = written(members.select(F.col("node").alias("_node")).distinct(), "busy")
     sigs = written(reps.select("node", "sig").join(small(busy, busy.count(), BROADCAST), F.col("node") == F.col("_node"), "left_semi"), "signatures")
     pairs = members.where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
@@ -324,15 +326,20 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, miss: float = MISS)
     # buckets that still hold several components
     named = members.join(first.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("key", "band", "node", "size", F.coalesce("component", "node").alias("component"))
     named = written(named, "named")
-    mixed = named.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo < _hi").select("key")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    dealt = named.join(mixed, "key", "left_semi").select("*", mine.alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    mixed = written(named.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo < _hi").select("key"), "mixed")
+    inside = written(named.join(small(mixed, mixed.count(), BROADCAST), "key", "left_semi"), "inside")
+    # the members of a bucket's largest component meet the other members only, not each other
+    parts = inside.groupBy("key", "component").agg(F.count("*").alias("n"))
+    largest = written(parts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all")).select("key", "top.n", F.col("top.component").alias("_top"), (F.col("all") - F.col("top.n")).alias("rest")), "largest")
+    met = inside.join(small(largest, largest.count(), BROADCAST), "key").select("*", F.ceil(F.col("n") / BLOCK).cast("int").alias("_n"), F.ceil(F.col("rest") / BLOCK).cast("int").alias("_r"))
+    big, h = F.col("component") == F.col("_top"), F.xxhash64("node")
+    mine = F.when(big, F.pmod(h, "_n")).otherwise(F.col("_n") + F.pmod(h, "_r")).cast("int")
+    dealt = met.select("*", mine.alias("mine"), F.explode(F.sequence(F.when(big, F.col("_n")).otherwise(0), F.col("_n") + F.col("_r") - 1)).alias("other"))
     dealt = dealt.select("key", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "node", "component", (F.col("mine") > F.col("other")).cast("int").alias("side"), "band")
     full = dealt.join(sigs.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node")).select(*BLOCK_NAMES)
     more = _across(docs, full, need, percent)
     final = connected(links.union(more))
-    for t in (members, busy, sigs, star, named):
+    for t in (members, busy, sigs, star, named, mixed, inside, largest):
         release(t)
     put = reps.select("c1", "c2", "node", "n_class").join(final.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select(F.col("c1").alias("_c1"), F.col("c2").alias("_c2"), "n_class", F.coalesce("component", "node").alias("component"))
     put = written(put, "components")
