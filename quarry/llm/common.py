@@ -10,7 +10,9 @@ import re
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,3 +106,28 @@ def filtered(docs: DataFrame, judge) -> DataFrame:
             yield batch.filter(pa.array(judge(batch.select(at)), pa.bool_()))
 
     return plain.mapInArrow(run, plain.schema).toDF(*names)
+
+
+#: Bytes of text that a worker looks at together, and symbols of a longer text.
+BATCH, PIECE = 4 << 20, 1 << 20
+_GAP = re.compile(r"[ \t-\r]")
+
+
+def by_bytes(batch: pa.RecordBatch, most: int = BATCH):
+    """The batch (doc_id, text) in slices of at most so many bytes of text, or one row."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy().astype(np.int64))
+    at = 0
+    while at < len(size):
+        to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def pieces(text: str, most: int = PIECE):
+    """A text cut at white space into pieces of about so many symbols, so that a very long one never lies in a worker as a list of words."""
+    at = 0
+    while at < len(text):
+        gap = _GAP.search(text, at + most) if len(text) - at > most else None
+        to = gap.start() if gap else len(text)
+        yield text[at:to] if at or gap else text
+        at = to

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.llm.common import filtered
+from quarry.llm.common import by_bytes, filtered, pieces
 from quarry.llm.tokens import caches, claim
 
 UNKNOWN = "und"
@@ -195,8 +195,10 @@ def _judge(docs: DataFrame, model: Model):
         claim("langid")
         if _LIVE.get("stamp") != stamp:
             _LIVE.update(stamp=stamp, model=pickle.loads(sent.value), words={}, table=None)
-        model = _LIVE["model"]
-        lang, score = predict(model, batch.column(1).to_pylist())
+        model, lang, score = _LIVE["model"], [], []
+        for part in by_bytes(batch):
+            a, b = predict(model, part.column(1).to_pylist())
+            lang, score = lang + a, score + b
         return lang, score, [name != UNKNOWN and s >= model.threshold for name, s in zip(lang, score)]
 
     return judge
@@ -214,28 +216,35 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], list[floa
     k = len(model.langs)
     known, table = _LIVE.get("words"), _LIVE.get("table")
     if known is None or table is None or len(known) > CACHE_WORDS or _LIVE.get("model") is not model:
-        known, table = {}, np.zeros((0, k + 1), np.float64)
-        _LIVE.update(words=known, table=table, model=model)
-    split = [t.lower().encode().split() if k and has_letter(t) else [] for t in texts]
-    new = list(dict.fromkeys(w for words in split for w in words if w not in known))
-    if new:
-        rows = np.zeros((len(new), k + 1))
-        for at in range(0, len(new), 50_000):
-            part = new[at : at + 50_000]
-            ids, own = features(part)
-            for c in range(k):
-                rows[at : at + len(part), c] = np.bincount(own, model.scores[ids, c], len(part))
-            rows[at : at + len(part), k] = np.bincount(own, minlength=len(part))
-        known.update(zip(new, range(len(table), len(table) + len(new))))
-        table = np.concatenate([table, rows])
-        _LIVE["table"] = table
+        known, table = {}, np.zeros((65_536, k + 1), np.float64)
+        _LIVE.update(words=known, table=table, rows=0, model=model)
     langs, scores = [], []
-    for words in split:
-        if not words:
+    for text in texts:
+        total, some = np.zeros(k + 1), False
+        for piece in pieces(text) if k and has_letter(text) else ():
+            words = piece.lower().encode().split()
+            new = list(dict.fromkeys(w for w in words if w not in known))
+            if new:
+                rows = np.zeros((len(new), k + 1))
+                for at in range(0, len(new), 50_000):
+                    part = new[at : at + 50_000]
+                    ids, own = features(part)
+                    for c in range(k):
+                        rows[at : at + len(part), c] = np.bincount(own, model.scores[ids, c], len(part))
+                    rows[at : at + len(part), k] = np.bincount(own, minlength=len(part))
+                held = _LIVE["rows"]
+                if held + len(new) > len(table):
+                    table = _LIVE["table"] = np.concatenate([table, np.zeros((max(len(table), len(new)), k + 1))])
+                table[held : held + len(new)] = rows
+                known.update(zip(new, range(held, held + len(new))))
+                _LIVE["rows"] = held + len(new)
+            if words:
+                some = True
+                total += table[np.fromiter(map(known.__getitem__, words), np.int64, len(words))].sum(0)
+        if not some:
             langs.append(UNKNOWN)
             scores.append(0.0)
             continue
-        total = table[np.fromiter(map(known.__getitem__, words), np.int64, len(words))].sum(0)
         p = _softmax(((total[:k] / max(total[k], 1) + model.bias) / model.temperature)[None])[0]
         best = int(p.argmax())
         langs.append(model.langs[best])

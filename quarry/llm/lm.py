@@ -8,11 +8,14 @@ Events are the words learned from and one unknown word, as in the add-one base.
 * a restaurant for every context of training, over all words. Its parent is the root (contexts that are classes of their
   own) or the last class's context restaurant (all others), with the words' restaurant below it.
 
-The upper restaurants have a fixed size and are seated on the driver. In a context each sweep seats all customers of
-all dishes anew, given the tables of the sweep before; predictive probabilities are averaged over the sweeps after
-burn-in. Tokens meet in buckets by context, as packed arrays. A hot context (over half of a bucket) is dealt over all
-buckets by word: given the context's tables in all, its dishes are independent. These tables come from a pass over
-distinct (context, word) counts.
+The upper restaurants have a fixed size and are seated on the driver. Gibbs sampling is over tables: a step draws the number of
+tables of a dish from its conditional distribution given all other dishes' tables, with the seatings of its customers summed out
+(generalised Stirling numbers). A sweep takes all dishes so; predictive probabilities are averaged over the sweeps after
+burn-in. A hot context (over one part in HOT of a bucket) has its number of tables found beforehand, from distinct (context, word)
+counts; given that, its dishes are independent. So the PAIRS most frequent dishes of hot contexts are scored once and broadcast, and
+their tokens never travel. All other tokens meet in buckets, by context or, of hot contexts, by context and word, as packed arrays that
+name a document by its number in a part (some millions of tokens of one task); a bucket sends back one number for each
+document of a part, and each part adds them up.
 
 Every training text is counted; the base is exact. Counts of the FREQUENT most frequent words are broadcast,
 other words meet their counts in a join.
@@ -34,14 +37,15 @@ from pyspark.sql import functions as F
 from quarry.llm.common import written
 from quarry.llm.tokens import caches, claim
 
-SYMBOLS, FREQUENT = 512, 524_288
-SWEEPS, BURN_IN, MOVES, STRENGTH = 6, 2, 3, 0.5
+SYMBOLS, FREQUENT, PAIRS = 512, 524_288, 1_000_000
+#: Sweeps over contexts, and those that are not averaged; sweeps over the upper restaurants, of which a third is not.
+SWEEPS, BURN_IN, CLASS_SWEEPS, STRENGTH = 6, 2, 15, 0.5
 #: Discounts of class contexts, of the words' restaurant and of contexts.
 D_CLASS, D_WORDS, D_CONTEXT = 0.5, 0.6, 0.6
-#: Bytes of text, and about how many tokens of a bucket, that a task handles at once; points at which a hot context's tables are tried.
-BATCH, BUCKET, POINTS = 2_000_000, 600_000, 12
+#: Bytes of text, and about how many tokens of a part and of a bucket, that a task handles at once; points at which a hot context's tables are tried.
+BATCH, PART, BUCKET, POINTS = 2_000_000, 3_000_000, 600_000, 12
 #: A context is hot over one part in HOT of a bucket.
-HOT = 2
+HOT = 16
 
 _rng = np.random.default_rng(33)
 _TABLE = _rng.integers(0, 1 << 64, (8, 256), dtype=np.uint64)
@@ -131,6 +135,7 @@ class Hashed:
     """An open-addressing hash table from 64-bit integers to places, looked up for whole arrays at once."""
 
     def __init__(self, keys: np.ndarray):
+        self.given = keys
         self.bits = max(4, int(np.ceil(np.log2(max(len(keys), 1) * 2.5))))
         self.keys, self.place = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int32)
         at, slot = np.arange(len(keys)), self._slot(keys)
@@ -140,6 +145,9 @@ class Hashed:
             lost = self.place[slot] != at
             at, slot = at[lost], (slot[lost] + 1) & ((1 << self.bits) - 1)
 
+    def __reduce__(self):
+        return Hashed, (self.given,)
+
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
@@ -157,107 +165,63 @@ class Hashed:
 
 # --- seating -----------------------------------------------------------------------------------------------
 
+#: Customers up to which the tables of a dish are drawn from their exact conditional distribution.
+EXACT = 64
+_STIRLING: dict[float, np.ndarray] = {}
+
+
+def stirling(discount: float) -> np.ndarray:
+    """Logarithms of the generalised Stirling numbers: in how many weighted ways n customers sit at t tables, for n and t up to EXACT."""
+    if discount not in _STIRLING:
+        out = np.full((EXACT + 1, EXACT + 1), -np.inf)
+        out[1, 1] = 0.0
+        with np.errstate(divide="ignore"):
+            for n in range(1, EXACT):
+                t = np.arange(1, EXACT + 1)
+                out[n + 1, 1:] = np.logaddexp(out[n, :-1], out[n, 1:] + np.log(np.maximum(n - discount * t, 0)))
+        _STIRLING[discount] = out
+    return _STIRLING[discount]
+
 
-class Seating:
-    """Restaurants with their dishes: dish i is served in restaurant at[i] of `count`, to customers[i] at tables[i] tables."""
-
-    def __init__(self, at: np.ndarray, count: int, discount: float, rng):
-        self.at, self.count, self.d, self.rng = at, count, discount, rng
-        self.sum_e, self.sum_g, self.n = np.zeros(len(at)), np.zeros(count), 0
-
-    def totals(self) -> tuple[np.ndarray, np.ndarray]:
-        return np.bincount(self.at, self.customers, self.count), np.bincount(self.at, self.tables, self.count)
-
-    def seat(self, customers: np.ndarray, base: np.ndarray) -> None:
-        """Seat all customers anew, in blocks that grow with those already seated."""
-        self.customers, self.tables = customers, np.minimum(customers, 1)
-        seated = self.tables.copy()
-        open_ = np.flatnonzero(seated < customers)
-        while len(open_):
-            t = self.totals()[1]
-            m = np.minimum(np.maximum(seated[open_] // 8, 1), customers[open_] - seated[open_])
-            new = (STRENGTH + self.d * t[self.at[open_]]) * base[open_]
-            p = new / (new + seated[open_] - self.d * self.tables[open_])
-            self.tables[open_] += self.rng.binomial(m, np.clip(p, 0, 1))
-            seated[open_] += m
-            open_ = open_[seated[open_] < customers[open_]]
-        # the customers over the tables: each table one, the others by random shares
-        self.owner = np.repeat(np.arange(len(self.at)), self.tables)
-        share = self.rng.gamma(1 - self.d, size=len(self.owner)) + 1e-12
-        share /= np.bincount(self.owner, share, len(self.at))[self.owner]
-        self.size = 1 + np.floor((customers - self.tables)[self.owner] * share).astype(np.int64)
-        lack = customers - np.bincount(self.owner, self.size, len(self.at)).astype(np.int64)
-        has = self.tables > 0
-        self.size[(np.cumsum(self.tables) - self.tables)[has]] += lack[has]
-
-    def move(self, base: np.ndarray) -> None:
-        """One Gibbs step: a random customer of each dish with two or more leaves its table and sits down again."""
-        dish = np.flatnonzero(self.customers > 1)
-        if not len(dish):
-            return
-        start = np.cumsum(self.customers) - self.customers
-        self.size[np.searchsorted(np.cumsum(self.size), start[dish] + self.rng.integers(0, self.customers[dish]), "right")] -= 1
-        keep = self.size > 0
-        self.owner, self.size = self.owner[keep], self.size[keep]
-        self.tables = np.bincount(self.owner, minlength=len(self.at))
-        t = self.totals()[1]
-        new = (STRENGTH + self.d * t[self.at[dish]]) * base[dish]
-        old = self.customers[dish] - 1 - self.d * self.tables[dish]
-        fresh = self.rng.random(len(dish)) * (new + old) < new
-        stay = dish[~fresh]
-        if len(stay):  # at an old table, by its size less the discount
-            weight = self.size - self.d
-            ends = np.cumsum(weight)
-            first = (np.cumsum(self.tables) - self.tables)[stay]
-            last = first + self.tables[stay] - 1
-            low = ends[first] - weight[first]
-            pick = np.searchsorted(ends, low + (ends[last] - low) * self.rng.random(len(stay)), "right")
-            self.size[np.clip(pick, first, last)] += 1
-        if fresh.any():
-            owner = np.concatenate([self.owner, dish[fresh]])
-            by = np.argsort(owner, kind="stable")
-            self.owner, self.size = owner[by], np.concatenate([self.size, np.ones(fresh.sum(), np.int64)])[by]
-            self.tables = np.bincount(self.owner, minlength=len(self.at))
-
-    def gather(self) -> None:
-        c, t = self.totals()
-        self.sum_e += (self.customers - self.d * self.tables) / (STRENGTH + c[self.at])
-        self.sum_g += (STRENGTH + self.d * t) / (STRENGTH + c)
-        self.n += 1
-
-    def own(self) -> np.ndarray:
-        """Averaged probability of each dish from the restaurant itself."""
-        return self.sum_e / self.n
-
-    def back(self) -> np.ndarray:
-        """Averaged weight of the parent, for each restaurant."""
-        return self.sum_g / self.n
-
-
-def drawn(customers: np.ndarray, new: np.ndarray, rng) -> np.ndarray:
-    """Tables of each dish when all its customers are seated anew; new: the weight of a new table (given all tables of
-    the restaurant, so that dishes are independent). Customers are seated in blocks of an eighth of those seated."""
+def drawn(customers: np.ndarray, rest: np.ndarray, base: np.ndarray, discount: float, rng) -> np.ndarray:
+    """One Gibbs step: tables of each dish, given all other dishes of its restaurant. rest: strength plus discount times the others' tables;
+    base: the parent's probability of the dish. t tables weigh stirling(n, t) times, for each of them, (rest + discount for each table before
+    it) times base. Beyond EXACT customers t is one and a Poisson number, with the mean of that law by its saddle point."""
     tables = np.minimum(customers, 1)
-    open_ = np.flatnonzero(customers > 1)
-    n, w, t, seated = customers[open_], new[open_], np.ones(len(open_), np.int64), np.ones(len(open_), np.int64)
-    while len(open_):
-        m = np.minimum(np.maximum(seated // 8, 1), n - seated)
-        t += rng.binomial(m, w / (w + seated - D_CONTEXT * t))
-        seated += m
-        go = seated < n
-        tables[open_[~go]] = t[~go]
-        open_, n, w, t, seated = open_[go], n[go], w[go], t[go], seated[go]
+    rest, base = np.broadcast_to(rest, customers.shape), np.broadcast_to(base, customers.shape)
+    few = np.flatnonzero((customers > 1) & (customers <= EXACT))
+    few = few[np.argsort(customers[few], kind="stable")]
+    size, first = np.unique(customers[few], return_index=True)
+    for n, a, b in zip(size.tolist(), first.tolist(), np.append(first[1:], len(few)).tolist()):
+        ways = stirling(discount)[n, 1 : n + 1]
+        for at in range(a, b, max(1, 2_000_000 // n)):
+            rows = few[at : min(b, at + max(1, 2_000_000 // n))]
+            weight = np.cumsum(np.log((rest[rows, None] + discount * np.arange(n)) * base[rows, None]), axis=1) + ways
+            share = np.cumsum(np.exp(weight - weight.max(1, keepdims=True)), axis=1)
+            tables[rows] = 1 + (share < (rng.random(len(rows)) * share[:, -1])[:, None]).sum(1)
+    many = np.flatnonzero(customers > EXACT)
+    if len(many):
+        n, mean = customers[many].astype(float), np.zeros(len(many))
+        for _ in range(3):  # the dish's own tables count half, on average, in the weight of a new one
+            c = (rest[many] + discount * mean / 2) * base[many]
+            low, high = np.full(len(many), -80.0), np.zeros(len(many))  # of the logarithm of y in c (1 - y) y ** (discount - 1) = n
+            for _ in range(40):
+                mid = (low + high) / 2
+                over = np.log(c) + np.log1p(-np.exp(np.minimum(mid, -1e-12))) + (discount - 1) * mid > np.log(n)
+                low, high = np.where(over, mid, low), np.where(over, high, mid)
+            mean = c / discount * -np.expm1(discount * low)
+        tables[many] = np.minimum(1 + rng.poisson(np.minimum(mean, n)), customers[many])
     return tables
 
 
 def contexts(at: np.ndarray, customers: np.ndarray, base: np.ndarray, total: np.ndarray, held: np.ndarray, rng) -> np.ndarray:
     """Predictive probability of each dish: dish i is served in restaurant at[i] to customers[i], with base[i] the parent's
     probability. total: customers of each restaurant; held: its tables where they are known, or NaN where all its dishes are here."""
-    known = ~np.isnan(held)
-    tables = np.where(known, held, np.bincount(at, customers > 0, len(total)))
+    known, own = ~np.isnan(held), np.minimum(customers, 1)
+    tables = np.where(known, held, np.bincount(at, own, len(total)))
     out = np.zeros(len(at))
     for sweep in range(SWEEPS):
-        own = drawn(customers, (STRENGTH + D_CONTEXT * tables[at]) * base, rng)
+        own = drawn(customers, STRENGTH + D_CONTEXT * np.maximum(tables[at] - own, 0), base, D_CONTEXT, rng)
         tables = np.where(known, held, np.bincount(at, own, len(total)))
         if sweep >= BURN_IN:
             out += customers - D_CONTEXT * own + (STRENGTH + D_CONTEXT * tables[at]) * base
@@ -270,36 +234,34 @@ def classes(counts: np.ndarray, seed: int = 3) -> np.ndarray:
 
 
 def class_restaurants(counts: np.ndarray, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """classes(), and the root's probability of each class."""
+    """classes(), and the root's probability of each class: each sweep draws the contexts' tables, sends them to the root as
+    customers, and draws the root's tables; the probabilities of whole sweeps are averaged."""
     rng, k = np.random.default_rng(seed), len(counts)
     context, dish = np.nonzero(counts)
-    low = Seating(context, k, D_CLASS, rng)
-    root = Seating(np.zeros(k, np.int64), 1, D_CLASS, rng)
-    flat = np.full(k, 1 / k)
-    top = np.full(k, 1 / k)
-    for sweep in range(SWEEPS):
-        low.seat(counts[context, dish], top[dish])
-        for _ in range(MOVES):
-            low.move(top[dish])
-        root.seat(np.bincount(dish, low.tables, k).astype(np.int64), flat)
-        for _ in range(MOVES):
-            root.move(flat)
-        c, t = root.totals()
-        top = (root.customers - root.d * root.tables + (STRENGTH + root.d * t[0]) * flat) / (STRENGTH + c[0])
-        if sweep >= BURN_IN:
-            low.gather()
-            root.gather()
-    parent = root.own() + root.back()[0] * flat
-    out = low.back()[:, None] * parent[None, :]
-    out[context, dish] += low.own()
-    return out, parent
+    n, flat = counts[context, dish], 1 / k
+    low, parent = np.minimum(n, 1), np.full(k, flat)
+    top = np.zeros(k, np.int64)
+    size = np.bincount(context, n, k)
+    out, above = np.zeros((k, k)), np.zeros(k)
+    for sweep in range(CLASS_SWEEPS):
+        low = drawn(n, STRENGTH + D_CLASS * (np.bincount(context, low, k)[context] - low), parent[dish], D_CLASS, rng)
+        sent = np.bincount(dish, low, k).astype(np.int64)
+        top = np.minimum(np.maximum(top, 1), sent)
+        top = drawn(sent, STRENGTH + D_CLASS * (top.sum() - top), flat, D_CLASS, rng)
+        parent = (sent - D_CLASS * top + (STRENGTH + D_CLASS * top.sum()) * flat) / (STRENGTH + sent.sum())
+        if sweep >= CLASS_SWEEPS // 3:
+            out += ((STRENGTH + D_CLASS * np.bincount(context, low, k)) / (STRENGTH + size))[:, None] * parent
+            out[context, dish] += (n - D_CLASS * low) / (STRENGTH + size[context])
+            above += parent
+    done = CLASS_SWEEPS - CLASS_SWEEPS // 3
+    return out / done, above / done
 
 
 class Words:
     """The restaurant of the last class's words: probability as a function of a word's count (0: unknown).
 
-    Over a uniform base words of one count are alike, so one seating is sampled for each count (on a grid: counts
-    apart by an eighth), and tables between are interpolated."""
+    Over a uniform base words of one count are alike, so tables are drawn for each count (on a grid: counts
+    apart by an eighth), and those between are interpolated."""
 
     def __init__(self, histogram: list[tuple[int, int]], seed: int = 4):
         """histogram: (count, words with it)."""
@@ -312,18 +274,14 @@ class Words:
         n = np.zeros(len(grid))
         for c, k in histogram:
             n[np.searchsorted(grid, c, "right") - 1] += k
-        tables = float(self.types)
-        seat = Seating(np.zeros(len(grid), np.int64), 1, D_WORDS, rng)
-        mean = np.ones(len(grid))
-        for sweep in range(SWEEPS):
-            # the restaurant's other tables enter as strength: (STRENGTH + d * tables) * base
-            open_ = np.full(len(grid), base * (STRENGTH + D_WORDS * tables) / (STRENGTH + D_WORDS * len(grid)))
-            seat.seat(grid.copy(), open_)
-            for _ in range(MOVES):
-                seat.move(open_)
-            mean = seat.tables if sweep == 0 else mean + (seat.tables - mean) / (sweep + 1)
-            tables = float((mean * n).sum())
-        self.grid, self.tables = grid, np.asarray(mean, float)
+        tables, mean, done = float(self.types), np.zeros(len(grid)), 0
+        for sweep in range(CLASS_SWEEPS):
+            # the mean of several draws stands for the many words of a count
+            own = np.mean([drawn(grid, np.full(len(grid), STRENGTH + D_WORDS * max(tables - 1, 0)), np.full(len(grid), base), D_WORDS, rng) for _ in range(8)], axis=0)
+            tables = float((own * n).sum())
+            if sweep >= CLASS_SWEEPS // 3:
+                mean, done = mean + own, done + 1
+        self.grid, self.tables = grid, mean / max(done, 1)
         total = sum(n * (c - D_WORDS * float(self.seated(np.array([c]))[0])) for c, n in histogram)
         self.scale = STRENGTH + self.customers
         self.rest = (self.scale - total) / self.scale * base  # what is left is spread over all events
@@ -338,6 +296,10 @@ class Words:
 # --- the operator ------------------------------------------------------------------------------------------
 
 
+def _pair(context: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return (context.astype(np.uint64) << np.uint64(32)) | place.astype(np.uint64)
+
+
 class Model:
     """What is broadcast: the frequent words with their counts and classes, the upper restaurants, the hot contexts."""
 
@@ -348,6 +310,7 @@ class Model:
         self.hot = int((counts * HOT > tokens_ / buckets).sum())
         self.tables = np.zeros(self.hot)
         self.classes, self.root, self.words = np.zeros((0, 0)), None, None
+        self.pairs, self.pair_score = Hashed(np.zeros(0, np.uint64)), np.zeros(0, np.float32)
 
     def look(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """place and class of each token, and those of the token before it."""
@@ -370,6 +333,20 @@ class Model:
         inner = np.where(known, self.inner[np.maximum(place, 0)] if len(self.inner) else 1.0, self.words.probability(count))
         return np.where(own, self.root[symbol], self.classes[SYMBOLS - 1][symbol]) * inner
 
+    def score_pairs(self, context: np.ndarray, place: np.ndarray, customers: np.ndarray) -> None:
+        """Keep the scores of dishes (places of hot contexts and of words), as contexts() has them for known tables."""
+        base = self.base(context, place, np.zeros(len(place), np.int64))
+        p = contexts(context, customers, base, self.counts[: self.hot], self.tables, np.random.default_rng(len(place)))
+        self.pairs, self.pair_score = Hashed(_pair(context, place)), np.log10(p).astype(np.float32)
+
+    def scored(self, place0: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Scores of tokens by pairs that are broadcast; NaN for others."""
+        out = np.full(len(place), np.nan, np.float32)
+        at = np.flatnonzero((place0 >= 0) & (place0 < self.hot) & (place >= 0))
+        found = self.pairs.get(_pair(place0[at], place[at]))
+        out[at[found >= 0]] = self.pair_score[found[found >= 0]]
+        return out
+
     def bucket(self, context: np.ndarray, place: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Buckets of tokens: by context, of hot contexts by context and word."""
         x = context * np.uint64(0x9E3779B97F4A7C15)
@@ -434,7 +411,7 @@ def _tried(sent, stamp: str, count: int):
             base = model.base(context, model.index.get(word.view(np.uint64)), np.full(len(n), count))
             for k in range(POINTS):
                 all_ = model.counts[context] ** (k / (POINTS - 1))
-                sums[:, k] += np.bincount(context, drawn(n, (STRENGTH + D_CONTEXT * all_) * base, rng), model.hot)
+                sums[:, k] += np.bincount(context, drawn(n, STRENGTH + D_CONTEXT * all_, base, D_CONTEXT, rng), model.hot)
         context, k = np.nonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(context), pa.array(k), pa.array(sums[context, k])], ["context", "k", "tables"])
 
@@ -453,10 +430,12 @@ def settled(counts: np.ndarray, tried: np.ndarray) -> np.ndarray:
     return out
 
 
-#: To the buckets: packed tokens; or a token whose word is not broadcast, with its word's count; or a document.
-SENT = "bucket long, tokens binary, row long, word long, context long, learn boolean, doc_id long, held_out boolean, n_tokens long, n_known long, base double"
-#: From the buckets: sums to be added for each document.
-ADDED = "row long, doc_id long, held_out boolean, n_tokens long, copies long, n_known long, base double, score double"
+#: To the buckets: packed tokens of a part; or a token whose word is not broadcast (doc is its document's code), then with its word's
+#: count; or the table of a part's documents (doc is -1).
+SENT = "bucket long, part long, data binary, doc long, word long, context long"
+#: From the buckets: tables of documents (kind 0), and sums to be added to them (kind 1).
+ADDED = "part long, kind long, data binary"
+RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 _KINDS = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64(), "binary": pa.binary()}
 
 
@@ -470,118 +449,158 @@ def _identity(part: pa.RecordBatch) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(f"{i}\0{t or ''}") >> 1 for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist())], np.int64)
 
 
-def packed(rows: np.ndarray, of: np.ndarray, learn: np.ndarray, context: np.ndarray, place0: np.ndarray, place: np.ndarray) -> bytes:
-    """Tokens ordered by document: documents with counts and learn; places of context and word (under 2 ** 24) by byte planes; contexts without a place."""
-    first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
-    docs, n = of[first], np.diff(np.append(first, len(of)))
-    planes = [x.astype(np.uint32).view(np.uint8).reshape(-1, 4)[:, :3].T.tobytes() for x in (place0 + 1, place)]
-    return b"".join([np.array([len(docs), len(of)], np.int64).tobytes(), rows[docs].tobytes(), (n * 2 + learn[docs]).astype(np.uint32).tobytes(), *planes, context[place0 < 0].tobytes()])
+def _planes(x: np.ndarray, k: int) -> bytes:
+    """The k low bytes of numbers, byte by byte: high bytes compress to almost nothing."""
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :k].T.tobytes()
+
+
+def _plane_sum(data: bytes, at: int, n: int, k: int) -> np.ndarray:
+    return sum((np.frombuffer(data, np.uint8, n, at + i * n).astype(np.int64) << (8 * i) for i in range(k)), np.zeros(n, np.int64))
+
 
+def _width(x: np.ndarray) -> int:
+    return max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
 
-def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """row, learn, place of the context (-1: none), place of the word of each token; contexts without a place."""
-    docs, n = np.frombuffer(data, np.int64, 2).tolist()
-    rows = np.frombuffer(data, np.int64, docs, 16)
-    many = np.frombuffer(data, np.uint32, docs, 16 + 8 * docs)
-    at = 16 + 12 * docs
-    places = [sum(np.frombuffer(data, np.uint8, n, at + (3 * i + k) * n).astype(np.int64) << (8 * k) for k in range(3)) for i in (0, 1)]
-    return np.repeat(rows, many >> 1), np.repeat((many & 1).astype(bool), many >> 1), places[0] - 1, places[1], np.frombuffer(data[at + 6 * n :], np.uint64)
+
+def packed(doc: np.ndarray, context: np.ndarray, place0: np.ndarray, place: np.ndarray) -> bytes:
+    """Tokens: code of the document, places of context and word (under 2 ** 24), and contexts without a place."""
+    k = _width(doc)
+    return b"".join([np.array([len(doc), k], np.int64).tobytes(), _planes(doc, k), _planes(place0 + 1, 3), _planes(place, 3), context[place0 < 0].tobytes()])
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Code of the document, place of the context (-1: none), place of the word; contexts without a place."""
+    n, k = np.frombuffer(data, np.int64, 2).tolist()
+    return _plane_sum(data, 16, n, k), _plane_sum(data, 16 + k * n, n, 3) - 1, _plane_sum(data, 16 + (k + 3) * n, n, 3), np.frombuffer(data[16 + (k + 6) * n :], np.uint64)
+
+
+#: Columns of a part's table of documents.
+TABLE = (("doc_id", np.int64), ("known_id", np.uint8), ("held", np.uint8), ("n_tokens", np.int64), ("n_known", np.int64), ("base", np.float64), ("score", np.float64))
 
 
 def _dealt(sent, stamp: str, modulus: int, held_out: int, rest: bool):
-    """A row for each document with what the map side knows, and packed tokens for each bucket; or (rest) the tokens whose word is not broadcast."""
+    """For each part the table of its documents, with what the map side knows, and packed tokens for each bucket; or (rest) the tokens
+    whose word is not broadcast. A part is named by its rows, so both passes give it one name."""
 
     def run(batches):
         model = _live(sent, stamp)
         log_base = np.log10((model.counts + 1) / model.total)
-        for part in _parts(batches):
-            n = part.num_rows
-            h, of = tokens(part.column(1))
-            held, rows = _held(part.column(0), modulus, held_out), _identity(part)
+        held: list = []
+
+        def flush():
+            names, tables, arrays = (list(x) for x in zip(*held))
+            part = xxhash.xxh3_64_intdigest(np.concatenate(names).tobytes()) - (1 << 63)
+            first = np.cumsum([0, *map(len, names)])
+            code, context, place0, place, word = (np.concatenate([a[i] + (2 * at if i == 0 else 0) for a, at in zip(arrays, first.tolist())]) for i in range(5))
+            bucket = model.bucket(context, place0, word)
+            if rest:
+                if len(code):
+                    yield _rows(SENT, len(code), bucket=bucket, part=np.full(len(code), part), doc=code, word=word.view(np.int64), context=context.view(np.int64))
+                return
+            data = np.array([first[-1]], np.int64).tobytes() + b"".join(np.concatenate([t[i] for t in tables]).astype(k).tobytes() for i, (_, k) in enumerate(TABLE))
+            yield _rows(SENT, 1, bucket=np.array([part % model.buckets]), part=np.array([part]), doc=np.array([-1]), data=[data])
+            by = np.argsort(bucket, kind="stable")
+            cut = np.flatnonzero(np.diff(bucket[by])) + 1
+            runs = np.split(by, cut) if len(by) else []
+            for at in range(0, len(runs), 256):
+                some = runs[at : at + 256]
+                yield _rows(SENT, len(some), bucket=np.array([bucket[x[0]] for x in some]), part=np.full(len(some), part), data=[packed(code[x], context[x], place0[x], place[x]) for x in some])
+
+        size = 0
+        for batch in _parts(batches):
+            n = batch.num_rows
+            h, of = tokens(batch.column(1))
+            out, names = _held(batch.column(0), modulus, held_out), _identity(batch)
             place, _, place0, _ = model.look(h)
             before = np.concatenate([[END], h[:-1]])
             seen = place >= 0
             if rest:
-                w = np.flatnonzero(~seen)
-                if len(w):
-                    bucket = model.bucket(before[w], place0[w], h[w])
-                    yield _rows(SENT, len(w), bucket=bucket, row=rows[of[w]], word=h[w].view(np.int64), context=before[w].view(np.int64), learn=~held[of[w]])
-                continue
-            base = np.bincount(of, np.where(seen, log_base[place] if len(log_base) else 0.0, 0.0), n)
-            yield _rows(SENT, n, bucket=rows % model.buckets, row=rows, doc_id=part.column(0).cast(pa.int64()), held_out=held, n_tokens=np.bincount(of, minlength=n), n_known=np.bincount(of, seen, n).astype(np.int64), base=base)
-            at = np.flatnonzero(seen)
-            if len(at):
-                bucket = model.bucket(before[at], place0[at], h[at])
-                by = np.argsort(bucket, kind="stable")
-                at, bucket = at[by], bucket[by]
-                first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-                data = [packed(rows, of[x], ~held, before[x], place0[x], place[x]) for x in np.split(at, first[1:])]
-                yield _rows(SENT, len(first), bucket=bucket[first], tokens=data)
+                at, table = np.flatnonzero(~seen), None
+            else:
+                known = model.scored(place0, place)
+                at = np.flatnonzero(seen & np.isnan(known))
+                ids = batch.column(0).cast(pa.int64())
+                base = np.bincount(of, np.where(seen, log_base[place] if len(log_base) else 0.0, 0.0), n)
+                table = (ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False), out, np.bincount(of, minlength=n), np.bincount(of, seen, n), base, np.bincount(of, np.nan_to_num(known), n))
+            held.append((names, table, (of[at] * 2 + ~out[of[at]], before[at], place0[at].astype(np.int32), place[at].astype(np.int32), h[at])))
+            size += len(h)
+            if size >= PART:
+                yield from flush()
+                held, size = [], 0
+        if held:
+            yield from flush()
 
     return run
 
 
 def _scored(sent, stamp: str):
-    """Rows sorted by bucket: sums for each document. After SENT comes the count of the row's word."""
+    """Rows sorted by bucket: tables of documents as they come, and sums for the documents of each part. After SENT comes the count of the
+    row's word."""
 
     def run(batches):
         model, names = _live(sent, stamp), [x.split()[0] for x in SENT.split(", ")] + ["count"]
-        sums = [np.zeros(0, np.int64), *np.zeros((3, 0))]
-        step = 1 << 16
+        number: dict[int, int] = {}  # of the parts seen
+        zero = lambda: [np.zeros(0, np.int64), *np.zeros((3, 0))]
+        sums = zero()
 
         def out():
-            for a in range(0, len(sums[0]), step):
-                row, known, base, score_ = (x[a : a + step] for x in sums)
-                yield _rows(ADDED, len(row), row=row, n_known=known.astype(np.int64), base=base, score=score_)
+            keys = list(number)
+            which = sums[0] >> 32
+            cut = np.flatnonzero(np.diff(which)) + 1
+            runs = np.split(np.arange(len(which)), cut) if len(which) else []
+            for at in range(0, len(runs), 256):
+                some = runs[at : at + 256]
+                yield _rows(ADDED, len(some), part=np.array([keys[which[x[0]]] for x in some]), kind=np.ones(len(some), np.int64), data=[_summed(sums[0][x] & 0xFFFFFFFF, *(v[x] for v in sums[1:])) for x in some])
 
         def finish(held):
-            col = lambda name: np.concatenate([b.column(names.index(name)).to_numpy(zero_copy_only=False) for b in held[1]]) if held[1] else np.zeros(0)
-            parts = [unpacked(x) for x in held[0]]
+            parts = [(number.setdefault(p, len(number)), unpacked(x)) for p, x in held[0]]
             held[0].clear()
-            one = lambda i, kind: np.concatenate([x[i] for x in parts] or [np.zeros(0, kind)])
-            row, learn, place0, place, far = one(0, np.int64), one(1, bool), one(2, np.int64), one(3, np.int64), one(4, np.uint64)
+            one = lambda i, kind: np.concatenate([x[i] for _, x in parts] or [np.zeros(0, kind)])
+            code, place0, place, far = one(0, np.int64), one(1, np.int64), one(2, np.int64), one(3, np.uint64)
+            code |= np.repeat([p for p, _ in parts], [len(x[0]) for _, x in parts]).astype(np.int64) << 33
             parts.clear()
-            context, word = np.zeros(len(row), np.uint64), np.zeros(len(row), np.uint64)
+            context, word = np.zeros(len(code), np.uint64), np.zeros(len(code), np.uint64)
             context[place0 < 0] = far
-            count = np.zeros(len(row), np.int64)
-            lone = len(row)
+            count = np.zeros(len(code), np.int64)
+            lone = len(code)
             if held[1]:
+                col = lambda name: np.concatenate([b.column(names.index(name)).to_numpy(zero_copy_only=False) for b in held[1]])
                 c = col("context").astype(np.int64).view(np.uint64)
-                row, learn = np.append(row, col("row").astype(np.int64)), np.append(learn, col("learn").astype(bool))
+                own = np.array([number.setdefault(p, len(number)) for p in col("part").astype(np.int64).tolist()], np.int64)
+                code = np.append(code, col("doc").astype(np.int64) | (own << 33))
                 context, word = np.append(context, c), np.append(word, col("word").astype(np.int64).view(np.uint64))
                 place0, place = np.append(place0, model.index.get(c)), np.append(place, np.full(len(c), -1))
                 count = np.append(count, np.nan_to_num(col("count").astype(float)).astype(np.int64))
             # contexts and words without a place are numbered after those with one
             size = len(model.counts)
-            number = []
+            ids = []
             for p, h in ((place0, context), (place, word)):
                 p, none = p.copy(), p < 0
                 p[none] = size + np.unique(h[none], return_inverse=True)[1]
-                number.append(p)
-            _, first, dish = np.unique(number[0] << 32 | number[1], return_index=True, return_inverse=True)
-            customers = np.bincount(dish, learn, len(first)).astype(np.int64)
-            c0 = number[0][first]
+                ids.append(p)
+            _, first, dish = np.unique(ids[0] << 32 | ids[1], return_index=True, return_inverse=True)
+            customers = np.bincount(dish, code & 1, len(first)).astype(np.int64)
+            c0 = ids[0][first]
             start = np.flatnonzero(np.append(True, c0[1:] != c0[:-1]))
             at = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(c0))))
             base = model.base(place0[first], place[first], count[first])
             total, tables = np.bincount(at, customers, len(start)), np.full(len(start), np.nan)
             hot = c0[start] < model.hot
             total[hot], tables[hot] = model.counts[c0[start][hot]], model.tables[c0[start][hot]]
-            score_ = np.log10(contexts(at, customers, base, total, tables, np.random.default_rng(len(row))))[dish]
-            known, flat = np.zeros(len(row)), np.zeros(len(row))
+            score_ = np.log10(contexts(at, customers, base, total, tables, np.random.default_rng(len(code))))[dish]
+            known, flat = np.zeros(len(code)), np.zeros(len(code))
             known[lone:], flat[lone:] = count[lone:] > 0, np.log10((count[lone:] + 1) / model.total)
-            u, to = np.unique(np.append(sums[0], row), return_inverse=True)
+            u, to = np.unique(np.append(sums[0], code >> 1), return_inverse=True)
             return [u, *(np.bincount(to, np.append(s, x), len(u)) for s, x in zip(sums[1:], (known, flat, score_)))]
 
         bucket, held = None, ([], [])
         for batch in batches:
             get = {c: batch.column(i) for i, c in enumerate(names)}
-            docs = get["n_tokens"].is_valid()
-            if docs.true_count:
-                d = batch.filter(docs)
-                took = {c: d.column(names.index(c)) for c in ("row", "doc_id", "held_out", "n_tokens", "n_known", "base")}
-                yield _rows(ADDED, d.num_rows, copies=np.ones(d.num_rows, np.int64), score=np.zeros(d.num_rows), **took)
-                batch = batch.filter(pc.invert(docs))
+            tables = pc.fill_null(pc.equal(get["doc"], -1), False)
+            if tables.true_count:
+                d = batch.filter(tables)
+                yield _rows(ADDED, d.num_rows, part=d.column(1), kind=np.zeros(d.num_rows, np.int64), data=d.column(2))
+                batch = batch.filter(pc.invert(tables))
             b = batch.column(0).to_numpy()
             cut = np.flatnonzero(np.diff(b)) + 1
             for a, z in zip(np.append(0, cut).tolist(), np.append(cut, len(b)).tolist()):
@@ -590,12 +609,14 @@ def _scored(sent, stamp: str):
                 if bucket is not None and b[a] != bucket:
                     sums = finish(held)
                     held = ([], [])
-                    if len(sums[0]) > 300_000:
+                    if len(sums[0]) > 1_000_000:
                         yield from out()
-                        sums = [np.zeros(0, np.int64), *np.zeros((3, 0))]
+                        sums = zero()
+                        number.clear()
                 bucket, piece = b[a], batch.slice(a, z - a)
-                blobs = piece.column(1).is_valid()
-                held[0].extend(piece.column(1).drop_null().to_pylist())
+                blobs = piece.column(2).is_valid()
+                some = piece.filter(blobs)
+                held[0].extend(zip(some.column(1).to_pylist(), some.column(2).to_pylist()))
                 if blobs.false_count:
                     held[1].append(piece.filter(pc.invert(blobs)))
         if held[0] or held[1]:
@@ -605,6 +626,50 @@ def _scored(sent, stamp: str):
     return run
 
 
+def _summed(doc: np.ndarray, known: np.ndarray, base: np.ndarray, score_: np.ndarray) -> bytes:
+    """Sums for documents of a part: scores of all; known words and base of those that have words that are not broadcast."""
+    k, some = _width(doc), np.flatnonzero(base)
+    return b"".join([np.array([len(doc), k, len(some)], np.int64).tobytes(), _planes(doc, k), score_.astype("<f4").tobytes(), doc[some].astype("<u4").tobytes(), known[some].astype("<u4").tobytes(), base[some].astype("<f8").tobytes()])
+
+
+def _gathered(batches):
+    """Rows sorted by part: the documents of each part with their sums."""
+
+    def out(tables, sums):
+        if not tables:
+            raise RuntimeError("scores of documents that are not there: the input changed between two passes")
+        n = int(np.frombuffer(tables[0], np.int64, 1)[0])
+        col, at = {}, 8
+        for name, kind in TABLE:
+            col[name] = np.frombuffer(tables[0], kind, n, at)
+            at += n * np.dtype(kind).itemsize
+        added = np.zeros((3, n))
+        for data in sums:
+            m, k, some = np.frombuffer(data, np.int64, 3).tolist()
+            doc = _plane_sum(data, 24, m, k)
+            added[2] += np.bincount(doc, np.frombuffer(data, "<f4", m, 24 + k * m), n)
+            at = 24 + (k + 4) * m
+            who = np.frombuffer(data, "<u4", some, at)
+            added[0] += np.bincount(who, np.frombuffer(data, "<u4", some, at + 4 * some), n)
+            added[1] += np.bincount(who, np.frombuffer(data, "<f8", some, at + 8 * some), n)
+        added /= len(tables)  # parts of the same rows have one name, and as many sums
+        ids = pa.array(col["doc_id"], mask=col["known_id"] == 0)
+        columns = [ids, pa.array(col["held"].astype(bool)), pa.array(col["n_tokens"]), pa.array((col["n_known"] + added[0]).astype(np.int64)), pa.array(col["base"] + added[1]), pa.array(col["score"] + added[2])]
+        for _ in tables:
+            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in RESULT.split(", ")])
+
+    part, tables, sums = None, [], []
+    for batch in batches:
+        for p, kind, data in zip(*(c.to_pylist() for c in batch.columns)):
+            if p != part:
+                if part is not None:
+                    yield from out(tables, sums)
+                part, tables, sums = p, [], []
+            (sums if kind else tables).append(data)
+    if part is not None:
+        yield from out(tables, sums)
+
+
 def score(docs: DataFrame, modulus: int = 7, held_out: int = 2) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity.
 
@@ -642,6 +707,10 @@ def score(docs: DataFrame, modulus: int = 7, held_out: int = 2) -> DataFrame:
         for r in pairs.where("context >= 0").mapInArrow(_tried(*send(), mean), "context long, k long, tables double").groupBy("context", "k").agg(F.sum("tables").alias("t")).collect():
             tried[r.context, r.k] = r.t
         model.tables = settled(counts[: model.hot], tried)
+        words_at = model.index.get
+        best = pairs.where("context >= 0").orderBy(F.desc("n"), "context", "word").limit(PAIRS).toArrow()
+        context, place, n = best.column("context").to_numpy(), words_at(best.column("word").to_numpy().view(np.uint64)), best.column("n").to_numpy()
+        model.score_pairs(context[place >= 0], place[place >= 0].astype(np.int64), n[place >= 0])
     sent, stamp = send()
     dealt = lambda rest: docs.mapInArrow(_dealt(sent, stamp, modulus, held_out, rest), SENT)
     found = words.select(F.col("key").alias("_w"), F.col("n").alias("count"))
@@ -649,9 +718,5 @@ def score(docs: DataFrame, modulus: int = 7, held_out: int = 2) -> DataFrame:
     lone = lone.join(found, F.col("word") == F.col("_w"), "left").select(*lone.columns, "count")
     met = dealt(False).withColumn("count", F.lit(None).cast("long")).unionByName(lone)
     put = met.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_scored(sent, stamp), ADDED)
-    # repeated rows are one here, with as many copies; one row of each copy has the first three values
-    one = [F.max(c).alias(c) for c in ("doc_id", "held_out", "n_tokens")]
-    out = put.groupBy("row").agg(*one, F.sum("copies").alias("copies"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
-    each = [(F.col("n_known") / F.col("copies")).cast("long").alias("n_known"), *((F.col(c) / F.col("copies")).alias(c) for c in ("base_score", "score"))]
-    out = out.select("doc_id", "held_out", "n_tokens", *each, F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    out = put.repartition("part").sortWithinPartitions("part").mapInArrow(_gathered, RESULT)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens_).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))

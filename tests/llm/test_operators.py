@@ -91,6 +91,52 @@ def test_junk_of_two_fifths_of_a_group_does_not_hide_itself(spark):
     assert all(got[i] for i in range(180)) and not any(got[1000 + i] for i in range(120))
 
 
+def determinant(x, start=None):
+    """Concentration steps by definition on the rows of x: centre, covariance with the floors, and its log determinant."""
+    half_up = lambda v: np.floor(v * 100 + 0.5) / 100
+    floor = np.diag(np.square(quality.FLOOR))
+    if start is None:
+        m = np.percentile(half_up(x), 50, axis=0)
+        spread = np.percentile(half_up(np.abs(x - m)), 50, axis=0)
+        return m, np.diag((1.4826 * spread) ** 2) + floor
+    m, c = start
+    mark = half_up(np.log(distances(x, m, c) + 1e-9))
+    kept = x[mark <= np.percentile(mark, 100 * quality.SHARE) + 1e-12]
+    return kept.mean(0), np.cov(kept.T, bias=True) * quality.consistency(quality.SHARE) + floor
+
+
+def distances(x, m, c):
+    return np.einsum("ij,ij->i", x - m, np.linalg.solve(c, (x - m).T).T)
+
+
+def test_verdicts_equal_a_second_estimate(spark):
+    rng = random.Random(21)
+    rows = []
+    for i in range(700):
+        t = prose(rng, rng.randint(25, 200))
+        if i % 9 == 0:
+            t = " ".join(w + "#" * rng.randint(0, 5) for w in t.split())
+        rows.append((i, t, ["en", "fr", None][i % 3] if i < 690 else "xx", "s"))
+    stats = [counted(t) for _, t, *_ in rows]
+    n, chars, symbols, lines, repeats = np.array(stats, float).T
+    ok = (n >= 20) & (100 * repeats <= 30 * n)
+    x = np.stack([np.log1p(n), np.log((chars + 1) / np.maximum(n, 1)), np.sqrt(symbols / (chars + 1)), np.sqrt(lines / np.maximum(n, 1)), np.sqrt(repeats / np.maximum(n, 1))], axis=1)
+    names = [(lang, source) for _, _, lang, source in rows]
+    big = {g for g, k in Counter(g for g, o in zip(names, ok) if o).items() if k >= quality.LEAST}
+    group = np.array([repr(g) if g in big else "" for g in names])
+    models = {g: determinant(x[ok & (group == g)]) for g in set(group)}
+    for step in range(quality.STEPS):
+        last, models = models, {g: determinant(x[ok & (group == g)], m) for g, m in models.items()}
+        if step and not any(np.linalg.slogdet(models[g][1])[1] < np.linalg.slogdet(last[g][1])[1] - quality.STILL for g in models):
+            break
+    d2 = np.array([distances(x[i : i + 1], *models[group[i]])[0] for i in range(len(rows))])
+    got = {r.doc_id: r for r in quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    clear = [i for i in range(len(rows)) if abs(d2[i] / quality.REJECT - 1) > 0.02]
+    assert len(clear) > 680 and all(got[i].kept == bool(ok[i] and d2[i] <= quality.REJECT) for i in clear)
+    assert all(abs(got[i].distance / d2[i] - 1) < 0.01 for i in range(len(rows)) if d2[i] > 1e-6)
+    assert 20 < sum(not r.kept for r in got.values()) < 200
+
+
 def test_consistency_factor():
     rng = np.random.default_rng(0)
     r = np.sort((rng.standard_normal((200_000, 5)) ** 2).sum(1))
@@ -185,6 +231,51 @@ def test_benchmark_in_blocks(spark, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in got} >= {(k, k) for k in range(7)}
 
 
+def by_definition(rows):
+    """Text of pages by the rule: named elements as html_text.lines() has them; any other line stays unless the page of its host
+    whose address shares the longest beginning holds it in a longest common subsequence. For pages whose lines are all different."""
+    found = {i: (html_text.address(u), html_text.lines(h)) for i, u, h in rows}
+    out = {}
+    for i, ((host, path), mine) in found.items():
+        near = sorted(((p, [t for t, _ in other]) for (h, p), other in found.values() if host and h == host and p != path and other), key=lambda x: x[0])
+        before, after = [x for x in near if x[0] < path][-1:], [x for x in near if x[0] > path][:1]
+        best = max(before + after, key=lambda x: html_text._prefix(x[0], path), default=(None, []))[1]
+        own, same = [t for t, _ in mine], set()
+        k, other = 0, list(best)
+        table = [[0] * (len(other) + 1) for _ in range(len(own) + 1)]
+        for a in range(len(own)):
+            for b in range(len(other)):
+                table[a + 1][b + 1] = table[a][b] + 1 if own[a] == other[b] else max(table[a][b + 1], table[a + 1][b])
+        a, b = len(own), len(other)
+        while a and b:
+            if own[a - 1] == other[b - 1]:
+                same.add(own[a - 1])
+                a, b = a - 1, b - 1
+            elif table[a - 1][b] >= table[a][b - 1]:
+                a -= 1
+            else:
+                b -= 1
+        out[i] = "\n".join(t for t, kind in mine if kind == html_text.TEXT or (kind == html_text.UNDECIDED and t not in same))
+    return out
+
+
+def test_pages_without_hints_are_decided_by_their_neighbours(spark):
+    """Templates and texts in bare blocks: no element says what it is."""
+    rng = random.Random(31)
+    rows = []
+    for host in range(6):
+        top, end = [prose(rng, 4) + f" {host}t{k}" for k in range(4)], [prose(rng, 4) + f" {host}e{k}" for k in range(3)]
+        for k in range(20):
+            body = [prose(rng, 12).replace("\n", " ") + f" {host}/{k}/{j}" for j in range(rng.randint(1, 6))]
+            ad = [f"offer {host}{k} {prose(rng, 3)}"] if k % 4 == 0 else []
+            rows.append((host * 100 + k, f"http://h{host}.example/{k % 5}/{k}", "".join(f"<div>{x}</div>" for x in top + ad + body + end)))
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == by_definition(rows)
+    undecided = sum(k == html_text.UNDECIDED for _, _, h in rows for _, k in html_text.lines(h))
+    kept = sum(len(t.split("\n")) for t in got.values())
+    assert undecided == sum(len(html_text.lines(h)) for *_, h in rows) and undecided - kept == len(rows) * 7  # all template lines, and no other
+
+
 PAGE = "<html><head><title>T</title><style>p{}</style></head><body><nav><a>Home</a></nav>{top}<article><h1>Head {k} &amp; more</h1><p><b>Bold\n  text {k}<br><p>Second&nbsp;par<script>var x='</p>'</script> end</article><div class=\"ad\">Buy {k}</div><section id='comments'><p>nice {k}</p></section><footer>&copy; x</footer></body></html>"
 
 
@@ -250,29 +341,27 @@ def test_lm_classes_are_distributions():
     assert np.allclose(m.sum(1), 1) and (m > 0).all()
 
 
-def test_lm_sweeps_seat_large_dishes_anew(monkeypatch):
-    seen, gather = [], lm.Seating.gather
-    monkeypatch.setattr(lm.Seating, "gather", lambda self: (seen.append(self.tables.copy()) if self.count > 1 else None, gather(self)))
-    lm.classes(np.full((8, 8), 100_000))
-    assert len(seen) == lm.SWEEPS - lm.BURN_IN
-    assert all(np.abs(a - b).max() > lm.MOVES for a, b in zip(seen, seen[1:]))
-
-
 def test_lm_words_are_a_distribution():
     w = lm.Words([(1, 500), (2, 100), (7, 20), (300, 3)])
     total = sum(n * float(w.probability(np.array([c]))[0]) for c, n in [(1, 500), (2, 100), (7, 20), (300, 3)]) + float(w.probability(np.array([0]))[0])
     assert total == pytest.approx(1, abs=1e-6)
 
 
-def test_lm_seating_keeps_its_customers():
+def test_lm_tables_follow_their_conditional_distribution():
+    """Against all seatings of a dish, and, beyond the exact table, against the law's own recursion."""
+
+    def ways(n, d):
+        out = {1: 1.0}
+        for k in range(1, n):
+            out = {t: out.get(t - 1, 0.0) + (k - d * t) * out.get(t, 0.0) for t in range(1, k + 2)}
+        return out
+
     rng = np.random.default_rng(2)
-    at = np.sort(rng.integers(0, 30, 200))
-    s = lm.Seating(at, int(at.max()) + 1, 0.6, rng)
-    customers = rng.integers(0, 9, 200)
-    s.seat(customers, np.full(200, 0.01))
-    for _ in range(20):
-        s.move(np.full(200, 0.01))
-        assert (np.bincount(s.owner, s.size, 200) == customers).all() and (s.size > 0).all() and ((s.tables > 0) == (customers > 0)).all()
+    for n, rest, base, d in ((2, 3.0, 0.2, 0.6), (9, 12.0, 0.3, 0.6), (40, 2.0, 0.05, 0.5), (64, 100.0, 0.5, 0.6), (120, 40.0, 0.1, 0.6), (120, 3.0, 0.02, 0.5), (150, 4000.0, 0.3, 0.6)):
+        w = {t: x * np.prod((rest + d * np.arange(t)) * base) for t, x in ways(n, d).items()}
+        want = sum(t * x for t, x in w.items()) / sum(w.values())
+        got = lm.drawn(np.full(4000, n), np.full(4000, rest), np.full(4000, base), d, rng).mean()
+        assert abs(got / want - 1) < (0.03 if n <= lm.EXACT else 0.08), (n, rest, base, got, want)
 
 
 def test_word_hashes():
@@ -303,6 +392,50 @@ def test_lm_scores_word_pairs_after_frequent_and_other_contexts(spark, monkeypat
     assert all(abs(got[i] - whole[i]) < 0.02 * abs(whole[i]) for i in got)
 
 
+def restaurant(counts, base, rng, sweeps=4000, burn=500, strength=lm.STRENGTH, discount=lm.D_CONTEXT):
+    """Predictive probabilities of a Pitman-Yor restaurant by definition: single customers leave and sit down again, table by table."""
+    tables = {w: [] for w, n in enumerate(counts) if n}
+    total = 0
+    out = np.zeros(len(counts))
+
+    def sit(w, t_all):
+        old = [s - discount for s in tables[w]]
+        new = (strength + discount * t_all) * base[w]
+        u = rng.random() * (sum(old) + new)
+        for k, x in enumerate(old):
+            u -= x
+            if u < 0:
+                tables[w][k] += 1
+                return t_all
+        tables[w].append(1)
+        return t_all + 1
+
+    for w, n in enumerate(counts):
+        for _ in range(n):
+            total = sit(w, total)
+    customers = [w for w, n in enumerate(counts) for _ in range(n)]
+    for sweep in range(sweeps):
+        for w in customers:
+            k = rng.choices(range(len(tables[w])), tables[w])[0]
+            tables[w][k] -= 1
+            if not tables[w][k]:
+                tables[w].pop(k)
+                total -= 1
+            total = sit(w, total)
+        if sweep >= burn:
+            out += [(n - discount * len(tables.get(w, ())) + (strength + discount * total) * base[w]) / (strength + sum(counts)) for w, n in enumerate(counts)]
+    return out / (sweeps - burn)
+
+
+def test_lm_contexts_agree_with_a_sampler_by_definition():
+    base = np.array([0.3, 0.25, 0.2, 0.1, 0.08, 0.04, 0.02, 0.01])
+    for counts in ([9, 4, 0, 2, 1, 0, 0, 1], [1, 1, 0, 0, 0, 0, 0, 0], [25, 0, 6, 0, 0, 3, 0, 0]):
+        want = restaurant(counts, base, random.Random(1))
+        at, n = np.zeros(8, np.int64), np.array(counts)
+        got = np.mean([lm.contexts(at, n, base, np.array([n.sum()]), np.array([np.nan]), np.random.default_rng(k)) for k in range(200)], axis=0)
+        assert np.abs(np.log(got / want)).max() < 0.04, (counts, got, want)
+
+
 def test_lm_contexts_are_distributions():
     rng = np.random.default_rng(3)
     at, base = np.repeat(np.arange(4), 50), np.full(200, 1 / 50)
