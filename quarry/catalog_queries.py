@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import fuzzy, scalars
 from quarry.functions import text as T
-from quarry.operators import catalog, channels, evaluation, history, merge, search, store, usage, vectors
+from quarry.operators import catalog, channels, evaluation, history, merge, search, segments, store, usage, vectors
 from quarry.plans import staged
 from quarry.sources import listings
 from quarry.streaming import events as stream
@@ -128,40 +128,78 @@ def lex_mask(spark, d):
     return parts(spark, d).select("norm").distinct().select("norm", T.mask(F.col("norm")).alias("mask"))
 
 
-def _holds(words: str, items: str) -> str:
-    return f"SELECT query_id, pos, entry_id FROM {words} JOIN {items} ON regexp_matches(norm, array_to_string(list_transform(string_split(word, ''), lambda c: '[' || c || ']'), '.*')) WHERE NOT contains(word, '/')"
+@query(f"WITH {PARTS} SELECT entry_id, CAST(coalesce(bit_or(1::BIGINT << CAST(ascii(c) - 97 AS INT)), 0) AS BIGINT) AS letters FROM (SELECT DISTINCT entry_id, unnest(string_split(lower(path), '')) AS c FROM parts) WHERE c BETWEEN 'a' AND 'z' GROUP BY ALL")
+def lex_context_mask(spark, d):
+    return parts(spark, d).select("entry_id", catalog.context_mask(F.lower("path")).bitwiseAND(F.lit((1 << 26) - 1)).alias("letters"))
 
 
-@query(f"WITH {PARTS}, {_words()} {_holds('words', 'parts')}")
-def lex_subsequence(spark, d):
-    words = channels.query_words(_asked(spark)).where("NOT contains(word, '/')").withColumn("_wm", T.mask(F.col("word")))
-    items = parts(spark, d).withColumn("_m", T.mask(F.col("norm")))
-    return items.join(F.broadcast(words), (F.col("_m").bitwiseAND(F.col("_wm")) == F.col("_wm"))).where(T.holds(F.col("norm"), F.col("word"))).select("query_id", "pos", "entry_id")
+@query(f"WITH {PARTS} SELECT norm, CAST(coalesce(bit_or(1::BIGINT << CAST(ascii(c) - 97 AS INT)), 0) AS BIGINT) AS letters FROM (SELECT DISTINCT norm FROM parts) LEFT JOIN (SELECT norm, c FROM (SELECT norm, i, norm[i] AS c FROM (SELECT norm, unnest(range(1, length(norm) + 1)) AS i FROM (SELECT DISTINCT norm FROM parts))) WHERE c BETWEEN 'a' AND 'z' GROUP BY ALL HAVING count(*) > 1) USING (norm) GROUP BY ALL")
+def lex_repeat_mask(spark, d):
+    return parts(spark, d).select("norm").distinct().select("norm", T.repeat_mask(F.col("norm")).bitwiseAND(F.lit((1 << 26) - 1)).alias("letters"))
+
+
+def _symbols(out: str, table: str, raw: str, norm: str) -> str:
+    """CTE out (norm, i, c, b): the symbols of the texts, and whether a token starts there."""
+    return f"""{out}_pos AS (SELECT DISTINCT {raw} AS r, {norm} AS n, unnest(range(0, length({raw}))) AS i FROM {table}),
+  {out} AS (SELECT n AS norm, i, substr(n, i + 1, 1) AS c, max(CASE WHEN i = 0 OR regexp_matches(substr(r, i, 1), '[/_\\-. ]') OR regexp_matches(substr(r, i, 2), '[a-z][A-Z]|[A-Za-z][0-9]|[0-9][A-Za-z]') OR regexp_matches(substr(r, i, 3), '^[A-Z][A-Z][a-z]') THEN 1 ELSE 0 END) AS b FROM {out}_pos GROUP BY ALL)"""
+
 
+def _aligned(out: str, words: str, sym: str, longest: int, first: bool = False) -> str:
+    """CTE out (word, norm, s): the score of each word in each text by its best alignment (first: by the first one)."""
+    gain = "x.s + 16 + 32 * y.b + CASE WHEN y.i = x.i + 1 THEN 24 ELSE -least(y.i - x.i - 1, 64) END"
+    start = "SELECT word, s.norm, min(s.i) AS i, arg_min(272 + 32 * s.b - least(s.i, 64), s.i) AS s" if first else "SELECT word, s.norm, s.i, 272 + 32 * s.b - least(s.i, 64) AS s"
+    steps = [f"{out}1 AS ({start} FROM (SELECT DISTINCT word FROM {words}) JOIN {sym} s ON s.c = word[1]{' GROUP BY word, s.norm' if first else ''})"]
+    for q in range(2, longest + 1):
+        pick = f"min(y.i) AS i, arg_min({gain}, y.i) AS s" if first else f"y.i, max({gain}) AS s"
+        steps.append(f"{out}{q} AS (SELECT x.word, x.norm, {pick} FROM {out}{q - 1} x JOIN {sym} y ON y.norm = x.norm AND y.c = x.word[{q}] AND y.i > x.i GROUP BY {'x.word, x.norm' if first else 'x.word, x.norm, y.i'})")
+    every = " UNION ALL ".join(f"SELECT word, norm, s FROM {out}{q} WHERE length(word) = {q}" for q in range(1, longest + 1))
+    return ", ".join(steps) + f", {out} AS (SELECT word, norm, CAST(max(greatest(1, s)) AS INT) AS s FROM ({every}) GROUP BY word, norm)"
 
-THREE = [(1, "rwi"), (2, "bgz"), (3, "a12"), (4, "ldo"), (5, "hpl")]
-STARTS = """pos AS (SELECT DISTINCT name, norm, unnest(range(0, length(name))) AS i FROM parts),
-  sym AS (SELECT norm, i, substr(norm, i + 1, 1) AS c, max(CASE WHEN i = 0 OR regexp_matches(substr(name, i, 1), '[/_\\-. ]') OR regexp_matches(substr(name, i, 2), '[a-z][A-Z]|[A-Za-z][0-9]|[0-9][A-Za-z]') OR regexp_matches(substr(name, i, 3), '^[A-Z][A-Z][a-z]') THEN 1 ELSE 0 END) AS b FROM pos GROUP BY ALL)"""
+
+SYM = _symbols("sym", "parts", "name", "norm")
+PLAIN = "plain AS (SELECT * FROM words WHERE NOT contains(word, '/'))"
+LONGEST = max(len(w) for _, t in ASKED for w in t.split() if "/" not in w)
+ALIGNED = _aligned("al", "plain", "sym", LONGEST)
+
+
+@query(f"WITH {PARTS}, {_words()}, {PLAIN}, {SYM}, {ALIGNED} SELECT query_id, pos, entry_id, s + 1500 AS score FROM plain JOIN al USING (word) JOIN parts USING (norm)")
+def lex_subsequence(spark, d):
+    return channels.subsequence_hits(channels.query_words(_asked(spark)), parts(spark, d))
 
 
-@query(f"""WITH {PARTS}, {STARTS}, w AS (SELECT * FROM {_values(THREE)})
-  SELECT query_id, x.norm, max(greatest(1, 256 + 48 + 32 * (x.b + y.b + z.b) - least(x.i, 64) + CASE WHEN y.i = x.i + 1 THEN 24 ELSE 0 END - least(y.i - x.i - 1, 64) + CASE WHEN z.i = y.i + 1 THEN 24 ELSE 0 END - least(z.i - y.i - 1, 64))) AS score
-  FROM w JOIN sym x ON x.c = text[1] JOIN sym y ON y.norm = x.norm AND y.c = text[2] AND y.i > x.i JOIN sym z ON z.norm = x.norm AND z.c = text[3] AND z.i > y.i GROUP BY ALL""")
+@query(f"WITH {PARTS}, {_words()}, {PLAIN}, {SYM}, {ALIGNED} SELECT word, norm, s AS score FROM al")
 def lex_optimal_score(spark, d):
-    names = parts(spark, d).select("norm", T.boundaries(F.col("name")).alias("b")).distinct()
-    met = names.join(F.broadcast(_asked(spark, THREE)), T.holds(F.col("norm"), F.col("text")))
-    return met.select("query_id", "norm", fuzzy.optimal(F.col("norm"), F.col("b"), F.col("text")).alias("score"))
+    words = channels.query_words(_asked(spark)).where("NOT contains(word, '/')").select("word").distinct()
+    met = parts(spark, d).select("norm", "starts").distinct().join(F.broadcast(words), T.holds(F.col("norm"), F.col("word")))
+    return met.select("word", "norm", fuzzy.optimal(F.col("norm"), F.col("starts"), F.col("word")).alias("score"))
 
 
-@query(f"""WITH {PARTS}, {STARTS}, w AS (SELECT * FROM {_values(THREE)}),
-  g AS (SELECT query_id, norm, x, y, x + y + instr(substr(norm, x + y + 1), text[3]) AS z3, text FROM (SELECT query_id, norm, text, x, instr(substr(norm, x + 1), text[2]) AS y FROM (SELECT query_id, norm, text, instr(norm, text[1]) AS x FROM w, (SELECT DISTINCT norm FROM parts)) WHERE x > 0) WHERE y > 0),
-  p AS (SELECT query_id, norm, x - 1 AS a, x + y - 1 AS b, z3 - 1 AS c FROM g WHERE z3 > x + y)
-  SELECT query_id, p.norm, greatest(1, 256 + 48 + 32 * (s.b + t.b + u.b) - least(p.a, 64) + CASE WHEN p.b = p.a + 1 THEN 24 ELSE 0 END - least(p.b - p.a - 1, 64) + CASE WHEN p.c = p.b + 1 THEN 24 ELSE 0 END - least(p.c - p.b - 1, 64)) AS score
-  FROM p JOIN sym s ON s.norm = p.norm AND s.i = p.a JOIN sym t ON t.norm = p.norm AND t.i = p.b JOIN sym u ON u.norm = p.norm AND u.i = p.c""")
+@query(f"WITH {PARTS}, {_words()}, {PLAIN}, {SYM}, {_aligned('al', 'plain', 'sym', LONGEST, first=True)} SELECT word, norm, s AS score FROM al")
 def lex_greedy_score(spark, d):
-    names = parts(spark, d).select("norm", T.boundaries(F.col("name")).alias("b")).distinct()
-    met = names.join(F.broadcast(_asked(spark, THREE)), T.holds(F.col("norm"), F.col("text")))
-    return met.select("query_id", "norm", fuzzy.greedy(F.col("norm"), F.col("b"), F.col("text")).alias("score"))
+    words = channels.query_words(_asked(spark)).where("NOT contains(word, '/')").select("word").distinct()
+    met = parts(spark, d).select("norm", "starts").distinct().join(F.broadcast(words), T.holds(F.col("norm"), F.col("word")))
+    return met.select("word", "norm", fuzzy.greedy(F.col("norm"), F.col("starts"), F.col("word")).alias("score"))
+
+
+PATH_ASKED = [(1, "br/red"), (2, "/7/hotrod"), (3, "parts/brand#1/"), (4, "b1/w")]
+PATHS = "slashed AS (SELECT * FROM words WHERE contains(word, '/'))"
+
+
+def _paths(rows) -> str:
+    return f"{PATHS}, {_symbols('psym', 'parts', 'path', 'lower(path)')}, {_aligned('pal', 'slashed', 'psym', max(len(w) for _, t in rows for w in t.split() if '/' in w))}, inpath AS (SELECT query_id, pos, entry_id, s AS score FROM slashed JOIN pal USING (word) JOIN parts ON pal.norm = lower(path))"
+
+
+@query(f"WITH {PARTS}, {_words(PATH_ASKED)}, {_paths(PATH_ASKED)} SELECT * FROM inpath")
+def lex_path_word(spark, d):
+    return channels.path_hits(channels.query_words(_asked(spark, PATH_ASKED)), parts(spark, d))
+
+
+@query(f"WITH {PARTS}, {TOKENS}, {KEYS}, {_words()}, {PREFIX} SELECT word, norm, max(score + CASE WHEN key = word THEN complete ELSE 0 END) AS score, max(key = word AND complete > 0 AND score + complete = (SELECT max(b.score + CASE WHEN b.key = word THEN b.complete ELSE 0 END) FROM keys b WHERE b.entry_id = keys.entry_id AND starts_with(b.key, word))) AS complete FROM (SELECT DISTINCT word FROM words WHERE NOT contains(word, '/')) JOIN keys ON starts_with(key, word) JOIN (SELECT norm, min(entry_id) AS entry_id FROM parts GROUP BY ALL) USING (entry_id) GROUP BY ALL")
+def lex_prefix_score(spark, d):
+    words = channels.query_words(_asked(spark)).where("NOT contains(word, '/')").select("word").distinct()
+    names = parts(spark, d).groupBy("norm").agg(F.min_by(F.struct("name", *T.LAYER.names), "entry_id").alias("n"))
+    met = names.join(F.broadcast(words)).withColumn("p", channels.prefix_score(F.col("n"), F.col("word")))
+    return met.where("p.score > 0").select("word", "norm", "p.score", "p.complete")
 
 
 TERMS = "terms AS (SELECT DISTINCT entry_id, term FROM (SELECT entry_id, unnest(t) AS term FROM toks) WHERE length(term) BETWEEN 3 AND 32 AND NOT regexp_matches(term, '^[0-9]+$'))"
@@ -186,36 +224,59 @@ GRAMS = """grams AS (SELECT DISTINCT entry_id, unnest(list_transform(range(1, le
 
 @query(f"WITH {PARTS}, {_words()}, {GRAMS} SELECT * FROM tri")
 def lex_trigram_overlap(spark, d):
-    items = parts(spark, d)
-    return channels.trigram_hits(channels.query_words(_asked(spark)), channels.gram_index(items), items.count())
+    s = segments.build(parts(spark, d))
+    return channels.trigram_hits(channels.query_words(_asked(spark)), s.grams, s.frequent)
 
 
 @query(ORACLE_SQL["lex_trigram_overlap"])
 def lex_trigram_rare_first(spark, d):
-    items = parts(spark, d)
-    return staged.trigram_hits_by_rare(channels.query_words(_asked(spark)), channels.gram_index(items), items.count())
+    s = segments.build(parts(spark, d))
+    return staged.trigram_hits_by_rare(channels.query_words(_asked(spark)), s.grams, s.frequent)
 
 
 @query(f"WITH {PARTS}, {TOKENS}, {KEYS}, {TERMS}, {_words()}, {PREFIX.replace('hits AS', 'pre AS')}, {TYPO}, {GRAMS}, hits AS (SELECT * FROM pre UNION ALL SELECT * FROM typos UNION ALL SELECT * FROM tri), {NEED}, {TOTALS} {_final(20)}")
 def lex_multiword_all(spark, d):
-    items, asked = parts(spark, d), _asked(spark)
+    asked, s = _asked(spark), segments.build(parts(spark, d))
     words = channels.query_words(asked)
-    hits = [channels.prefix_hits(words, channels.prefix_keys(items)), channels.typo_hits(words, channels.typo_terms(items)), channels.trigram_hits(words, channels.gram_index(items), items.count())]
-    return search.ranked(search.scored(search.combined(words, *hits), asked, items), 20)
+    hits = [channels.prefix_hits(words, s.keys), channels.typo_hits(words, s.terms), channels.trigram_hits(words, s.grams, s.frequent)]
+    return search.ranked(search.scored(search.combined(words, *hits), asked, s.entries), 20)
 
 
-@query()
-def lex_search_full(spark, d):
+#: All channels of a name, its path and its fields; without folders.
+CHANNELS = f"{PARTS}, {TOKENS}, {KEYS}, {TERMS}, {_words()}, {PLAIN}, {PREFIX.replace('hits AS', 'pre AS')}, {TYPO}, {GRAMS}, {SYM}, {ALIGNED}, {_paths(ASKED)}, sub AS (SELECT query_id, pos, entry_id, s + 1500 AS score FROM plain JOIN al USING (word) JOIN parts USING (norm))"
+EVERY = "SELECT * FROM pre UNION ALL SELECT * FROM typos UNION ALL SELECT * FROM tri UNION ALL SELECT * FROM sub UNION ALL SELECT * FROM inpath"
+#: What folders say, by the nearest that says anything.
+FOLDERS = f"""dirs AS (SELECT DISTINCT folder, name, lower(name) AS norm, hash(folder) AS entry_id, folder AS path FROM (SELECT '/parts' AS folder, 'parts' AS name UNION ALL SELECT '/parts/' || p_brand, p_brand FROM part)),
+  {TOKENS.replace('toks AS', 'dtoks AS').replace('FROM parts', 'FROM dirs')}, {KEYS.replace('keys AS', 'dkeys AS').replace('FROM toks', 'FROM dtoks')}, {_symbols('dsym', 'dirs', 'name', 'norm')}, {_aligned('dal', 'plain', 'dsym', LONGEST)},
+  said AS (SELECT query_id, pos, folder, max(score) AS score FROM (SELECT query_id, pos, folder, s AS score FROM plain JOIN dal USING (word) JOIN dirs USING (norm) UNION ALL SELECT query_id, pos, folder, 2500 FROM plain JOIN dkeys ON starts_with(key, word) JOIN dirs USING (entry_id)) GROUP BY ALL),
+  lies AS (SELECT entry_id, '/parts/' || p_brand AS folder, 1 AS distance FROM parts UNION ALL SELECT entry_id, '/parts', 2 FROM parts),
+  above AS (SELECT query_id, pos, entry_id, arg_min(score, distance) AS score FROM said JOIN lies USING (folder) GROUP BY ALL)"""
+
+
+@query(f"WITH {CHANNELS}, {FOLDERS} SELECT * FROM above")
+def lex_parent_context(spark, d):
     items = parts(spark, d)
-    dirs = catalog.folders(items)
+    return channels.parent_hits(channels.folder_evidence(channels.query_words(_asked(spark)), catalog.folders(items)), items)
+
+
+def placed(spark, d):
+    """Parts with the penalty of their place below the root /parts; and the root."""
     roots = spark.createDataFrame([("/parts",)], "path string")
-    placed = catalog.with_root(items, roots).withColumn("place", catalog.place_penalty(F.col("path"), F.col("root"))).drop("root")
-    return search.search(_asked(spark), placed, dirs, roots=roots)
+    return catalog.with_root(parts(spark, d), roots).withColumn("place", catalog.place_penalty(F.col("path"), F.col("root"))).drop("root"), roots
+
 
+FULL = f"{CHANNELS}, {FOLDERS}, hits AS ({EVERY} UNION ALL SELECT * FROM above WHERE (query_id, pos, entry_id) NOT IN (SELECT (query_id, pos, entry_id) FROM sub)), {NEED}, {TOTALS}"
 
-@query()
+
+@query(f"WITH {FULL} {_final(10)}")
+def lex_search_full(spark, d):
+    items, roots = placed(spark, d)
+    return search.search(_asked(spark), items, catalog.folders(items), roots=roots)
+
+
+@query(f"WITH {CHANNELS}, hits AS ({EVERY}), {NEED}, {TOTALS} {_final(10)}")
 def lex_search_staged(spark, d):
-    return staged.one_word_topk(_asked(spark, ASKED[:12]), parts(spark, d))
+    return staged.one_word_topk(_asked(spark), segments.build(parts(spark, d)))
 
 
 @query(f"""WITH {PARTS}, {TOKENS}, {KEYS}, best AS (SELECT key[1] AS query_id, entry_id, max(score + CASE WHEN length(key) = 1 THEN complete ELSE 0 END) AS s FROM keys WHERE regexp_matches(key, '^[a-z0-9]') GROUP BY ALL)
@@ -229,14 +290,36 @@ FIELD_ASKED = [(1, "promo"), (2, "bra"), (3, "stand"), (4, "brand"), (5, "12")]
 
 @query(f"""WITH f AS (SELECT p_partkey AS entry_id, 2800 AS w, p_brand AS text FROM part UNION ALL SELECT p_partkey, 2600, p_type FROM part), {_words(FIELD_ASKED)},
   ft AS (SELECT entry_id, w, lower(text) AS norm, list_transform({_tok('text')}, lambda t: lower(t)) AS t FROM f),
-  k AS (SELECT entry_id, w, norm AS key, 0 AS complete FROM ft UNION ALL SELECT entry_id, w, unnest(t), 128 FROM ft UNION ALL SELECT entry_id, w, array_to_string(list_transform(t, lambda x: x[1]), ''), 0 FROM ft)
-  SELECT query_id, pos, entry_id, max(w + CASE WHEN key = word THEN complete ELSE 0 END) AS score FROM words JOIN k ON starts_with(key, word) GROUP BY ALL""")
+  k AS (SELECT entry_id, w, norm AS key, 0 AS complete FROM ft UNION ALL SELECT entry_id, w, unnest(t), 128 FROM ft UNION ALL SELECT entry_id, w, array_to_string(list_transform(t, lambda x: x[1]), ''), 0 FROM ft),
+  {_symbols('fsym', 'f', 'text', 'lower(text)')}, {_aligned('fal', 'words', 'fsym', 5)}
+  SELECT query_id, pos, entry_id, max(s) AS score FROM (SELECT query_id, pos, entry_id, w + CASE WHEN key = word THEN complete ELSE 0 END AS s FROM words JOIN k ON starts_with(key, word) UNION ALL SELECT query_id, pos, entry_id, s FROM words JOIN fal USING (word) JOIN ft USING (norm)) GROUP BY ALL""")
 def lex_field_prefix(spark, d):
+    return channels.field_hits(channels.query_words(_asked(spark, FIELD_ASKED)), part_fields(spark, d))
+
+
+def part_fields(spark, d):
     p = _t(spark, d, "part")
-    fields = p.select(F.col("p_partkey").alias("entry_id"), F.lit("generic").alias("kind"), F.col("p_brand").alias("text")).union(p.select("p_partkey", F.lit("keyword"), "p_type"))
-    words = channels.query_words(_asked(spark, FIELD_ASKED))
-    # scores of 2600 and more are key hits; scattered symbols score less here
-    return channels.field_hits(words, fields).where("score >= 2600")
+    return p.select(F.col("p_partkey").alias("entry_id"), F.lit("generic").alias("kind"), F.col("p_brand").alias("text")).union(p.select("p_partkey", F.lit("keyword"), "p_type"))
+
+
+#: Names with letters beyond ASCII: the first words of documents, with upper case put back.
+DOCS = """docs AS (SELECT doc_id AS entry_id, name, replace(lower(nfc_normalize(name)), 'ß', 'ss') AS norm FROM (SELECT doc_id, upper(w[1]) || '_' || coalesce(w[2], '') || '.' || coalesce(w[3], '') AS name FROM (
+  SELECT doc_id, list_filter(string_split_regex(regexp_replace(text, '[^\\p{L}\\p{N} ]', ' ', 'g'), '[ ]+'), lambda x: x <> '') AS w FROM documents) WHERE len(w) > 0))"""
+
+
+def doc_names(spark, d):
+    w = F.filter(F.split(F.regexp_replace("text", "[^\\p{L}\\p{N} ]", " "), "[ ]+"), lambda x: x != "")
+    df = _t(spark, d, "documents").select("doc_id", w.alias("w")).where("size(w) > 0")
+    at = lambda k: F.coalesce(F.try_element_at("w", F.lit(k)), F.lit(""))
+    # upper case symbol by symbol: what has no single capital (ß) stays
+    up = F.array_join(F.transform(T.symbols(at(1)), lambda c: F.when(F.length(F.upper(c)) == 1, F.upper(c)).otherwise(c)), "")
+    return df.select(F.col("doc_id").alias("entry_id"), F.concat(up, F.lit("_"), at(2), F.lit("."), at(3)).alias("name"))
+
+
+@query(f"WITH {DOCS} SELECT entry_id, norm, length(norm) AS symbols FROM docs")
+def lex_fold(spark, d):
+    n = catalog.named(doc_names(spark, d))
+    return n.select("entry_id", "norm", F.length("norm").cast("long").alias("symbols"))
 
 
 # --- the path tree -----------------------------------------------------------------------------------------
@@ -261,10 +344,11 @@ def dir_descendants(spark, d):
     return catalog.descendants(files(spark, d))
 
 
-@query(f"""WITH {FILES}, {UPS} SELECT entry_id, arg_min(folder, distance) AS folder, min(distance) AS distance FROM ups WHERE regexp_matches(regexp_extract(folder, '[^/]*$'), '^[de]') GROUP BY ALL""")
+@query(f"""WITH {FILES}, {UPS} SELECT 1 AS query_id, 0 AS pos, entry_id, arg_min(length(folder), distance) AS score FROM ups WHERE regexp_matches(regexp_extract(folder, '[^/]*$'), '^[de]') GROUP BY ALL""")
 def dir_nearest(spark, d):
-    ups = files(spark, d).select("entry_id", F.posexplode(catalog.ancestors(F.col("path"))).alias("p", "folder")).where(T.basename(F.col("folder")).rlike("^[de]"))
-    return ups.groupBy("entry_id").agg(F.min_by("folder", "p").alias("folder"), (F.min("p") + 1).cast("long").alias("distance"))
+    f = files(spark, d)
+    said = catalog.folders(f).where(F.col("name").rlike("^[de]")).select(F.lit(1).alias("query_id"), F.lit(0).alias("pos"), "folder", F.length("folder").alias("score"))
+    return channels.parent_hits(said, f)
 
 
 @query(f"""WITH {FILES}, r AS (SELECT entry_id, path, list_filter(string_split(path, '/'), lambda x: x <> '') AS p FROM files)
@@ -357,13 +441,47 @@ def usage_frecency(spark, d):
 TYPED = [(1, "red"), (2, "hot ro"), (3, ""), (4, "b"), (5, "zz")]
 
 
-@query(f"""WITH {OPENS}, {ITEMS}, q AS (SELECT * FROM {_values(TYPED)}), p AS (SELECT trim(regexp_replace(lower(query), '[ ]+', ' ', 'g')) AS k, target_id, sum(pow(2.0, -greatest({NOW} - ts, 0) / 1209600.0)) AS w FROM opens WHERE query IS NOT NULL GROUP BY ALL),
-  v AS (SELECT query_id, target_id, sum(w) AS v FROM q JOIN p ON text <> '' AND starts_with(k, text) GROUP BY ALL)
-  SELECT q.query_id, i.target_id AS entry_id, CAST(round(400 * weight / (weight + 2)) + coalesce(round(1200 * v / (v + 1)), 0) AS INT) AS boost FROM q CROSS JOIN items i LEFT JOIN v ON v.query_id = q.query_id AND v.target_id = i.target_id""")
+RETAINED = NOW - 90 * 86400
+
+
+def _boosts(asked) -> str:
+    """CTE boosts (query_id, entry_id, boost) of usage.boosts(), for the texts asked."""
+    return f"""kept AS (SELECT * FROM items WHERE last_open >= {RETAINED} ORDER BY weight DESC, target_id LIMIT 2048), typed AS (SELECT query_id, trim(regexp_replace(lower(text), '[ ]+', ' ', 'g')) AS t FROM {_values(asked)}),
+  pairs AS (SELECT * FROM (SELECT trim(regexp_replace(lower(query), '[ ]+', ' ', 'g')) AS k, target_id, sum(pow(2.0, -greatest({NOW} - ts, 0) / 1209600.0)) AS w, max(ts) AS last FROM opens WHERE query IS NOT NULL GROUP BY ALL) WHERE last >= {RETAINED} ORDER BY w DESC, k, target_id LIMIT 4096),
+  boosts AS (SELECT CAST(NULL AS INT) AS query_id, target_id AS entry_id, CAST(round(400 * weight / (weight + 2)) AS INT) AS boost FROM kept
+    UNION ALL SELECT * FROM (SELECT query_id, target_id, CAST(round(1200 * sum(w) / (sum(w) + 1)) AS INT) AS boost FROM typed JOIN pairs ON t <> '' AND length(t) <= 32 AND starts_with(k, t) WHERE target_id IN (SELECT target_id FROM kept) GROUP BY ALL) WHERE boost > 0)"""
+
+
+@query(f"WITH {OPENS}, {ITEMS}, {_boosts(TYPED)} SELECT * FROM boosts")
 def usage_query_boost(spark, d):
     return usage.boosts(_asked(spark, TYPED), opens(spark, d), NOW)
 
 
+@query(f"WITH {OPENS}, {ITEMS} SELECT target_id, last_open, round(weight, 6) AS weight FROM items WHERE last_open >= {NOW} - 20 * 86400")
+def usage_retention(spark, d):
+    return usage.items(opens(spark, d), NOW, 20).select("target_id", "last_open", F.round("weight", 6).alias("weight"))
+
+
+@query(f"""WITH {OPENS}, a AS (SELECT target_id, event_id % 2 AS half, sum(pow(2.0, -(({NOW} - event_id % 2 * 864000) - ts) / 1209600.0)) AS w, {NOW} - event_id % 2 * 864000 AS t FROM opens WHERE ts <= {NOW} - 864000 GROUP BY ALL)
+  SELECT target_id, max(t) AS "at", round(sum(w * pow(2.0, -(m - t) / 1209600.0)), 6) AS weight FROM (SELECT *, max(t) OVER (PARTITION BY target_id) AS m FROM a) GROUP BY ALL""")
+def usage_merge(spark, d):
+    o = opens(spark, d).where(F.col("ts") <= NOW - 864000)
+    half = lambda k: usage.items(o.where(F.col("event_id") % 2 == k), NOW - k * 864000).select("target_id", "weight", F.lit(NOW - k * 864000).cast("long").alias("at"))
+    return usage.merged(half(0), half(1), NOW).select("target_id", "at", F.round("weight", 6).alias("weight"))
+
+
+@query(f"WITH {OPENS}, {ITEMS} SELECT CAST(target_id AS VARCHAR) AS desktop_id, round(weight / pow(2.0, -{NOW} / 1209600.0 + {NOW} / 1209600.0), 6) AS weight, CAST(target_id // 2 AS INT) AS position FROM items JOIN part ON p_partkey = target_id WHERE target_id % 2 = 0")
+def usage_applications(spark, d):
+    own = usage.items(opens(spark, d), NOW).select(F.col("target_id").cast("string").alias("desktop_id"), F.round("weight", 6).alias("weight"))
+    apps = _t(spark, d, "part").where("p_partkey % 2 = 0").select(F.col("p_partkey").cast("string").alias("desktop_id"), F.expr("CAST(p_partkey div 2 AS INT)").alias("position"))
+    return usage.applications(own, apps.unionByName(apps.withColumn("position", F.col("position") + 9_000_000)))
+
+
+@query(f"""WITH {OPENS}, {ITEMS} SELECT target_id, round(log2(weight) + {NOW} / 1209600.0, 6) AS strength FROM items""")
+def usage_strength(spark, d):
+    return usage.items(opens(spark, d), NOW).select("target_id", F.round("strength", 6).alias("strength"))
+
+
 @query(f"WITH {OPENS}, {ITEMS} SELECT target_id, round(weight, 6) AS weight FROM items ORDER BY round(weight, 12) DESC, target_id LIMIT 500")
 def usage_evict(spark, d):
     i = usage.items(opens(spark, d), NOW).withColumn("weight", F.round("weight", 12))
@@ -397,7 +515,7 @@ def hist_record(spark, d):
 
 # --- vectors -----------------------------------------------------------------------------------------------
 
-VECS = "v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), q AS (SELECT id AS query_id, v AS qv FROM v WHERE id IN (3, 77, 150))"
+VECS = "v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), q AS (SELECT id AS query_id, v AS qv FROM v WHERE id % 50 = 0)"
 BYTES = "b AS (SELECT id, list_transform(v, lambda x: round(x / sqrt(list_inner_product(v, v)) * 127)) AS v FROM v)"
 
 
@@ -406,8 +524,8 @@ def _topv(select: str, k: int) -> str:
 
 
 def _vectors(spark, d):
-    v = _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    return v, v.where(F.col("id").isin(3, 77, 150)).select(F.col("id").cast("long").alias("query_id"), "v")
+    v = vectors.prepared(_t(spark, d, "embeddings").select(F.col("vec_id").cast("long").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("v")))
+    return v, v.where("id % 50 = 0").select(F.col("id").alias("query_id"), "v")
 
 
 def _rounded(df):
@@ -424,27 +542,44 @@ def vec_int8_topk(spark, d):
     return _rounded(vectors.nearest_bytes(*_vectors(spark, d), 20))
 
 
-@query(f"""WITH {VECS}, {BYTES}, f AS (SELECT q.query_id, b.id, b.v, c.v AS qv, row_number() OVER (PARTITION BY q.query_id ORDER BY list_inner_product(b.v[1:16], c.v[1:16]) / sqrt(list_inner_product(b.v[1:16], b.v[1:16])) DESC, b.id) AS r FROM b, q JOIN b c ON c.id = q.query_id)
-  {_topv('SELECT query_id, id, list_cosine_similarity(v, qv) AS cosine FROM f WHERE r <= 100', 10)}""")
+#: Shortlists that keep at least nine tenths of the exact answers, see vec_recall.
+HEAD, HEAD_ROWS, BIT_ROWS = 32, 250, 250
+BY_HEAD = f"f AS (SELECT q.query_id, b.id, b.v, c.v AS qv, row_number() OVER (PARTITION BY q.query_id ORDER BY list_inner_product(b.v[1:{HEAD}], c.v[1:{HEAD}]) / sqrt(list_inner_product(b.v[1:{HEAD}], b.v[1:{HEAD}])) DESC, b.id) AS r FROM b, q JOIN b c ON c.id = q.query_id)"
+BY_BITS = "g AS (SELECT query_id, id, v, qv, row_number() OVER (PARTITION BY query_id ORDER BY len(list_filter(range(1, len(v) + 1), lambda i: (v[i] < 0) <> (qv[i] < 0))), id) AS r FROM v, q)"
+
+
+@query(f"WITH {VECS}, {BYTES}, {BY_HEAD} {_topv(f'SELECT query_id, id, list_cosine_similarity(v, qv) AS cosine FROM f WHERE r <= {HEAD_ROWS}', 10)}")
 def vec_prefix_two_pass(spark, d):
-    return _rounded(vectors.nearest_two_pass(*_vectors(spark, d), 10, 16, 100))
+    return _rounded(vectors.nearest_two_pass(*_vectors(spark, d), 10, HEAD, HEAD_ROWS))
 
 
-@query(f"""WITH {VECS}, f AS (SELECT query_id, id, v, qv, row_number() OVER (PARTITION BY query_id ORDER BY len(list_filter(range(1, len(v) + 1), lambda i: (v[i] < 0) <> (qv[i] < 0))), id) AS r FROM v, q)
-  {_topv('SELECT query_id, id, list_cosine_similarity(v, qv) AS cosine FROM f WHERE r <= 50', 10)}""")
+@query(f"WITH {VECS}, {BY_BITS} {_topv(f'SELECT query_id, id, list_cosine_similarity(v, qv) AS cosine FROM g WHERE r <= {BIT_ROWS}', 10)}")
 def vec_hamming(spark, d):
-    return _rounded(vectors.nearest_bits(*_vectors(spark, d), 10, 50))
+    return _rounded(vectors.nearest_bits(*_vectors(spark, d), 10, BIT_ROWS))
 
 
-@query("""SELECT o_orderpriority AS id, round(avg(v[1]), 6) AS x1, round(avg(v[2]), 6) AS x2 FROM (SELECT o_orderpriority, embedding::DOUBLE[] AS v FROM orders JOIN embeddings ON vec_id = o_orderkey % 500) GROUP BY ALL""")
+def _best(select: str) -> str:
+    return f"(SELECT query_id, id FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(cosine, 9) DESC, id) AS rank FROM ({select})) WHERE rank <= 10)"
+
+
+@query(f"""WITH {VECS}, {BYTES}, {BY_HEAD}, {BY_BITS}, e AS {_best('SELECT query_id, id, list_cosine_similarity(v, qv) AS cosine FROM v, q')}, eb AS {_best('SELECT q.query_id, b.id, list_cosine_similarity(b.v, c.v) AS cosine FROM b, q JOIN b c ON c.id = q.query_id')}
+  SELECT 'prefix' AS shortlist, round(count(f.id) / count(*), 6) AS recall FROM eb LEFT JOIN (SELECT query_id, id FROM f WHERE r <= {HEAD_ROWS}) f ON f.query_id = eb.query_id AND f.id = eb.id
+  UNION ALL SELECT 'bits', round(count(g.id) / count(*), 6) FROM e LEFT JOIN (SELECT query_id, id FROM g WHERE r <= {BIT_ROWS}) g ON g.query_id = e.query_id AND g.id = e.id""")
+def vec_recall(spark, d):
+    v, q = _vectors(spark, d)
+    of = lambda name, found, exact: vectors.recall(found, exact).select(F.lit(name).alias("shortlist"), F.round("recall", 6).alias("recall"))
+    return of("prefix", vectors.nearest_two_pass(v, q, 10, HEAD, HEAD_ROWS), vectors.nearest_bytes(v, q, 10, None)).union(of("bits", vectors.nearest_bits(v, q, 10, BIT_ROWS), vectors.nearest(v, q, 10, None)))
+
+
+@query("""SELECT o_orderpriority AS id, i, round(avg(v[i]), 6) AS x FROM (SELECT o_orderpriority, embedding::DOUBLE[] AS v, unnest(range(1, len(embedding) + 1)) AS i FROM orders JOIN embeddings ON vec_id = o_orderkey % 500) GROUP BY ALL""")
 def vec_pool_mean(spark, d):
     o = _t(spark, d, "orders").select(F.col("o_orderpriority").alias("id"), F.array((F.col("o_orderkey") % 500).cast("string")).alias("tokens"))
     v = _t(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("token"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    return vectors.pooled(o, v).select("id", F.round(F.col("v")[0], 6).alias("x1"), F.round(F.col("v")[1], 6).alias("x2"))
+    return vectors.pooled(o, v).select("id", F.posexplode("v").alias("_i", "_x")).select("id", (F.col("_i") + 1).cast("long").alias("i"), F.round("_x", 6).alias("x"))
 
 
 @query(f"""WITH {VECS}, a AS (SELECT query_id, id, 'p' || id AS path, id % 3 AS priority, row_number() OVER (PARTITION BY query_id ORDER BY id % 17, id) AS rank FROM v, q WHERE id % 4 = 0),
-  b AS (SELECT query_id, id, 'p' || id AS path, 0 AS priority, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(v, qv), 9) DESC, id) AS rank FROM v, q WHERE query_id <> 77),
+  b AS (SELECT query_id, id, 'p' || id AS path, 0 AS priority, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(v, qv), 9) DESC, id) AS rank FROM v, q WHERE query_id <> 50),
   f AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.id, b.id) AS id, coalesce(a.path, b.path) AS path, greatest(a.priority, b.priority) AS priority, coalesce(1.0 / (60 + a.rank), 0) + coalesce(1.0 / (60 + b.rank), 0) AS score, a.rank AS lexical_rank, b.rank AS semantic_rank FROM a FULL JOIN b ON a.query_id = b.query_id AND a.id = b.id),
   l AS (SELECT *, max(semantic_rank) OVER (PARTITION BY query_id) IS NULL AS lone FROM f)
   SELECT query_id, id, round(score, 9) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN lone THEN 0 ELSE priority END DESC, CASE WHEN lone THEN 0 ELSE round(score, 12) END DESC, lexical_rank NULLS LAST, path, id) AS rank FROM l) WHERE rank <= 100""")
@@ -455,7 +590,7 @@ def rank_rrf(spark, d):
     both = v.join(F.broadcast(q.select("query_id", F.col("v").alias("qv")))).withColumn("path", F.concat(F.lit("p"), F.col("id").cast("string")))
     by = lambda *o: F.row_number().over(W.partitionBy("query_id").orderBy(*o))
     a = both.where("id % 4 = 0").select("query_id", "id", "path", (F.col("id") % 3).alias("priority"), by(F.col("id") % 17, "id").alias("rank"))
-    b = both.where("query_id <> 77").withColumn("_c", F.round(vectors.cosine(F.col("v"), F.col("qv")), 9)).select("query_id", "id", "path", F.lit(0).cast("long").alias("priority"), by(F.desc("_c"), "id").alias("rank"))
+    b = both.where("query_id <> 50").withColumn("_c", F.round(vectors.cosine(F.col("v"), F.col("qv")), 9)).select("query_id", "id", "path", F.lit(0).cast("long").alias("priority"), by(F.desc("_c"), "id").alias("rank"))
     return vectors.fused(a, b, limit=100).select("query_id", "id", F.round("score", 9).alias("score"), "rank")
 
 
@@ -500,17 +635,11 @@ def merge_drop_fuzzy(spark, d):
   SELECT query_id, entry_id, CASE WHEN n < need THEN 0 ELSE least_e END AS evidence FROM (SELECT query_id, entry_id, count(*) AS n, min(e) AS least_e FROM e GROUP BY ALL) JOIN need USING (query_id)""")
 def app_evidence(spark, d):
     p = _t(spark, d, "part")
-    apps = p.select(F.col("p_partkey").alias("entry_id"), F.col("p_name").alias("name"), F.lower("p_name").alias("norm"))
+    apps = p.select(F.col("p_partkey").alias("entry_id"), F.col("p_name").alias("name"))
     fields = p.select(F.col("p_partkey").alias("entry_id"), F.col("p_brand").alias("text")).union(p.select("p_partkey", "p_type"))
     return merge.app_evidence(_asked(spark, [(1, "red"), (2, "widget promo"), (3, "br hot"), (4, "brand 7"), (5, "rw"), (6, "hot zz")]), apps, fields)
 
 
-@query()
-def software_suggest(spark, d):
-    p = parts(spark, d).withColumn("app_id", F.concat(F.lit("org.parts."), F.split("norm", "_")[0]))
-    return merge.suggestions(_asked(spark, ASKED[:12]), p, p.where("entry_id % 9 = 0"))
-
-
 @query(f"""WITH {MIXED}, r AS (SELECT query_id, entry_id, evidence, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entry_id) AS rank FROM m)
   SELECT query_id, entry_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY f, rank) AS position FROM (SELECT *, min(rank) OVER (PARTITION BY query_id, evidence) AS f FROM r)""")
 def group_order(spark, d):
@@ -535,13 +664,13 @@ def _saved(spark, d):
     return s, scan
 
 
-@query(f"""WITH {SAVED}, {SCAN} SELECT coalesce(s.path, n.path) AS path, s.id, CASE WHEN s.id IS NULL THEN 'new' WHEN n.path IS NULL THEN 'unseen' WHEN s.mtime <> n.mtime OR s.size <> n.size THEN 'metadata' ELSE 'same' END AS verdict FROM saved s FULL JOIN scan n ON s.path = n.path""")
+@query(f"""WITH {SAVED}, {SCAN} SELECT coalesce(s.path, n.path) AS path, s.id, CASE WHEN s.id IS NULL THEN 'new' WHEN n.path IS NULL THEN 'unseen' WHEN s.mtime <> n.mtime OR s.size <> n.size OR n.identity IS NOT NULL THEN 'metadata' ELSE 'same' END AS verdict FROM saved s FULL JOIN scan n ON s.path = n.path""")
 def store_diff(spark, d):
     return store.diff(*_saved(spark, d))
 
 
 @query(f"""WITH {SAVED}, {SCAN}, n AS (SELECT s.id, coalesce(s.path, n.path) AS path, coalesce(n.mtime, s.mtime) AS mtime, n.identity FROM saved s FULL JOIN scan n ON s.path = n.path)
-  SELECT path, mtime, identity, coalesce(id, (SELECT max(id) FROM saved) + row_number() OVER (PARTITION BY id IS NULL ORDER BY left(md5(path), 2), path)) AS id FROM n""")
+  SELECT path, mtime, identity, coalesce(id, (SELECT max(id) FROM saved) + row_number() OVER (PARTITION BY id IS NULL ORDER BY path)) AS id FROM n""")
 def store_upsert(spark, d):
     return store.upserted(*_saved(spark, d)).select("path", "mtime", "identity", "id")
 
@@ -596,11 +725,11 @@ def _results(spark, d):
 
 
 @query(f"""WITH {RES}, b AS (SELECT t.query_id, min(rank) AS rank FROM tgt t LEFT JOIN (SELECT * FROM res WHERE rank <= 20) r ON r.query_id = t.query_id AND r.entry_id = t.entry_id GROUP BY ALL)
-  SELECT count(*) AS n, round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0.0 END), 6) AS recall_at_1, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END), 6) AS recall_at_5, round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0.0 END), 6) AS recall_at_10, round(avg(coalesce(1.0 / rank, 0)), 6) AS mrr, count(rank) AS found FROM b""")
+  SELECT count(*) AS n, round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0.0 END), 6) AS recall_at_1, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END), 6) AS recall_at_5, round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0.0 END), 6) AS recall_at_10, round(avg(CASE WHEN rank <= 1000 THEN 1.0 ELSE 0.0 END), 6) AS candidate_recall, round(avg(coalesce(1.0 / rank, 0)), 6) AS mrr, count(rank) AS found FROM b""")
 def eval_recall_mrr(spark, d):
     res, tgt, _ = _results(spark, d)
     out = evaluation.known_item(res.where("rank <= 20"), tgt)
-    return out.select("n", *[F.round(c, 6).alias(c) for c in ("recall_at_1", "recall_at_5", "recall_at_10", "mrr")], "found")
+    return out.select("n", *[F.round(c, 6).alias(c) for c in ("recall_at_1", "recall_at_5", "recall_at_10", "candidate_recall", "mrr")], "found")
 
 
 @query(f"""WITH {RES}, g AS (SELECT o_custkey AS query_id, o_orderkey AS entry_id, CAST(o_orderkey % 4 AS INT) AS grade FROM orders WHERE o_orderkey % 4 > 0),
@@ -615,7 +744,7 @@ def eval_ndcg(spark, d):
 
 @query("SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM events GROUP BY ALL")
 def eval_percentiles(spark, d):
-    return _t(spark, d, "events").groupBy("event_type").agg(*[F.expr(f"percentile_disc({p / 100}) WITHIN GROUP (ORDER BY value)").alias(f"p{p}") for p in (50, 95, 99)])
+    return evaluation.percentiles(_t(spark, d, "events"), "value", ["event_type"])
 
 
 @query(f"""WITH {PARTS}, {_words([(1, 'red widget'), (2, 'promo'), (3, 'blue 12')])}, f AS (SELECT entry_id, name AS text, 3.0::DOUBLE AS weight FROM parts UNION ALL SELECT entry_id, p_type, 1.5 FROM parts),
@@ -627,7 +756,10 @@ def eval_bm25(spark, d):
     return evaluation.bm25(_asked(spark, [(1, "red widget"), (2, "promo"), (3, "blue 12")]), f).select("query_id", "entry_id", F.round("score", 6).alias("score"))
 
 
-@query()
+@query(f"""WITH {PARTS}, p AS (SELECT entry_id, norm, length(norm) AS n, lower(p_brand) AS up, (entry_id * 7919 + 13) % greatest(length(norm) - 1, 1) + 1 AS k FROM parts WHERE length(norm) >= 4),
+  s AS (SELECT *, substr(norm, 1, k - 1) || substr(norm, k + 1, 1) || substr(norm, k, 1) || substr(norm, k + 2) AS swapped FROM p)
+  SELECT entry_id, 'exact' AS kind, norm AS text FROM s UNION ALL SELECT entry_id, 'prefix', left(norm, CAST(ceil(n * 0.6) AS INT)) FROM s UNION ALL SELECT entry_id, 'abbreviation', left(norm, 1) || regexp_replace(substr(norm, 2), '[^b-df-hj-np-tv-z]', '', 'g') FROM s
+  UNION ALL SELECT entry_id, 'typo', swapped FROM s UNION ALL SELECT entry_id, 'partial_typo', left(swapped, CAST(ceil(n * 0.7) AS INT)) FROM s UNION ALL SELECT entry_id, 'parent', up || ' ' || left(norm, 4) FROM s""")
 def eval_known_items(spark, d):
     return evaluation.generated(parts(spark, d))
 

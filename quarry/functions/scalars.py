@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import ipaddress
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
 #: Suffixes taken for web addresses when typed without a scheme.
 COMMON_TLDS = ("com", "org", "net", "edu", "gov", "io", "dev", "app", "ai", "co", "uk", "us", "de", "fr", "in", "ca", "au", "jp", "eu", "me", "tv", "info", "biz", "online", "site", "tech", "cloud", "xyz")
@@ -48,28 +44,31 @@ def valid_port(port: Column) -> Column:
 
 
 def web_address(text: Column) -> Column:
-    """Whether the text is an address: http(s) with a valid host, dotted IPv4, or a host with a common suffix; optional
+    """Whether the text is an address: http(s) with a valid host or an IPv6 literal in brackets, dotted IPv4, or a host with a common suffix; optional
     port and path; never a path or a text with white space or bytes that no URI has."""
-    parts = "^(?i:(https?)://)?([^/?#:\\s]+)(?::([0-9]+))?([/?#].*)?$"
+    parts = "^(?i:(https?)://)?(\\[[0-9A-Fa-f:.]+\\]|[^/?#:\\s]+)(?::([0-9]+))?([/?#].*)?$"
     scheme, host, port = (F.regexp_extract(text, parts, i) for i in (1, 2, 3))
     octet = "(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
     ipv4 = host.rlike(f"^{octet}(\\.{octet}){{3}}$")
     suffix = F.lower(F.element_at(F.split(host, "\\."), -1)).isin(*COMMON_TLDS) & F.contains(host, F.lit("."))
     clean = ~text.rlike("[\\x00-\\x20\\x7F\\\\<>\"`]") & ~text.rlike("%(?![0-9A-Fa-f]{2})")
-    return F.coalesce(clean & text.rlike(parts) & valid_host(host) & ((port == "") | valid_port(port)) & ((scheme != "") | ipv4 | suffix), F.lit(False))
-
-
-@F.pandas_udf(BooleanType())
-def ipv6_literal(text: pd.Series) -> pd.Series:
-    """Whether a bracketed text is an IPv6 address."""
+    named = valid_host(host) & ((scheme != "") | ipv4 | suffix)
+    return F.coalesce(clean & text.rlike(parts) & ((port == "") | valid_port(port)) & (named | ((scheme != "") & ipv6_literal(host))), F.lit(False))
 
-    def ok(x):
-        try:
-            return x is not None and x[:1] == "[" and x[-1:] == "]" and bool(ipaddress.IPv6Address(x[1:-1]))
-        except ValueError:
-            return False
 
-    return text.map(ok)
+def ipv6_literal(host: Column) -> Column:
+    """Whether a bracketed text is an IPv6 address: eight groups of up to four hexadecimal digits, one run of them `::`, the last
+    two perhaps dotted."""
+    inner = F.regexp_extract(host, "^\\[(.*)\\]$", 1)
+    octet = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+    dotted = f"{octet}(\\.{octet}){{3}}$"
+    # a dotted end stands for two groups
+    plain = F.when(inner.rlike(f":{dotted}"), F.regexp_replace(inner, dotted, "0:0")).otherwise(inner)
+    groups = lambda c: F.filter(F.split(c, ":"), lambda g: g != "")
+    sides = F.split(plain, "::", -1)
+    shape = plain.rlike("^(|[0-9A-Fa-f]{1,4}(:[0-9A-Fa-f]{1,4})*)(::(|[0-9A-Fa-f]{1,4}(:[0-9A-Fa-f]{1,4})*))?$")
+    n = F.size(groups(plain))
+    return F.coalesce((inner != "") & shape & F.when(F.size(sides) == 2, n <= 7).otherwise(n == 8), F.lit(False))
 
 
 def display_escaped(c: Column) -> Column:
@@ -81,18 +80,37 @@ def display_escaped(c: Column) -> Column:
 
 
 def octal_unescaped(c: Column) -> Column:
-    """The escapes of mount tables: blank, tab, line feed and backslash."""
-    for code, char in (("\\040", " "), ("\\011", "\t"), ("\\012", "\n"), ("\\134", "\\")):
-        c = F.replace(c, F.lit(code), F.lit(char))
-    return c
+    """Every \\ooo of mount tables as the byte it names."""
+    hexed = F.regexp_replace(F.hex(F.encode(c, "utf-8")), "(..)", "$1 ")
+    value = lambda m: F.lpad(F.hex(F.conv(m, 8, 10).cast("int")), 2, "0")
+    codes = F.array_distinct(F.regexp_extract_all(c, F.lit("\\\\([0-3][0-7]{2})"), 1))
+    of = lambda m: F.concat(F.lit("5C "), F.regexp_replace(F.hex(m), "(..)", "$1 "))
+    out = F.aggregate(codes, hexed, lambda s, m: F.replace(s, of(m), F.concat(value(m), F.lit(" "))))
+    return F.when(F.size(codes) > 0, F.decode(F.unhex(F.replace(out, F.lit(" "), F.lit(""))), "utf-8")).otherwise(c)
 
 
 def query_key(query: Column, most: int = 32) -> tuple[Column, Column]:
-    """A query as history keeps it: folded, trimmed, blanks collapsed, `most` symbols; and whether that is all of it."""
-    whole = F.trim(F.regexp_replace(F.lower(query), "[ \\t\\n\\r]+", " "))
+    """A normalised query as history keeps it: trimmed, blanks collapsed, `most` symbols; and whether that is all of it."""
+    whole = F.trim(F.regexp_replace(query, "[ \\t\\n\\r]+", " "))
     return F.rtrim(F.left(whole, F.lit(most))), F.length(whole) <= most
 
 
+def desktop_embedding_text(name: Column, generic: Column, keywords: Column) -> Column:
+    """What is embedded of an application: its name, generic name and keywords."""
+    return F.translate(F.concat(name, F.lit(" "), F.coalesce(generic, F.lit("")), F.lit(" "), F.coalesce(keywords, F.lit(""))), ";", " ")
+
+
+def path_member(path: Column) -> Column:
+    """How a raw path (binary) goes into JSON: `path` where it is UTF-8, else `path_b64`."""
+    text = F.when(F.is_valid_utf8(path.cast("string")), path.cast("string"))
+    return F.to_json(F.struct(text.alias("path"), F.when(text.isNull(), F.base64(path)).alias("path_b64")))
+
+
+def path_of_member(line: Column) -> Column:
+    """The raw path of path_member()."""
+    return F.coalesce(F.get_json_object(line, "$.path").cast("binary"), F.unbase64(F.get_json_object(line, "$.path_b64")))
+
+
 def embedding_text(path: Column) -> Column:
     """The last three components of a path, separators as blanks, camel case split."""
     last = F.array_join(F.slice(F.split(path, "/"), -F.least(F.size(F.split(path, "/")), F.lit(3)), F.lit(3)), "/")

@@ -1,7 +1,8 @@
-"""Text layer: normalised names, words, tokens, initials, symbol masks and trigrams as column expressions.
+"""Text layer: normalised names, words, tokens, initials, symbol masks and trigrams.
 
-The expressions are exact for text whose lower-casing is symbol by symbol (all ASCII, and most scripts through the
-Unicode classes); `folded` is the full rule (NFC and case folding) as an Arrow function.
+Names are compared in NFC with full case folding. For ASCII that is lower case, and everything here is a native expression; names with
+other symbols go through one Arrow function when entries are built (`layered`), which gives the same columns for them. Rows of
+the two kinds are told apart before, so no Python runs on ASCII names.
 """
 
 from __future__ import annotations
@@ -9,9 +10,9 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 NORM_VERSION = 1
 #: The separators between words of a name.
@@ -31,10 +32,83 @@ def normalised(c: Column) -> Column:
     return F.lower(c)
 
 
+def fold(text: str) -> str:
+    """NFC and full case folding, as names are compared."""
+    return unicodedata.normalize("NFC", unicodedata.normalize("NFC", text).casefold())
+
+
 @F.pandas_udf(StringType())
 def folded(s: pd.Series) -> pd.Series:
-    """NFC and full case folding, as names are compared."""
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", unicodedata.normalize("NFC", x).casefold()))
+    return s.map(lambda x: None if x is None else fold(x))
+
+
+def beyond_ascii(c: Column) -> Column:
+    return F.coalesce(c.rlike("[^\\x00-\\x7F]"), F.lit(False))
+
+
+def with_norm(df: DataFrame, text: str, norm: str) -> DataFrame:
+    """df with column `norm`: the text as it is compared."""
+    odd = beyond_ascii(F.col(text))
+    return df.where(~odd).withColumn(norm, normalised(F.col(text))).unionByName(df.where(odd).withColumn(norm, folded(F.col(text))))
+
+
+#: What layered() adds: the normalised name, its tokens, initials and later runs that change case, and where tokens start.
+LAYER = StructType([StructField("norm", StringType()), StructField("toks", ArrayType(StringType())), StructField("inits", StringType()), StructField("cased", ArrayType(StringType())), StructField("starts", ArrayType(IntegerType()))])
+
+
+def layered(df: DataFrame, name: str = "name") -> DataFrame:
+    """df with the columns of LAYER for the text in column `name`."""
+    odd, c = beyond_ascii(F.col(name)), F.col(name)
+    names = LAYER.names
+    df = df.drop(*[n for n in names if n in df.columns and n != name])
+    plain = df.where(~odd).select("*", normalised(c).alias("norm"), tokens(c).alias("toks"), initials(c).alias("inits"), cased_runs(c).alias("cased"), boundaries(c).alias("starts"))
+    rest = df.where(odd).withColumn("_layer", analysed(c))
+    return plain.unionByName(rest.select(*df.columns, *[F.col(f"_layer.{n}").alias(n) for n in names]))
+
+
+def clusters(text: str) -> list[str]:
+    """Symbols with the marks that belong to them, in NFC."""
+    out: list[str] = []
+    for c in unicodedata.normalize("NFC", text):
+        if out and unicodedata.combining(c):
+            out[-1] += c
+        else:
+            out.append(c)
+    return out
+
+
+def analysis(name: str) -> tuple[str, list[str], str, list[str], list[int]]:
+    """LAYER of one name: what the native expressions give, for any Unicode text."""
+    symbols_ = clusters(name)
+    kind = ["sep" if c[0] in "/_-. \t\n\r" else unicodedata.category(c[0]) for c in symbols_]
+    upper = lambda k: k in ("Lu", "Lt")
+    letter = lambda k: k in ("Ll", "Lu", "Lt", "Lm", "Lo")
+    norm, starts, toks, raw, change = [], [], [], [[]], [False]
+    for i, (c, k) in enumerate(zip(symbols_, kind)):
+        before, after = kind[i - 1] if i else "sep", kind[i + 1] if i + 1 < len(kind) else ""
+        cased = (before == "Ll" and upper(k)) or (upper(before) and upper(k) and after == "Ll")
+        start = before == "sep" or cased or (letter(before) and k == "Nd") or (before == "Nd" and letter(k))
+        low = unicodedata.normalize("NFC", c.casefold())
+        norm.append(low)
+        starts += [int(start)] + [0] * (len(low) - 1)
+        if k == "sep":
+            if raw[-1]:
+                raw.append([])
+                change.append(False)
+            continue
+        if start:
+            toks.append("")
+        toks[-1] += low
+        raw[-1].append(low)
+        change[-1] |= cased
+    later = [("".join(r), x) for r, x in zip(raw, change) if r][1:]
+    return "".join(norm), toks, "".join(t[0] for t in toks), [r for r, x in later if x], starts
+
+
+@F.pandas_udf(LAYER)
+def analysed(s: pd.Series) -> pd.DataFrame:
+    rows = [analysis(x) if x is not None else (None,) * 5 for x in s]
+    return pd.DataFrame(rows, columns=LAYER.names)
 
 
 def basename(path: Column) -> Column:
@@ -52,9 +126,9 @@ def extension(name: Column, is_dir: Column) -> Column:
     return F.when(~is_dir & (ext != ""), ext)
 
 
-def words(query: Column) -> Column:
-    """A query's words: split at white space only."""
-    return F.filter(F.split(normalised(query), "[ \\t\\n\\r]+"), lambda w: w != "")
+def words(norm: Column) -> Column:
+    """The words of a normalised query: split at white space only."""
+    return F.filter(F.split(norm, "[ \\t\\n\\r]+"), lambda w: w != "")
 
 
 def runs(name: Column) -> Column:

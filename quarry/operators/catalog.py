@@ -1,6 +1,6 @@
 """Catalog entries, folders and what follows from where an entry lies.
 
-entries: entry_id long, path string, name string, is_dir boolean, norm string, folder string.
+entries: entry_id long, path string, is_dir boolean, name string, folder string, and the text layer of the name.
 Ancestors are exploded from paths, so every prefix relation between paths becomes an equi-join.
 """
 
@@ -19,9 +19,19 @@ IGNORED_NAMES = ("node_modules", "bower_components", "site-packages", "dist-pack
 
 
 def entries(df: DataFrame, entry_id: Column, path: Column, is_dir: Column | None = None) -> DataFrame:
-    name = T.basename(F.col("path"))
+    """entry_id, path, is_dir, name, folder, and the text layer of the name (text.LAYER)."""
     base = df.select(entry_id.cast("long").alias("entry_id"), path.alias("path"), F.coalesce(is_dir, F.lit(False)).alias("is_dir") if is_dir is not None else F.lit(False).alias("is_dir"))
-    return base.select("*", name.alias("name"), T.normalised(name).alias("norm"), T.parent(F.col("path")).alias("folder"))
+    return named(base.select("*", T.basename(F.col("path")).alias("name"), T.parent(F.col("path")).alias("folder")))
+
+
+def named(items: DataFrame) -> DataFrame:
+    """items with the text layer of their `name`, if they have none yet."""
+    return items if set(T.LAYER.names) <= set(items.columns) else T.layered(items)
+
+
+def context_mask(path_norm: Column) -> Column:
+    """The symbols of a name and of all folders above it: a word with another symbol finds nothing in them, in whatever order."""
+    return T.mask(F.replace(path_norm, F.lit("/"), F.lit("")))
 
 
 def ancestors(path: Column) -> Column:
@@ -42,9 +52,9 @@ def within(path: Column, root: Column) -> Column:
 
 
 def folders(items: DataFrame) -> DataFrame:
-    """folder, name, norm of every folder above an entry, each once."""
+    """folder, name and the text layer of every folder above an entry, each once."""
     each = items.select(F.explode(ancestors(F.col("path"))).alias("folder")).distinct()
-    return each.select("folder", T.basename(F.col("folder")).alias("name"), T.normalised(T.basename(F.col("folder"))).alias("norm"))
+    return named(each.select("folder", T.basename(F.col("folder")).alias("name")))
 
 
 def descendants(items: DataFrame) -> DataFrame:

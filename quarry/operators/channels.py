@@ -16,30 +16,49 @@ PREFIX_BONUS_MAX, EDGE = 4096, 3
 
 def query_words(queries: DataFrame) -> DataFrame:
     """query_id, pos, word, n_words of queries (query_id, text); a word with '/' is a path word."""
-    w = T.words(F.col("text"))
-    return queries.select("query_id", F.posexplode(w).alias("pos", "word"), F.size(w).alias("n_words"))
+    w = T.words(F.col("_norm"))
+    return T.with_norm(queries.select("query_id", "text"), "text", "_norm").select("query_id", F.posexplode(w).alias("pos", "word"), F.size(w).alias("n_words"))
 
 
 def prefix_keys(items: DataFrame) -> DataFrame:
     """entry_id, key, score, complete: every key by which a name may be typed.
 
     complete: what is added when a word is the whole key."""
-    raw = F.col("name")
-    toks = F.transform(T.tokens(raw), lambda t, i: F.struct(t.alias("key"), F.when((i == 0) & ~raw.rlike(f"^[{T.SEPARATORS}]"), BASENAME).otherwise(TOKEN).alias("score"), F.lit(COMPLETE).alias("complete")))
-    runs = F.transform(T.cased_runs(raw), lambda r: F.struct(r.alias("key"), F.lit(TOKEN).alias("score"), F.lit(COMPLETE).alias("complete")))
-    whole = F.array(F.struct(F.col("norm").alias("key"), F.lit(BASENAME).alias("score"), F.lit(0).alias("complete")), F.struct(T.initials(raw).alias("key"), F.lit(INITIALS).alias("score"), F.lit(0).alias("complete")))
-    return items.select("entry_id", F.explode(F.concat(whole, toks, runs)).alias("k")).select("entry_id", "k.key", "k.score", "k.complete").where("key <> ''").distinct()
+    raw, items = F.col("name"), named(items)
+    toks = F.transform("toks", lambda t, i: F.struct(t.alias("key"), F.when((i == 0) & ~raw.rlike(f"^[{T.SEPARATORS}]"), BASENAME).otherwise(TOKEN).alias("score"), F.lit(COMPLETE).alias("complete")))
+    runs = F.transform("cased", lambda r: F.struct(r.alias("key"), F.lit(TOKEN).alias("score"), F.lit(COMPLETE).alias("complete")))
+    whole = F.array(F.struct(F.col("norm").alias("key"), F.lit(BASENAME).alias("score"), F.lit(0).alias("complete")), F.struct(F.col("inits").alias("key"), F.lit(INITIALS).alias("score"), F.lit(0).alias("complete")))
+    every = F.array_distinct(F.concat(whole, toks, runs))
+    return items.select("entry_id", F.explode(every).alias("k")).select("entry_id", "k.key", "k.score", "k.complete").where("key <> ''")
+
+
+def edged(keys: DataFrame) -> DataFrame:
+    """keys once for each of their edges: their first one, two and EDGE symbols."""
+    edges = F.transform(F.sequence(F.lit(1), F.least(F.length("key"), F.lit(EDGE))), lambda n: F.substring(F.col("key"), F.lit(1), n))
+    return keys.select("*", F.explode(edges).alias("edge"))
 
 
 def prefix_hits(words: DataFrame, keys: DataFrame, bonus: int = 0) -> DataFrame:
-    """Keys that start with a word. The join is on the first symbols (an edge n-gram of up to EDGE), so it is an equi-join at any size."""
-    word_edge = F.substring("word", 1, EDGE)
-    edges = keys.select("*", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(EDGE)), lambda n: F.substring(F.col("key"), F.lit(1), n)))).alias("_edge"))
-    found = words.where(~F.col("word").contains("/")).withColumn("_edge", word_edge).join(edges, "_edge").where(F.col("key").startswith(F.col("word")))
-    score = F.col("score") + F.when(F.col("key") == F.col("word"), F.col("complete")).otherwise(0) + bonus
+    """Keys (edged or not) that start with a word. The join is on the first symbols, so it is an equi-join at any size."""
+    keys = keys if "edge" in keys.columns else edged(keys)
+    asked = words.where(~F.col("word").contains("/")).withColumn("edge", F.substring("word", 1, EDGE))
+    found = asked.join(keys, "edge").where(F.col("key").startswith(F.col("word")))
+    score = F.col("score") + F.when(F.col("key") == F.col("word"), F.col("complete")).otherwise(0) + min(bonus, PREFIX_BONUS_MAX)
     return found.groupBy("query_id", "pos", "entry_id").agg(F.max(score).alias("score"))
 
 
+def prefix_score(name_layer: Column, word: Column) -> Column:
+    """(score, complete) of one word in one name (a struct of name and its text layer), without an index; score 0 if no key starts
+    with it."""
+    n = name_layer
+    toks = F.transform(n["toks"], lambda t, i: F.struct(t.alias("key"), F.when((i == 0) & ~n["name"].rlike(f"^[{T.SEPARATORS}]"), BASENAME).otherwise(TOKEN).alias("score"), F.lit(True).alias("token")))
+    rest = F.transform(n["cased"], lambda r: F.struct(r.alias("key"), F.lit(TOKEN).alias("score"), F.lit(True).alias("token")))
+    whole = F.array(F.struct(n["norm"].alias("key"), F.lit(BASENAME).alias("score"), F.lit(False).alias("token")), F.struct(n["inits"].alias("key"), F.lit(INITIALS).alias("score"), F.lit(False).alias("token")))
+    met = F.filter(F.concat(whole, toks, rest), lambda k: k["key"].startswith(word) & (word != ""))
+    best = F.array_max(F.transform(met, lambda k: F.struct((k["score"] + F.when(k["token"] & (k["key"] == word), COMPLETE).otherwise(0)).alias("score"), (k["token"] & (k["key"] == word)).alias("complete"))))
+    return F.coalesce(best, F.struct(F.lit(0).alias("score"), F.lit(False).alias("complete")))
+
+
 def _deletions(c: Column) -> Column:
     """The text and all texts with one symbol less."""
     n = F.length(c)
@@ -58,7 +77,7 @@ def typo_eligible(c: Column) -> Column:
 
 def typo_terms(items: DataFrame) -> DataFrame:
     """entry_id, term: distinct tokens that may be mistyped."""
-    return items.select("entry_id", F.explode(T.tokens(F.col("name"))).alias("term")).where(typo_eligible(F.col("term"))).distinct()
+    return named(items).select("entry_id", F.explode(F.array_distinct("toks")).alias("term")).where(typo_eligible(F.col("term")))
 
 
 def typo_hits(words: DataFrame, terms: DataFrame) -> DataFrame:
@@ -81,46 +100,68 @@ def typo_hits(words: DataFrame, terms: DataFrame) -> DataFrame:
 
 def gram_index(items: DataFrame) -> DataFrame:
     """entry_id, gram: distinct trigrams of normalised names."""
-    return items.select("entry_id", F.explode(T.trigrams(F.col("norm"))).alias("gram"))
+    return named(items).select("entry_id", F.explode(T.trigrams(F.col("norm"))).alias("gram"))
+
 
+def frequent_grams(index: DataFrame, items: DataFrame) -> DataFrame:
+    """gram: those in more than max(64, names / 8) names, which say nothing. A delta is judged by its base's."""
+    total = items.agg(F.greatest(F.lit(64), F.expr("count(*) div 8")).alias("_most"))  # one row
+    return index.groupBy("gram").agg(F.count("*").alias("_df")).join(F.broadcast(total)).where("_df > _most").select("gram")
 
-def trigram_hits(words: DataFrame, index: DataFrame, names: int) -> DataFrame:
+
+def trigram_hits(words: DataFrame, index: DataFrame, frequent: DataFrame) -> DataFrame:
     """Names that share at least half of a word's informative trigrams (at least three distinct ones in the word).
 
-    A gram in more than max(64, names / 8) names says nothing; one in no name counts among the informative.
-    names: entries of the index, so that a delta can be judged by its base's frequencies."""
+    Frequent grams say nothing; one in no name counts among the informative."""
     grams = words.where(~F.col("word").contains("/")).select("query_id", "pos", T.trigrams(F.col("word")).alias("g")).where(F.size("g") >= 3)
     grams = grams.select("query_id", "pos", F.explode("g").alias("gram"))
-    frequent = index.groupBy("gram").agg(F.count("*").alias("_df")).where(F.col("_df") > max(64, names // 8))
-    told = grams.join(frequent, "gram", "left_anti")
+    told = grams.join(frequent.select("gram"), "gram", "left_anti")
     totals = told.groupBy("query_id", "pos").agg(F.count("*").alias("total"))
     shared = told.join(index, "gram").groupBy("query_id", "pos", "entry_id").agg(F.count("*").alias("shared"))
     found = shared.join(totals, ["query_id", "pos"]).where(2 * F.col("shared") >= F.col("total"))
     return found.select("query_id", "pos", "entry_id", (F.lit(TRIGRAM_BASE) + F.expr(f"({TRIGRAM_RANGE} * shared) div total")).cast("int").alias("score"))
 
 
+#: Symbols from common to rare in names; all others count as rarer. Any order gives the same hits, a good one fewer candidates.
+COMMON_FIRST = "etaoinsrhldcumfpgwybvkxjqz0123456789._-"
+
+
+def rarest(word: Column) -> Column:
+    """The symbol of a word that fewest names are likely to hold."""
+    rank = lambda c: F.when(F.instr(F.lit(COMMON_FIRST), c) > 0, F.instr(F.lit(COMMON_FIRST), c)).otherwise(99)
+    return F.array_max(F.transform(T.symbols(word), lambda c: F.struct(rank(c).alias("r"), c.alias("c"))))["c"]
+
+
+def _ordered(words: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs of words and texts (text, starts) that hold the word's symbols in order. Texts and words meet in an equi-join on the word's
+    rarest symbol; masks and the order test run before any Python."""
+    asked = words.select("query_id", "pos", "word", rarest(F.col("word")).alias("_c"), T.mask(F.col("word")).alias("_wm"), T.repeat_mask(F.col("word")).alias("_wr"))
+    each = texts.select("*", F.explode(F.array_distinct(T.symbols(F.col("text")))).alias("_c"))
+    met = each.join(asked, "_c").where(T.holds(F.col("text"), F.col("word")))
+    inside = lambda m, need: (need == 0) | (m.bitwiseAND(need) == need)
+    mask, repeats = (F.col("mask"), F.col("repeats")) if {"mask", "repeats"} <= set(texts.columns) else (T.mask(F.col("text")), T.repeat_mask(F.col("text")))
+    return met.where(inside(mask, F.col("_wm")) & inside(repeats, F.col("_wr")))
+
+
 def subsequence_hits(words: DataFrame, items: DataFrame) -> DataFrame:
-    """Names that hold a word's symbols in order, by their best alignment.
-
-    The words (a batch of short queries, broadcast) meet each name; masks and the order test run before
-    any Python, so only true subsequences are aligned."""
-    asked = words.where(~F.col("word").contains("/")).select("query_id", "pos", "word", T.mask(F.col("word")).alias("_wm"))
-    named = items.select("entry_id", "name", "norm", T.mask(F.col("norm")).alias("_m"))
-    met = named.join(F.broadcast(asked), F.col("_m").bitwiseAND(F.col("_wm")) == F.col("_wm")).where(T.holds(F.col("norm"), F.col("word")))
-    score = fuzzy.optimal(F.col("norm"), T.boundaries(F.col("name")), F.col("word"))
+    """Names that hold a word's symbols in order, by their best alignment."""
+    items = named(items)
+    extra = [c for c in ("mask", "repeats") if c in items.columns]
+    met = _ordered(words.where(~F.col("word").contains("/")), items.select("entry_id", F.col("norm").alias("text"), "starts", *extra))
+    score = fuzzy.optimal(F.col("text"), F.col("starts"), F.col("word"))
     return met.select("query_id", "pos", "entry_id", (score + SUBSEQUENCE).cast("int").alias("score"))
 
 
 def path_hits(words: DataFrame, items: DataFrame) -> DataFrame:
     """Whole paths that hold a path word (one with '/') in order; no other channel speaks for such words."""
-    asked = words.where(F.col("word").contains("/")).select("query_id", "pos", "word")
-    met = items.select("entry_id", "path", T.normalised(F.col("path")).alias("_p")).join(F.broadcast(asked), T.holds(F.col("_p"), F.col("word")))
-    return met.select("query_id", "pos", "entry_id", fuzzy.optimal(F.col("_p"), T.boundaries(F.col("path")), F.col("word")).cast("int").alias("score"))
+    paths = T.layered(items.select("entry_id", "path"), "path").select("entry_id", F.col("norm").alias("text"), "starts")
+    met = _ordered(words.where(F.col("word").contains("/")), paths)
+    return met.select("query_id", "pos", "entry_id", fuzzy.optimal(F.col("text"), F.col("starts"), F.col("word")).cast("int").alias("score"))
 
 
 def folder_evidence(words: DataFrame, dirs: DataFrame) -> DataFrame:
     """query_id, pos, folder, score: folders whose own name speaks for a word. Each folder is scored once, not once an entry."""
-    as_items = dirs.select(F.xxhash64("folder").alias("entry_id"), "folder", "name", "norm")
+    as_items = named(dirs).withColumn("entry_id", F.xxhash64("folder"))
     sub = subsequence_hits(words, as_items).withColumn("score", F.col("score") - SUBSEQUENCE)
     pre = prefix_hits(words, prefix_keys(as_items)).withColumn("score", F.lit(PARENT))
     best = sub.unionByName(pre).groupBy("query_id", "pos", "entry_id").agg(F.max("score").alias("score"))
@@ -135,12 +176,23 @@ def parent_hits(evidence: DataFrame, items: DataFrame) -> DataFrame:
     return evidence.join(ups, "folder").groupBy("query_id", "pos", "entry_id").agg(F.min_by("score", "distance").alias("score"))
 
 
+def field_items(fields: DataFrame) -> DataFrame:
+    """Auxiliary texts (entry_id, kind 'generic' or 'keyword', text) as names of their own: entry_id, owner, weight and the text layer."""
+    weight = F.when(F.col("kind") == "generic", GENERIC).otherwise(KEYWORD)
+    each = fields.select(F.xxhash64("entry_id", "kind", "text").alias("_f"), F.col("entry_id").alias("owner"), weight.alias("weight"), F.col("text").alias("name")).distinct()
+    return named(each.withColumnRenamed("_f", "entry_id"))
+
+
 def field_hits(words: DataFrame, fields: DataFrame) -> DataFrame:
-    """Auxiliary texts (entry_id, kind 'generic' or 'keyword', text) whose keys start with a word, or that hold it in order."""
-    each = fields.select(F.xxhash64("entry_id", "kind", "text").alias("_f"), F.col("entry_id").alias("_e"), F.when(F.col("kind") == "generic", GENERIC).otherwise(KEYWORD).alias("_w"), F.col("text").alias("name"), T.normalised(F.col("text")).alias("norm")).distinct()
-    as_items = each.withColumnRenamed("_f", "entry_id")
-    keyed = prefix_hits(words, prefix_keys(as_items))
-    whole = prefix_hits(words, prefix_keys(as_items).where("complete > 0")).where((F.col("score") % 1000) == COMPLETE).select("query_id", "pos", "entry_id", F.lit(COMPLETE).alias("_c"))
-    by_key = keyed.join(whole, ["query_id", "pos", "entry_id"], "left").join(as_items.select("entry_id", "_e", "_w"), "entry_id").select("query_id", "pos", "_e", (F.col("_w") + F.coalesce("_c", F.lit(0))).alias("score"))
-    sub = subsequence_hits(words, as_items).join(as_items.select("entry_id", "_e"), "entry_id").select("query_id", "pos", "_e", (F.col("score") - SUBSEQUENCE).alias("score"))
-    return by_key.unionByName(sub).groupBy("query_id", "pos", F.col("_e").alias("entry_id")).agg(F.max("score").cast("int").alias("score"))
+    """Auxiliary texts whose keys start with a word, or that hold it in order; fields: field_items() or what it takes."""
+    items = fields if "owner" in fields.columns else field_items(fields)
+    keys = prefix_keys(items).select("entry_id", "key", F.lit(0).alias("score"), "complete")
+    by_key = prefix_hits(words, keys).join(items.select("entry_id", "owner", "weight"), "entry_id").select("query_id", "pos", "owner", (F.col("weight") + F.col("score")).alias("score"))
+    sub = subsequence_hits(words, items).join(items.select("entry_id", "owner"), "entry_id").select("query_id", "pos", "owner", (F.col("score") - SUBSEQUENCE).alias("score"))
+    return by_key.unionByName(sub).groupBy("query_id", "pos", F.col("owner").alias("entry_id")).agg(F.max("score").cast("int").alias("score"))
+
+
+def named(items: DataFrame) -> DataFrame:
+    from quarry.operators.catalog import named as layer
+
+    return layer(items)

@@ -33,3 +33,8 @@ def pruned(table: DataFrame, cutoff: int) -> DataFrame:
 def cascaded(opens: DataFrame, items: DataFrame) -> DataFrame:
     """opens of targets that are still there."""
     return opens.join(items.select(F.col("entry_id").alias("target_id")), "target_id", "left_semi")
+
+
+def cleared(*tables: DataFrame) -> list[DataFrame]:
+    """The tables without rows."""
+    return [t.where("false") for t in tables]

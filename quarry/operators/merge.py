@@ -1,4 +1,4 @@
-"""Merging applications with files: evidence classes, the cut of fuzzy padding, tiers, suggestions and groups."""
+"""Merging applications with files: evidence classes, the cut of fuzzy padding, tiers and groups."""
 
 from __future__ import annotations
 
@@ -10,7 +10,15 @@ from quarry.operators import channels, search
 
 #: Evidence of an application for a query.
 FUZZY, STARTED, DESCRIBED, NAMED = 0, 1, 2, 3
-SUGGESTIONS, CANDIDATES = 3, 64
+#: Fixed value: what a key of an application's name scores more than a file's.
+APP_BONUS = 2000
+
+
+def searched_apps(queries: DataFrame, apps: DataFrame, fields: DataFrame, boosts: DataFrame | None = None, limit: int = search.LIMIT_MAX) -> DataFrame:
+    """The applications of each query with their evidence: apps are names (entry_id, path, name, ...), fields their generic names and
+    keywords. Keys of the name score APP_BONUS more."""
+    found = search.search(queries, apps, fields=fields, boosts=boosts, limit=limit, bonus=APP_BONUS)
+    return found.join(app_evidence(queries, apps, fields), ["query_id", "entry_id"], "left").withColumn("evidence", F.coalesce("evidence", F.lit(FUZZY)))
 
 
 def app_evidence(queries: DataFrame, apps: DataFrame, fields: DataFrame) -> DataFrame:
@@ -20,7 +28,7 @@ def app_evidence(queries: DataFrame, apps: DataFrame, fields: DataFrame) -> Data
     generic name or keywords. STARTED: each starts a token there. Otherwise FUZZY."""
     words = channels.query_words(queries)
     by_name = channels.prefix_hits(words, channels.prefix_keys(apps)).select("query_id", "pos", "entry_id", F.lit(3).alias("_e"))
-    as_items = fields.select("entry_id", F.col("text").alias("name"), F.lower("text").alias("norm"))
+    as_items = fields.select("entry_id", F.col("text").alias("name"))
     keys = channels.prefix_keys(as_items).where(F.col("score") >= channels.TOKEN)
     by_field = channels.prefix_hits(words, keys)
     whole = (F.col("score") % 1000) == channels.COMPLETE
@@ -55,23 +63,6 @@ def tiered(rows: DataFrame, limit: int = search.LIMIT) -> DataFrame:
     return rows.withColumn("tier", tier).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
-def suggestions(queries: DataFrame, software: DataFrame, installed: DataFrame) -> DataFrame:
-    """Software worth offering: every word of two symbols and more starts the name, exact names first, one row for each
-    app_id, none that is installed, SUGGESTIONS of each query. software: entry_id, app_id, name, norm, path."""
-    from quarry.functions.scalars import suggestion_gate
-
-    asked = queries.where(suggestion_gate(F.col("text")) & (F.length(F.trim("text")) >= 2))
-    words = channels.query_words(asked)
-    hits = channels.prefix_hits(words, channels.prefix_keys(software)).where(F.col("score") >= channels.INITIALS)
-    totals = search.combined(words, hits)
-    rows = search.scored(totals, asked, software.select("entry_id", "path", "norm"))
-    pool = search.ranked(rows, CANDIDATES).join(software.select("entry_id", "app_id"), "entry_id")
-    pool = pool.join(installed.select("app_id").distinct(), "app_id", "left_anti")
-    best = W.partitionBy("query_id", "app_id").orderBy(F.desc("score"), "path", "entry_id")
-    one = pool.withColumn("_n", F.row_number().over(best)).where("_n = 1").select("query_id", "app_id", "entry_id", "path", "score")
-    return search.ranked(one, SUGGESTIONS)
-
-
 def grouped(rows: DataFrame, group: str) -> DataFrame:
     """rows (query_id, rank) with `position`: groups in the order of their best rank, ranks inside."""
     first = F.min("rank").over(W.partitionBy("query_id", group))

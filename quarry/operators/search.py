@@ -7,12 +7,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.operators import catalog, channels
+from quarry.operators import catalog, channels, segments
+from quarry.operators.segments import Segment
 
 #: The exact tiers, the short-name bonus, the lowest score of a match and limits of a request.
 EXACT_PATH, EXACT_NAME, LENGTH_BONUS, LOWEST = 20_000_000, 10_000_000, 64, 1
 QUERY_BYTES, LIMIT_MAX, LIMIT = 256, 1000, 10
 WORD_START = channels.INITIALS - catalog.PENALTY_MAX
+#: Kinds of evidence: a name's or field's own, a subsequence of the name, a folder's above it.
+OWN, IN_ORDER, ABOVE = 0, 1, 2
 
 
 def combined(words: DataFrame, *hits: DataFrame) -> DataFrame:
@@ -32,54 +35,58 @@ def ranked(rows: DataFrame, limit: int = LIMIT) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
-def evidence(words: DataFrame, items: DataFrame, dirs: DataFrame | None = None, fields: DataFrame | None = None, bonus: int = 0, names: int | None = None) -> DataFrame:
+def evidence(words: DataFrame, segment: Segment, bonus: int = 0) -> DataFrame:
     """query_id, pos, entry_id, score of all channels. A folder speaks only where the name holds no subsequence."""
-    sub = channels.subsequence_hits(words, items)
-    hits = [channels.prefix_hits(words, channels.prefix_keys(items), bonus), channels.typo_hits(words, channels.typo_terms(items))]
-    hits += [channels.trigram_hits(words, channels.gram_index(items), items.count() if names is None else names), sub, channels.path_hits(words, items)]
-    if dirs is not None:
-        up = channels.parent_hits(channels.folder_evidence(words, dirs), items)
-        hits.append(up.join(sub.select("query_id", "pos", "entry_id"), ["query_id", "pos", "entry_id"], "left_anti"))
-    if fields is not None:
-        hits.append(channels.field_hits(words, fields))
-    out = hits[0]
-    for h in hits[1:]:
-        out = out.unionByName(h)
-    return out.groupBy("query_id", "pos", "entry_id").agg(F.max("score").alias("score"))
+    own = [channels.prefix_hits(words, segment.keys, bonus), channels.typo_hits(words, segment.terms), channels.trigram_hits(words, segment.grams, segment.frequent), channels.path_hits(words, segment.entries)]
+    if segment.fields is not None:
+        own.append(channels.field_hits(words, segment.fields))
+    tagged = [(h, OWN) for h in own] + [(channels.subsequence_hits(words, segment.entries), IN_ORDER)]
+    if segment.folders is not None:
+        tagged.append((channels.parent_hits(channels.folder_evidence(words, segment.folders), segment.entries), ABOVE))
+    every = None
+    for hits, kind in tagged:
+        part = hits.select("query_id", "pos", "entry_id", F.col("score").cast("int").alias("score"), F.lit(kind).alias("kind"))
+        every = part if every is None else every.unionByName(part)
+    best = every.groupBy("query_id", "pos", "entry_id").agg(F.max(F.when(F.col("kind") != ABOVE, F.col("score"))).alias("_own"), F.max(F.when(F.col("kind") == ABOVE, F.col("score"))).alias("_up"), F.max(F.col("kind") == IN_ORDER).alias("_sub"))
+    score = F.greatest(F.col("_own"), F.when(~F.col("_sub"), F.col("_up")))
+    return best.select("query_id", "pos", "entry_id", score.alias("score")).where("score IS NOT NULL")
 
 
 def scored(totals: DataFrame, queries: DataFrame, items: DataFrame, boosts: DataFrame | None = None) -> DataFrame:
     """Final scores: exact names and raw paths get their tiers, others a bonus for short names; places and boosts count.
 
-    items needs `place` (0 where absent); boosts: query_id, entry_id, boost of earlier use."""
+    items may have `place` (0 where absent); boosts: query_id (null: for every query), entry_id, boost of earlier use."""
     place = F.col("place") if "place" in items.columns else F.lit(0)
-    asked = queries.select("query_id", F.col("text").alias("_raw"), F.trim(T.normalised(F.col("text"))).alias("_q"))
+    asked = T.with_norm(queries.select("query_id", F.col("text").alias("_raw")), "_raw", "_n").select("query_id", "_raw", F.trim("_n").alias("_q"))
     own = items.select("entry_id", "path", "norm", place.alias("_place"))
     exact = asked.where(F.col("_raw").startswith("/")).join(own, F.col("_raw") == F.col("path")).select("query_id", "entry_id", F.lit(0).cast("long").alias("total"))
     rows = totals.select("query_id", "entry_id", F.col("total").cast("long").alias("total")).unionByName(exact).groupBy("query_id", "entry_id").agg(F.max("total").alias("total"))
-    rows = rows.join(F.broadcast(asked), "query_id").join(own, "entry_id")
+    rows = rows.join(asked, "query_id").join(own, "entry_id")
     plain = F.greatest(F.lit(LOWEST), F.col("total") + F.greatest(F.lit(0), LENGTH_BONUS - F.length("norm")) - F.col("_place"))
     score = F.when(F.col("_raw").startswith("/") & (F.col("_raw") == F.col("path")), F.lit(EXACT_PATH)).when(F.col("norm") == F.col("_q"), EXACT_NAME - F.col("_place")).otherwise(plain)
     if boosts is not None:
-        rows = rows.join(boosts.select("query_id", "entry_id", "boost"), ["query_id", "entry_id"], "left")
-        score = score + F.coalesce(F.col("boost"), F.lit(0))
+        whole = boosts.where("query_id IS NULL").select("entry_id", F.col("boost").alias("_all"))
+        each = boosts.where("query_id IS NOT NULL").select("query_id", "entry_id", F.col("boost").alias("_each"))
+        rows = rows.join(whole, "entry_id", "left").join(each, ["query_id", "entry_id"], "left").withColumn("boost", F.coalesce("_all", F.lit(0)) + F.coalesce("_each", F.lit(0)))
+        return rows.select("query_id", "entry_id", "path", (score + F.col("boost")).cast("long").alias("score"), F.col("boost").cast("long").alias("boost"))
     return rows.select("query_id", "entry_id", "path", score.cast("long").alias("score"))
 
 
-def search(queries: DataFrame, items: DataFrame, dirs: DataFrame | None = None, fields: DataFrame | None = None, boosts: DataFrame | None = None, roots: DataFrame | None = None, limit: int = LIMIT, bonus: int = 0) -> DataFrame:
-    """The best entries of each query: query_id, entry_id, path, score, rank.
+def search(queries: DataFrame, catalog_: DataFrame | Segment, dirs: DataFrame | None = None, fields: DataFrame | None = None, boosts: DataFrame | None = None, roots: DataFrame | None = None, limit: int = LIMIT, bonus: int = 0) -> DataFrame:
+    """The best entries of each query: query_id, entry_id, path, score, rank, and their boost if boosts are given.
 
-    queries: query_id, text (at most QUERY_BYTES bytes; longer ones match nothing). An empty query
-    gives the roots with score 1, boosts left aside."""
+    queries: query_id, text (at most QUERY_BYTES bytes; longer ones match nothing). catalog_: a segment, or entries from which
+    one is made. An empty query gives the roots with score 1, boosts left aside."""
     limit = max(1, min(limit, LIMIT_MAX))
+    segment = catalog_ if isinstance(catalog_, Segment) else segments.build(catalog_, dirs, fields, roots)
     fit = queries.where(F.octet_length("text") <= QUERY_BYTES)
     words = channels.query_words(fit)
-    totals = combined(words, evidence(words, items, dirs, fields, bonus))
-    rows = scored(totals, fit, items, boosts)
+    totals = combined(words, evidence(words, segment, bonus))
+    rows = scored(totals, fit, segment.entries, boosts)
     if roots is not None:
-        empty = fit.where(F.size(T.words(F.col("text"))) == 0).select("query_id")
-        tops = items.join(roots.select("path"), "path", "left_semi").select("entry_id", "path", F.lit(1).cast("long").alias("score"))
-        rows = rows.unionByName(F.broadcast(empty).join(tops).select("query_id", "entry_id", "path", "score"))
+        empty = fit.where(F.trim(F.regexp_replace("text", "[ \\t\\n\\r]+", " ")) == "").select("query_id")
+        tops = segment.entries.join(roots.select("path"), "path", "left_semi").select("entry_id", "path", F.lit(1).cast("long").alias("score"), *([F.lit(0).cast("long").alias("boost")] if boosts is not None else []))
+        rows = rows.unionByName(F.broadcast(empty).join(tops).select(*rows.columns))
     return ranked(rows, limit)
 
 
@@ -90,6 +97,7 @@ def exactness(score):
 
 def symbol_answers(items: DataFrame, limit: int = LIMIT_MAX) -> DataFrame:
     """The prepared answers of one-symbol queries: for each letter and digit the best names that a prefix key gives."""
+    items = catalog.named(items)
     keys = channels.prefix_keys(items).withColumn("query_id", F.substring("key", 1, 1)).where(F.col("query_id").rlike("^[a-z0-9]$"))
     score = F.col("score") + F.when(F.length("key") == 1, F.col("complete")).otherwise(0)
     best = keys.groupBy("query_id", "entry_id").agg(F.max(score).alias("_s"))

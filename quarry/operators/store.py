@@ -5,11 +5,13 @@ writes what it gets as a new version."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarry.functions.text import extension
 from quarry.operators.catalog import self_and_ancestors
+from quarry.plans.shared import fixed
 
 SIGNATURE = ("is_dir", "mtime", "size", "identity")
 
@@ -23,8 +25,9 @@ def diff(saved: DataFrame, scan: DataFrame) -> DataFrame:
     old = saved.select("path", "id", *[F.col(c).alias(f"_o_{c}") for c in SIGNATURE], F.lit(True).alias("_old"))
     met = old.join(scan.select("path", *SIGNATURE, F.lit(True).alias("_new")), "path", "full_outer")
     same = lambda c: F.col(c).eqNullSafe(F.col(f"_o_{c}"))
-    adopted = F.col("_o_identity").isNull() | F.col("identity").isNull() | same("identity")
-    verdict = F.when(F.col("_old").isNull(), "new").when(F.col("_new").isNull(), "unseen").when(~same("is_dir") | ~adopted, "names").when(~same("mtime") | ~same("size"), "metadata").otherwise("same")
+    other = replaced(F.col("_o_identity"), F.col("identity"))
+    stamped = F.col("identity").isNotNull() & ~same("identity")
+    verdict = F.when(F.col("_old").isNull(), "new").when(F.col("_new").isNull(), "unseen").when(~same("is_dir") | other, "names").when(~same("mtime") | ~same("size") | stamped, "metadata").otherwise("same")
     return met.select("path", "id", verdict.alias("verdict"))
 
 
@@ -33,8 +36,8 @@ def upserted(saved: DataFrame, scan: DataFrame) -> DataFrame:
     it and comes back under a new id; new ids follow the greatest one in path order."""
     old = saved.select("path", "id", *[F.col(c).alias(f"_o_{c}") for c in SIGNATURE])
     met = scan.select("path", *SIGNATURE, F.lit(True).alias("_new")).join(old, "path", "full_outer")
-    replaced = met.where("_new AND identity IS NOT NULL AND _o_identity IS NOT NULL AND NOT identity <=> _o_identity").select(F.col("path").alias("_up"))
-    under = met.select("path", F.explode(self_and_ancestors(F.col("path"))).alias("_up")).join(replaced, "_up", "left_semi").select("path").distinct().withColumn("_gone", F.lit(True))
+    others = met.where(F.col("_new") & replaced(F.col("_o_identity"), F.col("identity"))).select(F.col("path").alias("_up"))
+    under = met.select("path", F.explode(self_and_ancestors(F.col("path"))).alias("_up")).join(others, "_up", "left_semi").select("path").distinct().withColumn("_gone", F.lit(True))
     met = met.join(under, "path", "left")
     # an unseen row below a replaced folder is gone; a seen one gets a new id
     met = met.where(~(F.coalesce("_gone", F.lit(False)) & F.col("_new").isNull())).withColumn("id", F.when(F.col("_gone"), None).otherwise(F.col("id")))
@@ -44,16 +47,54 @@ def upserted(saved: DataFrame, scan: DataFrame) -> DataFrame:
 
 
 def numbered(rows: DataFrame, saved: DataFrame) -> DataFrame:
-    """rows with ids where they are null: after the greatest saved one, in path order. Rows are counted by ranges of the
-    path, so no task sees them all."""
+    """rows with ids where they are null: after the greatest saved one, in path order. New rows are dealt out by ranges of the path, each
+    range is counted and numbered by itself, and starts where the ranges before it end: no task sees them all."""
     top = saved.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    fresh = rows.where("id IS NULL").withColumn("_b", F.substring(F.md5("path"), 1, 2))
-    before = fresh.groupBy("_b").agg(F.count("*").alias("_n")).withColumn("_base", F.sum("_n").over(W.orderBy("_b")) - F.col("_n"))
+    fresh = fixed(rows.where("id IS NULL").drop("id").repartitionByRange("path").withColumn("_b", F.spark_partition_id()))
+    # one row for each range: some thousands for terabytes
+    before = fresh.groupBy("_b").agg(F.min("path").alias("_from"), F.count("*").alias("_n")).withColumn("_base", F.sum("_n").over(W.orderBy("_from")) - F.col("_n"))
     given = fresh.join(F.broadcast(before.select("_b", "_base")), "_b").withColumn("_r", F.row_number().over(W.partitionBy("_b").orderBy("path")))
     given = given.join(F.broadcast(top)).select((F.col("_top") + F.col("_base") + F.col("_r")).alias("id"), *[c for c in rows.columns if c != "id"])
     return rows.where("id IS NOT NULL").unionByName(given)
 
 
+#: Kinds of a stored identity: of a change time, of a birth time, and what a rename leaves (device and inode only).
+CHANGED, BORN, RENAMED = 0, 1, 2
+#: Bytes of kind, and of device and inode, in a stored identity.
+KIND_BYTES, OBJECT_BYTES, IDENTITY_BYTES = 1, 16, 29
+
+
+def _little(c: Column, size: int) -> Column:
+    """The least `size` bytes of a number, least first."""
+    digits = F.lpad(F.hex(c.cast("long")), 16, "0")
+    return F.unhex(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(size)), lambda i: F.substring(digits, 17 - 2 * i, F.lit(2))), ""))
+
+
+def identity(birth: Column, device: Column, inode: Column, sec: Column, nsec: Column) -> Column:
+    """29 bytes that name a file system object: kind, device, inode, seconds and nanoseconds of its birth or change."""
+    return F.concat(F.when(birth, F.unhex(F.lit("01"))).otherwise(F.unhex(F.lit("00"))), _little(device, 8), _little(inode, 8), _little(sec, 8), _little(nsec, 4))
+
+
+def identity_parts(c: Column) -> Column:
+    """kind, device, inode, sec, nsec of an identity."""
+
+    def number(at: int, size: int) -> Column:
+        digits = F.hex(F.substring(c, at, size))
+        turned = F.array_join(F.transform(F.sequence(F.lit(size), F.lit(1), F.lit(-1)), lambda i: F.substring(digits, 2 * i - 1, F.lit(2))), "")
+        return F.conv(turned, 16, -10).cast("long")
+
+    return F.when(F.length(c) == IDENTITY_BYTES, F.struct(number(1, 1).cast("int").alias("kind"), number(2, 8).alias("device"), number(10, 8).alias("inode"), number(18, 8).alias("sec"), number(26, 4).alias("nsec")))
+
+
+def replaced(saved: Column, incoming: Column) -> Column:
+    """Whether another object has a path now: device and inode differ, or all bytes do unless a rename took the rest. Unknown identities
+    are adopted."""
+    saved, incoming = saved.cast("binary"), incoming.cast("binary")
+    of_object = lambda c: F.substring(c, KIND_BYTES + 1, OBJECT_BYTES)
+    renamed = F.substring(saved, 1, KIND_BYTES) == F.unhex(F.lit("02"))
+    return F.coalesce((of_object(saved) != of_object(incoming)) | (~renamed & (saved != incoming)), F.lit(False))
+
+
 def pruned(saved: DataFrame, seen: DataFrame, scope: str, kept: DataFrame, roots: DataFrame) -> DataFrame:
     """The snapshot without rows of the scope that were not seen, but for kept subtrees and roots nested in the scope.
 
@@ -82,14 +123,27 @@ def pruned_exactly(saved: DataFrame, gone: DataFrame, seen: DataFrame, kept: Dat
 
 
 def moved(saved: DataFrame, old: str, new: str) -> DataFrame:
-    """The snapshot after a folder or file moved: what was at the new place goes, paths get the new prefix. Nothing
-    happens if nothing was at the old place."""
+    """The snapshot after a folder or file moved: what was at the new place goes, and paths get the new prefix. Where the table has them, the moved
+    row's name and ext are its new ones, embeddings (columns emb_*) of all that moved are dropped, and identities of a change time keep
+    device and inode only, so that the next scan adopts the new one. Nothing happens if nothing was at the old place."""
+    if old == new or old.startswith(new + "/") or new.startswith(old + "/"):
+        raise ValueError("a path cannot be moved into itself")
     at = lambda p: (F.col("path") == p) | F.col("path").startswith(p + "/")
     found = saved.agg((F.count(F.when(F.col("path") == old, 1)) > 0).alias("_there"))  # one row
     rows = saved.join(F.broadcast(found))
-    rows = rows.where(~(F.col("_there") & at(new) & ~at(old)))
-    path = F.when(F.col("_there") & at(old), F.concat(F.lit(new), F.substring(F.col("path"), len(old) + 1, 1 << 20))).otherwise(F.col("path"))
-    return rows.withColumn("path", path).drop("_there")
+    rows = rows.where(~(F.col("_there") & at(new)))
+    goes, itself = F.col("_there") & at(old), F.col("_there") & (F.col("path") == old)
+    name = new.rsplit("/", 1)[1]
+    to = {"path": F.when(goes, F.concat(F.lit(new), F.substring(F.col("path"), len(old) + 1, 1 << 20))).otherwise(F.col("path"))}
+    if "name" in saved.columns:
+        to["name"] = F.when(itself, F.lit(name)).otherwise(F.col("name"))
+    if "ext" in saved.columns:
+        to["ext"] = F.when(itself, extension(F.lit(name), F.col("is_dir"))).otherwise(F.col("ext"))
+    if dict(saved.dtypes).get("identity") == "binary":
+        stripped = F.concat(F.unhex(F.lit("02")), F.substring("identity", KIND_BYTES + 1, OBJECT_BYTES), F.unhex(F.lit("00" * 12)))
+        to["identity"] = F.when(goes & (F.substring("identity", 1, KIND_BYTES) == F.unhex(F.lit("00"))), stripped).otherwise(F.col("identity"))
+    to |= {c: F.when(~goes, F.col(c)) for c in saved.columns if c.startswith("emb_")}
+    return rows.withColumns(to).select(*saved.columns)
 
 
 def changes(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -101,6 +155,13 @@ def changes(before: DataFrame, after: DataFrame) -> DataFrame:
     return met.select("id", kind.alias("kind")).where("kind IS NOT NULL")
 
 
+def captured(changed: DataFrame, most: int) -> DataFrame:
+    """changed (id, kind), up to `most` rows by id, each with `overflow`: whether there were more. A reader that sees it must look at
+    everything again. The limit runs in each task first."""
+    over = changed.agg((F.count("*") > most).alias("overflow"))
+    return changed.orderBy("id").limit(most).join(F.broadcast(over))
+
+
 def pending(kept: DataFrame, touched: DataFrame, committed: DataFrame) -> DataFrame:
     """The delta's next rows: kept rows that were not touched, and the touched ids' committed rows."""
     return kept.join(touched.select("id"), "id", "left_anti").unionByName(committed.join(touched.select("id"), "id", "left_semi"))
@@ -144,3 +205,56 @@ def status(saved: DataFrame, opens: DataFrame) -> DataFrame:
     a = statistics(saved)
     b = opens.agg(F.count("*").alias("n_opens"), F.max("ts").alias("last_open"))
     return a.join(F.broadcast(b)).select(F.to_json(F.struct("n_rows", "n_dirs", "bytes", "n_opens", "last_open")).alias("value"))
+
+
+# --- versions ----------------------------------------------------------------------------------------------
+
+
+def commit(tables: dict[str, DataFrame], path: str, generation: int) -> None:
+    """Write tables as one generation. A generation is a folder of its own that is never changed: readers of another one go on undisturbed. Its
+    marker is written last, so a generation is there whole or not at all."""
+    for name, df in tables.items():
+        df.write.parquet(f"{path}/gen={generation:020d}/{name}")
+    spark = next(iter(tables.values())).sparkSession
+    spark.createDataFrame([(generation, sorted(tables))], "generation long, tables array<string>").coalesce(1).write.json(f"{path}/gen={generation:020d}/_marker")
+
+
+def generations(spark: SparkSession, path: str) -> list[int]:
+    """The generations at path that are whole, in order."""
+    fs, base = _fs(spark, path)
+    if not fs.exists(base):
+        return []
+    found = [s.getPath() for s in fs.listStatus(base)]
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    return sorted(int(p.getName()[4:]) for p in found if p.getName().startswith("gen=") and fs.exists(hadoop(p, "_marker/_SUCCESS")))
+
+
+def load(spark: SparkSession, path: str, names: list[str], generation: int | None = None) -> tuple[int, dict[str, DataFrame]]:
+    """The tables of one generation (the latest), all of the same: (generation, tables)."""
+    found = generations(spark, path)
+    if generation is None and not found or generation is not None and generation not in found:
+        raise ValueError(f"no generation {generation if generation is not None else ''} at {path}")
+    generation = found[-1] if generation is None else generation
+    return generation, {n: spark.read.parquet(f"{path}/gen={generation:020d}/{n}") for n in names}
+
+
+def vacuum(spark: SparkSession, path: str, keep: set[int]) -> list[int]:
+    """Delete all generations but the latest and those that readers hold; gives the deleted ones."""
+    fs, base = _fs(spark, path)
+    gone = [g for g in generations(spark, path)[:-1] if g not in keep]
+    for g in gone:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(base, f"gen={g:020d}"), True)
+    return gone
+
+
+def integrity(saved: DataFrame) -> DataFrame:
+    """One row of counts that must be 0: rows without an id or path, repeated ids, repeated paths, paths that do not begin with /."""
+    ids = saved.groupBy("id").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("repeated_ids"))
+    paths = saved.groupBy("path").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("repeated_paths"))
+    empty = saved.agg(F.count(F.when(F.col("id").isNull() | F.col("path").isNull(), 1)).alias("empty"), F.count(F.when(~F.col("path").startswith("/"), 1)).alias("relative"))
+    return empty.join(F.broadcast(ids)).join(F.broadcast(paths))
+
+
+def _fs(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p

@@ -1,15 +1,21 @@
 """Vector retrieval: cosine by floats and by bytes, two-pass shortlists, fusion of ranked lists.
 
-vectors: id long, v array<float>; asked: query_id, v. The asked side is a batch of queries and is broadcast."""
+vectors: id long, v array<float>, stored at unit length (prepared()); asked: query_id, v: a batch of queries, which is broadcast within a
+bound, in blocks beyond it."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: The least cosine of a hit, first-pass dimensions and rows, the constant of rank fusion.
 THRESHOLD, HEAD, SHORTLIST, RRF_K = 0.2, 128, 8000, 60
+#: Bytes of queries that are broadcast at once, and cells of a product that a worker holds.
+QUERY_BYTES, CELLS = 32 << 20, 4_000_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -51,33 +57,83 @@ def top(rows: DataFrame, score: str, k: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _met(vectors: DataFrame, asked: DataFrame, threshold: float | None, head: int | None = None) -> DataFrame:
+    """query_id, id, cosine of asked (query_id, v) against vectors (id, v), both of unit length. The queries are one matrix, broadcast within a
+    bound on its bytes, or in blocks of them; each Arrow batch of vectors meets it in one product. No row leaves the worker that
+    is below the threshold."""
+    spark = vectors.sparkSession
+    found = asked.where("v IS NOT NULL").select("query_id", F.transform("v", lambda x: x.cast("float")).alias("v")).collect()  # a batch of queries
+    out = spark.createDataFrame([], f"query_id {asked.schema['query_id'].dataType.simpleString()}, id long, cosine double")
+    kind = to_arrow_type(asked.schema["query_id"].dataType)
+    step = max(1, QUERY_BYTES // max(4 * len(found[0].v), 1)) if found else 1
+    for at in range(0, len(found), step):
+        block = found[at : at + step]
+        sent = spark.sparkContext.broadcast((np.array([r.query_id for r in block]), np.array([r.v for r in block], np.float64)))
+
+        def run(batches, sent=sent):
+            ids, matrix = sent.value
+            for batch in batches:
+                batch = batch.filter(batch.column(1).is_valid())
+                if not batch.num_rows:
+                    continue
+                # as many rows at a time as give a bounded product
+                for part in (batch.slice(i, CELLS // len(ids) + 1) for i in range(0, batch.num_rows, CELLS // len(ids) + 1)):
+                    v = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
+                    if head is None:
+                        cos = np.clip(v @ matrix.T, -1, 1)
+                    else:
+                        length = np.sqrt((v[:, :head] ** 2).sum(1))
+                        cos = np.divide(v[:, :head] @ matrix[:, :head].T, length[:, None], out=np.zeros((len(v), len(ids))), where=length[:, None] > 0)
+                    row, query = np.nonzero(cos >= threshold) if threshold is not None else np.nonzero(np.ones_like(cos, bool))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[query], kind), part.column(0).cast(pa.int64()).take(pa.array(row)), pa.array(cos[row, query])], ["query_id", "id", "cosine"])
+
+        out = out.unionByName(vectors.select("id", "v").mapInArrow(run, out.schema))
+    return out
+
+
+def prepared(vectors: DataFrame) -> DataFrame:
+    """vectors (id, v) at length 1, to be stored once: no query works out a norm again. Zero and non-finite ones are null."""
+    return vectors.withColumn("v", unit(F.col("v")))
+
+
 def nearest(vectors: DataFrame, asked: DataFrame, k: int, threshold: float | None = THRESHOLD) -> DataFrame:
-    """query_id, id, cosine, rank by float cosine over all rows."""
-    met = F.broadcast(asked.select("query_id", F.col("v").alias("_q"))).join(vectors.select("id", "v")).withColumn("cosine", cosine(F.col("v"), F.col("_q")))
-    met = met if threshold is None else met.where(F.col("cosine") >= threshold)
-    return top(met.select("query_id", "id", "cosine"), "cosine", k)
+    """query_id, id, cosine, rank by float cosine over all rows. Both sides prepared()."""
+    return top(_met(vectors, asked, threshold), "cosine", k)
+
+
+def as_bytes(vectors: DataFrame) -> DataFrame:
+    """vectors (v: unit length) as bytes, brought to length 1 again, so that products are cosines of the bytes."""
+    return vectors.withColumn("v", unit(F.transform("v", lambda x: F.round(x * 127).cast("tinyint"))))
 
 
 def nearest_bytes(vectors: DataFrame, asked: DataFrame, k: int, threshold: float | None = THRESHOLD) -> DataFrame:
-    as_bytes = lambda df: df.withColumn("v", quantised(F.col("v"))).where("v IS NOT NULL")
     return nearest(as_bytes(vectors), as_bytes(asked), k, threshold)
 
 
 def nearest_two_pass(vectors: DataFrame, asked: DataFrame, k: int, head: int = HEAD, shortlist: int = SHORTLIST) -> DataFrame:
     """A shortlist by the first `head` dimensions of the byte vectors, then all dimensions of its rows."""
-    q = F.broadcast(asked.select("query_id", quantised(F.col("v")).alias("_q")))
-    rows = q.join(vectors.select("id", quantised(F.col("v")).alias("v"))).where("v IS NOT NULL AND _q IS NOT NULL")
-    first = rows.withColumn("_h", F.coalesce(dot(F.slice("v", 1, head), F.slice("_q", 1, head)) / norm(F.slice("v", 1, head)), F.lit(0.0)))
-    kept = top(first, "_h", shortlist).withColumn("cosine", cosine(F.col("v"), F.col("_q")))
-    return top(kept.select("query_id", "id", "cosine"), "cosine", k)
+    rows, q = as_bytes(vectors), as_bytes(asked)
+    kept = top(_met(rows, q, None, head), "cosine", shortlist).select("query_id", "id")
+    return _rescored(kept, rows, q, k)
 
 
 def nearest_bits(vectors: DataFrame, asked: DataFrame, k: int, shortlist: int) -> DataFrame:
     """A shortlist by sign-bit distance, then float cosines of its rows."""
-    q = F.broadcast(asked.select("query_id", F.col("v").alias("_q"), sign_bits(F.col("v")).alias("_b")))
-    rows = q.join(vectors.select("id", "v", sign_bits(F.col("v")).alias("b"))).withColumn("_near", -hamming(F.col("b"), F.col("_b")))
-    kept = top(rows, "_near", shortlist).withColumn("cosine", cosine(F.col("v"), F.col("_q")))
-    return top(kept.select("query_id", "id", "cosine"), "cosine", k)
+    q = F.broadcast(asked.select("query_id", sign_bits(F.col("v")).alias("_b")))  # a batch of queries
+    rows = q.join(vectors.select("id", sign_bits(F.col("v")).alias("b"))).withColumn("_near", -hamming(F.col("b"), F.col("_b")))
+    return _rescored(top(rows, "_near", shortlist).select("query_id", "id"), vectors, asked, k)
+
+
+def _rescored(kept: DataFrame, vectors: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """The k best of the kept (query_id, id) by all dimensions."""
+    met = kept.join(vectors.select("id", "v"), "id").join(asked.select("query_id", F.col("v").alias("_q")), "query_id")
+    return top(met.select("query_id", "id", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(F.col("v"), F.col("_q")))).alias("cosine")), "cosine", k)
+
+
+def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """One row, recall: the share of the exact answers (query_id, id) that were found."""
+    hits = exact.select("query_id", "id").join(found.select("query_id", "id", F.lit(1).alias("_hit")), ["query_id", "id"], "left")
+    return hits.agg((F.count("_hit") / F.count("*")).alias("recall"))
 
 
 def pooled(texts: DataFrame, vocabulary: DataFrame) -> DataFrame:

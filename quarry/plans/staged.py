@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import fuzzy
 from quarry.operators import channels, search
+from quarry.operators.segments import Segment
 
 
 def pending_words(words: DataFrame, cheap: DataFrame, limit: int) -> DataFrame:
@@ -29,14 +30,14 @@ def rare_grams(grams: DataFrame, frequency: DataFrame) -> DataFrame:
     return met.where(F.col("_r") <= F.col("_n") - F.ceil(F.col("_n") / 2) + 1).select("query_id", "pos", "gram")
 
 
-def trigram_hits_by_rare(words: DataFrame, index: DataFrame, names: int) -> DataFrame:
+def trigram_hits_by_rare(words: DataFrame, index: DataFrame, frequent: DataFrame) -> DataFrame:
     """channels.trigram_hits() with candidates from rare grams only: the same hits, from a smaller join."""
     from quarry.functions import text as T
 
     grams = words.where(~F.col("word").contains("/")).select("query_id", "pos", T.trigrams(F.col("word")).alias("g")).where(F.size("g") >= 3)
     each = grams.select("query_id", "pos", F.explode("g").alias("gram"))
     df = index.groupBy("gram").agg(F.count("*").alias("df"))
-    told = each.join(df.where(F.col("df") > max(64, names // 8)), "gram", "left_anti")
+    told = each.join(frequent.select("gram"), "gram", "left_anti")
     few = rare_grams(told, df)
     candidates = few.join(index, "gram").select("query_id", "pos", "entry_id").distinct()
     totals = told.groupBy("query_id", "pos").agg(F.count("*").alias("total"))
@@ -45,10 +46,11 @@ def trigram_hits_by_rare(words: DataFrame, index: DataFrame, names: int) -> Data
     return found.select("query_id", "pos", "entry_id", F.expr("1000 + (1000 * shared) div total").cast("int").alias("score"))
 
 
-def one_word_topk(queries: DataFrame, items: DataFrame, limit: int = 10) -> DataFrame:
+def one_word_topk(queries: DataFrame, segment: Segment, limit: int = 10) -> DataFrame:
     """search.search() without folders for batches of mostly short queries: subsequences are aligned only where they can matter."""
     words = channels.query_words(queries)
-    cheap = channels.prefix_hits(words, channels.prefix_keys(items)).unionByName(channels.typo_hits(words, channels.typo_terms(items)))
-    cheap = cheap.unionByName(channels.trigram_hits(words, channels.gram_index(items), items.count())).groupBy("query_id", "pos", "entry_id").agg(F.max("score").alias("score"))
-    slow = channels.subsequence_hits(pending_words(words, cheap, limit), items)
-    return search.ranked(search.scored(search.combined(words, cheap, slow), queries, items), limit)
+    cheap = channels.prefix_hits(words, segment.keys).unionByName(channels.typo_hits(words, segment.terms))
+    cheap = cheap.unionByName(channels.trigram_hits(words, segment.grams, segment.frequent)).unionByName(channels.path_hits(words, segment.entries))
+    cheap = cheap.groupBy("query_id", "pos", "entry_id").agg(F.max("score").alias("score"))
+    slow = channels.subsequence_hits(pending_words(words, cheap, limit), segment.entries)
+    return search.ranked(search.scored(search.combined(words, cheap, slow), queries, segment.entries), limit)

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import contextlib
+import json
 import os
 import stat
+import struct
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from quarry.functions.scalars import octal_unescaped, software_ref_valid
+from quarry.functions.scalars import display_escaped, octal_unescaped, software_ref_valid
+from quarry.operators.catalog import IGNORED_NAMES
 
 #: File systems whose change events cannot be relied on.
 UNRELIABLE = ("nfs", "nfs4", "smb", "smb2", "smb3", "cifs", "fuse", "9p", "ceph", "afs", "coda")
@@ -18,56 +22,98 @@ REQUEST = "version int, op string, request_id long, query string, limit int, cli
 
 
 class Walk(DataSource):
-    """spark.read.format("walk").option("root", dir): path, is_dir, mtime, size, unreadable. One task for each folder
-    directly below the root. Links are not followed, and what cannot be read is flagged, not dropped. Option scope: children
-    gives the root's own children only. Executors must see the folder."""
+    """spark.read.format("walk").option("root", dir): path, is_dir, mtime, size, identity, unreadable. One task for each folder
+    directly below the root. Links are not followed, and what cannot be read is flagged, not dropped.
+
+    Options: scope, children for the root's own children only; exclude and allow, JSON lists of folders: excluded ones are left out, and so are
+    hidden, generated and tool-managed folders unless they are allowed or lead to an allowed one (then only
+    the way is followed); defaults, false to take these too. Executors must see the folder."""
 
     @classmethod
     def name(cls) -> str:
         return "walk"
 
     def schema(self) -> str:
-        return "path string, is_dir boolean, mtime long, size long, unreadable boolean"
+        return "path string, is_dir boolean, mtime long, size long, identity binary, unreadable boolean"
 
     def reader(self, schema):
         return WalkReader(self.options)
 
 
 class WalkReader(DataSourceReader):
+    #: Files and folders that mark a folder as kept by a tool, and how a cache's tag begins.
+    MARKS, TAG = ("pyvenv.cfg", "conda-meta", ".knownPackages"), b"Signature: 8a477f597d28d172789f06886806bc55"
+
     def __init__(self, options):
         self.root, self.deep = options["root"].rstrip("/") or "/", options.get("scope", "tree") == "tree"
+        self.exclude, self.allow = (set(json.loads(options.get(k, "[]"))) for k in ("exclude", "allow"))
+        self.defaults = options.get("defaults", "true").lower() != "false"
 
     def partitions(self):
-        found = [InputPartition((self.root, False))]
+        found = [InputPartition((self.root, False, False))]
         if self.deep:
-            with os.scandir(self.root) as it:
-                found += [InputPartition((e.path, True)) for e in it if e.is_dir(follow_symlinks=False)]
+            with contextlib.suppress(OSError), os.scandir(self.root) as it:
+                below = [(e.path, self._scope(e, False)) for e in it if e.is_dir(follow_symlinks=False)]
+                found += [InputPartition((p, True, kind == "transit")) for p, kind in sorted(below) if kind != "skip"]
         return found
 
     def read(self, partition):
-        top, deep = partition.value
+        top, deep, transit = partition.value
         if not deep:
-            yield self._row(top)
-            children = sorted(e.path for e in os.scandir(top))
-            yield from (self._row(p) for p in children if not (self.deep and os.path.isdir(p) and not os.path.islink(p)))
+            row, below = self._row(top), self._children(top)
+            yield row if below is not None or not row[1] else (*row[:5], True)
+            for e in below or ():
+                if not (self.deep and e.is_dir(follow_symlinks=False)) and self._scope(e, False) == "index":
+                    yield self._row(e.path)
             return
-        stack = [top]
+        stack = [(top, transit)]
         while stack:
-            path = stack.pop()
+            path, transit = stack.pop()
             row = self._row(path)
             if row[1]:
-                try:
-                    stack += sorted((e.path for e in os.scandir(path)), reverse=True)
-                except OSError:
-                    row = (*row[:4], True)
-            yield row
+                below = self._children(path)
+                if below is None:
+                    row = (*row[:5], True)
+                kinds = [(e.path, self._scope(e, transit)) for e in below or ()]
+                stack += [(p, kind == "transit") for p, kind in reversed(kinds) if kind != "skip"]
+            if not transit:
+                yield row
+
+    def _children(self, path):
+        try:
+            with os.scandir(path) as it:
+                return sorted(it, key=lambda e: e.path)
+        except OSError:
+            return None
+
+    def _scope(self, entry, transit: bool) -> str:
+        """index, transit (followed, but not given) or skip."""
+        path, is_dir = entry.path, entry.is_dir(follow_symlinks=False)
+        if path in self.exclude:
+            return "skip"
+        if is_dir and path in self.allow:
+            return "index"
+        leads = is_dir and any(a.startswith(path + "/") for a in self.allow)
+        if transit or (is_dir and self.defaults and (entry.name.startswith(".") or entry.name in IGNORED_NAMES or self._managed(entry))):
+            return "transit" if leads else "skip"
+        return "index"
+
+    def _managed(self, entry) -> bool:
+        names = {e.name: e for e in self._children(entry.path) or ()}
+        if "CACHEDIR.TAG" in names:
+            with contextlib.suppress(OSError), open(names["CACHEDIR.TAG"].path, "rb") as f:
+                if f.read(len(self.TAG)) == self.TAG:
+                    return True
+        marked = [m for m in self.MARKS if m in names and names[m].is_dir(follow_symlinks=False) == (m == "conda-meta")]
+        return bool(marked) or (entry.name == "mod" and os.path.isdir(os.path.join(entry.path, "cache", "download")))
 
     def _row(self, path):
         try:
             s = os.lstat(path)
-            return (path, stat.S_ISDIR(s.st_mode), int(s.st_mtime), s.st_size, False)
+            identity = struct.pack("<BQQqI", 0, s.st_dev, s.st_ino, s.st_ctime_ns // 10**9, s.st_ctime_ns % 10**9)
+            return (path, stat.S_ISDIR(s.st_mode), int(s.st_mtime), s.st_size, identity, False)
         except OSError:
-            return (path, False, None, None, True)
+            return (path, False, None, None, None, True)
 
 
 def register(spark: SparkSession) -> None:
@@ -94,6 +140,22 @@ def mounts_changed(before: DataFrame, after: DataFrame, roots: DataFrame) -> Dat
     return below.union(above).distinct()
 
 
+#: Bounds of desktop entries: levels of folders, bytes of a file.
+DEPTH_MAX, ENTRY_BYTES = 16, 64 << 10
+
+
+def desktop_files(spark: SparkSession, folders: list[str]) -> DataFrame:
+    """desktop_id, precedence, content of the .desktop files below folders (the user's first), which Spark reads from any store. An id is the
+    path below the folder with slashes as dashes; files too large or too deep are left out."""
+    out = spark.createDataFrame([], "desktop_id string, precedence int, content string")
+    for k, top in enumerate(folders):
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.desktop").load(top)
+        below = F.regexp_replace(F.substring_index("path", top.rstrip("/") + "/", -1), "^/+", "")
+        rows = files.where(F.col("length") <= ENTRY_BYTES).select(below.alias("_p"), F.lit(k).alias("precedence"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
+        out = out.unionByName(rows.where(F.size(F.split("_p", "/")) <= DEPTH_MAX).select(F.replace("_p", F.lit("/"), F.lit("-")).alias("desktop_id"), "precedence", "content"))
+    return out
+
+
 def desktop_entries(files: DataFrame) -> DataFrame:
     """files (desktop_id, precedence, content) -> desktop_id, name, generic_name, keywords, categories, wm_class, settings,
     only_show_in, not_show_in of entries that show. The first file of an id counts (the least precedence), even if it is hidden:
@@ -148,3 +210,25 @@ def config(lines: DataFrame, home: str) -> DataFrame:
     key, value = F.regexp_extract(text, "^([^=]*?)[ \\t]*=", 1), F.regexp_extract(text, "^[^=]*=[ \\t]*(.*)$", 1)
     rows = lines.select(text.alias("_t"), key.alias("key"), F.when(value.startswith("~/"), F.concat(F.lit(home), F.substring(value, 2, 1 << 20))).otherwise(value).alias("value"))
     return rows.where("_t <> '' AND NOT startswith(_t, '#')").select("key", "value", (F.col("key").rlike("^[a-z_]+$") & (F.col("value") != "")).alias("valid"))
+
+
+# --- sinks -------------------------------------------------------------------------------------------------
+
+
+def write_lines(results: DataFrame, out: str) -> None:
+    """Paths of results (query_id, rank, path) as lines to read, escaped; in order inside each file."""
+    _ordered(results).select(display_escaped(F.col("path"))).write.text(out)
+
+
+def write_raw(results: DataFrame, out: str) -> None:
+    """Paths as they are, a zero byte after each."""
+    _ordered(results).select("path").write.option("lineSep", "\0").text(out)
+
+
+def write_json(results: DataFrame, out: str) -> None:
+    """One JSON response a line."""
+    responses(results).write.text(out)
+
+
+def _ordered(results: DataFrame) -> DataFrame:
+    return results.repartition("query_id").sortWithinPartitions("query_id", "rank")

@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 HEADER, DIGEST = 220, 188
@@ -42,4 +43,6 @@ def vocabulary(spark: SparkSession, path: str, magic: bytes) -> DataFrame:
     if row is None:
         raise ValueError("no model of an allowed size at that path")
     tokens, weights = parsed(bytes(row.content), magic)
-    return spark.createDataFrame(list(zip(range(len(tokens)), tokens, weights.tolist())), "token_id int, token string, v array<float>")
+    count, dims = weights.shape
+    made = pa.table({"token_id": pa.array(range(count), pa.int32()), "token": tokens, "v": pa.FixedSizeListArray.from_arrays(pa.array(weights.reshape(-1)), dims).cast(pa.list_(pa.float32()))})
+    return spark.createDataFrame(made)

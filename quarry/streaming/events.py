@@ -7,6 +7,7 @@ cookie long, is_dir boolean."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass, replace
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -66,42 +67,108 @@ def debounced(events: DataFrame, root: str = "root") -> DataFrame:
 
 
 class Debounce(StatefulProcessor):
-    """Batches as debounced(), cut LONGEST_MS after their first event, and at SCOPES_NOW events. Output: root, batch_start,
-    batch_end (milliseconds), n_events. Input: root, ms. Needs the RocksDB state store."""
+    """Batches as debounced(), cut LONGEST_MS after their first event, and as soon as SCOPES_NOW scopes are pending. What is held goes
+    when its time is up, by a timer, though no event follows. Output: root, batch_start, batch_end (milliseconds), n_events, n_scopes. Input: root, ms, scope.
+    Needs the RocksDB state store."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("batch", "first long, last long, n long")
+        self.handle = handle
+        self.state = handle.getValueState("batch", "first long, last long, n long, scopes array<string>")
 
     def handleInputRows(self, key, rows, timerValues):
-        held = self.state.get() if self.state.exists() else None
+        held = self._held()
         out = []
-        for ms in sorted(int(x) for pdf in rows for x in pdf["ms"]):
-            if held and (ms - held[1] >= QUIET_MS or ms - held[0] >= LONGEST_MS or held[2] >= SCOPES_NOW):
-                out.append((key[0], held[0], min(held[1] + QUIET_MS, held[0] + LONGEST_MS), held[2]))
+        for ms, scope in sorted((int(m), str(s)) for pdf in rows for m, s in zip(pdf["ms"], pdf["scope"])):
+            if held and (ms - held[1] >= QUIET_MS or ms - held[0] >= LONGEST_MS):
+                out.append(self._row(key, held))
                 held = None
-            held = (held[0], ms, held[2] + 1) if held else (ms, ms, 1)
+            held = (held[0], ms, held[2] + 1, held[3] | {scope}) if held else (ms, ms, 1, {scope})
+            if len(held[3]) >= SCOPES_NOW:
+                out.append(self._row(key, held))
+                held = None
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
         if held:
-            self.state.update(held)
-        yield pd.DataFrame(out, columns=["root", "batch_start", "batch_end", "n_events"])
+            self.state.update((held[0], held[1], held[2], sorted(held[3])))
+            left = min(held[1] + QUIET_MS, held[0] + LONGEST_MS) - held[1]
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + left)
+        else:
+            self.state.clear()
+        yield self._frame(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        held = self._held()
+        self.state.clear()
+        yield self._frame([self._row(key, held)] if held else [])
+
+    def _held(self):
+        found = self.state.get() if self.state.exists() else None
+        return (found[0], found[1], found[2], set(found[3])) if found else None
+
+    def _row(self, key, held):
+        return (key[0], held[0], min(held[1] + QUIET_MS, held[0] + LONGEST_MS), held[2], len(held[3]))
+
+    def _frame(self, rows) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["root", "batch_start", "batch_end", "n_events", "n_scopes"])
 
     def close(self) -> None:
         pass
 
 
 def debounce_stream(events: DataFrame) -> DataFrame:
-    """events (root string, ms long), streaming, through Debounce."""
-    return events.groupBy("root").transformWithStateInPandas(Debounce(), "root string, batch_start long, batch_end long, n_events long", "Append", "None")
+    """events (root string, ms long, scope string), streaming, through Debounce."""
+    return events.groupBy("root").transformWithStateInPandas(Debounce(), "root string, batch_start long, batch_end long, n_events long, n_scopes long", "Append", "ProcessingTime")
+
+
+@dataclass(frozen=True)
+class Passes:
+    """When the next passes over a tree are due, in milliseconds: folders that events do not cover are looked at every rescan_ms,
+    everything every repair_ms (0: never) without a full pass; at once when a full pass is asked for."""
+
+    rescan_ms: int
+    repair_ms: int
+    rescan_due: int = 0
+    repair_due: int = 0
+    requested: bool = False
 
+    def request(self) -> Passes:
+        return replace(self, requested=True)
 
-def reconciled(stream: DataFrame, apply: Callable[[DataFrame, DataFrame, int], None], checkpoint: str):
-    """Start a query that hands each micro-batch's renames and outermost scopes to apply(renames, scopes, batch_id)."""
+    def at(self, now: int) -> tuple[str, Passes]:
+        """(full, repair or none, what holds after it)."""
+        full = self.requested or (self.repair_ms > 0 and now >= self.repair_due)
+        repair = now >= self.rescan_due
+        after = replace(self, requested=False, rescan_due=now + self.rescan_ms if repair or full else self.rescan_due, repair_due=now + self.repair_ms if full else self.repair_due)
+        return "full" if full else "repair" if repair else "none", after
+
+
+def reconciled(stream: DataFrame, apply: Callable[[DataFrame, DataFrame, bool, int], None], checkpoint: str, full: Callable[[], bool] = lambda: False):
+    """Start a query that hands each micro-batch's renames and outermost scopes to apply(renames, scopes, full, batch_id). full: whether the
+    whole tree must be looked at, because events were lost, scopes are too many, or full() asks for it."""
 
     def one(batch: DataFrame, batch_id: int) -> None:
-        apply(renames(batch), outermost(scopes(batch)), batch_id)
+        found = scopes(batch)
+        whole = full() or full_pass(batch, found).first()["full"]
+        apply(renames(batch), outermost(found), whole, batch_id)
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+#: Fixed value: searches that are remembered for the opens that follow them.
+RECENT_SEARCHES = 256
+
+
+def remembered(searches: DataFrame, most: int = RECENT_SEARCHES) -> DataFrame:
+    """The latest `most` searches (search_id, query, seq), of a repeated id the latest."""
+    last = searches.groupBy("search_id").agg(F.max_by("query", "seq").alias("query"), F.max("seq").alias("seq"))
+    return last.orderBy(F.desc("seq"), "search_id").limit(most)
+
+
+def with_query(opens: DataFrame, recent: DataFrame) -> DataFrame:
+    """opens (search_id, ...), batch or stream, with the query that led to each, if it is remembered."""
+    return opens.join(F.broadcast(recent.select("search_id", "query")), "search_id", "left")
+
+
 def recorded_once(opens: DataFrame, late: str = "10 minutes") -> DataFrame:
     """A stream of opens (event_id, ts timestamp, ...) without repeated events."""
     return opens.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"]) if opens.isStreaming else opens.dropDuplicates(["event_id"])

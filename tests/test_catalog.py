@@ -157,18 +157,120 @@ def test_streams(spark, tmp_path):
     q.awaitTermination()
     assert rows(spark.table("renames")) == [(7, "/r/a", "/r/b", False)]
     out = []
-    events.reconciled(read(), lambda r, s, i: out.append((rows(r), rows(s))), f"{tmp_path}/c").awaitTermination()
-    assert out == [([(7, "/r/a", "/r/b", False)], [("/r", False), ("/r/d", True)])]
+    events.reconciled(read(), lambda r, s, w, i: out.append((rows(r), rows(s), w)), f"{tmp_path}/c").awaitTermination()
+    assert out == [([(7, "/r/a", "/r/b", False)], [("/r", False), ("/r/d", True)], False)]
     assert [r.n_events for r in events.debounced(frame(spark).withColumn("root", F.lit("/r"))).orderBy("batch_start").collect()] == [3, 1]
 
 
-def test_debounce_cuts_long_batches(spark, tmp_path):
-    spark.createDataFrame([("/r", 60 * i) for i in range(40)] + [("/r", 9000)], "root string, ms long").write.parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema("root string, ms long").parquet(f"{tmp_path}/in")
-    q = events.debounce_stream(stream).writeStream.format("memory").queryName("batches").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+def test_debounce_cuts_long_batches_and_lets_go_of_the_last(spark, tmp_path):
+    import time
+
+    rows_ = [("/r", 60 * i, f"/r/{i % 3}") for i in range(40)] + [("/r", 9000, "/r/x")] + [("/many", i // 100, f"/many/{i}") for i in range(600)]
+    spark.createDataFrame(rows_, "root string, ms long, scope string").coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("root string, ms long, scope string").parquet(f"{tmp_path}/in")
+    q = events.debounce_stream(stream).writeStream.format("memory").queryName("batches").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").trigger(processingTime="100 milliseconds").start()
+    try:
+        for _ in range(120):
+            got = spark.table("batches").orderBy("root", "batch_start").collect()
+            if sum(r.n_events for r in got) == 641:
+                break
+            time.sleep(0.5)
+    finally:
+        q.stop()
+    assert sum(r.n_events for r in got if r.root == "/r") == 41 and all(r.batch_end - r.batch_start <= events.LONGEST_MS for r in got)
+    assert [r.n_scopes for r in got if r.root == "/r"] == [3, 3, 3, 1]
+    assert [r.n_scopes for r in got if r.root == "/many"] == [events.SCOPES_NOW, 600 - events.SCOPES_NOW]
+
+
+def test_passes():
+    p = events.Passes(100, 1000, 100, 1000)
+    assert p.at(50)[0] == "none"
+    kind, after = p.at(120)
+    assert kind == "repair" and after.at(150)[0] == "none" and after.at(1000)[0] == "full"
+    assert p.request().at(1)[0] == "full" and p.request().at(1)[1].at(2)[0] == "none"
+
+
+def test_generations(spark, tmp_path):
+    path = f"file://{tmp_path}/catalog"
+    with pytest.raises(ValueError):
+        store.load(spark, path, ["files"])
+    for g in (1, 2, 3):
+        store.commit({"files": spark.range(g), "roots": spark.range(1)}, path, g)
+    os.makedirs(f"{tmp_path}/catalog/gen={4:020d}/files")  # half written: not there
+    assert store.generations(spark, path) == [1, 2, 3]
+    g, tables = store.load(spark, path, ["files", "roots"])
+    held = store.load(spark, path, ["files"], 1)[1]["files"]
+    assert (g, tables["files"].count(), tables["roots"].count()) == (3, 3, 1)
+    assert store.vacuum(spark, path, {1}) == [2] and held.count() == 1 and store.generations(spark, path) == [1, 3]
+
+
+def test_newer_requests_end_older_ones(spark):
+    import threading
+    import time
+
+    from quarry.plans.control import Requests
+
+    r, out = Requests(spark), {}
+
+    def slow():
+        try:
+            out["old"] = r.run("c", 1, lambda: spark.range(4).mapInPandas(lambda it: (time.sleep(60) or p for p in it), "id long").count())
+        except Exception as e:
+            out["old"] = type(e).__name__
+
+    t = threading.Thread(target=slow)
+    t.start()
+    time.sleep(5)
+    assert r.run("c", 2, lambda: spark.range(5).count()) == 5 and r.run("c", 1, lambda: 1 / 0) is None
+    t.join(40)
+    assert not t.is_alive() and isinstance(out["old"], str)
+
+
+def test_walk_leaves_out_what_it_should(spark, tmp_path):
+    for p in ("keep/a", ".hidden/x/y", "node_modules/z", "venv/lib", "build/sub/deep", "cached", "gone/b"):
+        (tmp_path / p).mkdir(parents=True)
+    for p in ("keep/a/f.txt", ".hidden/x/y/f", ".hidden/x/g", "node_modules/z/f", "venv/pyvenv.cfg", "venv/lib/f", "build/sub/deep/f", "build/f", "gone/b/f"):
+        (tmp_path / p).write_text("x")
+    (tmp_path / "cached/CACHEDIR.TAG").write_text("Signature: 8a477f597d28d172789f06886806bc55\n")
+    listings.register(spark)
+    import json
+
+    top = str(tmp_path)
+    walk = lambda **o: {r.path.removeprefix(top) for r in spark.read.format("walk").options(root=top, **o).load().collect()}
+    assert walk() == {"", "/keep", "/keep/a", "/keep/a/f.txt", "/gone", "/gone/b", "/gone/b/f"}
+    assert walk(exclude=json.dumps([f"{top}/gone"]), allow=json.dumps([f"{top}/.hidden/x/y", f"{top}/build"])) == {"", "/keep", "/keep/a", "/keep/a/f.txt", "/.hidden/x/y", "/.hidden/x/y/f", "/build", "/build/f", "/build/sub", "/build/sub/deep", "/build/sub/deep/f"}
+    row = spark.read.format("walk").option("root", top).load().where("path LIKE '%/f.txt'").select(store.identity_parts(F.col("identity")).alias("p")).first().p
+    s = os.lstat(tmp_path / "keep/a/f.txt")
+    assert (row.kind, row.device, row.inode, row.sec, row.nsec) == (0, s.st_dev, s.st_ino, s.st_ctime_ns // 10**9, s.st_ctime_ns % 10**9)
+    lost = spark.read.format("walk").option("root", f"{top}/nothing").load().collect()
+    assert [r.unreadable for r in lost] == [True]
+
+
+def test_desktop_folders_and_sinks(spark, tmp_path):
+    (tmp_path / "u/kde").mkdir(parents=True)
+    (tmp_path / "s").mkdir()
+    (tmp_path / "u/a.desktop").write_text("[Desktop Entry]\nName=User\n")
+    (tmp_path / "u/kde/b.desktop").write_text("[Desktop Entry]\nName=B\n")
+    (tmp_path / "s/a.desktop").write_text("[Desktop Entry]\nName=System\n")
+    (tmp_path / "s/big.desktop").write_text("[Desktop Entry]\nName=Big\n" + "x" * (64 << 10))
+    found = listings.desktop_files(spark, [f"file://{tmp_path}/u", f"file://{tmp_path}/s"])
+    assert {(r.desktop_id, r.name) for r in listings.desktop_entries(found).collect()} == {("a.desktop", "User"), ("kde-b.desktop", "B")}
+    res = spark.createDataFrame([(1, 2, 7, "/b\n", 5), (1, 1, 8, "/a", 6)], "query_id int, rank int, entry_id long, path string, score int")
+    listings.write_lines(res, f"file://{tmp_path}/lines")
+    listings.write_raw(res, f"file://{tmp_path}/raw")
+    listings.write_json(res, f"file://{tmp_path}/json")
+    text = lambda d: "".join(p.read_text() for p in sorted((tmp_path / d).glob("part-*")))
+    assert text("lines") == "/a\n/b\\x0A\n" and text("raw") == "/a\0/b\n\0" and text("json").startswith('{"request_id":"1","count":2')
+
+
+def test_watch_logs_as_a_stream(spark, tmp_path):
+    from quarry.sources import watch
+
+    (tmp_path / "log").mkdir()
+    (tmp_path / "log/1").write_text('{"seq":1,"ms":5,"mask":1073742080,"path":"/r/d","cookie":0}\n{"seq":2,"ms":6,"mask":16384}\nbad\n')
+    q = watch.stream(spark, f"file://{tmp_path}/log").writeStream.format("memory").queryName("watched").trigger(availableNow=True).start()
     q.awaitTermination()
-    got = spark.table("batches").orderBy("batch_start").collect()
-    assert sum(r.n_events for r in got) == 40 and all(r.batch_end - r.batch_start <= events.LONGEST_MS for r in got) and len(got) == 3
+    assert [(r.seq, r.kind, r.is_dir) for r in spark.table("watched").orderBy("seq").collect()] == [(1, "create", True), (2, "overflow", False)]
 
 
 SF = "/root/testdata/sf0.001"
@@ -179,7 +281,7 @@ def test_queries_equal_their_sql(spark):
     import duckdb
     import pandas as pd
 
-    from quarry import catalog_queries as cq
+    from quarry import service_queries as cq
 
     con = duckdb.connect()
     for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark".split():
