@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import written
@@ -202,8 +202,8 @@ def drawn(customers: np.ndarray, rest: np.ndarray, base: np.ndarray, discount: f
     many = np.flatnonzero(customers > EXACT)
     if len(many):
         n, mean = customers[many].astype(float), np.zeros(len(many))
-        for _ in range(3):  # the dish's own tables count half, on average, in the weight of a new one
-            c = (rest[many] + discount * mean / 2) * base[many]
+        for _ in range(4):  # at the mode the weight of one table more counts all tables of the dish
+            c = (rest[many] + discount * mean) * base[many]
             low, high = np.full(len(many), -80.0), np.zeros(len(many))  # of the logarithm of y in c (1 - y) y ** (discount - 1) = n
             for _ in range(40):
                 mid = (low + high) / 2
@@ -312,13 +312,10 @@ class Model:
         self.classes, self.root, self.words = np.zeros((0, 0)), None, None
         self.pairs, self.pair_score = Hashed(np.zeros(0, np.uint64)), np.zeros(0, np.float32)
 
-    def look(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """place and class of each token, and those of the token before it."""
+    def places(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each token, and of the token before it (the first of a text follows an end); -1: not frequent."""
         place = self.index.get(h)
-        symbol = np.where(place >= 0, self.symbol[place] if len(self.symbol) else 0, SYMBOLS - 1)
-        end = self.index.get(np.array([END]))
-        end_symbol = self.symbol[end] if end[0] >= 0 else [SYMBOLS - 1]
-        return place, symbol, np.concatenate([end, place[:-1]]), np.concatenate([end_symbol, symbol[:-1]])
+        return place, np.concatenate([self.index.get(np.array([END])), place[:-1]])
 
     def finish(self, histogram: list[tuple[int, int]], matrix: np.ndarray) -> None:
         self.classes, self.root = class_restaurants(matrix)
@@ -368,31 +365,49 @@ def _transitions(sent, stamp: str, modulus: int, held_out: int):
 
     def run(batches):
         model, sums = _live(sent, stamp), np.zeros(SYMBOLS * SYMBOLS, np.int64)
-        held: list = []
+        held: list = []  # pairs of places, sorted, and their counts
+        odd: list = []  # places of contexts, and words without a place
+
+        def merged():
+            keys, n = (np.concatenate([x[i] for x in held]) for i in (0, 1))
+            by = np.argsort(keys, kind="stable")
+            first = np.flatnonzero(np.append(True, keys[by][1:] != keys[by][:-1]))
+            return keys[by][first], np.add.reduceat(n[by], first)
+
+        def rows(context, word, n):
+            for at in range(0, len(n), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(context[at : at + 50_000].astype(np.int64)), pa.array(word[at : at + 50_000].view(np.int64)), pa.array(n[at : at + 50_000])], ["context", "word", "n"])
 
         def out():
-            context, word, n = (np.concatenate([x[i] for x in held]) for i in range(3))
-            by = np.lexsort((word, context))
-            context, word, n = context[by], word[by], n[by]
-            first = np.flatnonzero(np.append(True, (context[1:] != context[:-1]) | (word[1:] != word[:-1])))
-            n = np.add.reduceat(n, first)
-            for at in range(0, len(first), 50_000):
-                f = first[at : at + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(context[f].astype(np.int64)), pa.array(word[f].view(np.int64)), pa.array(n[at : at + 50_000])], ["context", "word", "n"])
+            if held:
+                keys, n = merged()
+                yield from rows(keys >> 32, model.index.given[keys & 0xFFFFFFFF], n)
+            if odd:
+                context, word = (np.concatenate([x[i] for x in odd]) for i in (0, 1))
+                by = np.lexsort((word, context))
+                context, word = context[by], word[by]
+                first = np.flatnonzero(np.append(True, (context[1:] != context[:-1]) | (word[1:] != word[:-1])))
+                yield from rows(context[first], word[first], np.diff(np.append(first, len(context))))
 
         for part in _parts(batches):
             h, row = tokens(part.column(1))
-            _, symbol, place0, before = model.look(h)
+            place, place0 = model.places(h)
             learn = ~_held(part.column(0), modulus, held_out)[row]
-            sums += np.bincount((before * SYMBOLS + symbol)[learn], minlength=len(sums))
+            classed = lambda p: np.where(p >= 0, np.minimum(p, SYMBOLS - 1), SYMBOLS - 1)
+            sums += np.bincount((classed(place0).astype(np.int64) * SYMBOLS + classed(place))[learn], minlength=len(sums))
             hot = np.flatnonzero(learn & (place0 >= 0) & (place0 < model.hot))
-            if len(hot):
-                held.append((place0[hot].astype(np.int32), h[hot], np.ones(len(hot), np.int64)))
-            if sum(len(x[0]) for x in held) > 700_000:
+            known = hot[place[hot] >= 0]
+            if len(known):
+                held.append(np.unique((place0[known].astype(np.int64) << 32) | place[known], return_counts=True))
+            lone = hot[place[hot] < 0]
+            if len(lone):
+                odd.append((place0[lone], h[lone]))
+            if sum(len(x[0]) for x in held) > 4_000_000:
+                held = [merged()]
+            if sum(len(x[0]) for x in held) > 3_000_000 or sum(len(x[0]) for x in odd) > 1_000_000:
                 yield from out()
-                held = []
-        if held:
-            yield from out()
+                held, odd = [], []
+        yield from out()
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), -1)), pa.array(at), pa.array(sums[at])], ["context", "word", "n"])
 
@@ -511,7 +526,7 @@ def _dealt(sent, stamp: str, modulus: int, held_out: int, rest: bool):
             n = batch.num_rows
             h, of = tokens(batch.column(1))
             out, names = _held(batch.column(0), modulus, held_out), _identity(batch)
-            place, _, place0, _ = model.look(h)
+            place, place0 = model.places(h)
             before = np.concatenate([[END], h[:-1]])
             seen = place >= 0
             if rest:
@@ -670,6 +685,27 @@ def _gathered(batches):
         yield from out(tables, sums)
 
 
+def _grid() -> Column:
+    """The count in column n, on a grid above 4096 so that there are few different ones."""
+    return F.when(F.col("n") <= 4096, F.col("n")).otherwise(F.floor(F.exp(F.floor(F.log("n") * 64) / 64)).cast("long"))
+
+
+def _counts_of_counts(df: DataFrame) -> dict[int, int]:
+    return {r.c: r.k for r in df.groupBy(_grid().alias("c")).agg(F.count("*").alias("k")).collect()}
+
+
+def _most_frequent(df: DataFrame, most: int) -> DataFrame:
+    """The rows with the greatest n, as many whole steps of the grid as have at most `most` rows: found by a filter, not by a sort of all rows
+    or a limit that would bring them to one task."""
+    least, rows = None, 0
+    for c, k in sorted(_counts_of_counts(df).items(), reverse=True):
+        rows += k
+        if rows > most:
+            break
+        least = c
+    return df.where("false") if least is None else df.where(_grid() >= least)
+
+
 def score(docs: DataFrame, modulus: int = 7, held_out: int = 2) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity.
 
@@ -683,8 +719,9 @@ def score(docs: DataFrame, modulus: int = 7, held_out: int = 2) -> DataFrame:
     words = written(docs.mapInArrow(_counter(modulus, held_out), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "counts")
     total = words.agg(F.count("*").alias("v"), F.sum("n").alias("n")).first()
     types, tokens_ = total.v, total.n or 0
-    top = words.orderBy(F.desc("n"), "key").limit(FREQUENT).select("key", "n").toArrow()
-    keys, counts = top.column("key").to_numpy().view(np.uint64), top.column("n").to_numpy()
+    top = _most_frequent(words, FREQUENT).select("key", "n").toArrow()
+    order = np.lexsort((top.column("key").to_numpy(), -top.column("n").to_numpy()))
+    keys, counts = top.column("key").to_numpy()[order].view(np.uint64), top.column("n").to_numpy()[order]
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), tokens_ // BUCKET + 1)
     model = Model(keys, counts, tokens_, types, buckets)
     send = lambda: (spark.sparkContext.broadcast(pickle.dumps(model)), uuid.uuid4().hex)
@@ -693,9 +730,7 @@ def score(docs: DataFrame, modulus: int = 7, held_out: int = 2) -> DataFrame:
     pairs = written(pairs, "pairs")
     moved = pairs.where("context < 0").select("word", "n").toArrow()
     matrix[moved.column("word").to_numpy()] = moved.column("n").to_numpy()
-    # counts of counts, on a grid above 4096 so that there are few
-    grid = F.when(F.col("n") <= 4096, F.col("n")).otherwise(F.floor(F.exp(F.floor(F.log("n") * 64) / 64)).cast("long"))
-    of = {r.c: r.k for r in words.groupBy(grid.alias("c")).agg(F.count("*").alias("k")).collect()}
+    of = _counts_of_counts(words)
     for n in counts[: SYMBOLS - 1].tolist():  # classes of their own are not in this restaurant
         c = n if n <= 4096 else int(np.floor(np.exp(np.floor(np.log(n) * 64) / 64)))
         c = c if of.get(c) else min((x for x in of if of[x]), key=lambda x: abs(x - c))
@@ -708,7 +743,7 @@ def score(docs: DataFrame, modulus: int = 7, held_out: int = 2) -> DataFrame:
             tried[r.context, r.k] = r.t
         model.tables = settled(counts[: model.hot], tried)
         words_at = model.index.get
-        best = pairs.where("context >= 0").orderBy(F.desc("n"), "context", "word").limit(PAIRS).toArrow()
+        best = _most_frequent(pairs.where("context >= 0"), PAIRS).toArrow()
         context, place, n = best.column("context").to_numpy(), words_at(best.column("word").to_numpy().view(np.uint64)), best.column("n").to_numpy()
         model.score_pairs(context[place >= 0], place[place >= 0].astype(np.int64), n[place >= 0])
     sent, stamp = send()
