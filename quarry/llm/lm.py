@@ -402,9 +402,9 @@ def _transitions(sent, stamp: str, modulus: int, held_out: int):
             lone = hot[place[hot] < 0]
             if len(lone):
                 odd.append((place0[lone], h[lone]))
-            if sum(len(x[0]) for x in held) > 4_000_000:
+            if sum(len(x[0]) for x in held) > 1_200_000:
                 held = [merged()]
-            if sum(len(x[0]) for x in held) > 3_000_000 or sum(len(x[0]) for x in odd) > 1_000_000:
+            if sum(len(x[0]) for x in held) > 800_000 or sum(len(x[0]) for x in odd) > 300_000:
                 yield from out()
                 held, odd = [], []
         yield from out()
