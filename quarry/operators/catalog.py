@@ -140,9 +140,25 @@ def live(base: DataFrame, delta: DataFrame, gone: DataFrame) -> DataFrame:
     return base.join(hidden, "entry_id", "left_anti").unionByName(delta)
 
 
+#: Least bound of a delta, the part of the base that bounds it, and times the bound up to which it is still published.
+DELTA_MIN, DELTA_PART, DELTA_SLACK = 4096, 32, 4
+
+
+def delta_verdict(base_rows: int, pending: int, tracked: bool = True) -> str:
+    """What a commit calls for: publish the delta; publish it and compact when nothing is going on (past its bound); or rebuild (past its slack, or
+    the changes are not all known)."""
+    bound = max(DELTA_MIN, base_rows // DELTA_PART)
+    return "rebuild" if not tracked or pending > DELTA_SLACK * bound else "compact later" if pending > bound else "publish"
+
+
 def must_compact(base_rows: int, pending: int) -> bool:
     """Whether so many pending rows call for a rewritten base."""
-    return pending > max(4096, base_rows // 32)
+    return delta_verdict(base_rows, pending) != "publish"
+
+
+def compacted(base: DataFrame, delta: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of a base that takes the delta in, in the order of ids: what the next generation begins with."""
+    return live(base, delta, gone).repartitionByRange("entry_id").sortWithinPartitions("entry_id")
 
 
 def stable_ids(previous: DataFrame, fresh: DataFrame, first_id: int = 1 << 62) -> DataFrame:
@@ -171,3 +187,10 @@ def resolved(asked: DataFrame, current: DataFrame) -> DataFrame:
 def folder_stamp(files: DataFrame) -> DataFrame:
     """folder, stamp: a hash of a folder's files (path, mtime, size) whatever their order."""
     return files.groupBy("folder").agg(F.bit_xor(F.xxhash64("path", "mtime", "size")).alias("stamp"))
+
+
+def resolved_revision(asked: DataFrame, current: DataFrame) -> DataFrame:
+    """asked (entry_id, revision) with path and `state`: live if the current catalog has that id with that revision, else stale."""
+    now = current.select("entry_id", F.col("revision").alias("_r"), "path")
+    met = asked.join(now, "entry_id", "left").withColumn("_live", F.coalesce(F.col("_r") == F.col("revision"), F.lit(False)))
+    return met.select("entry_id", "revision", F.when(F.col("_live"), F.col("path")).alias("path"), F.when(F.col("_live"), "live").otherwise("stale").alias("state"))

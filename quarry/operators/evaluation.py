@@ -15,6 +15,14 @@ def known_item(results: DataFrame, targets: DataFrame, ks: tuple[int, ...] = (1,
     return best.agg(F.count("*").alias("n"), *[share(k).alias(f"recall_at_{k}") for k in ks], share(candidates).alias("candidate_recall"), F.avg(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))).alias("mrr"), F.count("rank").alias("found"))
 
 
+def popup(results: DataFrame, targets: DataFrame, group: str, ks: tuple[int, ...] = (1, 5)) -> DataFrame:
+    """known_item() by where a row stands on the screen: sections in the order of their best rank, ranks inside. results: query_id, entry_id, rank
+    and the column named by group."""
+    from quarry.operators.merge import grouped
+
+    return known_item(grouped(results, group).select("query_id", "entry_id", F.col("position").alias("rank")), targets, ks)
+
+
 def relevant(results: DataFrame, queries: DataFrame) -> DataFrame:
     """results (query_id, path) with `relevant`, by queries (query_id, kind, target): a path with the target's own name, and, if the query asked by
     the folder, with its folder's name too."""

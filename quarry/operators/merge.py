@@ -35,7 +35,7 @@ def app_evidence(queries: DataFrame, apps: DataFrame, fields: DataFrame) -> Data
     by_field = by_field.select("query_id", "pos", "entry_id", F.when(whole, 2).otherwise(1).alias("_e"))
     best = by_name.unionByName(by_field).groupBy("query_id", "pos", "entry_id").agg(F.max("_e").alias("_e"))
     need = words.groupBy("query_id").agg(F.max("n_words").alias("_need"))
-    rows = best.groupBy("query_id", "entry_id").agg(F.min("_e").alias("_least"), F.count("*").alias("_met")).join(F.broadcast(need), "query_id")
+    rows = best.groupBy("query_id", "entry_id").agg(F.min("_e").alias("_least"), F.count("*").alias("_met")).join(need, "query_id")
     return rows.select("query_id", "entry_id", F.when(F.col("_met") < F.col("_need"), FUZZY).otherwise(F.col("_least")).cast("int").alias("evidence"))
 
 
@@ -49,7 +49,7 @@ def without_padding(rows: DataFrame, queries: DataFrame) -> DataFrame:
     starts = F.when(file, own & bare).otherwise(F.col("evidence") > FUZZY)
     any_start = F.max(starts.cast("int")).over(W.partitionBy("query_id")) == 1
     keep = F.when(file, own | (F.col("boost") > 0)).otherwise((F.col("evidence") > FUZZY) | (F.col("boost") > 0))
-    met = rows.join(F.broadcast(plain), "query_id", "left").withColumn("_any", any_start)
+    met = rows.join(plain, "query_id", "left").withColumn("_any", any_start)
     return met.where(~(F.coalesce("_one", F.lit(False)) & F.col("_any")) | keep).drop("_one", "_any")
 
 

@@ -26,7 +26,7 @@ def combined(words: DataFrame, *hits: DataFrame) -> DataFrame:
     best = every.groupBy("query_id", "pos", "entry_id").agg(F.max("score").alias("score"))
     sums = best.groupBy("query_id", "entry_id").agg(F.sum("score").alias("total"), F.count("*").alias("_matched"))
     need = words.groupBy("query_id").agg(F.max("n_words").alias("_need"))
-    return sums.join(F.broadcast(need), "query_id").where("_matched = _need").select("query_id", "entry_id", "total")
+    return sums.join(need, "query_id").where("_matched = _need").select("query_id", "entry_id", "total")
 
 
 def ranked(rows: DataFrame, limit: int = LIMIT) -> DataFrame:

@@ -5,7 +5,7 @@ writes what it gets as a new version."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -162,6 +162,24 @@ def captured(changed: DataFrame, most: int) -> DataFrame:
     return changed.orderBy("id").limit(most).join(F.broadcast(over))
 
 
+#: What a pass counts.
+COUNTERS = ("scanned", "unreadable", "new", "names", "metadata", "same", "unseen")
+
+
+def counted(verdicts: DataFrame, scan: DataFrame) -> DataFrame:
+    """One row of counters of a pass: rows scanned and unreadable, and rows of each verdict of diff()."""
+    each = verdicts.agg(*[F.count(F.when(F.col("verdict") == v, 1)).alias(v) for v in COUNTERS[2:]])
+    unreadable = F.count(F.when(F.col("unreadable"), 1)) if "unreadable" in scan.columns else F.lit(0).cast("long")
+    return scan.agg(F.count("*").alias("scanned"), unreadable.alias("unreadable")).join(F.broadcast(each))
+
+
+def observed(changed: DataFrame, name: str = "pass"):
+    """(changed, an observation of how many rows of each kind go by when it is written): counters without a second job."""
+    seen = Observation(name)
+    kinds = ("inserted", "updated", "metadata", "deleted")
+    return changed.observe(seen, *[F.count(F.when(F.col("kind") == k, 1)).alias(k) for k in kinds]), seen
+
+
 def pending(kept: DataFrame, touched: DataFrame, committed: DataFrame) -> DataFrame:
     """The delta's next rows: kept rows that were not touched, and the touched ids' committed rows."""
     return kept.join(touched.select("id"), "id", "left_anti").unionByName(committed.join(touched.select("id"), "id", "left_semi"))

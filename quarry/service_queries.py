@@ -139,6 +139,26 @@ def software_preferred(spark, d):
     return software.with_preferred(m.where("entry_id % 53 = 0 OR entry_id % 10 = 4"), local).select("query_id", "entry_id", "preferred")
 
 
+APP_ASKED = [(1, "red"), (2, "widget promo"), (3, "br hot"), (4, "brand 7"), (5, "rw"), (6, "promo")]
+APP_FIELDS = SOFT_FIELDS.replace("app_id AS text FROM soft UNION ALL SELECT entry_id, 2600, summary FROM soft WHERE summary <> ''", "p_brand AS text FROM parts UNION ALL SELECT entry_id, 2600, p_type FROM parts")
+
+
+@query(f"""WITH parts AS (SELECT p_partkey AS entry_id, '/apps/' || p_name AS path, p_name AS name, lower(p_name) AS norm, p_brand, p_type FROM part), {_plain_search(APP_ASKED)}, {APP_FIELDS},
+  hits AS (SELECT query_id, pos, entry_id, score + 2000 AS score FROM pre UNION ALL SELECT * FROM typos UNION ALL SELECT * FROM tri UNION ALL SELECT * FROM sub UNION ALL SELECT * FROM field), {NEED}, {TOTALS} {_final(20).replace(_values(ASKED), _values(APP_ASKED))}""")
+def app_search(spark, d):
+    p = _t(spark, d, "part")
+    apps = catalog.entries(p, F.col("p_partkey"), scalars.label_key(F.col("p_name")))
+    fields = p.select(F.col("p_partkey").alias("entry_id"), F.lit("generic").alias("kind"), F.col("p_brand").alias("text")).union(p.select("p_partkey", F.lit("keyword"), "p_type"))
+    return merge.searched_apps(_asked(spark, APP_ASKED), apps, fields, limit=20).drop("evidence")
+
+
+@query("SELECT p_partkey AS entry_id, p_partkey % 7 AS revision, CASE WHEN p_partkey % 3 > 0 AND p_partkey % 5 > 0 THEN p_name END AS path, CASE WHEN p_partkey % 3 > 0 AND p_partkey % 5 > 0 THEN 'live' ELSE 'stale' END AS state FROM part")
+def app_resolve(spark, d):
+    p = _t(spark, d, "part").select(F.col("p_partkey").alias("entry_id"), (F.col("p_partkey") % 7).alias("revision"), F.col("p_name").alias("path"))
+    now = p.where("entry_id % 5 > 0").withColumn("revision", F.col("revision") + F.when(F.col("entry_id") % 3 == 0, 1).otherwise(0))
+    return catalog.resolved_revision(p.select("entry_id", "revision"), now)
+
+
 # --- the semantic stage ------------------------------------------------------------------------------------
 
 
@@ -293,6 +313,19 @@ def store_integrity(spark, d):
     return store.integrity(x)
 
 
+@query(ORACLE_SQL["store_diff"].replace("SELECT coalesce(s.path, n.path) AS path, s.id, CASE", "SELECT (SELECT count(*) FROM scan) AS scanned, CAST(0 AS BIGINT) AS unreadable, " + ", ".join(f"count(*) FILTER (verdict = '{v}') AS {v if v != 'new' else 'new'}" for v in store.COUNTERS[2:]).replace(" AS new", ' AS "new"') + " FROM (SELECT CASE", 1) + ")")
+def store_counters(spark, d):
+    saved, scan = _saved(spark, d)
+    return store.counted(store.diff(saved, scan), scan)
+
+
+@query(f"WITH {LIVE} SELECT entry_id, path FROM parts")
+def store_compact(spark, d):
+    p = parts(spark, d).select("entry_id", "path")
+    delta = p.where("entry_id % 10 = 5").withColumn("path", F.regexp_replace("path", "/([^/]*)$", "/New$1"))
+    return catalog.compacted(p, delta, p.where("entry_id % 10 = 3"))
+
+
 @query(f"WITH {SAVED} SELECT regexp_replace(path, '/[^/]*$', '') AS folder, max(CASE WHEN id % 100 = 1 THEN 1 ELSE 0 END) = 0 AS same FROM saved GROUP BY ALL")
 def folder_stamp(spark, d):
     f = _saved(spark, d)[0].select("id", T.parent(F.col("path")).alias("folder"), "path", "mtime", "size")
@@ -458,6 +491,14 @@ def eval_relevance(spark, d):
     return evaluation.relevant(f.select((F.col("entry_id") % 40).alias("query_id"), "path"), asked)
 
 
+@query(f"""WITH {RES}, g AS (SELECT query_id, entry_id, rank, min(rank) OVER (PARTITION BY query_id, entry_id % 3) AS f FROM (SELECT * FROM res WHERE rank <= 20)), p AS (SELECT query_id, entry_id, row_number() OVER (PARTITION BY query_id ORDER BY f, rank) AS rank FROM g), b AS (SELECT t.query_id, min(rank) AS rank FROM tgt t LEFT JOIN p ON p.query_id = t.query_id AND p.entry_id = t.entry_id GROUP BY ALL)
+  SELECT count(*) AS n, round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0.0 END), 6) AS recall_at_1, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END), 6) AS recall_at_5, round(avg(coalesce(1.0 / rank, 0)), 6) AS mrr FROM b""")
+def eval_popup(spark, d):
+    res, tgt, _ = _results(spark, d)
+    out = evaluation.popup(res.where("rank <= 20").withColumn("section", F.col("entry_id") % 3), tgt, "section")
+    return out.select("n", *[F.round(c, 6).alias(c) for c in ("recall_at_1", "recall_at_5", "mrr")])
+
+
 def _unit(salt: int) -> str:
     return f"CAST('0x' || substr(md5(id || '/3/{salt}'), 1, 10) AS BIGINT) / 1099511627776.0"
 

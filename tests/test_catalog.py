@@ -42,6 +42,7 @@ def test_delta_view_equals_rebuild(spark):
     delta, gone = spark.createDataFrame([(3, "/a/new3"), (99, "/a/99")], "entry_id long, path string"), spark.createDataFrame([(4,), (3,)], "entry_id long")
     assert rows(catalog.live(base, delta, gone)) == sorted([(i, f"/a/{i}") for i in range(20) if i not in (3, 4)] + [(3, "/a/new3"), (99, "/a/99")])
     assert catalog.must_compact(0, 4097) and not catalog.must_compact(1_000_000, 31_250)
+    assert [catalog.delta_verdict(0, n) for n in (4096, 4097, 16_384, 16_385)] == ["publish", "compact later", "compact later", "rebuild"] and catalog.delta_verdict(0, 1, False) == "rebuild"
 
 
 def test_move(spark):
@@ -58,6 +59,22 @@ def test_exact_prune_and_pending(spark):
     assert rows(store.pending(kept, spark.createDataFrame([(2,), (5,)], "id long"), snap.select("id", "path"))) == [(0, "/r/0/0"), (1, "/r/1/1"), (2, "/r/0/2"), (5, "/r/1/5")]
 
 
+def test_counters_go_by_as_rows_are_written(spark):
+    snap = spark.createDataFrame([(i, f"/r/{i}", False, 0, 0, None) for i in range(6)], SNAP)
+    after = snap.where("id > 1").withColumn("mtime", F.when(F.col("id") == 2, 9).otherwise(0).cast("long"))
+    rows_, seen = store.observed(store.changes(snap, after))
+    rows_.write.format("noop").mode("overwrite").save()
+    assert seen.get == {"inserted": 0, "updated": 0, "metadata": 1, "deleted": 2}
+
+
+def test_usage_of_a_stream(spark, tmp_path):
+    spark.createDataFrame([(1, 100), (1, 200), (2, 50)], "target_id long, ts long").write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("target_id long, ts long").parquet(f"{tmp_path}/in")
+    q = events.usage_stream(stream, 200).writeStream.format("memory").queryName("usage").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert {(r.target_id, r.last_open) for r in spark.table("usage").collect()} == {(1, 200), (2, 50)}
+
+
 def test_history(spark):
     opens = spark.createDataFrame([("a", 1, 10)], "event_id string, target_id long, ts long")
     added = spark.createDataFrame([("a", 1, 10), ("b", 1, 11), ("b", 2, 12), ("c", 9, 13)], "event_id string, target_id long, ts long")
