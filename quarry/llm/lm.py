@@ -43,7 +43,7 @@ SWEEPS, BURN_IN, CLASS_SWEEPS, STRENGTH = 6, 2, 15, 0.5
 #: Discounts of class contexts, of the words' restaurant and of contexts.
 D_CLASS, D_WORDS, D_CONTEXT = 0.5, 0.6, 0.6
 #: Bytes of text, and about how many tokens of a part and of a bucket, that a task handles at once; points at which a hot context's tables are tried.
-BATCH, PART, BUCKET, POINTS = 2_000_000, 3_000_000, 600_000, 12
+BATCH, PART, BUCKET, POINTS = 2_000_000, 1_500_000, 600_000, 12
 #: A context is hot over one part in HOT of a bucket.
 HOT = 16
 

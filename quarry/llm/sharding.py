@@ -63,6 +63,10 @@ def placed(key: Column, node: Node) -> Column:
     return F.transform(F.array(took), branch)[0]
 
 
+#: Copies of a row whose slots are made at once.
+RUN = 65_536
+
+
 def shard(docs: DataFrame, root: Node | None = None, more: int | None = None, rows_per_bucket: int = 8_192) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
@@ -90,10 +94,11 @@ def shard(docs: DataFrame, root: Node | None = None, more: int | None = None, ro
     order = W.partitionBy("shard", "_bucket").orderBy("_spot", "_key", "text_crc32", "size")
     ranked = put.withColumn("_in", F.sum("_n").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("_n"))
     ranked = ranked.join(small(before, buckets * len(leaves), 200_000), ["shard", "_bucket"])
-    return ranked.select(
-        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard",
-        F.explode(F.sequence(F.col("_base") + F.col("_in"), F.col("_base") + F.col("_in") + F.col("_n") - 1)).alias("slot"), "grown_shard",
-    )
+    # copies of one row come out in runs of bounded length, not from one array
+    first, n = F.col("_base") + F.col("_in"), F.col("_n")
+    runs = ranked.select("doc_id", "size", "text_crc32", "shard", "grown_shard", first.alias("_first"), (first + n - 1).alias("_last"), F.explode(F.sequence(F.lit(0), F.expr(f"CAST((_n - 1) div {RUN} AS INT)"))).alias("_run"))
+    begin = F.col("_first") + F.col("_run").cast("long") * RUN
+    return runs.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.explode(F.sequence(begin, F.least(begin + (RUN - 1), F.col("_last")))).alias("slot"), "grown_shard")
 
 
 def _leaves(node: Node) -> list[int]:

@@ -99,3 +99,28 @@ def test_files(spark, docs, none, rows, tmp_path):
     plan = read_metadata(spark, path)._jdf.queryExecution().executedPlan().toString()
     assert "tokens#" not in plan.replace("n_tokens#", "")
     assert digests(read_tokens(spark, write_tokens(none, WORDS))).collect() == []
+
+
+def test_layout_of_files(spark, tmp_path):
+    """Bounded row groups, encodings and page indexes, as the files have them."""
+    import pyarrow.parquet as pq
+
+    from quarry.llm.token_files import LAYOUT
+
+    rng = random.Random(4)
+    some = [(i, " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "epsilon"]) for _ in range(rng.randint(0, 60)))) for i in range(400)]
+    df = spark.createDataFrame(some, "doc_id long, text string")
+    path = write_tokens(df, WORDS, f"file://{tmp_path}/t", partitions=1, layout={**LAYOUT, "parquet.block.row.count.limit": "100", "parquet.page.row.count.limit": "20"})
+    metas = [pq.ParquetFile(f).metadata for f in tmp_path.glob("t/*.parquet")]
+    groups = [m.row_group(i) for m in metas for i in range(m.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == 400 and max(g.num_rows for g in groups) <= 100
+    columns = [g.column(i) for g in groups for i in range(g.num_columns)]
+    encodings = {c.path_in_schema: set(c.encodings) for c in columns}
+    assert any(e & {"RLE_DICTIONARY", "PLAIN_DICTIONARY"} for e in encodings.values()) and "RLE_DICTIONARY" in encodings["tokens.list.element"] | encodings.get("tokens.array", set())
+    assert all(c.has_column_index and c.has_offset_index and c.compression == "ZSTD" for c in columns)
+    # beyond the bound of a dictionary numbers are delta-encoded
+    wide = spark.range(400).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 50), i -> conv(xxhash64(id, i), 10, 36))) AS text")
+    path = write_tokens(wide, WORDS, f"file://{tmp_path}/w", partitions=1, layout={**LAYOUT, "parquet.dictionary.page.size": "64"})
+    metas = [pq.ParquetFile(f).metadata for f in tmp_path.glob("w/*.parquet")]
+    found = {e for m in metas for i in range(m.num_row_groups) for j in range(m.row_group(i).num_columns) if "tokens" in m.row_group(i).column(j).path_in_schema and "n_tokens" != m.row_group(i).column(j).path_in_schema for e in m.row_group(i).column(j).encodings}
+    assert "DELTA_BINARY_PACKED" in found
