@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.functions import fuzzy
@@ -38,13 +39,23 @@ def edged(keys: DataFrame) -> DataFrame:
     return keys.select("*", F.explode(edges).alias("edge"))
 
 
+def best(hits: DataFrame) -> DataFrame:
+    """The greatest score of each (query_id, pos, entry_id)."""
+    return hits.groupBy("query_id", "pos", "entry_id").agg(F.max("score").alias("score"))
+
+
 def prefix_hits(words: DataFrame, keys: DataFrame, bonus: int = 0) -> DataFrame:
+    """The best() of prefix_matches()."""
+    return best(prefix_matches(words, keys, bonus))
+
+
+def prefix_matches(words: DataFrame, keys: DataFrame, bonus: int = 0) -> DataFrame:
     """Keys (edged or not) that start with a word. The join is on the first symbols, so it is an equi-join at any size."""
     keys = keys if "edge" in keys.columns else edged(keys)
     asked = words.where(~F.col("word").contains("/")).withColumn("edge", F.substring("word", 1, EDGE))
     found = asked.join(keys, "edge").where(F.col("key").startswith(F.col("word")))
     score = F.col("score") + F.when(F.col("key") == F.col("word"), F.col("complete")).otherwise(0) + min(bonus, PREFIX_BONUS_MAX)
-    return found.groupBy("query_id", "pos", "entry_id").agg(F.max(score).alias("score"))
+    return found.select("query_id", "pos", "entry_id", score.alias("score"))
 
 
 def prefix_score(name_layer: Column, word: Column) -> Column:
@@ -81,21 +92,26 @@ def typo_terms(items: DataFrame) -> DataFrame:
 
 
 def typo_hits(words: DataFrame, terms: DataFrame) -> DataFrame:
+    """typo_matches(), each once."""
+    return typo_matches(words, terms).distinct()
+
+
+def typo_matches(words: DataFrame, terms: DataFrame) -> DataFrame:
     """Tokens one edit away from a word, found where their deletion neighbourhoods meet, and, for words of five symbols
     and more, tokens with a prefix one edit away that do not start with the word."""
     asked = words.where(typo_eligible(F.col("word")) & ~F.col("word").contains("/"))
     distinct = terms.select("term").distinct()
     forms = distinct.select("term", F.explode(_deletions(F.col("term"))).alias("_form"))
     w = asked.select("word").distinct()
-    near = w.select("word", F.explode(_deletions(F.col("word"))).alias("_form")).join(forms, "_form").select("word", "term").distinct().where(one_edit(F.col("word"), F.col("term")))
+    near = w.select("word", F.explode(_deletions(F.col("word"))).alias("_form")).join(forms, "_form").select("word", "term").where(one_edit(F.col("word"), F.col("term")))
     # prefixes of one symbol less, as many, and one more than the word
     heads = distinct.select("term", F.explode(F.transform(F.sequence(F.lit(4), F.least(F.length("term"), F.lit(33))), lambda n: F.substring(F.col("term"), F.lit(1), n))).alias("_head")).where(F.length("term") >= 4)
     heads = heads.select("term", "_head", F.explode(_deletions(F.col("_head"))).alias("_form"))
     long_ = w.where(F.length("word") >= 5)
     partial = long_.select("word", F.explode(_deletions(F.col("word"))).alias("_form")).join(heads, "_form").where(F.abs(F.length("_head") - F.length("word")) <= 1)
-    partial = partial.select("word", "term", "_head").distinct().where(one_edit(F.col("word"), F.col("_head")) & ~F.col("term").startswith(F.col("word"))).select("word", "term").distinct()
+    partial = partial.where(one_edit(F.col("word"), F.col("_head")) & ~F.col("term").startswith(F.col("word"))).select("word", "term")
     found = near.union(partial).distinct().join(terms, "term")
-    return asked.select("query_id", "pos", "word").join(found, "word").select("query_id", "pos", "entry_id", F.lit(TYPO).alias("score")).distinct()
+    return asked.select("query_id", "pos", "word").join(found, "word").select("query_id", "pos", "entry_id", F.lit(TYPO).alias("score"))
 
 
 def gram_index(items: DataFrame) -> DataFrame:
@@ -116,9 +132,9 @@ def trigram_hits(words: DataFrame, index: DataFrame, frequent: DataFrame) -> Dat
     grams = words.where(~F.col("word").contains("/")).select("query_id", "pos", T.trigrams(F.col("word")).alias("g")).where(F.size("g") >= 3)
     grams = grams.select("query_id", "pos", F.explode("g").alias("gram"))
     told = grams.join(frequent.select("gram"), "gram", "left_anti")
-    totals = told.groupBy("query_id", "pos").agg(F.count("*").alias("total"))
-    shared = told.join(index, "gram").groupBy("query_id", "pos", "entry_id").agg(F.count("*").alias("shared"))
-    found = shared.join(totals, ["query_id", "pos"]).where(2 * F.col("shared") >= F.col("total"))
+    told = told.withColumn("total", F.count("*").over(W.partitionBy("query_id", "pos")))  # of the words, a batch
+    shared = told.join(index, "gram").groupBy("query_id", "pos", "entry_id").agg(F.count("*").alias("shared"), F.first("total").alias("total"))
+    found = shared.where(2 * F.col("shared") >= F.col("total"))
     return found.select("query_id", "pos", "entry_id", (F.lit(TRIGRAM_BASE) + F.expr(f"({TRIGRAM_RANGE} * shared) div total")).cast("int").alias("score"))
 
 
@@ -137,10 +153,10 @@ def _ordered(words: DataFrame, texts: DataFrame) -> DataFrame:
     rarest symbol; masks and the order test run before any Python."""
     asked = words.select("query_id", "pos", "word", rarest(F.col("word")).alias("_c"), T.mask(F.col("word")).alias("_wm"), T.repeat_mask(F.col("word")).alias("_wr"))
     each = texts.select("*", F.explode(F.array_distinct(T.symbols(F.col("text")))).alias("_c"))
-    met = each.join(asked, "_c").where(T.holds(F.col("text"), F.col("word")))
     inside = lambda m, need: (need == 0) | (m.bitwiseAND(need) == need)
     mask, repeats = (F.col("mask"), F.col("repeats")) if {"mask", "repeats"} <= set(texts.columns) else (T.mask(F.col("text")), T.repeat_mask(F.col("text")))
-    return met.where(inside(mask, F.col("_wm")) & inside(repeats, F.col("_wr")))
+    met = each.join(asked, "_c").where(inside(mask, F.col("_wm")) & (F.length("text") >= F.length("word")))
+    return met.where(inside(repeats, F.col("_wr"))).where(T.holds(F.col("text"), F.col("word")))
 
 
 def subsequence_hits(words: DataFrame, items: DataFrame) -> DataFrame:
@@ -153,19 +169,21 @@ def subsequence_hits(words: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def path_hits(words: DataFrame, items: DataFrame) -> DataFrame:
-    """Whole paths that hold a path word (one with '/') in order; no other channel speaks for such words."""
-    paths = T.layered(items.select("entry_id", "path"), "path").select("entry_id", F.col("norm").alias("text"), "starts")
-    met = _ordered(words.where(F.col("word").contains("/")), paths)
-    return met.select("query_id", "pos", "entry_id", fuzzy.optimal(F.col("text"), F.col("starts"), F.col("word")).cast("int").alias("score"))
+    """Whole paths that hold a path word (one with '/') in order; no other channel speaks for such words. Where tokens start is worked out for the
+    paths that do, by Python only beyond ASCII."""
+    met = _ordered(words.where(F.col("word").contains("/")), T.with_norm(items.select("entry_id", "path"), "path", "text"))
+    odd = T.beyond_ascii(F.col("path"))
+    starts = F.when(odd, T.analysed(F.when(odd, F.col("path")))["starts"]).otherwise(T.boundaries(F.col("path")))
+    return met.select("query_id", "pos", "entry_id", fuzzy.optimal(F.col("text"), starts, F.col("word")).cast("int").alias("score"))
 
 
 def folder_evidence(words: DataFrame, dirs: DataFrame) -> DataFrame:
-    """query_id, pos, folder, score: folders whose own name speaks for a word. Each folder is scored once, not once an entry."""
+    """query_id, pos, folder, score: folders whose own name speaks for a word, in one or more rows. Each folder is scored once, not once
+    an entry."""
     as_items = named(dirs).withColumn("entry_id", F.xxhash64("folder"))
     sub = subsequence_hits(words, as_items).withColumn("score", F.col("score") - SUBSEQUENCE)
-    pre = prefix_hits(words, prefix_keys(as_items)).withColumn("score", F.lit(PARENT))
-    best = sub.unionByName(pre).groupBy("query_id", "pos", "entry_id").agg(F.max("score").alias("score"))
-    return best.join(as_items.select("entry_id", "folder"), "entry_id").select("query_id", "pos", "folder", "score")
+    pre = prefix_matches(words, prefix_keys(as_items)).withColumn("score", F.lit(PARENT))
+    return sub.unionByName(pre).join(as_items.select("entry_id", "folder"), "entry_id").select("query_id", "pos", "folder", "score")
 
 
 def parent_hits(evidence: DataFrame, items: DataFrame) -> DataFrame:
@@ -173,7 +191,8 @@ def parent_hits(evidence: DataFrame, items: DataFrame) -> DataFrame:
     from quarry.operators.catalog import ancestors
 
     ups = items.select("entry_id", F.posexplode(ancestors(F.col("path"))).alias("distance", "folder"))
-    return evidence.join(ups, "folder").groupBy("query_id", "pos", "entry_id").agg(F.min_by("score", "distance").alias("score"))
+    nearest = F.max(F.struct((-F.col("distance")).alias("near"), "score"))
+    return evidence.join(ups, "folder").groupBy("query_id", "pos", "entry_id").agg(nearest["score"].alias("score"))
 
 
 def field_items(fields: DataFrame) -> DataFrame:
@@ -187,7 +206,7 @@ def field_hits(words: DataFrame, fields: DataFrame) -> DataFrame:
     """Auxiliary texts whose keys start with a word, or that hold it in order; fields: field_items() or what it takes."""
     items = fields if "owner" in fields.columns else field_items(fields)
     keys = prefix_keys(items).select("entry_id", "key", F.lit(0).alias("score"), "complete")
-    by_key = prefix_hits(words, keys).join(items.select("entry_id", "owner", "weight"), "entry_id").select("query_id", "pos", "owner", (F.col("weight") + F.col("score")).alias("score"))
+    by_key = prefix_matches(words, keys).join(items.select("entry_id", "owner", "weight"), "entry_id").select("query_id", "pos", "owner", (F.col("weight") + F.col("score")).alias("score"))
     sub = subsequence_hits(words, items).join(items.select("entry_id", "owner"), "entry_id").select("query_id", "pos", "owner", (F.col("score") - SUBSEQUENCE).alias("score"))
     return by_key.unionByName(sub).groupBy("query_id", "pos", F.col("owner").alias("entry_id")).agg(F.max("score").cast("int").alias("score"))
 

@@ -23,7 +23,11 @@ def combined(words: DataFrame, *hits: DataFrame) -> DataFrame:
     every = hits[0]
     for h in hits[1:]:
         every = every.unionByName(h)
-    best = every.groupBy("query_id", "pos", "entry_id").agg(F.max("score").alias("score"))
+    return totalled(words, channels.best(every))
+
+
+def totalled(words: DataFrame, best: DataFrame) -> DataFrame:
+    """combined() of hits that are one for each word and entry."""
     sums = best.groupBy("query_id", "entry_id").agg(F.sum("score").alias("total"), F.count("*").alias("_matched"))
     need = words.groupBy("query_id").agg(F.max("n_words").alias("_need"))
     return sums.join(need, "query_id").where("_matched = _need").select("query_id", "entry_id", "total")
@@ -37,7 +41,7 @@ def ranked(rows: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 def evidence(words: DataFrame, segment: Segment, bonus: int = 0) -> DataFrame:
     """query_id, pos, entry_id, score of all channels. A folder speaks only where the name holds no subsequence."""
-    own = [channels.prefix_hits(words, segment.keys, bonus), channels.typo_hits(words, segment.terms), channels.trigram_hits(words, segment.grams, segment.frequent), channels.path_hits(words, segment.entries)]
+    own = [channels.prefix_matches(words, segment.keys, bonus), channels.typo_matches(words, segment.terms), channels.trigram_hits(words, segment.grams, segment.frequent), channels.path_hits(words, segment.entries)]
     if segment.fields is not None:
         own.append(channels.field_hits(words, segment.fields))
     tagged = [(h, OWN) for h in own] + [(channels.subsequence_hits(words, segment.entries), IN_ORDER)]
@@ -59,8 +63,9 @@ def scored(totals: DataFrame, queries: DataFrame, items: DataFrame, boosts: Data
     place = F.col("place") if "place" in items.columns else F.lit(0)
     asked = T.with_norm(queries.select("query_id", F.col("text").alias("_raw")), "_raw", "_n").select("query_id", "_raw", F.trim("_n").alias("_q"))
     own = items.select("entry_id", "path", "norm", place.alias("_place"))
-    exact = asked.where(F.col("_raw").startswith("/")).join(own, F.col("_raw") == F.col("path")).select("query_id", "entry_id", F.lit(0).cast("long").alias("total"))
-    rows = totals.select("query_id", "entry_id", F.col("total").cast("long").alias("total")).unionByName(exact).groupBy("query_id", "entry_id").agg(F.max("total").alias("total"))
+    exact = asked.where(F.col("_raw").startswith("/")).join(own, F.col("_raw") == F.col("path")).select("query_id", "entry_id").distinct()
+    # totals lie by query and entry already: a full join moves the few exact rows only
+    rows = totals.join(exact, ["query_id", "entry_id"], "full_outer").select("query_id", "entry_id", F.coalesce(F.col("total"), F.lit(0)).cast("long").alias("total"))
     rows = rows.join(asked, "query_id").join(own, "entry_id")
     plain = F.greatest(F.lit(LOWEST), F.col("total") + F.greatest(F.lit(0), LENGTH_BONUS - F.length("norm")) - F.col("_place"))
     score = F.when(F.col("_raw").startswith("/") & (F.col("_raw") == F.col("path")), F.lit(EXACT_PATH)).when(F.col("norm") == F.col("_q"), EXACT_NAME - F.col("_place")).otherwise(plain)
@@ -72,7 +77,7 @@ def scored(totals: DataFrame, queries: DataFrame, items: DataFrame, boosts: Data
     return rows.select("query_id", "entry_id", "path", score.cast("long").alias("score"))
 
 
-def search(queries: DataFrame, catalog_: DataFrame | Segment, dirs: DataFrame | None = None, fields: DataFrame | None = None, boosts: DataFrame | None = None, roots: DataFrame | None = None, limit: int = LIMIT, bonus: int = 0) -> DataFrame:
+def search(queries: DataFrame, catalog_: DataFrame | Segment, dirs: DataFrame | bool | None = None, fields: DataFrame | None = None, boosts: DataFrame | None = None, roots: DataFrame | None = None, limit: int = LIMIT, bonus: int = 0) -> DataFrame:
     """The best entries of each query: query_id, entry_id, path, score, rank, and their boost if boosts are given.
 
     queries: query_id, text (at most QUERY_BYTES bytes; longer ones match nothing). catalog_: a segment, or entries from which
@@ -81,7 +86,7 @@ def search(queries: DataFrame, catalog_: DataFrame | Segment, dirs: DataFrame |
     segment = catalog_ if isinstance(catalog_, Segment) else segments.build(catalog_, dirs, fields, roots)
     fit = queries.where(F.octet_length("text") <= QUERY_BYTES)
     words = channels.query_words(fit)
-    totals = combined(words, evidence(words, segment, bonus))
+    totals = totalled(words, evidence(words, segment, bonus))
     rows = scored(totals, fit, segment.entries, boosts)
     if roots is not None:
         empty = fit.where(F.trim(F.regexp_replace("text", "[ \\t\\n\\r]+", " ")) == "").select("query_id")

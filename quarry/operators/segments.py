@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 from quarry.operators import catalog, channels
+from quarry.plans.shared import fixed
 
 
 @dataclass
@@ -27,13 +28,18 @@ class Segment:
         return {m.name: getattr(self, m.name) for m in members(self) if getattr(self, m.name) is not None}
 
 
-def build(items: DataFrame, dirs: DataFrame | None = None, fields: DataFrame | None = None, roots: DataFrame | None = None, frequent: DataFrame | None = None) -> Segment:
-    """The segment of entries. dirs: folders whose names count (those above all roots do not). frequent: the base's, for a delta."""
-    entries = catalog.named(items).withColumn("mask", T.mask(F.col("norm"))).withColumn("repeats", T.repeat_mask(F.col("norm")))
+def build(items: DataFrame, dirs: DataFrame | bool | None = None, fields: DataFrame | None = None, roots: DataFrame | None = None, frequent: DataFrame | None = None) -> Segment:
+    """The segment of entries, which are written once (every other table is made from them). dirs: folders whose names count (True: those above the
+    entries), but for those above all roots. frequent: the base's, for a delta."""
+    entries = fixed(catalog.named(items).withColumn("mask", T.mask(F.col("norm"))).withColumn("repeats", T.repeat_mask(F.col("norm"))))
     grams = channels.gram_index(entries)
-    if dirs is not None:
-        dirs = catalog.named(dirs if roots is None else catalog.usable_folders(dirs, roots))
-    return Segment(entries, channels.edged(channels.prefix_keys(entries)), channels.typo_terms(entries), grams, channels.frequent_grams(grams, entries) if frequent is None else frequent, dirs, None if fields is None else channels.field_items(fields))
+    if dirs is True:
+        dirs = catalog.folders(entries)
+    if dirs is None or dirs is False:
+        dirs = None
+    else:
+        dirs = fixed(catalog.named(dirs if roots is None else catalog.usable_folders(dirs, roots)))
+    return Segment(entries, channels.edged(channels.prefix_keys(entries)), channels.typo_terms(entries), grams, channels.frequent_grams(grams, entries) if frequent is None else frequent, dirs, None if fields is None else fixed(channels.field_items(fields)))
 
 
 #: By what the rows of a table lie together, so that a batch of words reads few row groups.

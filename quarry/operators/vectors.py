@@ -12,6 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from quarry.functions.text import bound
+
 #: The least cosine of a hit, first-pass dimensions and rows, the constant of rank fusion.
 THRESHOLD, HEAD, SHORTLIST, RRF_K = 0.2, 128, 8000, 60
 #: Bytes of queries that are broadcast at once, and cells of a product that a worker holds.
@@ -27,9 +29,9 @@ def norm(a: Column) -> Column:
 
 
 def unit(a: Column) -> Column:
-    """The vector at length 1; null if it is zero or not finite."""
-    n = norm(a)
-    return F.when((n > 0) & ~F.isnan(n) & (n < float("inf")), F.transform(a, lambda x: x / n))
+    """The vector at length 1; null if it is zero or not finite. The vector and its norm are worked out once, not for each coordinate."""
+    scaled = lambda v, n: F.when((n > 0) & ~F.isnan(n) & (n < float("inf")), F.transform(v, lambda x: x / n))
+    return bound(a, lambda v: bound(norm(v), lambda n: scaled(v, n)))
 
 
 def cosine(a: Column, b: Column) -> Column:
