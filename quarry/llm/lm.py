@@ -43,7 +43,7 @@ SWEEPS, BURN_IN, CLASS_SWEEPS, STRENGTH = 6, 2, 15, 0.5
 #: Discounts of class contexts, of the words' restaurant and of contexts.
 D_CLASS, D_WORDS, D_CONTEXT = 0.5, 0.6, 0.6
 #: Bytes of text, and about how many tokens of a part and of a bucket, that a task handles at once; points at which a hot context's tables are tried.
-BATCH, PART, BUCKET, POINTS = 2_000_000, 1_500_000, 600_000, 12
+BATCH, PART, BUCKET, POINTS = 1_000_000, 1_500_000, 500_000, 12
 #: A context is hot over one part in HOT of a bucket.
 HOT = 16
 
@@ -402,9 +402,9 @@ def _transitions(sent, stamp: str, modulus: int, held_out: int):
             lone = hot[place[hot] < 0]
             if len(lone):
                 odd.append((place0[lone], h[lone]))
-            if sum(len(x[0]) for x in held) > 1_200_000:
+            if sum(len(x[0]) for x in held) > 800_000:
                 held = [merged()]
-            if sum(len(x[0]) for x in held) > 800_000 or sum(len(x[0]) for x in odd) > 300_000:
+            if sum(len(x[0]) for x in held) > 600_000 or sum(len(x[0]) for x in odd) > 300_000:
                 yield from out()
                 held, odd = [], []
         yield from out()
@@ -435,14 +435,13 @@ def _tried(sent, stamp: str, count: int):
 
 def settled(counts: np.ndarray, tried: np.ndarray) -> np.ndarray:
     """For contexts of so many customers, the number of tables at which as many come out as go in; tried: see _tried()."""
-    out = np.ones(len(counts))
-    for i, n in enumerate(counts):
-        grid = np.log(float(n)) * np.arange(POINTS) / (POINTS - 1)
-        x = grid[POINTS // 2]
-        for _ in range(200):
-            x = np.interp(x, grid, np.log(np.maximum(tried[i], 1)))
-        out[i] = np.exp(x)
-    return out
+    y, top, row = np.log(np.maximum(tried, 1)), np.maximum(np.log(np.maximum(counts, 1).astype(float)), 1e-9), np.arange(len(counts))
+    x = top * (POINTS // 2) / (POINTS - 1)
+    for _ in range(200):  # a straight line between the points on either side
+        at = np.clip(x / top * (POINTS - 1), 0, POINTS - 1)
+        low = np.minimum(at.astype(int), POINTS - 2)
+        x = y[row, low] + (at - low) * (y[row, low + 1] - y[row, low])
+    return np.exp(x)
 
 
 #: To the buckets: packed tokens of a part; or a token whose word is not broadcast (doc is its document's code), then with its word's
@@ -624,7 +623,7 @@ def _scored(sent, stamp: str):
                 if bucket is not None and b[a] != bucket:
                     sums = finish(held)
                     held = ([], [])
-                    if len(sums[0]) > 1_000_000:
+                    if len(sums[0]) > 400_000:
                         yield from out()
                         sums = zero()
                         number.clear()
