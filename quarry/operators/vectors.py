@@ -64,10 +64,10 @@ def _met(vectors: DataFrame, asked: DataFrame, threshold: float | None, head: in
     bound on its bytes, or in blocks of them; each Arrow batch of vectors meets it in one product. No row leaves the worker that
     is below the threshold."""
     spark = vectors.sparkSession
-    found = asked.where("v IS NOT NULL").select("query_id", F.transform("v", lambda x: x.cast("float")).alias("v")).collect()  # a batch of queries
+    found = asked.where("v IS NOT NULL").select("query_id", F.transform("v", lambda x: x.cast("double")).alias("v")).collect()  # a batch of queries
     out = spark.createDataFrame([], f"query_id {asked.schema['query_id'].dataType.simpleString()}, id long, cosine double")
     kind = to_arrow_type(asked.schema["query_id"].dataType)
-    step = max(1, QUERY_BYTES // max(4 * len(found[0].v), 1)) if found else 1
+    step = max(1, QUERY_BYTES // max(8 * len(found[0].v), 1)) if found else 1
     for at in range(0, len(found), step):
         block = found[at : at + step]
         sent = spark.sparkContext.broadcast((np.array([r.query_id for r in block]), np.array([r.v for r in block], np.float64)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import json
 import os
+import re
 import stat
 import struct
 
@@ -150,7 +151,9 @@ def desktop_files(spark: SparkSession, folders: list[str]) -> DataFrame:
     out = spark.createDataFrame([], "desktop_id string, precedence int, content string")
     for k, top in enumerate(folders):
         files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.desktop").load(top)
-        below = F.regexp_replace(F.substring_index("path", top.rstrip("/") + "/", -1), "^/+", "")
+        # stores spell scheme and host in more than one way: paths are compared without
+        plain = "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
+        below = F.substring_index(F.regexp_replace("path", plain, ""), re.sub(plain, "", top).rstrip("/") + "/", -1)
         rows = files.where(F.col("length") <= ENTRY_BYTES).select(below.alias("_p"), F.lit(k).alias("precedence"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
         out = out.unionByName(rows.where(F.size(F.split("_p", "/")) <= DEPTH_MAX).select(F.replace("_p", F.lit("/"), F.lit("-")).alias("desktop_id"), "precedence", "content"))
     return out
