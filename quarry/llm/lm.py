@@ -37,15 +37,15 @@ from pyspark.sql import functions as F
 from quarry.llm.common import written
 from quarry.llm.tokens import caches, claim
 
-SYMBOLS, FREQUENT, PAIRS = 512, 524_288, 1_000_000
+SYMBOLS, FREQUENT, PAIRS = 512, 524_288, 500_000
 #: Sweeps over contexts, and those that are not averaged; sweeps over the upper restaurants, of which a third is not.
 SWEEPS, BURN_IN, CLASS_SWEEPS, STRENGTH = 6, 2, 15, 0.5
 #: Discounts of class contexts, of the words' restaurant and of contexts.
 D_CLASS, D_WORDS, D_CONTEXT = 0.5, 0.6, 0.6
 #: Bytes of text, and about how many tokens of a part and of a bucket, that a task handles at once; points at which a hot context's tables are tried.
-BATCH, PART, BUCKET, POINTS = 1_000_000, 1_500_000, 500_000, 12
+BATCH, PART, BUCKET, POINTS = 1_000_000, 700_000, 300_000, 12
 #: A context is hot over one part in HOT of a bucket.
-HOT = 16
+HOT = 8
 
 _rng = np.random.default_rng(33)
 _TABLE = _rng.integers(0, 1 << 64, (8, 256), dtype=np.uint64)
@@ -112,21 +112,33 @@ def _held(ids: pa.Array, modulus: int, held_out: int) -> np.ndarray:
 
 def _counter(modulus: int, held_out: int):
     def run(batches):
-        keys, sums = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        held: list = []  # sorted words and their counts
+
+        def merged():
+            keys, n = (np.concatenate([x[i] for x in held]) for i in (0, 1))
+            by = np.argsort(keys, kind="stable")
+            keys, n = keys[by], n[by]
+            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            return keys[first], np.add.reduceat(n, first)
 
         def out():
+            keys, n = merged()
             for at in range(0, len(keys), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 50_000].view(np.int64)), pa.array(sums[at : at + 50_000])], ["key", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 50_000].view(np.int64)), pa.array(n[at : at + 50_000])], ["key", "n"])
 
         for part in _parts(batches):
             h, row = tokens(part.column(1))
-            u, c = np.unique(h[~_held(part.column(0), modulus, held_out)[row]], return_counts=True)
-            both, at = np.unique(np.concatenate([keys, u]), return_inverse=True)
-            keys, sums = both, np.bincount(at, np.concatenate([sums, c]), len(both)).astype(np.int64)
-            if len(keys) > 1_500_000:
-                yield from out()
-                keys, sums = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        yield from out()
+            learn = ~_held(part.column(0), modulus, held_out)[row]
+            if learn.any():
+                held.append(np.unique(h[learn], return_counts=True))
+            if sum(len(x[0]) for x in held) > 600_000:
+                held = [merged()]
+                if len(held[0][0]) > 400_000:
+                    yield from out()
+                    held = []
+        if held:
+            yield from out()
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -194,8 +206,8 @@ def drawn(customers: np.ndarray, rest: np.ndarray, base: np.ndarray, discount: f
     size, first = np.unique(customers[few], return_index=True)
     for n, a, b in zip(size.tolist(), first.tolist(), np.append(first[1:], len(few)).tolist()):
         ways = stirling(discount)[n, 1 : n + 1]
-        for at in range(a, b, max(1, 2_000_000 // n)):
-            rows = few[at : min(b, at + max(1, 2_000_000 // n))]
+        for at in range(a, b, max(1, 500_000 // n)):
+            rows = few[at : min(b, at + max(1, 500_000 // n))]
             weight = np.cumsum(np.log((rest[rows, None] + discount * np.arange(n)) * base[rows, None]), axis=1) + ways
             share = np.cumsum(np.exp(weight - weight.max(1, keepdims=True)), axis=1)
             tables[rows] = 1 + (share < (rng.random(len(rows)) * share[:, -1])[:, None]).sum(1)
