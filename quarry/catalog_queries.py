@@ -543,7 +543,7 @@ def vec_int8_topk(spark, d):
 
 
 #: Shortlists that keep at least nine tenths of the exact answers, see vec_recall.
-HEAD, HEAD_ROWS, BIT_ROWS = 32, 250, 250
+HEAD, HEAD_ROWS, BIT_ROWS = 40, 250, 400
 BY_HEAD = f"f AS (SELECT q.query_id, b.id, b.v, c.v AS qv, row_number() OVER (PARTITION BY q.query_id ORDER BY list_inner_product(b.v[1:{HEAD}], c.v[1:{HEAD}]) / sqrt(list_inner_product(b.v[1:{HEAD}], b.v[1:{HEAD}])) DESC, b.id) AS r FROM b, q JOIN b c ON c.id = q.query_id)"
 BY_BITS = "g AS (SELECT query_id, id, v, qv, row_number() OVER (PARTITION BY query_id ORDER BY len(list_filter(range(1, len(v) + 1), lambda i: (v[i] < 0) <> (qv[i] < 0))), id) AS r FROM v, q)"
 
