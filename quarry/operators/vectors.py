@@ -16,6 +16,8 @@ from quarry.functions.text import bound
 
 #: The least cosine of a hit, first-pass dimensions and rows, the constant of rank fusion.
 THRESHOLD, HEAD, SHORTLIST, RRF_K = 0.2, 128, 8000, 60
+#: Decimal places in which cosines are compared.
+PLACES = 9
 #: Bytes of queries that are broadcast at once, and cells of a product that a worker holds.
 QUERY_BYTES, CELLS = 32 << 20, 4_000_000
 
@@ -53,12 +55,22 @@ def hamming(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
+def settled(cosine: Column) -> Column:
+    """The cosine in units of its last place that counts: sums in another order differ beyond it, so equal vectors would be ranked by chance."""
+    return F.floor(cosine * 10.0**PLACES + 0.5)
+
+
 def top(rows: DataFrame, score: str, k: int) -> DataFrame:
     """The k rows with the greatest score of each query, ids ascending among equals."""
     order = W.partitionBy("query_id").orderBy(F.desc(score), "id")
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _best(rows: DataFrame, k: int) -> DataFrame:
+    """top() of rows with a cosine, as far as it counts."""
+    return top(rows.withColumn("_near", settled(F.col("cosine"))), "_near", k).drop("_near")
+
+
 def _met(vectors: DataFrame, asked: DataFrame, threshold: float | None, head: int | None = None) -> DataFrame:
     """query_id, id, cosine of asked (query_id, v) against vectors (id, v), both of unit length. The queries are one matrix, broadcast within a
     bound on its bytes, or in blocks of them; each Arrow batch of vectors meets it in one product. No row leaves the worker that
@@ -99,8 +111,8 @@ def prepared(vectors: DataFrame) -> DataFrame:
 
 
 def nearest(vectors: DataFrame, asked: DataFrame, k: int, threshold: float | None = THRESHOLD) -> DataFrame:
-    """query_id, id, cosine, rank by float cosine over all rows. Both sides prepared()."""
-    return top(_met(vectors, asked, threshold), "cosine", k)
+    """query_id, id, cosine, rank by float cosine over all rows, ids ascending where cosines are equal in PLACES places. Both sides prepared()."""
+    return _best(_met(vectors, asked, threshold), k)
 
 
 def as_bytes(vectors: DataFrame) -> DataFrame:
@@ -129,7 +141,7 @@ def nearest_bits(vectors: DataFrame, asked: DataFrame, k: int, shortlist: int) -
 def _rescored(kept: DataFrame, vectors: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     """The k best of the kept (query_id, id) by all dimensions."""
     met = kept.join(vectors.select("id", "v"), "id").join(asked.select("query_id", F.col("v").alias("_q")), "query_id")
-    return top(met.select("query_id", "id", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(F.col("v"), F.col("_q")))).alias("cosine")), "cosine", k)
+    return _best(met.select("query_id", "id", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(F.col("v"), F.col("_q")))).alias("cosine")), k)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

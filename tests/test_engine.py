@@ -314,6 +314,16 @@ def test_vectors(spark, monkeypatch):
     assert vectors.recall(vectors.nearest(v, q, 2, None), vectors.nearest(v, q, 4, None)).first().recall == 0.5
 
 
+def test_equal_cosines_rank_by_id(spark):
+    # one vector's coordinates in other orders: equal cosines with a constant vector, but for the last bits of their sums
+    numbers = random.Random(5)
+    base = [numbers.uniform(0.1, 1) for _ in range(64)]
+    v = vectors.prepared(spark.createDataFrame([(i, numbers.sample(base, 64)) for i in range(200)], "id long, v array<double>"))
+    q = vectors.prepared(spark.createDataFrame([(0, [1.0] * 64)], "query_id int, v array<double>"))
+    for found in (vectors.nearest(v, q, 200), vectors.nearest_bytes(v, q, 200), vectors.nearest_two_pass(v, q, 200, 64, 200)):
+        assert [r.id for r in found.orderBy("rank").collect()] == list(range(200))
+
+
 def test_addresses(spark):
     good = ["example.com", "http://localhost:8080/x", "https://intern/path", "10.0.0.1", "a.b.co/p?q=%20", "Example.ORG:443"]
     bad = ["report.pdf", "main.py", "hello world", "example.com:99999", "http://a b", "a..com", "/etc/hosts", "x.com/%zz", "300.1.1.1", ""]
