@@ -386,3 +386,35 @@ def test_labels(spark):
     assert [r.s for r in df.select(scalars.short_title(F.col("t"), F.col("a")).alias("s")).collect()] == ["Doc - x", "Doc", "a - b", " - Editor", "Mail", None]
     r = df.select(scalars.keyword_text(F.array(F.lit("abc"), F.lit("de"), F.lit("f")), 7).alias("k"), scalars.single_line(F.lit("a\nb\x01")).alias("o"), scalars.label_key(F.lit("a/b")).alias("l")).first()
     assert (r.k, r.o, r.l) == ("abc de", "a b ", "/apps/a b")
+
+
+def scans_sent(df):
+    """The file scans of a plan that lie below a broadcast, but for those of one row (aggregates without keys)."""
+    found, inside = [], []
+    for line in df._jdf.queryExecution().executedPlan().toString().split("\n"):
+        node = line.lstrip(" :+-")
+        depth = len(line) - len(node)
+        inside = [(d, n) for d, n in inside if d < depth] + [(depth, node)]
+        if "FileScan" in node:
+            above = [n.split("(")[0] + ("()" if "keys=[]" in n else "") for _, n in inside]
+            at = max((i for i, n in enumerate(above) if n.startswith("BroadcastExchange")), default=None)
+            if at is not None and not any(n.endswith("()") for n in above[at:]):
+                found.append(node[:80])
+    return found
+
+
+@pytest.fixture(scope="module")
+def filed(spark, items, tmp_path_factory):
+    """The items in a file, so that Spark takes them for small."""
+    path = str(tmp_path_factory.mktemp("catalog") / "items")
+    items.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@pytest.fixture(scope="module")
+def asked_words(spark):
+    return channels.query_words(spark.createDataFrame(list(enumerate(QUERIES)), "query_id int, text string"))
+
+
+def test_subsequences_do_not_send_the_catalog(filed, asked_words):
+    assert scans_sent(channels.subsequence_hits(asked_words, filed)) == scans_sent(channels.path_hits(asked_words, filed)) == []
