@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quarry.functions import fuzzy
 from quarry.operators import channels, search
 from quarry.operators.segments import Segment
+from quarry.plans.shared import dealt, sent
 
 
 def pending_words(words: DataFrame, cheap: DataFrame, limit: int) -> DataFrame:
@@ -26,7 +27,7 @@ def rare_grams(grams: DataFrame, frequency: DataFrame) -> DataFrame:
     rarest are enough to find every candidate; the others only verify."""
     order = W.partitionBy("query_id", "pos").orderBy(F.coalesce("df", F.lit(0)), "gram")
     n = F.count("*").over(W.partitionBy("query_id", "pos"))
-    met = grams.join(frequency, "gram", "left").withColumn("_r", F.row_number().over(order)).withColumn("_n", n)
+    met = grams.join(dealt(frequency), "gram", "left").withColumn("_r", F.row_number().over(order)).withColumn("_n", n)
     return met.where(F.col("_r") <= F.col("_n") - F.ceil(F.col("_n") / 2) + 1).select("query_id", "pos", "gram")
 
 
@@ -37,8 +38,9 @@ def trigram_hits_by_rare(words: DataFrame, index: DataFrame, frequent: DataFrame
     grams = words.where(~F.col("word").contains("/")).select("query_id", "pos", T.trigrams(F.col("word")).alias("g")).where(F.size("g") >= 3)
     each = grams.select("query_id", "pos", F.explode("g").alias("gram"))
     df = index.groupBy("gram").agg(F.count("*").alias("df"))
-    told = each.join(frequent.select("gram"), "gram", "left_anti")
-    few = rare_grams(told, df)
+    told = sent(each.join(frequent.select("gram"), "gram", "left_anti"), words)
+    index = dealt(index)
+    few = sent(rare_grams(told, df), words)
     candidates = few.join(index, "gram").select("query_id", "pos", "entry_id").distinct()
     totals = told.groupBy("query_id", "pos").agg(F.count("*").alias("total"))
     shared = candidates.join(told, ["query_id", "pos"]).join(index, ["entry_id", "gram"]).groupBy("query_id", "pos", "entry_id").agg(F.count("*").alias("shared"))

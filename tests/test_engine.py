@@ -389,14 +389,15 @@ def test_labels(spark):
 
 
 def scans_sent(df):
-    """The file scans of a plan that lie below a broadcast, but for those of one row (aggregates without keys)."""
+    """The file scans of a plan that lie below a broadcast, but for those that give it no rows: below aggregates to one row, or joins that keep the rows
+    of a batch (left, anti)."""
     found, inside = [], []
     for line in df._jdf.queryExecution().executedPlan().toString().split("\n"):
         node = line.lstrip(" :+-")
         depth = len(line) - len(node)
         inside = [(d, n) for d, n in inside if d < depth] + [(depth, node)]
         if "FileScan" in node:
-            above = [n.split("(")[0] + ("()" if "keys=[]" in n else "") for _, n in inside]
+            above = [n.split("(")[0] + ("()" if re.search(r"keys=\[\]|LeftAnti|LeftOuter", n) else "") for _, n in inside]
             at = max((i for i, n in enumerate(above) if n.startswith("BroadcastExchange")), default=None)
             if at is not None and not any(n.endswith("()") for n in above[at:]):
                 found.append(node[:80])
@@ -416,5 +417,15 @@ def asked_words(spark):
     return channels.query_words(spark.createDataFrame(list(enumerate(QUERIES)), "query_id int, text string"))
 
 
+@pytest.fixture(scope="module")
+def frequent(spark):
+    """In a search at most eight times as many grams as a name holds, so they may be sent."""
+    return spark.createDataFrame([(".tx",)], "gram string")
+
+
 def test_subsequences_do_not_send_the_catalog(filed, asked_words):
     assert scans_sent(channels.subsequence_hits(asked_words, filed)) == scans_sent(channels.path_hits(asked_words, filed)) == []
+
+
+def test_rare_trigrams_do_not_send_the_catalog(filed, asked_words, frequent):
+    assert scans_sent(staged.trigram_hits_by_rare(asked_words, channels.gram_index(filed), frequent)) == []
