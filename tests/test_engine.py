@@ -427,5 +427,10 @@ def test_subsequences_do_not_send_the_catalog(filed, asked_words):
     assert scans_sent(channels.subsequence_hits(asked_words, filed)) == scans_sent(channels.path_hits(asked_words, filed)) == []
 
 
+def test_trigrams_do_not_send_the_catalog(filed, asked_words, frequent):
+    grams = channels.gram_index(filed)
+    assert scans_sent(channels.trigram_hits(asked_words, grams, frequent)) == []
+
+
 def test_rare_trigrams_do_not_send_the_catalog(filed, asked_words, frequent):
     assert scans_sent(staged.trigram_hits_by_rare(asked_words, channels.gram_index(filed), frequent)) == []
