@@ -434,3 +434,8 @@ def test_trigrams_do_not_send_the_catalog(filed, asked_words, frequent):
 
 def test_rare_trigrams_do_not_send_the_catalog(filed, asked_words, frequent):
     assert scans_sent(staged.trigram_hits_by_rare(asked_words, channels.gram_index(filed), frequent)) == []
+
+
+def test_fields_do_not_send_the_catalog(filed, asked_words):
+    fields = filed.select("entry_id", F.lit("generic").alias("kind"), F.col("name").alias("text"))
+    assert scans_sent(channels.field_hits(asked_words, fields)) == []
