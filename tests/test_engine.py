@@ -439,3 +439,9 @@ def test_rare_trigrams_do_not_send_the_catalog(filed, asked_words, frequent):
 def test_fields_do_not_send_the_catalog(filed, asked_words):
     fields = filed.select("entry_id", F.lit("generic").alias("kind"), F.col("name").alias("text"))
     assert scans_sent(channels.field_hits(asked_words, fields)) == []
+
+
+def test_names_and_places_do_not_send_the_catalog(spark, filed, asked_words):
+    asked = spark.createDataFrame(list(enumerate(QUERIES)), "query_id int, text string")
+    found = search.combined(asked_words, channels.prefix_hits(asked_words, channels.prefix_keys(filed)), channels.typo_hits(asked_words, channels.typo_terms(filed)))
+    assert scans_sent(search.scored(found, asked, filed)) == []
