@@ -54,5 +54,5 @@ def one_word_topk(queries: DataFrame, segment: Segment, limit: int = 10) -> Data
     cheap = channels.prefix_hits(words, segment.keys).unionByName(channels.typo_hits(words, segment.terms))
     cheap = cheap.unionByName(channels.trigram_hits(words, segment.grams, segment.frequent)).unionByName(channels.path_hits(words, segment.entries))
     cheap = cheap.groupBy("query_id", "pos", "entry_id").agg(F.max("score").alias("score"))
-    slow = channels.subsequence_hits(pending_words(words, cheap, limit), segment.entries)
+    slow = channels.subsequence_hits(sent(pending_words(words, cheap, limit), words), segment.entries)
     return search.ranked(search.scored(search.combined(words, cheap, slow), queries, segment.entries), limit)

@@ -445,3 +445,8 @@ def test_names_and_places_do_not_send_the_catalog(spark, filed, asked_words):
     asked = spark.createDataFrame(list(enumerate(QUERIES)), "query_id int, text string")
     found = search.combined(asked_words, channels.prefix_hits(asked_words, channels.prefix_keys(filed)), channels.typo_hits(asked_words, channels.typo_terms(filed)))
     assert scans_sent(search.scored(found, asked, filed)) == []
+
+
+def test_staged_searches_do_not_send_the_catalog(spark, filed, frequent):
+    asked = spark.createDataFrame(list(enumerate(QUERIES)), "query_id int, text string")
+    assert scans_sent(staged.one_word_topk(asked, segments.build(filed, frequent=frequent))) == []
