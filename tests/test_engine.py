@@ -447,6 +447,12 @@ def test_names_and_places_do_not_send_the_catalog(spark, filed, asked_words):
     assert scans_sent(search.scored(found, asked, filed)) == []
 
 
+def test_folders_and_roots_do_not_send_the_catalog(spark, filed, asked_words):
+    roots = spark.createDataFrame([("/srv/ann",)], "path string")
+    assert scans_sent(catalog.with_root(filed, roots)) == []
+    assert scans_sent(channels.parent_hits(channels.folder_evidence(asked_words, catalog.folders(filed)), filed)) == []
+
+
 def test_staged_searches_do_not_send_the_catalog(spark, filed, frequent):
     asked = spark.createDataFrame(list(enumerate(QUERIES)), "query_id int, text string")
     assert scans_sent(staged.one_word_topk(asked, segments.build(filed, frequent=frequent))) == []
