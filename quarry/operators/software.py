@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.scalars import label_key, software_ref_valid, suggestion_gate
 from quarry.operators import catalog, channels, search, segments
+from quarry.plans.shared import dealt
 
 #: Suggestions of a query, and candidates they are picked from.
 SUGGESTIONS, CANDIDATES = 3, 64
@@ -23,7 +24,7 @@ CHECK_MS, BACKSTOP_MS, DOWNLOAD_MS = 15_000, 600_000, 6 * 3_600_000
 def entries(software: DataFrame) -> DataFrame:
     """software as names: its label is the last part of a path, with slashes as blanks."""
     rows = catalog.entries(software, F.col("entry_id"), label_key(F.col("name"), "/software/"))
-    return rows.join(software.select("entry_id", F.col("ref.app_id").alias("app_id")), "entry_id")
+    return rows.join(dealt(software.select("entry_id", F.col("ref.app_id").alias("app_id"))), "entry_id")
 
 
 def segment(software: DataFrame) -> segments.Segment:

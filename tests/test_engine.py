@@ -456,3 +456,13 @@ def test_folders_and_roots_do_not_send_the_catalog(spark, filed, asked_words):
 def test_staged_searches_do_not_send_the_catalog(spark, filed, frequent):
     asked = spark.createDataFrame(list(enumerate(QUERIES)), "query_id int, text string")
     assert scans_sent(staged.one_word_topk(asked, segments.build(filed, frequent=frequent))) == []
+
+
+def test_whole_searches_do_not_send_the_catalog(spark, filed, frequent):
+    asked = spark.createDataFrame(list(enumerate(QUERIES)), "query_id int, text string")
+    fields = filed.select("entry_id", F.lit("generic").alias("kind"), F.col("name").alias("text"))
+    boosts = spark.createDataFrame([(None, 3, 40), (4, 5, 60)], "query_id int, entry_id long, boost int")
+    roots = spark.createDataFrame([("/srv/ann",)], "path string")
+    segment = segments.build(filed, True, fields, roots, frequent)
+    assert scans_sent(search.search(asked, segment, boosts=boosts)) == []
+    assert scans_sent(software.entries(filed.select("entry_id", "name", F.struct(F.col("name").alias("app_id")).alias("ref")))) == []
