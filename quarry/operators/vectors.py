@@ -115,6 +115,12 @@ def nearest(vectors: DataFrame, asked: DataFrame, k: int, threshold: float | Non
     return _best(_met(vectors, asked, threshold), k)
 
 
+def ranked_all(vectors: DataFrame, asked: DataFrame) -> DataFrame:
+    """query_id, id, rank of all rows by float cosine, each query's list whole. Cosines come from matrix products. Both sides prepared()."""
+    rows = _met(vectors, asked, None).select("query_id", "id", settled(F.col("cosine")).alias("_near"))
+    return rows.select("query_id", "id", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("_near"), "id")).alias("rank"))
+
+
 def as_bytes(vectors: DataFrame) -> DataFrame:
     """vectors (v: unit length) as bytes, brought to length 1 again, so that products are cosines of the bytes."""
     return vectors.withColumn("v", unit(F.transform("v", lambda x: F.round(x * 127).cast("tinyint"))))

@@ -314,6 +314,18 @@ def test_vectors(spark, monkeypatch):
     assert vectors.recall(vectors.nearest(v, q, 2, None), vectors.nearest(v, q, 4, None)).first().recall == 0.5
 
 
+def test_whole_rankings(spark):
+    rows = [(i, [float((19 * i + 13 * j + 7 * i * j) % 61 - 30) for j in range(5)]) for i in range(37)]
+    v = vectors.prepared(spark.createDataFrame(rows, "id long, v array<double>"))
+    q = v.where("id < 3").select(F.col("id").alias("query_id"), "v")
+    got = vectors.ranked_all(v, q)
+    want = vectors.nearest(v, q, 37, None)
+    key = lambda df: sorted((r.query_id, r.id, r["rank"]) for r in df.collect())
+    assert len(key(got)) == 3 * 37 and key(got) == key(want)
+    # products are worked out by matrix, not coordinate by coordinate
+    assert "zip_with" not in vectors.ranked_all(spark.createDataFrame(rows, "id long, v array<double>"), q.limit(1))._jdf.queryExecution().optimizedPlan().toString().replace("zipwith", "zip_with")
+
+
 def test_equal_cosines_rank_by_id(spark):
     # one vector's coordinates in other orders: equal cosines with a constant vector, but for the last bits of their sums
     numbers = random.Random(5)
