@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import fuzzy, scalars
 from quarry.functions import text as T
-from quarry.operators import catalog, channels, search, segments, software, usage, vectors
+from quarry.operators import catalog, channels, merge, search, segments, software, usage, vectors
 from quarry.plans import staged
 
 PATHS = ["/srv/ann", "/srv/ann/garden/PLANTING.txt", "/srv/ann/garden/PLANTING-2019.txt", "/srv/ann/boat/sailLog.md", "/srv/ann/ledger/receipt2023.ods", "/srv/ann/code/JSONReader.rs", "/srv/ann/code/json_writer.rs", "/srv/ann/tunes/Old Songs for Guitar.mid", "/srv/ann/code/vendor/a/b/c/reader.rs", "/srv/ann/letters/sail log.txt", "/srv/ann/letters/sailing.txt", "/srv/ann/photos/DSC_2023.png", "/srv/ann/ledger/rent/2022/statement.ods"]
@@ -478,3 +478,10 @@ def test_whole_searches_do_not_send_the_catalog(spark, filed, frequent):
     segment = segments.build(filed, True, fields, roots, frequent)
     assert scans_sent(search.search(asked, segment, boosts=boosts)) == []
     assert scans_sent(software.entries(filed.select("entry_id", "name", F.struct(F.col("name").alias("app_id")).alias("ref")))) == []
+
+
+def test_app_searches_do_not_send_the_catalog(spark, filed, frequent, monkeypatch):
+    monkeypatch.setattr(channels, "frequent_grams", lambda *_: frequent)
+    asked = spark.createDataFrame(list(enumerate(QUERIES)), "query_id int, text string")
+    fields = filed.select("entry_id", F.lit("generic").alias("kind"), F.col("name").alias("text"))
+    assert scans_sent(merge.searched_apps(asked, filed, fields, limit=20)) == []
