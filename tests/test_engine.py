@@ -485,3 +485,14 @@ def test_app_searches_do_not_send_the_catalog(spark, filed, frequent, monkeypatc
     asked = spark.createDataFrame(list(enumerate(QUERIES)), "query_id int, text string")
     fields = filed.select("entry_id", F.lit("generic").alias("kind"), F.col("name").alias("text"))
     assert scans_sent(merge.searched_apps(asked, filed, fields, limit=20)) == []
+
+
+def test_boosted_searches_do_not_send_the_catalog(spark, filed, frequent, tmp_path):
+    asked = spark.createDataFrame(list(enumerate(QUERIES)), "query_id int, text string")
+    roots = spark.createDataFrame([("/srv/ann",)], "path string")
+    spark.range(40).selectExpr("id % 10 AS target_id", "if(id % 2 = 0, 'sail', null) AS query", "1700000000 + id AS ts").write.parquet(str(tmp_path / "opens"))
+    placed = catalog.with_root(filed, roots).withColumn("place", catalog.place_penalty(F.col("path"), F.col("root"))).drop("root")
+    boosts = usage.boosts(asked, spark.read.parquet(str(tmp_path / "opens")), 1706659200)
+    found = search.search(asked, segments.build(placed, True, roots=roots, frequent=frequent), boosts=boosts)
+    # the strongest opens are a capped number of rows
+    assert [scan for scan in scans_sent(found) if "ts#" not in scan] == []
