@@ -314,6 +314,31 @@ def test_queries_equal_their_sql(spark):
         assert left == right, name
 
 
+@pytest.fixture(scope="module")
+def asked_path(spark, tmp_path_factory):
+    """Tables in which two parts lie at the path that is asked, and others near it; their folder."""
+    d = str(tmp_path_factory.mktemp("parts"))
+    rows = [(0, "red rod", 7, 7), (1, "red rod", 7, 7), *[(i, "red rod", 7 + 10 * (i % 2), 17 - 10 * (i % 2)) for i in range(2, 9)], *[(i, "blue widget", i, i) for i in range(9, 14)]]
+    spark.createDataFrame([(i, n, f"Brand#{b}", "PROMO", s) for i, n, b, s in rows], "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{d}/part.parquet")
+    spark.range(40).selectExpr("id AS event_id", "timestamp_seconds(1706600000 + id) AS ts", "if(id % 2 = 0, 'click', 'buy') AS event_type").write.parquet(f"{d}/events.parquet")
+    return d
+
+
+@pytest.mark.parametrize("name", ["lex_search_full"])
+def test_searches_equal_their_sql_where_a_path_is_asked(spark, asked_path, name):
+    import duckdb
+
+    from quarry import service_queries as cq
+
+    con = duckdb.connect()
+    for t in ("part", "events"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{asked_path}/{t}.parquet/*.parquet'")
+    found = cq.QUERIES[name](spark, asked_path)
+    want = con.execute(f"SELECT {', '.join(found.columns)} FROM ({cq.ORACLE_SQL[name]})").fetchall()
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    assert sum(r[0] == 13 and r[3] >= 20_000_000 for r in want) == 4
+
+
 def test_entry_without_the_corpus_operators(spark, monkeypatch):
     import builtins
     import sys
