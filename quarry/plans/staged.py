@@ -48,11 +48,12 @@ def trigram_hits_by_rare(words: DataFrame, index: DataFrame, frequent: DataFrame
     return found.select("query_id", "pos", "entry_id", F.expr("1000 + (1000 * shared) div total").cast("int").alias("score"))
 
 
-def one_word_topk(queries: DataFrame, segment: Segment, limit: int = 10) -> DataFrame:
-    """search.search() without folders for batches of mostly short queries: subsequences are aligned only where they can matter."""
+def one_word_topk(queries: DataFrame, segment: Segment, limit: int = 10, apart: bool = False) -> DataFrame:
+    """search.search() without folders for batches of mostly short queries: subsequences are aligned only where they can matter. apart: as in
+    search.scored()."""
     words = channels.query_words(queries)
     cheap = channels.prefix_hits(words, segment.keys).unionByName(channels.typo_hits(words, segment.terms))
     cheap = cheap.unionByName(channels.trigram_hits(words, segment.grams, segment.frequent)).unionByName(channels.path_hits(words, segment.entries))
     cheap = cheap.groupBy("query_id", "pos", "entry_id").agg(F.max("score").alias("score"))
     slow = channels.subsequence_hits(sent(pending_words(words, cheap, limit), words), segment.entries)
-    return search.ranked(search.scored(search.combined(words, cheap, slow), queries, segment.entries), limit)
+    return search.ranked(search.scored(search.combined(words, cheap, slow), queries, segment.entries, apart=apart), limit)

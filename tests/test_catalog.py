@@ -324,7 +324,7 @@ def asked_path(spark, tmp_path_factory):
     return d
 
 
-@pytest.mark.parametrize("name", ["lex_search_full", "search_boosted"])
+@pytest.mark.parametrize("name", ["lex_search_full", "search_boosted", "lex_search_staged"])
 def test_searches_equal_their_sql_where_a_path_is_asked(spark, asked_path, name):
     import duckdb
 
